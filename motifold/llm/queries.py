@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from motifold.llm.decontamination import contamination_report
+from motifold.llm.language_id import language_predictions
 from motifold.llm.near_dedup import near_duplicates
 
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
 
