@@ -41,3 +41,18 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS
        sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
+
+#: Base 32 from hexadecimal: 20 bits, so five digits, make four letters.
+ORACLES["op7_arc_to_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+m AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+x AS (
+  SELECT page_id, html, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS q FROM p)
+SELECT x.page_id, CAST(octet_length(encode(x.html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(q, lambda v:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN m.first = x.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m.first = x.page_id THEN NULL ELSE m.first END AS refers_to
+FROM x JOIN m ON m.html = x.html
+"""

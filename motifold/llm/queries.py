@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from motifold.llm.decontamination import contamination_report
 from motifold.llm.language_id import language_predictions
 from motifold.llm.near_dedup import near_duplicates
+from motifold.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
