@@ -56,3 +56,71 @@ SELECT x.page_id, CAST(octet_length(encode(x.html)) AS BIGINT) AS payload_bytes,
        CASE WHEN m.first = x.page_id THEN NULL ELSE m.first END AS refers_to
 FROM x JOIN m ON m.html = x.html
 """
+
+#: Twenty rounds of both ranks over links and domain steps, from hosts that rules allow or block.
+ORACLES["op9_link_graph_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+m AS (
+  SELECT *, '.' || host AS h, CASE
+    WHEN '.' || host LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN '.' || host LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN '.' || host LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN '.' || host LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN '.' || host LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM p),
+s AS (
+  SELECT host, coalesce(bool_or(rule IN ('org/', 'com/fr/')), false) AS trusted, coalesce(bool_or(rule NOT IN ('org/', 'com/fr/')), false) AS blocked
+  FROM m WHERE host <> '' GROUP BY host),
+k0 AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM p WHERE host <> '') WHERE src <> dst),
+hosts AS (SELECT src AS host FROM k0 UNION SELECT dst FROM k0 UNION SELECT host FROM s),
+steps AS (
+  SELECT DISTINCT array_to_string(l[i:], '.') AS a, array_to_string(l[i + 1:], '.') AS b
+  FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts) WHERE len(l) > 2)),
+k AS (SELECT src, dst FROM k0 UNION SELECT a, b FROM steps WHERE a <> '' AND b <> '' UNION SELECT b, a FROM steps WHERE a <> '' AND b <> ''),
+e AS (SELECT 'trust' AS kind, src, dst FROM k UNION ALL SELECT 'distrust', dst, src FROM k),
+w AS (SELECT *, 0.85::DOUBLE / count(*) OVER (PARTITION BY kind, src) AS share FROM e),
+seed AS (
+  SELECT kind, host, 1::DOUBLE / count(*) OVER (PARTITION BY kind) AS rank
+  FROM (SELECT 'trust' AS kind, host FROM s WHERE trusted UNION ALL SELECT 'distrust', host FROM s WHERE blocked)),
+nodes AS (SELECT kind, host FROM seed UNION SELECT kind, src FROM e UNION SELECT kind, dst FROM e),
+r AS (
+  SELECT 0 AS i, kind, host, rank FROM seed
+  UNION ALL
+  SELECT any_value(x.i), n.kind, n.host, 0.15::DOUBLE * coalesce(any_value(seed.rank), 0) + coalesce(sum(x.rank * w.share), 0)
+  FROM nodes n LEFT JOIN seed ON seed.kind = n.kind AND seed.host = n.host
+  JOIN (SELECT i + 1 AS i, kind, host, rank FROM r WHERE i < 20 UNION ALL SELECT (SELECT max(i) + 1 FROM r), NULL, NULL, 0 WHERE (SELECT max(i) FROM r) < 20) x
+    ON true
+  LEFT JOIN w ON w.kind = n.kind AND w.dst = n.host AND w.src = x.host AND w.kind = x.kind
+  GROUP BY n.kind, n.host),
+f AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE -rank END) AS net FROM r WHERE i = 20 GROUP BY host)
+SELECT m.page_id, m.host, m.path, m.rule,
+       CASE WHEN m.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN m.rule IS NOT NULL THEN 'block'
+            WHEN round(-coalesce(f.net, 0), 12) > 0 THEN 'block' ELSE 'allow' END AS verdict
+FROM m LEFT JOIN f ON f.host = m.host
+"""
+
+ORACLES["op10_tool_call_linking"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         'call_' || CAST(CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS VARCHAR) AS call_id FROM conversations),
+c AS (SELECT conv_id, call_id, min(CASE WHEN kind = 'call' THEN turn END) AS call_turn, bool_or(kind = 'result') AS answered
+      FROM t WHERE kind <> 'message' GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, t.role, t.kind, t.call_id,
+       CASE t.kind WHEN 'call' THEN coalesce(c.answered, false) WHEN 'result' THEN coalesce(c.call_turn IS NOT NULL, false) ELSE false END AS linked,
+       CASE WHEN t.kind = 'call' THEN text IS NOT NULL AND t.turn IS NOT NULL END AS valid,
+       CASE WHEN t.kind = 'result' THEN greatest(t.turn, c.call_turn) ELSE t.turn END AS order_turn,
+       CASE WHEN t.kind = 'result' THEN 1 ELSE 0 END AS order_phase,
+       '{' || array_to_string(list_filter([
+         CASE WHEN t.kind = 'call' THEN '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"chars":' || length(text) || ',"prompt":' || to_json(text)::VARCHAR || ',' END || '"turn":' || t.turn || '}' END,
+         '"call_id":' || to_json(t.call_id)::VARCHAR,
+         CASE WHEN t.kind <> 'call' AND text IS NOT NULL THEN '"content":' || to_json(text)::VARCHAR END,
+         '"kind":' || to_json(t.kind)::VARCHAR,
+         CASE WHEN t.role IS NOT NULL THEN '"role":' || to_json(t.role)::VARCHAR END,
+         CASE WHEN t.kind = 'call' THEN '"tool":"reply"' END], lambda x: x IS NOT NULL), ',') || '}' AS message
+FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND c.call_id = t.call_id
+"""

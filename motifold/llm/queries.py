@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from motifold.llm.decontamination import contamination_report
 from motifold.llm.language_id import language_predictions
 from motifold.llm.near_dedup import near_duplicates
+from motifold.llm.tool_calls import formatted_conversations
+from motifold.llm.url_trust import judged_urls
 from motifold.llm.warc import archived_pages
 
 
@@ -32,6 +34,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(_table(spark, sf_dir, "pages"))
+
+
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
