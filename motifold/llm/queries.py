@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from motifold.llm.decontamination import contamination_report
 from motifold.llm.language_id import language_predictions
 from motifold.llm.near_dedup import near_duplicates
+from motifold.llm.pii_crf import personal_data
 from motifold.llm.tool_calls import formatted_conversations
 from motifold.llm.url_trust import judged_urls
 from motifold.llm.warc import archived_pages
@@ -22,6 +23,10 @@ def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op5_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
 
