@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motifold.llm.decontamination import contamination_report
+from motifold.llm.hilbert_ann import nearest
 from motifold.llm.language_id import language_predictions
 from motifold.llm.near_dedup import near_duplicates
 from motifold.llm.pii_crf import personal_data
@@ -23,6 +25,10 @@ def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op4_shifted_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
