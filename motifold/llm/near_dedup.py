@@ -5,9 +5,11 @@ as pairs. A class keeps its `sketch` smallest hashes (one hash function). Two se
 `threshold` share at least `need` retained values but for a chance under `miss` (binomial tail), so it is enough to list
 each class under its rarest `size - need + 1` retained values (the rest are the values that many documents share).
 
-Lists are never expanded into all pairs. First every class is tried against one neighbour: the list is range-partitioned
-by (value, set size, class), and neighbours in that order are candidates. Links found so merge classes. Then only members
-of one list that are still in different components meet. Candidates pass the union-sketch estimate, then the exact
+Lists are never expanded into all pairs. A class whose full set has too many shingles that no other listed class has
+cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, then
+against one neighbour of another component in lists that are range-partitioned by (value, set size, class). Links found so
+merge classes. Last, only members of one list that are still in different components meet, if their sizes and what only
+they hold allow the similarity. All candidates pass the union-sketch estimate, then the exact
 similarity of full sets decides.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +29,7 @@ from motifold.llm.shared import stored
 from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 
 SHINGLE_WORDS = 5
-SKETCH = 128
+SKETCH = 64
 MISS = 1e-9
 
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -109,18 +111,19 @@ def _sets(nodes: pa.Array, held: list[np.ndarray], schema: pa.Schema) -> pa.Reco
 
 
 def _neighbours(percent: int):
-    """Neighbours within a list, of rows ordered by (v, n, node)."""
+    """Neighbours within a list that have different labels, of rows (v, n, node, label) in order."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         last = None
         for batch in batches:
-            v, n, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if last is not None:
-                v, n, node = (np.concatenate([[x], y]) for x, y in zip(last, (v, n, node), strict=True))
+                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows, strict=True)]
+            v, n, node, label = rows
             if len(v):
-                last = v[-1], n[-1], node[-1]
-                near = (v[1:] == v[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (node[1:] != node[:-1])
+                last = [x[-1] for x in rows]
+                near = (v[1:] == v[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (label[1:] != label[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(node[:-1][near]), pa.array(node[1:][near])], schema=schema)
 
     return run
@@ -136,36 +139,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     smallest id of the same set's documents (null if none), and kept holds if that is null too. Other columns are ignored.
     An empty table gives no rows.
     """
-    spark = docs.sparkSession
     need = least_shared(sketch, percent, miss)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(texts.mapInArrow(_sketches(width, sketch), "doc_id long, n long, s1 long, s2 long, sketch array<long>"))
     classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")))
-    nodes = stored(
-        sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "s1", "s2", "sketch").join(classes, ["node", "n", "s1", "s2"], "left_semi").dropDuplicates(["node", "s1", "s2"]).drop("s1", "s2")
-    )
+    firsts = sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "s1", "s2", "sketch").join(classes, ["node", "n", "s1", "s2"], "left_semi")
+    nodes = stored(firsts.dropDuplicates(["node", "s1", "s2"]).drop("s1", "s2"))
     listed = stored(_lists(nodes, percent, need))
-
-    wanted = listed.select("node").distinct()
-    full = stored(texts.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").mapInArrow(_full_sets(width), "node long, shingles array<long>"))
-
-    # One neighbour for each class: that with which it shares most lists.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = listed.select("v", "n", "node").repartitionByRange(parts, "v", "n", "node").sortWithinPartitions("v", "n", "node")
-    first = ordered.mapInArrow(_neighbours(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("lists"))
-    first = first.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
-    links = stored(_verified(first, nodes, full, percent, need, sketch))
-
-    # Members of one list that are still apart.
-    found = stored(components(links))
-    labelled = listed.join(found, "node", "left").select("v", "n", "node", F.coalesce("component", "node").alias("label"))
-    apart = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("v")
-    open_lists = stored(labelled.join(apart, "v", "left_semi"))
-    left, right = (open_lists.select("v", F.col("n").alias(f"n_{x}"), F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    rest = left.join(right, "v").where(f"label_a < label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
-    more = stored(_verified(rest, nodes, full, percent, need, sketch))
-
-    joined = stored(components(links.select("a", "b").union(more.select("a", "b"))))
+    full = texts.select(F.col("doc_id").alias("node"), "text").join(listed.select("node").distinct(), "node", "left_semi")
+    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
+    open_lists = stored(_possible_lists(listed, nodes, full, percent))
+
+    verified = lambda pairs: stored(_verified(pairs, nodes, full, percent, need, sketch))
+    links = verified(_with_hubs(open_lists, percent))
+    labelled = _apart(open_lists, links)
+    links = stored(links.union(verified(_with_neighbours(labelled, percent))))
+    labelled = _apart(open_lists, links)
+    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label"))) for x in "ab")
+    rest = left.join(right, "v").where((F.col("label_a") < F.col("label_b")) & _may_link(percent))
+    links = stored(links.union(verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())))
+
+    joined = stored(components(links))
     of_class = classes.join(joined, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     linked = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"])
     alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -173,15 +167,58 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _may_link(percent: int) -> Column:
+    """Whether two sets can reach the similarity, given their sizes and what only they hold."""
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _possible_lists(listed: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(v, node, n, own): own counts the shingles of the full set that no other listed class has; too many rule all links out."""
+    holders = full.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    own = holders.where("holders = 1").groupBy("node").agg(F.count("*").alias("own"))
+    about = nodes.select("node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return listed.join(about.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "node").select("v", "node", "n", "own")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each b the a with which it shares most lists."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
+
+
+def _with_hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with the member of its lists that has least of its own: among copies of a text, the text itself."""
+    hub = F.min_by(F.struct("node", "n", "own"), F.struct(F.col("own") / F.col("n"), "node")).alias("hub")
+    met = lists.join(lists.groupBy("v").agg(hub), "v")
+    sides = met.select(*(F.col(f"hub.{c}").alias(f"{c}_a") for c in ("node", "n", "own")), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own")))
+    return _best(sides.where((F.col("node_a") != F.col("node_b")) & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def _with_neighbours(labelled: DataFrame, percent: int) -> DataFrame:
+    """Each class with a neighbour of another component in lists ordered by set size; a list may span partitions."""
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["v", "n", "node", "label"]
+    ordered = labelled.select(columns).repartitionByRange(parts, *columns[:3]).sortWithinPartitions(*columns[:3])
+    return _best(ordered.mapInArrow(_neighbours(percent), "a long, b long"))
+
+
+def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists with members in different components, each member with its component as label."""
+    found = stored(components(links))
+    labelled = lists.join(found, "node", "left").select("v", "node", "n", "own", F.coalesce("component", "node").alias("label"))
+    apart = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("v")
+    return stored(labelled.join(apart, "v", "left_semi"))
+
+
 def _lists(nodes: DataFrame, percent: int, need: int) -> DataFrame:
-    """(v, n, node): each class under its rarest retained values; values of one class only have no list."""
-    postings = nodes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
-    counts = postings.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1")
-    shared = postings.join(counts, "v")
-    own = Window.partitionBy("node", "n")
-    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("lists", "v"))).withColumn("shared", F.count("*").over(own))
+    """(v, node): each class under its rarest retained values; values of one class only have no list."""
+    postings = nodes.select("node", F.explode("sketch").alias("v"))
+    shared = postings.join(postings.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1"), "v")
+    sizes = nodes.select("node", "n", F.size("sketch").alias("held"))
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("lists", "v"))).withColumn("shared", F.count("*").over(own)).join(sizes, "node")
     least = F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))
-    return ranked.where(F.col("rank") + F.col("held") - F.col("shared") <= F.col("held") - least + 1).select("v", "n", "node")
+    return ranked.where(F.col("rank") + F.col("held") - F.col("shared") <= F.col("held") - least + 1).select("v", "node")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, need: int, sketch: int) -> DataFrame:
