@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motifold.llm.decontamination import contamination_report
 from motifold.llm.hilbert_ann import nearest
 from motifold.llm.language_id import language_predictions
+from motifold.llm.lm_scoring import cross_entropy_difference
 from motifold.llm.near_dedup import near_duplicates
 from motifold.llm.pii_crf import personal_data
 from motifold.llm.tool_calls import formatted_conversations
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), targets)
+
+
 def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
