@@ -13,11 +13,16 @@ from motifold.llm.language_id import language_predictions
 from motifold.llm.lm_scoring import cross_entropy_difference
 from motifold.llm.near_dedup import near_duplicates
 from motifold.llm.pii_crf import personal_data
+from motifold.llm.sentencepiece_lattice import encoding_report, load_model
 from motifold.llm.tool_calls import formatted_conversations
 from motifold.llm.url_trust import judged_urls
 from motifold.llm.warc import archived_pages
 
 
+#: The model whose ids op3 and the pipeline give.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +36,10 @@ def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return encoding_report(_table(spark, sf_dir, "documents"), load_model(model_path))
+
+
 def op4_shifted_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 

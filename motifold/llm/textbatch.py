@@ -82,18 +82,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(piece: Piece, kind: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes of a kind within each row, with a 64-bit hash of each, ASCII lower-cased first."""
-    data, bounds = piece.data, piece.bounds
-    inside = kind[data]
-    begins, finishes = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    finishes[:-1] &= ~inside[1:]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
-    begins[inner] = inside[inner]
-    finishes[inner - 1] = inside[inner - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    rows = np.searchsorted(starts, bounds)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, ASCII lower-cased first if asked for. Spans are in order and don't overlap."""
     hashes = np.empty(len(starts), np.uint64)
     w = 0
     while w < len(starts):  # a very long text is hashed in stretches of whole words
@@ -106,7 +96,22 @@ def words(piece: Piece, kind: np.ndarray, lower: bool = True) -> Words:
         a, b = starts[w:last] - at, ends[w:last] - at
         hashes[w:last] = mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
         w = last
-    return Words(starts, ends, rows, hashes)
+    return hashes
+
+
+def words(piece: Piece, kind: np.ndarray, lower: bool = True) -> Words:
+    """Maximal runs of bytes of a kind within each row, with a 64-bit hash of each, ASCII lower-cased first."""
+    data, bounds = piece.data, piece.bounds
+    inside = kind[data]
+    begins, finishes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    finishes[:-1] &= ~inside[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    begins[inner] = inside[inner]
+    finishes[inner - 1] = inside[inner - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    rows = np.searchsorted(starts, bounds)
+    return Words(starts, ends, rows, span_hashes(data, starts, ends, lower))
 
 
 def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
