@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifold.llm.shared import stored
+from motifold.llm.shared import hashed_share, stored
 
 CURVES = 4
 DIRECTIONS = 8
@@ -150,7 +150,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURV
         return none
     size = sizes["size"]
     rows = rows.where(valid_vector(F.col("vector"), size) & F.col("vec_id").isNotNull())
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(100, min(SAMPLE_ROWS, SAMPLE_VALUES // size))).select("vector").collect()
+    most = max(100, min(SAMPLE_ROWS, SAMPLE_VALUES // size))
+    some = hashed_share(rows, "vec_id", 2 * most).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vector").collect()
     if len(some) < 2:
         return none
     model = fit_curves(np.array([x["vector"] for x in some]), curves, target, k)

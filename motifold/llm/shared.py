@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def hashed_share(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """All rows, or, of a larger table, about `rows` of them: those whose hashed keys are smallest. For fitting only.
+
+    Tasks filter by a fixed threshold, so what they hand on is bounded in total, however many they are.
+    """
+    count = df.count()
+    if count <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / count)))
