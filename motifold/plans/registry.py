@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from motifold.plans.oracles import ORACLES
+from motifold.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
