@@ -8,8 +8,8 @@ each class under its rarest `size - need + 1` retained values (the rest are the
 Lists are never expanded into all pairs. A class whose full set has too many shingles that no other listed class has
 cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, then
 against one neighbour of another component in lists that are range-partitioned by (value, set size, class). Links found so
-merge classes. Last, only members of one list that are still in different components meet, if their sizes and what only
-they hold allow the similarity. All candidates pass the union-sketch estimate, then the exact
+merge classes. Last, only members of one list that are still in different components meet, if their sizes, what only
+they hold, and counts of the rest by part of the hash range allow the similarity (a bound that loses no link). All candidates pass the union-sketch estimate, then the exact
 similarity of full sets decides.
 """
 
@@ -31,7 +31,10 @@ from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 SHINGLE_WORDS = 5
 SKETCH = 64
 MISS = 1e-9
+#: Parts of the hash range in which shingles of a class are counted; a power of 2.
+PARTS = 128
 
+_PART_SHIFT = 64 - (PARTS - 1).bit_length()
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -89,7 +92,7 @@ def _sketches(width: int, sketch: int):
 
 
 def _full_sets(width: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
@@ -107,7 +110,8 @@ def _full_sets(width: int):
 
 
 def _sets(nodes: pa.Array, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([nodes, ragged(np.concatenate(held), np.array([len(x) for x in held]), pa.int64())], schema=schema)
+    parts = np.concatenate([np.bincount((x >> _PART_SHIFT) + PARTS // 2, minlength=PARTS) for x in held])
+    return pa.RecordBatch.from_arrays([nodes, ragged(np.concatenate(held), np.array([len(x) for x in held]), pa.int64()), ragged(parts, np.full(len(held), PARTS), pa.int32())], schema=schema)
 
 
 def _neighbours(percent: int):
@@ -147,16 +151,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     nodes = stored(firsts.dropDuplicates(["node", "s1", "s2"]).drop("s1", "s2"))
     listed = stored(_lists(nodes, percent, need))
     full = texts.select(F.col("doc_id").alias("node"), "text").join(listed.select("node").distinct(), "node", "left_semi")
-    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
-    open_lists = stored(_possible_lists(listed, nodes, full, percent))
+    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>, parts array<int>"))
+    about = stored(_own_shares(nodes, full, percent))
+    open_lists = stored(listed.join(about.drop("common"), "node").select("v", "node", "n", "own"))
 
     verified = lambda pairs: stored(_verified(pairs, nodes, full, percent, need, sketch))
     links = verified(_with_hubs(open_lists, percent))
     labelled = _apart(open_lists, links)
     links = stored(links.union(verified(_with_neighbours(labelled, percent))))
-    labelled = _apart(open_lists, links)
-    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label"))) for x in "ab")
-    rest = left.join(right, "v").where((F.col("label_a") < F.col("label_b")) & _may_link(percent))
+    labelled = _apart(open_lists, links).join(about.select("node", "common"), "node")
+    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label", "common"))) for x in "ab")
+    rest = left.join(right, "v").where((F.col("label_a") < F.col("label_b")) & _may_link(percent) & _may_link_by_parts(percent))
     links = stored(links.union(verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())))
 
     joined = stored(components(links))
@@ -173,12 +178,22 @@ def _may_link(percent: int) -> Column:
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
-def _possible_lists(listed: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(v, node, n, own): own counts the shingles of the full set that no other listed class has; too many rule all links out."""
+def _may_link_by_parts(percent: int) -> Column:
+    """The same from what others hold too in each part of the hash range: of each part, they share at most the smaller count."""
+    most = F.aggregate(F.zip_with("common_a", "common_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _own_shares(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(node, n, own, common): own counts the shingles that no other listed class has, common the others, by part of the hash
+    range. Classes of which too many are their own to be linked at all are left out."""
     holders = full.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
-    own = holders.where("holders = 1").groupBy("node").agg(F.count("*").alias("own"))
-    about = nodes.select("node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    return listed.join(about.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "node").select("v", "node", "n", "own")
+    part = (F.shiftright("s", _PART_SHIFT) + PARTS // 2).cast("int")
+    own = holders.where("holders = 1").groupBy("node", part.alias("part")).agg(F.count("*").cast("int").alias("n"))
+    own = own.groupBy("node").agg(F.sum("n").alias("own"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("by_part"))
+    counted = nodes.select("node", "n").join(full.select("node", "parts"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    common = F.when(F.col("by_part").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.try_element_at("by_part", i), F.lit(0))))
+    return counted.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("node", "n", "own", common.cast("array<smallint>").alias("common"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
