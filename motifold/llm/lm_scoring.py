@@ -26,6 +26,8 @@ ORDER = 5
 PRIOR = 4.0
 #: n-grams in one broadcast table of 24 bytes each; more make several shards.
 TABLE_GRAMS = 2_000_000
+#: Target documents whose ids are broadcast to the counting tasks (about 20 MB); more are joined, which moves the texts.
+SENT_TARGETS = 1_000_000
 #: Distinct n-grams that a counting task holds before it hands its counts on.
 HELD_GRAMS = 1 << 21
 
@@ -175,6 +177,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = O
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    chosen = F.broadcast(chosen) if chosen.count() <= SENT_TARGETS else chosen
     losses = stored(gram_losses(stored(gram_counts(texts.join(chosen, "doc_id", "left"), order)), order, prior))
     by_byte = np.full((256, 2), math.log(256))
     for x in losses.where("size = 1").collect():
