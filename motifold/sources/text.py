@@ -73,28 +73,27 @@ def split_directory(spark: SparkSession, folder: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, chromosomes: list[str] | None = None) -> DataFrame:
     """(chrom, start, seq) a row for each line of a FASTA file, upper-cased, start counted from 0 within its record.
 
-    Records needn't fit a row: a line belongs to the last header before it in its file, found by byte order over a range
-    partitioning, with sums of each partition carried on. ValueError at once if none of the chromosomes is there.
+    Records needn't fit a row or a block: a line belongs to the last header before it in its file, and starts count on from
+    block to block. ValueError at once if none of the chromosomes is there.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    numbered = raw.withColumn("line", F.monotonically_increasing_id())
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     head = F.when(F.col("value").startswith(">"), F.split(F.substring("value", F.lit(2), F.length("value")), r"\s+")[0])
-    rows = numbered.select("file", "line", head.alias("head"), F.upper(stripped(F.col("value"))).alias("seq"))
-    # ids of one partition share their upper bits; what a partition begins with comes from those before it
-    rows = rows.withColumn("part", F.shiftright("line", 33))
-    ends = rows.groupBy("part").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line"))).alias("last"), F.max("file").alias("in_file"))
-    carried = ends.select(F.col("part"), F.last("last", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    own = Window.partitionBy("part").orderBy("line")
-    placed = rows.join(F.broadcast(carried), "part").withColumn("chrom", F.coalesce(F.last("head", True).over(own), "before"))
+    rows = raw.select("file", "block", F.monotonically_increasing_id().alias("line"), head.alias("head"), F.upper(stripped(F.col("value"))).alias("seq"))
+    # Lines of a block keep their order; what a block begins with comes from the blocks before it: a row for each block.
+    last = F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line"))).alias("last")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file", "block").agg(last).select("file", "block", F.last("last", True).over(earlier).alias("before"))
+    own = Window.partitionBy("file", "block").orderBy("line")
+    placed = rows.join(F.broadcast(carried), ["file", "block"]).withColumn("chrom", F.coalesce(F.last("head", True).over(own), "before"))
     body = placed.where("head is null and seq <> '' and chrom is not null")
     if chromosomes is not None:
         body = body.where(F.col("chrom").isin(chromosomes))
         if body.isEmpty():
             raise ValueError(f"none of {chromosomes} in {path}")
-    sums = body.groupBy("chrom", "part").agg(F.sum(F.length("seq")).alias("n"))
-    base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.coalesce(F.sum(F.length("seq")).over(Window.partitionBy("chrom", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return body.join(base, ["chrom", "part"]).select("chrom", (F.col("base") + inner).cast("long").alias("start"), "seq")
+    sums = body.groupBy("file", "chrom", "block").agg(F.sum(F.length("seq")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", "chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum(F.length("seq")).over(Window.partitionBy("file", "chrom", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return body.join(sums.withColumn("base", before).drop("n"), ["file", "chrom", "block"]).select("chrom", (F.col("base") + inner).cast("long").alias("start"), "seq")
 
 
 def file_profile(raw: DataFrame) -> DataFrame:
