@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.functions.flexibility import BASES, Feature, features, kmer_frame, words
+from motifold.functions.flexibility import BASES, SPECIALS, Feature, features, kmer_frame, token_flexibility, words
 from motifold.functions.sequences import kmers, one_hot, positional_words
 
 
@@ -19,22 +19,33 @@ def token_targets(seqs: DataFrame, k: int = 6, strict: bool = True) -> DataFrame
     Strict: a k-mer with another letter is an error. Lenient: its unknown words count as 0 in the means, its id is [UNK].
     The dictionary has 4 ** k rows and is broadcast.
     """
-    spark = seqs.sparkSession
-    joined = kmers(seqs, k).join(F.broadcast(kmer_frame(spark, k)), "kmer", "left")
-    if strict:
-        wrong = F.raise_error(F.concat(F.lit("unknown word in "), F.col("kmer")))
-        return joined.withColumn("token_id", F.when(F.col("token_id").isNull(), wrong).otherwise(F.col("token_id")))
-    lenient = F.array(*(word_mean(F.col("kmer"), f, k) for f in features()))
-    return joined.withColumns({"token_id": F.coalesce("token_id", F.lit(3)), "flex": F.coalesce("flex", lenient)})
-
-
-def word_mean(kmer: Column, feature: Feature, k: int) -> Column:
-    """Mean of a feature over the words of a k-mer, unknown words 0; 0 if k is less than a word."""
-    if k < feature.width:
-        return F.lit(0.0)
-    table = F.create_map(*(F.lit(x) for item in sorted(feature.values.items()) for x in item))
-    places = range(1, k - feature.width + 2)
-    return sum((F.coalesce(F.try_element_at(table, F.substring(kmer, i, feature.width)), F.lit(0.0)) for i in places), F.lit(0.0)) / len(places)
+    listed = kmers(seqs, k)
+    if not strict:
+        return _lenient_targets(listed, k)
+    joined = listed.join(F.broadcast(kmer_frame(seqs.sparkSession, k)), "kmer", "left")
+    wrong = F.raise_error(F.concat(F.lit("unknown word in "), F.col("kmer")))
+    return joined.withColumn("token_id", F.when(F.col("token_id").isNull(), wrong).otherwise(F.col("token_id")))
+
+
+def _lenient_targets(listed: DataFrame, k: int) -> DataFrame:
+    """Each distinct k-mer of a batch is worked out once; k-mers with other letters are too many for a dictionary."""
+    place = listed.columns.index("kmer")
+    known = {w: i + len(SPECIALS) for i, w in enumerate(words(k))}
+
+    def run(batches):
+        held: dict[str, list[float]] = {}
+        for batch in batches:
+            coded = batch.column(place).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            ids = pa.array([known.get(x, SPECIALS["[UNK]"]) for x in distinct], pa.int32())
+            if len(held) > 1 << 16:
+                held.clear()
+            held |= {x: [token_flexibility(x, f, strict=False) for f in features()] for x in distinct if x not in held}
+            flex = pa.array([held[x] for x in distinct], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids.take(coded.indices), flex.take(coded.indices)], names=[*batch.schema.names, "token_id", "flex"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields)
+    return listed.mapInArrow(run, f"{kinds}, token_id int, flex array<double>")
 
 
 def track(seqs: DataFrame, used: tuple[Feature, ...] | None = None) -> DataFrame:

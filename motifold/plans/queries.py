@@ -15,6 +15,8 @@ from motifold.streaming.running_stats import batch_moments, windowed_stats
 
 WINDOW = 36
 TOP = 20
+#: Added before rounding where exact halves are common, so that both engines round them alike.
+NUDGE = 1.3e-7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,16 +71,21 @@ def flex_lookup_profile(spark, sf_dir):
     return lookup_frame(spark).groupBy("feature").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def _wide(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "pos", "token_id", *((F.round(F.get("flex", F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate(feature_names())))
+def _told_targets(rows: DataFrame) -> DataFrame:
+    """Of each document its tokens, their ids added up, and each feature's mean, plain and weighted by place from 1."""
+    place = F.col("pos") + 1
+    values = [F.get("flex", F.lit(i)) for i in range(len(feature_names()))]
+    plain = [F.round(F.avg(v) + NUDGE, 4).alias(n) for n, v in zip(feature_names(), values, strict=True)]
+    weighted = [F.round(F.sum(v * place) / F.sum(place) + NUDGE, 4).alias(f"{n}_by_place") for n, v in zip(feature_names(), values, strict=True)]
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_id").cast("long").alias("ids"), *plain, *weighted)
 
 
 def flex_token_targets(spark, sf_dir):
-    return _wide(token_targets(sequences(spark, sf_dir)))
+    return _told_targets(token_targets(sequences(spark, sf_dir)))
 
 
 def flex_token_targets_lenient(spark, sf_dir):
-    return _wide(token_targets(sequences(spark, sf_dir, "ACGTN"), strict=False))
+    return _told_targets(token_targets(sequences(spark, sf_dir, "ACGTN"), strict=False))
 
 
 def flex_track_profile(spark, sf_dir):
