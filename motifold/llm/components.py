@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Every larger neighbour moves to the smallest node around.
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         # Every smaller neighbour moves to the smallest among them.
         joined = large.join(least, "b")

@@ -6,11 +6,11 @@ as pairs. A class keeps its `sketch` smallest hashes (one hash function). Two se
 each class under its rarest `size - need + 1` retained values (the rest are the values that many documents share).
 
 Lists are never expanded into all pairs. A class whose full set has too many shingles that no other listed class has
-cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, then
-against one neighbour of another component in lists that are range-partitioned by (value, set size, class). Links found so
-merge classes. Last, only members of one list that are still in different components meet, if their sizes, what only
-they hold, and counts of the rest by part of the hash range allow the similarity (a bound that loses no link). All candidates pass the union-sketch estimate, then the exact
-similarity of full sets decides.
+cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, and
+against one neighbour in lists that are range-partitioned by (value, set size, class). Links found so merge classes.
+Last, only members of one list that are still in different components meet, if their sizes, what only they hold, and
+counts of the rest by part of the hash range allow the similarity (a bound that loses no link). All candidates pass the
+union-sketch estimate, then the exact similarity of full sets decides.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 SHINGLE_WORDS = 5
 SKETCH = 64
 MISS = 1e-9
-#: Parts of the hash range in which shingles of a class are counted; a power of 2.
-PARTS = 128
+#: Parts of the hash range in which shingles of a class are counted, as bits of words: those with one at least, those with two.
+PARTS = 512
+_MASKS = [f"m{i}" for i in range(2 * PARTS // 64)]
 
 _PART_SHIFT = 64 - (PARTS - 1).bit_length()
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -92,7 +93,7 @@ def _sketches(width: int, sketch: int):
 
 
 def _full_sets(width: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -110,24 +111,39 @@ def _full_sets(width: int):
 
 
 def _sets(nodes: pa.Array, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    parts = np.concatenate([np.bincount((x >> _PART_SHIFT) + PARTS // 2, minlength=PARTS) for x in held])
-    return pa.RecordBatch.from_arrays([nodes, ragged(np.concatenate(held), np.array([len(x) for x in held]), pa.int64()), ragged(parts, np.full(len(held), PARTS), pa.int32())], schema=schema)
+    return pa.RecordBatch.from_arrays([nodes, ragged(np.concatenate(held), np.array([len(x) for x in held]), pa.int64())], schema=schema)
+
+
+def _masks(batches):
+    """(node, n, own, shingles, alone) to (node, n, own, masks of the shingles that aren't alone, those beyond two of a part)."""
+    names = ["node", "n", "own", *_MASKS, "beyond"]
+    for batch in batches:
+        masks, beyond = np.zeros((batch.num_rows, 2, PARTS), bool), np.zeros(batch.num_rows, np.int64)
+        for row in range(batch.num_rows):
+            own = batch.column(4)[row].values
+            every = batch.column(3)[row].values.to_numpy()
+            common = every if own is None else np.setdiff1d(every, own.to_numpy(), assume_unique=True)
+            counts = np.bincount((common >> _PART_SHIFT) + PARTS // 2, minlength=PARTS)
+            masks[row] = counts >= 1, counts >= 2
+            beyond[row] = np.maximum(counts - 2, 0).sum()
+        packed = np.packbits(masks.reshape(batch.num_rows, -1), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(_MASKS))), pa.array(beyond)], names=names)
 
 
 def _neighbours(percent: int):
-    """Neighbours within a list that have different labels, of rows (v, n, node, label) in order."""
+    """Neighbours within a list, of rows (v, n, node) in order."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         last = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if last is not None:
                 rows = [np.concatenate([[x], y]) for x, y in zip(last, rows, strict=True)]
-            v, n, node, label = rows
+            v, n, node = rows
             if len(v):
                 last = [x[-1] for x in rows]
-                near = (v[1:] == v[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (label[1:] != label[:-1])
+                near = (v[1:] == v[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (node[1:] != node[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(node[:-1][near]), pa.array(node[1:][near])], schema=schema)
 
     return run
@@ -151,16 +167,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     nodes = stored(firsts.dropDuplicates(["node", "s1", "s2"]).drop("s1", "s2"))
     listed = stored(_lists(nodes, percent, need))
     full = texts.select(F.col("doc_id").alias("node"), "text").join(listed.select("node").distinct(), "node", "left_semi")
-    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>, parts array<int>"))
+    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
     about = stored(_own_shares(nodes, full, percent))
-    open_lists = stored(listed.join(about.drop("common"), "node").select("v", "node", "n", "own"))
+    open_lists = stored(listed.join(about.select("node", "n", "own"), "node").select("v", "node", "n", "own"))
 
     verified = lambda pairs: stored(_verified(pairs, nodes, full, percent, need, sketch))
-    links = verified(_with_hubs(open_lists, percent))
-    labelled = _apart(open_lists, links)
-    links = stored(links.union(verified(_with_neighbours(labelled, percent))))
-    labelled = _apart(open_lists, links).join(about.select("node", "common"), "node")
-    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label", "common"))) for x in "ab")
+    links = verified(_with_hubs(open_lists, percent).union(_with_neighbours(open_lists, percent)).select("a", "b").distinct())
+    labelled = _apart(open_lists, links).join(about.drop("n", "own"), "node")
+    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label", "beyond", *_MASKS))) for x in "ab")
     rest = left.join(right, "v").where((F.col("label_a") < F.col("label_b")) & _may_link(percent) & _may_link_by_parts(percent))
     links = stored(links.union(verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())))
 
@@ -180,20 +194,21 @@ def _may_link(percent: int) -> Column:
 
 def _may_link_by_parts(percent: int) -> Column:
     """The same from what others hold too in each part of the hash range: of each part, they share at most the smaller count."""
-    most = F.aggregate(F.zip_with("common_a", "common_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    most = F.least("beyond_a", "beyond_b")
+    for m in _MASKS:
+        most = most + F.bit_count(F.col(f"{m}_a").bitwiseAND(F.col(f"{m}_b")))
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
 def _own_shares(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(node, n, own, common): own counts the shingles that no other listed class has, common the others, by part of the hash
-    range. Classes of which too many are their own to be linked at all are left out."""
+    """(node, n, own, masks, beyond): own counts the shingles that no other listed class has; the rest are counted by part of
+    the hash range. Classes of which too many are their own to be linked at all are left out."""
     holders = full.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
-    part = (F.shiftright("s", _PART_SHIFT) + PARTS // 2).cast("int")
-    own = holders.where("holders = 1").groupBy("node", part.alias("part")).agg(F.count("*").cast("int").alias("n"))
-    own = own.groupBy("node").agg(F.sum("n").alias("own"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("by_part"))
-    counted = nodes.select("node", "n").join(full.select("node", "parts"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    common = F.when(F.col("by_part").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.try_element_at("by_part", i), F.lit(0))))
-    return counted.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("node", "n", "own", common.cast("array<smallint>").alias("common"))
+    alone = holders.where("holders = 1").groupBy("node").agg(F.collect_list("s").alias("alone"))
+    counted = nodes.select("node", "n").join(full, "node").join(alone, "node", "left").withColumn("own", F.coalesce(F.size("alone"), F.lit(0)).cast("long"))
+    counted = counted.withColumn("own", F.greatest("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    masks = ", ".join(f"{m} long" for m in _MASKS)
+    return counted.select("node", "n", "own", "shingles", "alone").mapInArrow(_masks, f"node long, n long, own long, {masks}, beyond long")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -209,11 +224,11 @@ def _with_hubs(lists: DataFrame, percent: int) -> DataFrame:
     return _best(sides.where((F.col("node_a") != F.col("node_b")) & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
-def _with_neighbours(labelled: DataFrame, percent: int) -> DataFrame:
-    """Each class with a neighbour of another component in lists ordered by set size; a list may span partitions."""
-    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["v", "n", "node", "label"]
-    ordered = labelled.select(columns).repartitionByRange(parts, *columns[:3]).sortWithinPartitions(*columns[:3])
+def _with_neighbours(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with a neighbour in lists ordered by set size; a list may span partitions."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["v", "n", "node"]
+    ordered = lists.select(columns).repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
     return _best(ordered.mapInArrow(_neighbours(percent), "a long, b long"))
 
 
