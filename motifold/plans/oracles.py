@@ -39,7 +39,7 @@ O["kmer_vocab"] = (
 O["kmer_counts_topk"] = f"WITH {_SEQ}, {_TOK} SELECT kmer, count(*) AS n FROM tok GROUP BY kmer ORDER BY n DESC, kmer LIMIT 20"
 O["flex_lookup_profile"] = f"WITH {_LOOK} SELECT feature, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM look GROUP BY feature"
 _WIDE = ", ".join(f"max(CASE WHEN kf.i = {i} THEN kf.value END) AS {n}" for i, n in enumerate(feature_names()))
-_TOLD = ", ".join(f"round(avg(wide.{n}) + 1.3e-7, 4) AS {n}, round(sum(wide.{n} * (pos + 1)) / sum(pos + 1) + 1.3e-7, 4) AS {n}_by_place" for n in feature_names())
+_TOLD = ", ".join(f"round(avg(wide.{n}) + 1.3e-7, 4) + 0.0 AS {n}, round(sum(wide.{n} * (pos + 1)) / sum(pos + 1) + 1.3e-7, 4) + 0.0 AS {n}_by_place" for n in feature_names())
 for _name, _base in (("flex_token_targets", _SEQ), ("flex_token_targets_lenient", _SEQN)):
     O[_name] = f"WITH {_base}, {_TOK}, {_LOOK}, {_KMER}, wide AS (SELECT kmer, CAST({_CODE.replace('kmer', 'kf.kmer')} AS INTEGER) AS id, {_WIDE} FROM kf GROUP BY kmer) SELECT doc_id, count(*) AS n, CAST(sum(wide.id) AS BIGINT) AS ids, {_TOLD} FROM tok JOIN wide ON wide.kmer = tok.kmer GROUP BY doc_id"
 O["flex_track_profile"] = f"""WITH {_SEQ}, {_WIN}, {_LOOK},

@@ -75,8 +75,8 @@ def _told_targets(rows: DataFrame) -> DataFrame:
     """Of each document its tokens, their ids added up, and each feature's mean, plain and weighted by place from 1."""
     place = F.col("pos") + 1
     values = [F.get("flex", F.lit(i)) for i in range(len(feature_names()))]
-    plain = [F.round(F.avg(v) + NUDGE, 4).alias(n) for n, v in zip(feature_names(), values, strict=True)]
-    weighted = [F.round(F.sum(v * place) / F.sum(place) + NUDGE, 4).alias(f"{n}_by_place") for n, v in zip(feature_names(), values, strict=True)]
+    plain = [(F.round(F.avg(v) + NUDGE, 4) + 0.0).alias(n) for n, v in zip(feature_names(), values, strict=True)]
+    weighted = [(F.round(F.sum(v * place) / F.sum(place) + NUDGE, 4) + 0.0).alias(f"{n}_by_place") for n, v in zip(feature_names(), values, strict=True)]
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_id").cast("long").alias("ids"), *plain, *weighted)
 
 
