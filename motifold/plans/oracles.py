@@ -53,7 +53,7 @@ _STATS = (
 )
 O["flex_norm_stats"] = f"WITH {_SEQ}, {_TOK}, {_LOOK}, {_KMER}, {_STATS} SELECT feature, CAST(n AS BIGINT) AS n_tokens, round(mean, 6) AS mean, round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS std FROM st"
 _OWN = "own AS (SELECT doc_id, feature, avg(value) AS mean, stddev_pop(value) AS s, min(value) AS low, max(value) AS high FROM tok JOIN kf ON kf.kmer = tok.kmer GROUP BY ALL)"
-O["flex_normalized_global"] = f"WITH {_SEQ}, {_TOK}, {_LOOK}, {_KMER}, {_STATS}, {_OWN} SELECT doc_id, own.feature, round((own.mean - st.mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS z FROM own JOIN st ON st.feature = own.feature"
+O["flex_normalized_global"] = f"WITH {_SEQ}, {_TOK}, {_LOOK}, {_KMER}, {_STATS}, {_OWN} SELECT doc_id, own.feature, round((own.mean - st.mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) + 0.0 AS z FROM own JOIN st ON st.feature = own.feature"
 O["flex_zscore_per_seq"] = f"WITH {_SEQ}, {_TOK}, {_LOOK}, {_KMER}, {_OWN} SELECT doc_id, feature, round((low - mean) / CASE WHEN round(s, 9) = 0 THEN 1 ELSE s END, 5) + 0.0 AS z_low, round((high - mean) / CASE WHEN round(s, 9) = 0 THEN 1 ELSE s END, 5) + 0.0 AS z_high FROM own"
 O["onehot_profile"] = f"WITH {_SEQN}, {_TOK}, p AS (SELECT unnest(range(0, 24)) AS place) SELECT CAST(place AS INTEGER) AS place, count(*) AS n, count(*) FILTER (substr(kmer, place // 4 + 1, 1) = substr('ACGT', place % 4 + 1, 1)) AS hits FROM tok, p GROUP BY place"
 for _n in (1, 2, 3):
@@ -99,8 +99,8 @@ O["masked_pool"] = """WITH e AS (SELECT label, vec_id % 3 AS mask, unnest(range(
 SELECT label, CAST(place AS INTEGER) AS place, round(coalesce(sum(v) FILTER (mask <> 0), 0) / greatest(count(v) FILTER (mask <> 0), 1), 6) AS mean, round(coalesce(max(v) FILTER (mask <> 0), -1e9), 6) AS max FROM e GROUP BY 1, 2"""
 _SCALED = f"""WITH e AS (SELECT vec_id, unnest(range(0, 65)) AS place, CAST(unnest(list_prepend(1.0, embedding)) AS DOUBLE) AS v FROM embeddings),
 m AS (SELECT place, avg(v) AS mean, stddev_pop(v) AS s FROM e WHERE {_unit(42, "vec_id")} < 0.8 GROUP BY place)"""
-O["standardize_train_apply"] = f"{_SCALED} SELECT vec_id, CAST(e.place AS INTEGER) AS place, round((v - mean) / CASE WHEN s < 1e-8 THEN 1 ELSE s END, 5) AS value FROM e JOIN m ON m.place = e.place"
-O["standardize_drop_zero_var"] = f"{_SCALED} SELECT vec_id, CAST(e.place - 1 AS INTEGER) AS place, round((v - mean) / s, 5) AS value FROM e JOIN m ON m.place = e.place WHERE s > 1e-8"
+O["standardize_train_apply"] = f"{_SCALED} SELECT vec_id, CAST(e.place AS INTEGER) AS place, round((v - mean) / CASE WHEN s < 1e-8 THEN 1 ELSE s END, 5) + 0.0 AS value FROM e JOIN m ON m.place = e.place"
+O["standardize_drop_zero_var"] = f"{_SCALED} SELECT vec_id, CAST(e.place - 1 AS INTEGER) AS place, round((v - mean) / s, 5) + 0.0 AS value FROM e JOIN m ON m.place = e.place WHERE s > 1e-8"
 _PRED = "x AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)"
 O["metrics_by_group"] = f"""WITH {_PRED}, a AS (SELECT l_returnflag, count(*) AS n, sum(pow(y - p, 2)) AS sse, sum(pow(y - my, 2)) AS sst, avg(pow(y - p, 2)) AS mse, covar_pop(y, p) AS c, stddev_pop(y) * stddev_pop(p) AS s
   FROM (SELECT *, avg(y) OVER (PARTITION BY l_returnflag) AS my FROM x) GROUP BY 1)

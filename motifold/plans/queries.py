@@ -105,7 +105,7 @@ def _token_values(spark, sf_dir):
 def flex_normalized_global(spark, sf_dir):
     stats = normalization.flexibility_stats(sequences(spark, sf_dir)).select("feature", "mean", "std")
     rows = _token_values(spark, sf_dir).groupBy("doc_id", "feature").agg(F.avg("value").alias("own"))
-    return rows.join(F.broadcast(stats), "feature").select("doc_id", "feature", F.round((F.col("own") - F.col("mean")) / F.col("std"), 6).alias("z"))
+    return rows.join(F.broadcast(stats), "feature").select("doc_id", "feature", (F.round((F.col("own") - F.col("mean")) / F.col("std"), 6) + 0.0).alias("z"))
 
 
 def flex_zscore_per_seq(spark, sf_dir):
@@ -194,7 +194,7 @@ def _scaled(drop):
         rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array(F.lit(1.0)), F.col("embedding").cast("array<double>")).alias("x"))
         train = unit(42, "vec_id") < 0.8
         out = normalization.standardized(rows, "x", train, first=0, drop=drop)
-        return out.select("vec_id", F.posexplode("x").alias("place", "value")).select("vec_id", "place", F.round("value", 5).alias("value"))
+        return out.select("vec_id", F.posexplode("x").alias("place", "value")).select("vec_id", "place", (F.round("value", 5) + 0.0).alias("value"))
 
     return run
 
