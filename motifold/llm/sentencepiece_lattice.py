@@ -25,11 +25,12 @@ from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes
 
 SPACE = "▁"
 #: Bytes of text that a task cuts into words at once.
-PIECE_BYTES = 2 << 20
-#: Distinct words that a worker keeps, and pieces of them; beyond, it starts anew.
-KEPT_WORDS = 1_500_000
+PIECE_BYTES = 1 << 20
+#: Distinct words, and pairs of pieces, that a worker keeps; beyond, it starts anew.
+KEPT_WORDS = 400_000
+KEPT_PAIRS = 1_000_000
 #: Characters of new words that are indexed at once.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 WIDEST = 16
 
 
@@ -150,9 +151,10 @@ class Encoder:
     def stay_apart(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of two pieces gives the two; a character of no piece never merges."""
         wanted = before * self.size + after
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
         for _ in range(2):
-            at = np.searchsorted(self.pairs, wanted)
-            at[at == len(self.pairs)] = 0
+            at = np.minimum(np.searchsorted(self.pairs, wanted), max(0, len(self.pairs) - 1))
             missing = wanted[self.pairs[at] != wanted] if len(self.pairs) else wanted
             if not len(missing):
                 break
