@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifold.llm.shared import in_small_batches
 from motifold.llm.textbatch import WORDY, Piece, pieces, ragged, text_buffer, words
 
 WINDOW = 10
@@ -211,7 +212,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     of at least a window. Null and wordless texts have no words; items that are null or wordless have no windows; a null
     item_id counts as an empty one. An empty benchmark hits nothing. Other columns are ignored.
     """
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
     for automaton in _automata(benchmark, window, block_words):
         names = ["doc_id", "text", "hits", "items", "n_words", "longest"]
@@ -280,7 +281,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     All columns stay, n_chars (if there is one) is counted anew for all rows. Clean rows, null and empty texts included,
     are unchanged. A cut can bring words together that make a window; cutting repeats until none is left.
     """
-    out = docs
+    out = in_small_batches(docs)
     for automaton in _automata(benchmark, window, block_words):
         out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(automaton)), docs.schema)
     if "n_chars" in docs.columns:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import stored
+from motifold.llm.shared import in_small_batches, stored
 from motifold.llm.textbatch import Piece, pieces
 
 ORDER = 5
@@ -175,7 +175,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = O
     rows that repeat a doc_id are told apart by their length only: they share one row of means if it is equal.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     chosen = F.broadcast(chosen) if chosen.count() <= SENT_TARGETS else chosen
     losses = stored(gram_losses(stored(gram_counts(texts.join(chosen, "doc_id", "left"), order)), order, prior))

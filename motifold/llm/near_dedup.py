@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifold.llm.components import components
-from motifold.llm.shared import stored
+from motifold.llm.shared import in_small_batches, stored
 from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 
 SHINGLE_WORDS = 5
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     An empty table gives no rows.
     """
     need = least_shared(sketch, percent, miss)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(texts.mapInArrow(_sketches(width, sketch), "doc_id long, n long, s1 long, s2 long, sketch array<long>"))
     classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")))
     firsts = sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "s1", "s2", "sketch").join(classes, ["node", "n", "s1", "s2"], "left_semi")

@@ -44,3 +44,16 @@ def hashed_share(df: DataFrame, key: str, rows: int) -> DataFrame:
     if count <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / count)))
+
+
+#: Rows of the Arrow batches between Spark and its Python workers.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to a size that texts don't burst; a value that a user lowered further stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import shared_folder
+from motifold.llm.shared import in_small_batches, shared_folder
 
 #: Fixed values of the two formats.
 ARC_FIELDS = {
@@ -189,7 +189,7 @@ def write_warc(arcs: DataFrame, path: str, records_per_file: int) -> None:
 
     The n-th further record of one ARC file has the key `key/n`.
     """
-    records = arcs.select("key", "refers_to", "content").mapInArrow(_convert, "record binary")
+    records = in_small_batches(arcs).select("key", "refers_to", "content").mapInArrow(_convert, "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END)
     writer.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
