@@ -4,7 +4,7 @@ Both are interpolated byte n-gram models of the same order, smoothing and vocabu
 out of vocabulary in either, whatever the script). Counts are taken over all documents: tasks hand on sums of distinct
 n-grams, which are combined before the shuffle. Per n-gram, both losses are worked out once, in joins over distinct
 n-grams; each task then looks its documents' n-grams up. Tables beyond `TABLE_GRAMS` n-grams are broadcast in shards, one
-pass over the documents for each, and the sums of the passes are added up by document.
+pass over the documents for each. For that, rows are stored once with a number, by which the sums of the passes are added up.
 """
 
 from __future__ import annotations
@@ -154,13 +154,13 @@ def _score(shared, order: int):
         table = shared.value
         for batch in batches:
             counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2))
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(2)):
                 lengths = np.diff(piece.bounds)
                 rows = np.flatnonzero(lengths)
                 counts[piece.first : piece.first + len(lengths)] = lengths
                 if len(rows):
                     sums[piece.first + rows] = np.add.reduceat(table.look_up(piece_grams(piece, order)), piece.bounds[rows], axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["doc_id", "n_tokens", "background", "target"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["row", "doc_id", "n_tokens", "background", "target"])
 
     return run
 
@@ -171,8 +171,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = O
     targets has the doc_ids of the target's documents (repeats count once; ids without a document are ignored); the
     background is all of docs. Losses are means over a document's bytes, in nats; score is loss_target less
     loss_background: the lower, the more like the target. Null and empty texts have 0 tokens and null losses. An n-gram
-    that no document has takes its last byte's losses. Without targets, the target's model is uniform. In several shards,
-    rows that repeat a doc_id are told apart by their length only: they share one row of means if it is equal.
+    that no document has takes its last byte's losses. Without targets, the target's model is uniform. Rows with a null or
+    repeated doc_id keep a row each, with the losses of their own text, in one shard or many.
     """
     spark = docs.sparkSession
     texts = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -185,14 +185,16 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = O
     grams = losses.where(F.col("size") == order).select("gram", "loss_background", "loss_target")
     shards = max(1, math.ceil(grams.count() / table_grams))
     kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = stored(rows) if shards > 1 else rows  # each pass must see the same numbers
     passes = []
     for shard in range(shards):
         some = grams.where(F.pmod("gram", F.lit(shards)) == shard).toArrow()
         columns = [some.column(i).to_numpy() for i in range(3)]
         table = spark.sparkContext.broadcast(LossTable.of(columns[0].astype(np.int64), np.stack(columns[1:], 1), by_byte, shard, shards))
-        passes.append(texts.mapInArrow(_score(table, order), f"doc_id {kind}, n_tokens long, background double, target double"))
+        passes.append(rows.mapInArrow(_score(table, order), f"row long, doc_id {kind}, n_tokens long, background double, target double"))
     sums = passes[0]
     if shards > 1:
-        sums = reduce(DataFrame.union, passes).groupBy("doc_id", "n_tokens").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        sums = reduce(DataFrame.union, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sum("background").alias("background"), F.sum("target").alias("target"))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens"))
     return sums.select("doc_id", "n_tokens", mean("target").alias("loss_target"), mean("background").alias("loss_background"), (mean("target") - mean("background")).alias("score"))

@@ -107,6 +107,22 @@ def test_cross_entropy_difference(spark, shard):
             assert found[i].n_tokens == 0 and found[i].score is None
 
 
+@pytest.mark.parametrize("shard", [lm.TABLE_GRAMS, 300])
+def test_cross_entropy_null_and_repeated_ids(spark, shard):
+    texts = [prose(i, 20, 30) for i in range(12)]
+    texts = [*texts, texts[4], texts[4], texts[5][::-1], texts[6], texts[7], texts[7][::-1], "", None]
+    ids = [*range(12), 4, 4, 5, *[None] * 5]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(1,), (4,)], "doc_id long")
+    found = lm.cross_entropy_difference(docs, targets, table_grams=shard).collect()
+    losses = brute_losses(texts, {i for i, x in enumerate(ids) if x in (1, 4)})
+    order = lambda x: (-1 if x[0] is None else x[0], *x[1:])
+    wanted = sorted(((i, len((x or "").encode()), *((t, b) if x else (-1, -1))) for i, x, (b, t) in zip(ids, texts, losses, strict=True)), key=order)
+    got = sorted(((r.doc_id, r.n_tokens, *((r.loss_target, r.loss_background) if r.n_tokens else (-1, -1))) for r in found), key=order)
+    assert len(got) == len(wanted) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9) for a, b in zip(got, wanted, strict=True))
+    assert all((r.score is None) == (r.n_tokens == 0) for r in found)
+
+
 def test_cross_entropy_odd(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lm.cross_entropy_difference(odd_table(spark), none).count() == 8
