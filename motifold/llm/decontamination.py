@@ -4,7 +4,8 @@ Items are lower-cased (A-Z) and cut into words; their word sequences make one au
 words of its documents, tracking the longest suffix that occurs in an item. A word that occurs in no item sends the walk
 back to its root, so only runs of known words of at least the shortest window are walked one by one; finding those runs
 is array work over whole batches. Documents never move: there is no shuffle. Items beyond `BLOCK_WORDS` words are dealt
-into several automata, each with a walk of its own, so what is broadcast stays bounded.
+into several automata, each with a walk of its own, so what is broadcast stays bounded. A text is judged and cut by the
+hits of all of them together.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from motifold.llm.shared import in_small_batches
-from motifold.llm.textbatch import WORDY, Piece, pieces, ragged, text_buffer, words
+from motifold.llm.shared import in_small_batches, stored
+from motifold.llm.textbatch import WORDY, Piece, Words, pieces, ragged, text_buffer, words
 
 WINDOW = 10
 #: Words of items in one automaton, which takes a few hundred bytes for each.
@@ -249,11 +252,16 @@ def clean_text(text: str, automaton: ItemAutomaton) -> tuple[str, float]:
             share = sum(b - a for a, b in spans) / max(1, len(found.starts))
         if not spans:
             return text, share
-        raw, kept, at = text.encode(), [], 0
-        for a, b in spans:
-            kept.append(raw[at : found.starts[a]])
-            at = int(found.ends[b - 1])
-        text = b" ".join([*kept, raw[at:]]).decode()
+        text = _without(data, found, spans)
+
+
+def _without(data: np.ndarray, found: Words, spans: list[tuple[int, int]]) -> str:
+    """The text of data, whose words are found, without merged spans of words."""
+    raw, kept, at = data.tobytes(), [], 0
+    for a, b in spans:
+        kept.append(raw[at : found.starts[a]])
+        at = int(found.ends[b - 1])
+    return b" ".join([*kept, raw[at:]]).decode()
 
 
 def _clean(shared):
@@ -275,15 +283,53 @@ def _clean(shared):
     return run
 
 
+def _cut(first: bool):
+    """(row, text, hits, ...) to (row, text, changed), the text without its hits; at first, without rows that are mostly hits."""
+
+    def run(batches):
+        for batch in batches:
+            table = dict(zip(batch.schema.names, batch.columns, strict=True))
+            texts, keep, changed = table["text"].to_pylist(), [], []
+            for i, (flat, n) in enumerate(zip(table["hits"].to_pylist(), table["n_words"].to_pylist(), strict=True)):
+                spans = [*zip(flat[::2], flat[1::2], strict=True)]
+                keep.append(not first or sum(b - a for a, b in spans) / max(1, n) <= MOST_COVERAGE)
+                changed.append(bool(spans))
+                if spans and keep[-1]:
+                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    texts[i] = _without(data, words(Piece(0, data, np.array([0, len(data)])), WORDY), spans)
+            made = [table["row"], pa.array(texts, pa.string()), pa.array(changed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "text", "changed"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _cut_by_all(docs: DataFrame, automata: list) -> DataFrame:
+    """docs cut by several automata: each round finds the hits of all, cuts them, and goes on with the rows it changed."""
+    row, text = T.StructField("row", docs.schema), T.StructField("text", T.StringType())
+    names = ["row", "text", "hits", "items", "n_words", "longest"]
+    scanned = T.StructType([row, text, *T.StructType.fromDDL(_FOUND).fields])
+    left, done = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), []
+    while not done or left.take(1):
+        found = left
+        for shared in automata:
+            found = found.mapInArrow(_scan(shared, names), scanned)
+        step = stored(found.mapInArrow(_cut(not done), T.StructType([row, text, T.StructField("changed", T.BooleanType())])))
+        done.append(step.where("not changed"))
+        left = step.where("changed").select("row", "text")
+    out = reduce(DataFrame.union, done)
+    return out.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with every hit span cut out of text; documents with more than MOST_COVERAGE of their words hit go as a whole.
 
     All columns stay, n_chars (if there is one) is counted anew for all rows. Clean rows, null and empty texts included,
-    are unchanged. A cut can bring words together that make a window; cutting repeats until none is left.
+    are unchanged. A cut can bring words together that make a window; cutting repeats until none is left. All items count
+    together, in one automaton or several, which are scanned in turn and whose rounds are stored.
     """
     out = in_small_batches(docs)
-    for automaton in _automata(benchmark, window, block_words):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(automaton)), docs.schema)
+    automata = [docs.sparkSession.sparkContext.broadcast(x) for x in _automata(benchmark, window, block_words)]
+    out = out.mapInArrow(_clean(automata[0]), docs.schema) if len(automata) == 1 else _cut_by_all(out, automata)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(docs.columns)

@@ -346,6 +346,21 @@ def test_cutting(spark):
     assert not any(r.contaminated for r in deco.contamination_report(spark.createDataFrame(list(found.values()), docs.schema), benchmark).collect())
 
 
+def test_cutting_by_several_automata(spark):
+    items = [prose(300 + i, 30, 10_000) for i in range(8)]
+    pairs = [(a, b) for a in range(8) for b in range(8) if a != b]
+    mostly = [f"{items[a]} {items[b]} {prose(400 + 10 * a + b, 40, 10_000)}" for a, b in pairs]  # 0.3 and 0.3 hit
+    within = lambda a, b: " ".join([*items[a].split()[:5], items[b], *items[a].split()[5:10]])
+    texts = mostly + [f"{within(a, b)} {prose(500 + 10 * a + b, 100, 10_000)}" for a, b in pairs] + [None, "", "clean"]
+    docs = table(spark, texts).withColumn("hits", F.lit("own"))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.doc_id: r for r in deco.decontaminated(docs, benchmark, block_words=40).collect()}
+    assert sorted(found) == [*range(len(pairs), len(texts))]
+    assert all(plain_words(found[len(pairs) + i].text) == prose(500 + 10 * a + b, 100, 10_000).split() for i, (a, b) in enumerate(pairs))
+    whole = {r.doc_id: r for r in deco.decontaminated(docs, benchmark).collect()}
+    assert found == whole
+
+
 def test_contamination_odd(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert deco.contamination_report(odd_table(spark), none).where("n_hit = 0").count() == 8
