@@ -2,7 +2,7 @@
 
 Hosts allowed by rules are trusted seeds of a personalised PageRank along links; hosts blocked by rules are seeds of one
 against the links, so that hosts which link to them, directly or not, are distrusted. A host is blocked if its distrust
-exceeds its trust. Links between hosts are those in html, and optionally those between a host and its parent domain.
+exceeds its trust, relatively: ranks shrink as hosts grow in number. Links between hosts are those in html, and optionally those between a host and its parent domain.
 All is joins and sums over distinct host pairs; the ranks are cut by a checkpoint every few rounds.
 """
 
@@ -33,6 +33,8 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 20
 ROUNDS_PER_CUT = 5
+#: Distrust counts as larger from this share of trust on; the sums' rounding is well below it.
+MARGIN = 1e-9
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -97,16 +99,16 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
 def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, domains: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, host, path, rule (or null), verdict (allow or block).
 
-    Without a rule, the host's verdict counts: block if distrust exceeds trust (in units of 1e-12), else allow; a host
-    that no seed reaches is allowed, and so is an empty one. A null url, or one without `://`, has an empty host and path;
-    a null html has no links. Repeated rows get equal verdicts.
+    Without a rule, the host's verdict counts: block if distrust exceeds trust by more than MARGIN of it, however small
+    both are, else allow; a host that no seed reaches is allowed, and so is an empty one. A null url, or one without
+    `://`, has an empty host and path; a null html has no links. Repeated rows get equal verdicts.
     """
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
     parts = parts.withColumn("match", matching_rule(F.col("host"), F.col("path"), rules))
     says = lambda verdict: F.coalesce(F.max(F.col("match.verdict") == verdict), F.lit(False))
     seeds = parts.where("host <> ''").groupBy("host").agg(says("allow").alias("trusted"), says("block").alias("blocked"))
     ranks = spread(cut(host_links(parts, domains)), seeds, rounds)
-    bad = ranks.where(F.round(F.col("distrust") - F.col("trust"), 12) > 0).select("host", F.lit(True).alias("bad"))
+    bad = ranks.where(F.col("distrust") > F.col("trust") * (1 + MARGIN)).select("host", F.lit(True).alias("bad"))
     by_host = F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))
     told = parts.select("page_id", "host", "path", "match").join(cut(bad), "host", "left")
     return told.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", by_host).alias("verdict"))

@@ -500,6 +500,19 @@ def test_url_verdicts(spark):
     assert url_trust.judged_urls(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_of_small_ranks(spark):
+    # Twelve hops from a seed, each to a host among ten: ranks around 1e-13.
+    link = lambda host: f'<a href="http://{host}/">'
+    to_bad = [(f"side{i}x{k}.net" if k else f"h{i}.net", "bad.example.org" if i == 1 else f"h{i - 1}.net") for i in range(1, 13) for k in range(10)]
+    from_good = [("good.org" if i == 1 else f"g{i - 1}.net", f"fork{i}x{k}.net" if k else f"g{i}.net") for i in range(1, 13) for k in range(10)]
+    seeds = [("http://bad.example.org/es/", ""), ("http://good.org/", "")]
+    rows = seeds + [(f"http://{a}/", link(b)) for a, b in to_bad] + [(f"http://{a}/", link(b)) for a, b in from_good] + [("http://g12.net/", ""), ("http://far.net/", "")]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.host: r.verdict for r in url_trust.judged_urls(pages, domains=False).collect() if r.rule is None}
+    blocked = {a for a, _ in to_bad}
+    assert blocked == {host for host, verdict in found.items() if verdict == "block"} and found["g12.net"] == found["far.net"] == "allow"
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
