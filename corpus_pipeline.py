@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from motifold.llm.decontamination import decontaminated
 from motifold.llm.language_id import UNKNOWN, identified, learn
-from motifold.llm.near_dedup import near_duplicates
+from motifold.llm.near_dedup import near_duplicate_heads, row_key
 from motifold.llm.pii_crf import learned_field, redact
 from motifold.llm.queries import MODEL_PATH
 from motifold.llm.sentencepiece_lattice import encoded, load_model
@@ -29,11 +29,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; of rows that repeat it, one."""
-    told = near_duplicates(docs)
-    kept = told.where("kept").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return rows.union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: that of the smallest doc_id, nulls last, then by a hash of its text;
+    of rows that repeat both, one. Texts without a word are no duplicates; only those that repeat an id go."""
+    told = near_duplicate_heads(docs)
+    kept = told.where("key = head.key").select(F.col("key").alias("_row_key")).distinct()
+    free = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(~free).withColumn("_row_key", row_key()).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return rows.select(docs.columns).union(docs.where(free))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

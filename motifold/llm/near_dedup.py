@@ -73,7 +73,7 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE_WORDS) -> Iterator[np.nd
 
 
 def _sketches(width: int, sketch: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -87,7 +87,7 @@ def _sketches(width: int, sketch: int):
             lengths = np.array([len(x) for x in kept], np.int64)
             values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             numbers = [np.array(x, np.uint64).view(np.int64) for x in (ones, twos)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers), ragged(values, lengths, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers), ragged(values, lengths, pa.int64())], schema=schema)
 
     return run
 
@@ -149,24 +149,37 @@ def _neighbours(percent: int):
     return run
 
 
+def row_key() -> Column:
+    """What tells rows (doc_id, text) apart: equal for equal rows only. A null text counts as empty."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WORDS, sketch: int = SKETCH, miss: float = MISS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z), cut at white space into words, and become sets of `width`-word shingles; fewer words
     make one shingle; none (null, empty, blank) make an empty set that is linked with nothing, itself included. Documents
     are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id reachable; kept says that
-    this is the row's own. Repeated rows share a component. Rows with a null doc_id keep a row; their component is the
-    smallest id of the same set's documents (null if none), and kept holds if that is null too. Other columns are ignored.
-    An empty table gives no rows.
+    this is the row's own. Links are between texts: rows that repeat a doc_id share a component only if their texts do.
+    Rows with a null doc_id are linked like others; a component of such rows alone has a null id, and kept holds for all of
+    them. Other columns are ignored. An empty table gives no rows.
     """
+    rows = near_duplicate_heads(docs, percent, width, sketch, miss)
+    return rows.select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("head.doc_id")).alias("kept"))
+
+
+def near_duplicate_heads(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WORDS, sketch: int = SKETCH, miss: float = MISS) -> DataFrame:
+    """Per row of docs: doc_id, key (row_key), n_shingles, head; head (unnamed, doc_id, key) is the first row of the
+    component by doc_id, nulls last, then by key."""
     need = least_shared(sketch, percent, miss)
-    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(texts.mapInArrow(_sketches(width, sketch), "doc_id long, n long, s1 long, s2 long, sketch array<long>"))
-    classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")))
-    firsts = sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "s1", "s2", "sketch").join(classes, ["node", "n", "s1", "s2"], "left_semi")
-    nodes = stored(firsts.dropDuplicates(["node", "s1", "s2"]).drop("s1", "s2"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    sets = stored(texts.mapInArrow(_sketches(width, sketch), "doc_id long, key binary, n long, s1 long, s2 long, sketch array<long>"))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(own).alias("lead")).withColumn("node", F.monotonically_increasing_id()))
+    keys = classes.select("node", F.col("lead.key").alias("key"))
+    nodes = stored(sets.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).join(keys, "key").select("node", "n", "sketch"))
     listed = stored(_lists(nodes, percent, need))
-    full = texts.select(F.col("doc_id").alias("node"), "text").join(listed.select("node").distinct(), "node", "left_semi")
+    full = texts.select("key", "text").dropDuplicates(["key"]).join(keys.join(listed.select("node").distinct(), "node"), "key").select("node", "text")
     full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
     about = stored(_own_shares(nodes, full, percent))
     open_lists = stored(listed.join(about.select("node", "n", "own"), "node").select("v", "node", "n", "own"))
@@ -179,11 +192,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE_WOR
     links = stored(links.union(verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())))
 
     joined = stored(components(links))
-    of_class = classes.join(joined, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    linked = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"])
-    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    rows = linked.select("doc_id", "n", "component_id").union(alone)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    heads = joined.join(classes, "node").groupBy("component").agg(F.min("lead").alias("head"))
+    headed = stored(joined.join(heads, "component").select("node", "head"))
+    of_class = classes.join(headed, "node", "left").select("n", "s1", "s2", F.coalesce("head", "lead").alias("head"))
+    linked = sets.where("n > 0").select("doc_id", "key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"])
+    alone = sets.where("n = 0").select("doc_id", "key", "n", own.alias("head"))
+    return linked.select("doc_id", "key", "n", "head").union(alone).withColumnRenamed("n", "n_shingles")
 
 
 def _may_link(percent: int) -> Column:

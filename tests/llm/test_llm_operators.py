@@ -455,6 +455,20 @@ def test_near_duplicates_odd(spark):
     assert near.near_duplicates(empty_table(spark)).count() == 0
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(600 + i, 60, 10_000) for i in range(4))
+    rows = [(5, a), (5, b), (3, b), (5, a), (None, c), (None, c), (None, c + " z"), (None, a), (None, ""), (None, ""), (7, d), (7, d + " z"), (9, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    found = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    kept_c, kept_d = [x for x in found if x[1] in (c, c + " z")], [x for x in found if x[0] == 7]
+    assert len(kept_c) == len(kept_d) == 1
+    assert found == Counter([(5, a), (3, b), (None, ""), (None, ""), (9, ""), (8, None), *kept_c, *kept_d])
+    told = Counter((r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(docs).collect())
+    assert told == Counter([(5, 5, True), (5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False), *[(None, None, True)] * 5, *[(7, 7, True)] * 2, (9, 9, True), (8, 8, True)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
