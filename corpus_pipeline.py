@@ -21,8 +21,8 @@ from motifold.llm.shared import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: profiles are learned from all labelled rows; texts without a letter, or with
-    no n-gram of any profile, go. lang is the predicted language."""
+    """Documents whose text has a language: profiles are learned from all labelled rows; texts without a letter go.
+    lang is the predicted language, however low its score."""
     found = identified(docs.drop("lang_pred", "score"), learn(docs))
     kept = found.where(F.col("lang_pred") != UNKNOWN)
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)

@@ -120,7 +120,8 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
 def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """docs with two more columns, lang_pred and score (0 to 1), from text alone.
 
-    `und` and 0 where text is null, has no letter, or shares no n-gram with any profile.
+    `und` and 0 where text is null or has no letter, or without profiles. A text that shares no n-gram with any profile has
+    the first language by name, with score 0.
     """
     shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(profiles)
 
@@ -128,8 +129,7 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
         known = shared.value
         for batch in batches:
             found = [known.nearest(x.as_py()) for x in batch.column("text")]
-            names = [x if y > 0 else UNKNOWN for x, y in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -160,6 +160,13 @@ def test_language_grams_by_hand():
     assert sorted(counts) == sorted(plain.values()) and len(keys) == len(plain)
 
 
+def test_language_of_foreign_letters(spark):
+    langs = ["en", "fr", "ru"] * 20
+    profiles = lid.learn(table(spark, [made_up(x, i, 8) for i, x in enumerate(langs)], langs))
+    found = [(r.lang_pred, r.score) for r in lid.identified(table(spark, ["漢字", "ж́ 12", "12 !", "", None]), profiles).sort("doc_id").collect()]
+    assert found[0] == ("en", 0) and found[1][0] != lid.UNKNOWN and found[2:] == [(lid.UNKNOWN, 0)] * 3
+
+
 def test_language_odd(spark):
     found = {r.doc_id: r for r in lid.language_predictions(odd_table(spark)).collect()}
     assert found[1].lang_pred == found[2].lang_pred == found[3].lang_pred == lid.UNKNOWN and found[1].score == 0
