@@ -1,35 +1,33 @@
 """Cross-entropy difference: a target and a background language model of one kind score every document.
 
 Both are interpolated byte n-gram models of the same order, smoothing and vocabulary (the 256 bytes, so nothing is ever
-out of vocabulary in either, whatever the script). Counts are taken over all documents: tasks hand on sums of distinct
-n-grams, which are combined before the shuffle. Per n-gram, both losses are worked out once, in joins over distinct
-n-grams; each task then looks its documents' n-grams up. Tables beyond `TABLE_GRAMS` n-grams are broadcast in shards, one
-pass over the documents for each. For that, rows are stored once with a number, by which the sums of the passes are added up.
+out of vocabulary in either, whatever the script). Counts are taken over all documents. Rows are stored once in blocks of
+bounded size; a block's distinct n-grams are counted where it lies, summed over blocks, and given both losses in joins by
+n-gram. The losses of a block's n-grams then meet its rows, in one group for each block. No table of n-grams goes through
+the driver or is broadcast, however many there are.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.shared import in_small_batches, stored
-from motifold.llm.textbatch import Piece, pieces
+from motifold.llm.textbatch import Piece, pieces, text_buffer
 
 ORDER = 5
 #: Weight of the next shorter n-gram's probability, in counts.
 PRIOR = 4.0
-#: n-grams in one broadcast table of 24 bytes each; more make several shards.
-TABLE_GRAMS = 2_000_000
+#: Bytes of text in a block, and what a row counts for besides; a longer text makes a block of its own.
+BLOCK_BYTES = 16 << 20
+ROW_BYTES = 64
 #: Target documents whose ids are broadcast to the counting tasks (about 20 MB); more are joined, which moves the texts.
 SENT_TARGETS = 1_000_000
-#: Distinct n-grams that a counting task holds before it hands its counts on.
-HELD_GRAMS = 1 << 21
 
 
 def piece_grams(piece: Piece, order: int = ORDER) -> np.ndarray:
@@ -45,49 +43,81 @@ def piece_grams(piece: Piece, order: int = ORDER) -> np.ndarray:
     return packed[places]
 
 
+def _number_blocks(most: int):
+    def run(batches):
+        first, block, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            blocks = np.empty(batch.num_rows, np.int64)
+            for row, length in enumerate((np.diff(text_buffer(batch.column(1))[1]) + ROW_BYTES).tolist()):
+                if size and size + length > most:
+                    block, size = block + 1, 0
+                size += length
+                blocks[row] = first + block
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks)], names=[*batch.schema.names, "block"])
+
+    return run
+
+
+def in_blocks(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """rows (doc_id, text, ...) stored with a number for each run of them that holds about `most` bytes of text."""
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
+    return stored(rows.mapInArrow(_number_blocks(most), f"{fields}, block long"))
+
+
 def _count(order: int):
-    schema = pa.schema([("gram", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
 
     def merged(parts: list) -> tuple:
         keys, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
         return keys, *(np.bincount(place, np.concatenate([x[i] for x in parts]), len(keys)).astype(np.int64) for i in (1, 2))
 
+    def out(block: int, held: list):
+        keys, background, target = merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(background), pa.array(target)], schema=schema)
+
     def run(batches):
-        held: list = []
+        now, held = None, []
         for batch in batches:
-            chosen = batch.column(1).to_numpy(zero_copy_only=False)
-            for piece in pieces(batch.column(0)):
-                grams = piece_grams(piece, order)
-                lengths = np.diff(piece.bounds)
-                wanted = np.repeat(chosen[piece.first : piece.first + len(lengths)].astype(bool), lengths)
-                keys, counts = np.unique(grams, return_counts=True)
-                own, some = np.unique(grams[wanted], return_counts=True)
-                target = np.zeros(len(keys), np.int64)
-                target[np.searchsorted(keys, own)] = some
-                held.append((keys, counts, target))
-                if len(held) > 8:
-                    held = [merged(held)]
-                    if len(held[0][0]) > HELD_GRAMS:
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], schema=schema)
-                        held = []
+            numbers = batch.column(2).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if held and numbers[a] != now:
+                    yield out(now, held)
+                    held = []
+                now = int(numbers[a])
+                chosen = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+                for piece in pieces(batch.column(0).slice(a, b - a)):
+                    grams = piece_grams(piece, order)
+                    lengths = np.diff(piece.bounds)
+                    wanted = np.repeat(chosen[piece.first : piece.first + len(lengths)].astype(bool), lengths)
+                    keys, counts = np.unique(grams, return_counts=True)
+                    own, some = np.unique(grams[wanted], return_counts=True)
+                    target = np.zeros(len(keys), np.int64)
+                    target[np.searchsorted(keys, own)] = some
+                    held.append((keys, counts, target))
+                    held = [merged(held)] if len(held) > 8 else held
         if held:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held))], schema=schema)
+            yield out(now, held)
 
     return run
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, background, target) over all rows of docs (text, target: boolean); the background is all documents."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    counted = rows.mapInArrow(_count(order), "gram long, background long, target long")
-    return counted.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+def gram_counts(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, background, target) over all rows of blocks (block, text, target: boolean); the background is all rows.
+
+    A block that is read in parts has several rows for an n-gram, which are to be added.
+    """
+    rows = blocks.select("text", "target", "block")
+    return rows.mapInArrow(_count(order), "block long, gram long, background long, target long")
 
 
 def gram_losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
-    """(size, gram, loss_background, loss_target) for n-grams of sizes 1 and `order`: -ln of the interpolated probability."""
+    """(gram, loss_background, loss_target) for each n-gram of counts (gram, background, target): -ln of the interpolated probability."""
     models = ("background", "target")
     sums = [F.sum(x).alias(x) for x in models]
-    shorter, out = None, []
+    shorter = None
     for size in range(1, order + 1):
         own = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram")).agg(*sums) if size < order else counts
         own = own.withColumn("context", F.shiftright("gram", 8))
@@ -99,22 +129,17 @@ def gram_losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) ->
             less = shorter.select(F.col("gram").alias("tail"), *(F.col(f"p_{x}").alias(f"{x}_less") for x in models))
             own = own.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))).join(less, "tail")
         shorter = own.select("gram", *((((F.col(x) + prior * F.col(f"{x}_less")) / (F.col(f"{x}_after") + prior))).alias(f"p_{x}") for x in models))
-        if size in (1, order):
-            out.append(shorter.select(F.lit(size).alias("size"), "gram", *((-F.ln(f"p_{x}")).alias(f"loss_{x}") for x in models)))
-    return reduce(DataFrame.union, out)
+    return shorter.select("gram", *((-F.ln(f"p_{x}")).alias(f"loss_{x}") for x in models))
 
 
 class LossTable(NamedTuple):
-    """Losses by n-gram: an open hash table. n-grams of other shards have no entry, and count nothing."""
+    """Losses by n-gram of one block: an open hash table that has every n-gram of the block."""
 
     keys: np.ndarray
     losses: np.ndarray  #: slots x 2
-    bytes: np.ndarray  #: 256 x 2, for n-grams that no document has
-    shard: int
-    shards: int
 
     @staticmethod
-    def of(grams: np.ndarray, losses: np.ndarray, by_byte: np.ndarray, shard: int = 0, shards: int = 1) -> LossTable:
+    def of(grams: np.ndarray, losses: np.ndarray) -> LossTable:
         size = 1 << max(4, int(2 * len(grams)).bit_length())
         keys, values = np.full(size, -1, np.int64), np.zeros((size, 2))
         slots, left = _slots(grams, size), np.arange(len(grams))
@@ -125,23 +150,17 @@ class LossTable(NamedTuple):
             values[slots[left[placed]]] = losses[left[placed]]
             left = left[~placed]
             slots[left] = (slots[left] + 1) & (size - 1)
-        return LossTable(keys, values, by_byte, shard, shards)
+        return LossTable(keys, values)
 
     def look_up(self, grams: np.ndarray) -> np.ndarray:
         """n-grams x 2."""
         size = len(self.keys)
         slots = _slots(grams, size)
         left = np.flatnonzero(self.keys[slots] != grams)
-        missing = np.zeros(0, np.int64)
         while len(left):
-            empty = self.keys[slots[left]] == -1
-            missing = np.concatenate([missing, left[empty]])
-            left = left[~empty]
             slots[left] = (slots[left] + 1) & (size - 1)
             left = left[self.keys[slots[left]] != grams[left]]
-        out = self.losses[slots]
-        out[missing] = np.where((grams[missing] % self.shards == self.shard)[:, None], self.bytes[grams[missing] & 255], 0.0)
-        return out
+        return self.losses[slots]
 
 
 def _slots(grams: np.ndarray, size: int) -> np.ndarray:
@@ -149,52 +168,40 @@ def _slots(grams: np.ndarray, size: int) -> np.ndarray:
     return (spread >> np.uint64(65 - int(size).bit_length())).astype(np.int64)
 
 
-def _score(shared, order: int):
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2))
-            for piece in pieces(batch.column(2)):
-                lengths = np.diff(piece.bounds)
-                rows = np.flatnonzero(lengths)
-                counts[piece.first : piece.first + len(lengths)] = lengths
-                if len(rows):
-                    sums[piece.first + rows] = np.add.reduceat(table.look_up(piece_grams(piece, order)), piece.bounds[rows], axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["row", "doc_id", "n_tokens", "background", "target"])
+def _score(order: int):
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        table = LossTable.of(found.column("gram").to_numpy(), np.stack([found.column(x).to_numpy() for x in ("loss_background", "loss_target")], 1))
+        ids, texts = rows.column("doc_id"), rows.column("text").combine_chunks()
+        counts, sums = np.zeros(rows.num_rows, np.int64), np.zeros((rows.num_rows, 2))
+        for piece in pieces(texts):
+            lengths = np.diff(piece.bounds)
+            full = np.flatnonzero(lengths)
+            counts[piece.first : piece.first + len(lengths)] = lengths
+            if len(full):
+                sums[piece.first + full] = np.add.reduceat(table.look_up(piece_grams(piece, order)), piece.bounds[full], axis=0)
+        return pa.Table.from_arrays([ids, pa.array(counts), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["doc_id", "n_tokens", "background", "target"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = ORDER, prior: float = PRIOR, table_grams: int = TABLE_GRAMS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens (bytes), loss_target, loss_background, score.
 
     targets has the doc_ids of the target's documents (repeats count once; ids without a document are ignored); the
     background is all of docs. Losses are means over a document's bytes, in nats; score is loss_target less
-    loss_background: the lower, the more like the target. Null and empty texts have 0 tokens and null losses. An n-gram
-    that no document has takes its last byte's losses. Without targets, the target's model is uniform. Rows with a null or
-    repeated doc_id keep a row each, with the losses of their own text, in one shard or many.
+    loss_background: the lower, the more like the target. Null and empty texts have 0 tokens and null losses. Without
+    targets, the target's model is uniform. Rows with a null or repeated doc_id keep a row each, with the losses of their
+    own text, whatever the blocks. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     texts = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     chosen = F.broadcast(chosen) if chosen.count() <= SENT_TARGETS else chosen
-    losses = stored(gram_losses(stored(gram_counts(texts.join(chosen, "doc_id", "left"), order)), order, prior))
-    by_byte = np.full((256, 2), math.log(256))
-    for x in losses.where("size = 1").collect():
-        by_byte[x["gram"]] = x["loss_background"], x["loss_target"]
-    grams = losses.where(F.col("size") == order).select("gram", "loss_background", "loss_target")
-    shards = max(1, math.ceil(grams.count() / table_grams))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = stored(rows) if shards > 1 else rows  # each pass must see the same numbers
-    passes = []
-    for shard in range(shards):
-        some = grams.where(F.pmod("gram", F.lit(shards)) == shard).toArrow()
-        columns = [some.column(i).to_numpy() for i in range(3)]
-        table = spark.sparkContext.broadcast(LossTable.of(columns[0].astype(np.int64), np.stack(columns[1:], 1), by_byte, shard, shards))
-        passes.append(rows.mapInArrow(_score(table, order), f"row long, doc_id {kind}, n_tokens long, background double, target double"))
-    sums = passes[0]
-    if shards > 1:
-        sums = reduce(DataFrame.union, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+    blocks = in_blocks(texts.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), block_bytes)
+    counts = stored(gram_counts(blocks, order))
+    totals = stored(counts.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    found = counts.select("block", "gram").join(gram_losses(totals, order, prior), "gram").select("block", "gram", "loss_background", "loss_target")
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    sides = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(found.groupBy("block"))
+    sums = sides.applyInArrow(_score(order), f"doc_id {kind}, n_tokens long, background double, target double")
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens"))
     return sums.select("doc_id", "n_tokens", mean("target").alias("loss_target"), mean("background").alias("loss_background"), (mean("target") - mean("background")).alias("score"))

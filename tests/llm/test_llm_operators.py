@@ -95,11 +95,11 @@ def brute_losses(texts, chosen, order=lm.ORDER, prior=lm.PRIOR):
     return [[sum(loss(m, g) for g in split(t or "")) / max(1, len(split(t or ""))) for m in (0, 1)] for t in texts]
 
 
-@pytest.mark.parametrize("shard", [lm.TABLE_GRAMS, 300])
-def test_cross_entropy_difference(spark, shard):
+@pytest.mark.parametrize("block", [lm.BLOCK_BYTES, 1, 400])
+def test_cross_entropy_difference(spark, block):
     texts = [prose(i, 20, 30) for i in range(12)] + ["", None, "é中𝔘"]
     targets = spark.createDataFrame([(1,), (1,), (3,), (99,), (None,)], "doc_id long")
-    found = {r.doc_id: r for r in lm.cross_entropy_difference(table(spark, texts), targets, table_grams=shard).collect()}
+    found = {r.doc_id: r for r in lm.cross_entropy_difference(table(spark, texts), targets, block_bytes=block).collect()}
     for i, (b, t) in enumerate(brute_losses(texts, {1, 3})):
         if texts[i]:
             assert (found[i].loss_background, found[i].loss_target, found[i].score) == pytest.approx((b, t, t - b), abs=1e-9)
@@ -107,14 +107,14 @@ def test_cross_entropy_difference(spark, shard):
             assert found[i].n_tokens == 0 and found[i].score is None
 
 
-@pytest.mark.parametrize("shard", [lm.TABLE_GRAMS, 300])
-def test_cross_entropy_null_and_repeated_ids(spark, shard):
+@pytest.mark.parametrize("block", [lm.BLOCK_BYTES, 1, 400])
+def test_cross_entropy_null_and_repeated_ids(spark, block):
     texts = [prose(i, 20, 30) for i in range(12)]
     texts = [*texts, texts[4], texts[4], texts[5][::-1], texts[6], texts[7], texts[7][::-1], "", None]
     ids = [*range(12), 4, 4, 5, *[None] * 5]
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     targets = spark.createDataFrame([(1,), (4,)], "doc_id long")
-    found = lm.cross_entropy_difference(docs, targets, table_grams=shard).collect()
+    found = lm.cross_entropy_difference(docs, targets, block_bytes=block).collect()
     losses = brute_losses(texts, {i for i, x in enumerate(ids) if x in (1, 4)})
     order = lambda x: (-1 if x[0] is None else x[0], *x[1:])
     wanted = sorted(((i, len((x or "").encode()), *((t, b) if x else (-1, -1))) for i, x, (b, t) in zip(ids, texts, losses, strict=True)), key=order)
