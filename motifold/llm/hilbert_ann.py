@@ -24,7 +24,7 @@ from motifold.llm.shared import hashed_share, stored
 CURVES = 4
 DIRECTIONS = 8
 BITS = 7
-#: Rows that scales and windows are fitted on: those of the smallest hashed ids. Fewer if they'd exceed SAMPLE_VALUES.
+#: Rows that scales and windows are fitted on: those of the smallest hashes. Fewer if they'd exceed SAMPLE_VALUES.
 SAMPLE_ROWS = 4000
 SAMPLE_VALUES = 1 << 24
 SAMPLE_QUERIES = 200
@@ -151,8 +151,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURV
     size = sizes["size"]
     rows = rows.where(valid_vector(F.col("vector"), size) & F.col("vec_id").isNotNull())
     most = max(100, min(SAMPLE_ROWS, SAMPLE_VALUES // size))
-    some = hashed_share(rows, "vec_id", 2 * most).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vector").collect()
-    if len(some) < 2:
+    some = hashed_share(rows.select("vec_id", "vector"), 2 * most).orderBy(F.xxhash64("vec_id", "vector")).limit(most).select("vector").collect()
+    if not some:
         return none
     model = fit_curves(np.array([x["vector"] for x in some]), curves, target, k)
     shared = spark.sparkContext.broadcast(model)

@@ -1,11 +1,12 @@
 """Personal data: base patterns, and a skip-chain conditional random field that keeps labels consistent in a document.
 
-Nodes are the tokens with a digit or an at sign. Node potentials are those of a softmax regression, and potentials of
-neighbouring and of linked tokens are log ratios of label pairs; all are learned from what the base patterns label in a
-bounded sample of rows. Tokens that repeat or resemble each other (same text, same last digits, same local part of an
-address) are linked, each to the one before and to the first, so links grow with the tokens, not with their square. Loopy
-message passing over a document, with base labels held, gives marginals; tokens that reach `SURE` and are linked to a
-base span become further spans. Documents are worked on one by one where they lie: there is no shuffle.
+Nodes are the tokens with a digit or an at sign, of every document that has one. Edges join tokens that stand side by
+side, tokens that repeat each other (same text, same last digits, same local part of an address) and tokens that are alike
+(same shape, same beginning, same word before), each to the one before with that trait and to the first, so edges grow
+with the tokens, not with their square. Potentials of nodes and edges are learned together, by pseudo-likelihood, from
+what the base patterns label in a bounded sample of rows. Loopy message passing over a document, with base labels held,
+gives marginals; runs of tokens that reach `SURE` for a kind become further spans, whether a base span is near or not.
+Documents are worked on one by one where they lie: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -25,10 +27,23 @@ from motifold.llm.textbatch import byte_set, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Rows that potentials are learned from: those of the smallest hashed doc_ids.
+#: Rows that potentials are learned from: those of the smallest hashes.
 SAMPLE_ROWS = 2000
+#: Of each, the characters that reach the driver; of all, the tokens.
+SAMPLE_CHARS = 20_000
+SAMPLE_TOKENS = 20_000
 SURE = 0.9
-ROUNDS = 10
+#: Rounds of message passing at most, and the change of a message under which it stops.
+ROUNDS = 50
+STILL = 1e-6
+#: Kinds of edges.
+EDGES = ("beside", "repeats", "alike")
+#: What the potential of an edge between repeated tokens is drawn to, if both have one kind's label: without other evidence they agree.
+AGREE = 5.0
+#: Weights of the squares of node and edge potentials (of edges: less what they are drawn to) beside a node's mean loss.
+NODE_DECAY, EDGE_DECAY = 1e-5, 1e-3
+#: Shapes and words before a token that are features, the commonest of the sample, and how often they must occur there.
+MOST_SHAPES, MOST_WORDS, LEAST_SEEN = 256, 64, 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -36,6 +51,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = ".,;:!?\"'*#%&$|[]<>"
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -72,7 +88,7 @@ def addresses(text: str) -> list[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + len(".".join(four))
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four if len(x) < 4000) and max(map(len, four)) < 4000:
+            if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in four):
                 out.append(("ip", at, end))
             at = end + 1
     return out
@@ -96,18 +112,30 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def unsure_spans(text: str) -> list[tuple[int, int]]:
+    """Matches of the card and phone patterns that are dropped for too many digits: they may hold one beside another number."""
+    out = []
+    for pattern, most in ((_CARD, 19), (_PHONE, 15)):
+        out += [x.span() for x in pattern.finditer(text) if len(_DIGIT.findall(x.group())) > most]
+    return sorted(out)
+
+
 class Nodes(NamedTuple):
     spans: list[tuple[int, int]]
     cores: list[str]
+    before: list[str]  #: the word before each, lower-cased
     base: np.ndarray  #: label of the base span that a token overlaps, else 0
-    beside: np.ndarray  #: pairs of tokens with only white space between
-    linked: np.ndarray  #: pairs that repeat or resemble each other
-    values: np.ndarray  #: features
+    edges: np.ndarray  #: rows (node, node, place in EDGES)
+
+
+def shape(core: str) -> str:
+    """Digits as 9 and runs of letters as a; longer runs of digits, or mixtures, by their beginning."""
+    return _LETTERS.sub("a", _DIGIT.sub("9", core))[:24]
 
 
 def nodes_of(text: str, base: list[Span]) -> Nodes:
-    spans, cores, last_end = [], [], -2
-    beside = []
+    spans, cores, before, last_end = [], [], [], -2
+    edges: set[tuple[int, int, int]] = set()
     for found in _TOKEN.finditer(text):
         word = found.group()
         core = word.strip(_EDGES)
@@ -115,29 +143,35 @@ def nodes_of(text: str, base: list[Span]) -> Nodes:
             continue
         start = found.start() + word.index(core)
         if spans and last_end >= 0 and text[last_end : found.start()].isspace():
-            beside.append((len(spans) - 1, len(spans)))
+            edges.add((len(spans) - 1, len(spans), 0))
         last_end = found.end()
         spans.append((start, start + len(core)))
         cores.append(core.lower())
+        words = _LETTERS.findall(text[max(0, found.start() - 40) : found.start()].lower())
+        before.append(words[-1] if words else "")
     label = np.zeros(len(spans), np.int64)
     for kind, start, end in sorted(base, key=lambda x: x[1]):
         for i in range(_first_after(spans, start), len(spans)):
             if spans[i][0] >= end:
                 break
             label[i] = LABELS.index(kind)
-    keys: dict[tuple[str, str], list[int]] = {}
+    keys: dict[tuple, list[int]] = {}
     for i, core in enumerate(cores):
         digits = "".join(_DIGIT.findall(core))
-        own = {("text", core)} if len(core) >= 6 else set()
+        own = {(2, "shape", shape(core)), (2, "word", before[i])}
+        if len(core) >= 6:
+            own |= {(1, "text", core), (2, "start", core[:4])}
         if len(digits) >= 7:
-            own.add(("digits", digits[-7:]))
+            own.add((1, "digits", digits[-7:]))
         if len(core) >= 4:
-            own.add(("local", core.split("@")[0]))
+            own.add((1, "local", core.split("@")[0]))
         for key in own:
             keys.setdefault(key, []).append(i)
-    linked = {(a, b) for own in keys.values() for i, b in enumerate(own[1:]) for a in (own[0], own[i])}
-    values = np.array([_features(x) for x in cores], float).reshape(len(cores), -1)
-    return Nodes(spans, cores, label, np.array(beside, np.int64).reshape(-1, 2), np.array(sorted(linked), np.int64).reshape(-1, 2), values)
+    # Of several reasons to join two tokens the strongest counts.
+    strong = {(a, b, 1) for key, own in keys.items() if key[0] == 1 for i, b in enumerate(own[1:]) for a in (own[0], own[i])}
+    alike = {(a, b, 2) for key, own in keys.items() if key[0] == 2 for i, b in enumerate(own[1:]) for a in (own[0], own[i])}
+    alike = {x for x in alike if (*x[:2], 1) not in strong and (*x[:2], 0) not in edges}
+    return Nodes(spans, cores, before, label, np.array(sorted(edges | strong | alike), np.int64).reshape(-1, 3))
 
 
 def _first_after(spans: list[tuple[int, int]], start: int) -> int:
@@ -174,90 +208,137 @@ def _features(core: str) -> list[float]:
 
 
 class Field(NamedTuple):
-    """Learned potentials; broadcast. A few kilobytes, however large the input."""
+    """Learned potentials; broadcast. A few hundred kilobytes at most, however large the input."""
 
+    shapes: dict[str, int]  #: places of shapes among the features
+    words: dict[str, int]
     weights: np.ndarray  #: features x labels
-    beside: np.ndarray  #: labels x labels
-    linked: np.ndarray  #: labels x labels
+    edges: np.ndarray  #: EDGES x labels x labels, each symmetric
+
+    def values(self, nodes: Nodes) -> np.ndarray:
+        """Features of the nodes."""
+        out = np.zeros((len(nodes.cores), len(self.weights)), np.float32)
+        plain = len(_features("0"))
+        for i, core in enumerate(nodes.cores):
+            out[i, :plain] = _features(core)
+            for place in (self.shapes.get(shape(core)), self.words.get(nodes.before[i])):
+                if place is not None:
+                    out[i, plain + place] = 1.0
+        return out
 
 
-def fit(texts: list[str]) -> Field:
-    """Potentials from what the base patterns label in some texts. No text with tokens: all zero."""
-    all_nodes = [nodes_of(x, base_spans(x)) for x in texts]
-    rows = [x for x in all_nodes if len(x.base)]
-    size = len(_features("0"))
+def _common(values: Iterable[str], most: int, first: int) -> dict[str, int]:
+    counts = sorted(((n, x) for x, n in Counter(values).items() if n >= LEAST_SEEN and x), key=lambda x: (-x[0], x[1]))
+    return {x: first + i for i, (_, x) in enumerate(counts[:most])}
+
+
+def _both_ways(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]]), np.concatenate([edges[:, 2], edges[:, 2]])
+
+
+def fit(texts: list[str], rounds: int = 600) -> Field:
+    """Potentials that make what the base patterns label in some texts likely, node by node, given the nodes around.
+
+    Tokens without a base label that repeat a labelled one, or lie in unsure_spans, are unknown, not `other`: they and
+    their edges are left out. Every node counts once with its features and once without any, so that edges learn what they tell of a token whose own
+    form tells nothing. No text with tokens: all zero.
+    """
+    rows: list[Nodes] = []
+    unsure: list[int] = []
+    tokens = 0
+    for text in texts:
+        if tokens < SAMPLE_TOKENS and len((own := nodes_of(text, base_spans(text))).base):
+            rows.append(own)
+            for start, end in unsure_spans(text):
+                first = _first_after(own.spans, start)
+                unsure += [tokens + i for i in range(first, len(own.spans)) if own.spans[i][0] < end and not own.base[i]]
+            tokens += len(own.base)
+    labels, plain = len(LABELS), len(_features("0"))
+    shapes = _common((shape(c) for r in rows for c in r.cores), MOST_SHAPES, 0)
+    words = _common((w for r in rows for w in r.before), MOST_WORDS, len(shapes))
+    drawn_to = np.zeros((len(EDGES), labels, labels))
+    drawn_to[1, range(1, labels), range(1, labels)] = AGREE
+    field = Field(shapes, words, np.zeros((plain + len(shapes) + len(words), labels)), drawn_to)
     if not rows:
-        return Field(np.zeros((size, len(LABELS))), np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2))
-    x, y = np.concatenate([r.values for r in rows]), np.concatenate([r.base for r in rows])
-    weights, target = np.zeros((size, len(LABELS))), np.eye(len(LABELS))[y]
-    for _ in range(400):
-        scores = x @ weights
+        return field
+    x, y = np.concatenate([field.values(r) for r in rows]), np.concatenate([r.base for r in rows])
+    starts = np.cumsum([0, *(len(r.base) for r in rows)])
+    joined = np.concatenate([r.edges + np.array([s, s, 0]) for r, s in zip(rows, starts, strict=False)])
+    repeats = joined[joined[:, 2] == 1]
+    known = np.ones(len(y), bool)
+    known[unsure] = False
+    for a, b in ((0, 1), (1, 0)):
+        known[repeats[(y[repeats[:, a]] == 0) & (y[repeats[:, b]] > 0), a]] = False
+    source, target, kind = _both_ways(joined[known[joined[:, 0]] & known[joined[:, 1]]])
+    # What surrounds a node: for each kind of edge, how many neighbours have each label.
+    around = np.zeros((len(y), len(EDGES), labels), np.float32)
+    np.add.at(around, (target, kind, y[source]), 1.0)
+    x, y, around = x[known], y[known], around[known].reshape(int(known.sum()), -1)
+    # Rows of equal features, surroundings and label are one, with a weight.
+    every, count = np.unique(np.concatenate([np.concatenate([x, np.zeros_like(x)]), np.tile(np.column_stack([around, y]).astype(np.float32), (2, 1))], 1), axis=0, return_counts=True)
+    inputs, wanted = every[:, :-1], np.eye(labels)[every[:, -1].astype(int)]
+    share = (count / count.sum())[:, None]
+    centre = np.concatenate([field.weights, drawn_to.reshape(-1, labels)])
+    decay = np.repeat([NODE_DECAY, EDGE_DECAY], [len(field.weights), len(EDGES) * labels])[:, None]
+    both = centre.copy()
+    step, moments = 0.1, [np.zeros_like(both), np.zeros_like(both)]
+    for turn in range(1, rounds + 1):
+        scores = inputs @ both
         chance = np.exp(scores - scores.max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
-        weights -= 2.0 * (x.T @ (chance - target) / len(x) + 1e-4 * weights)
-
-    def pair(name: str) -> np.ndarray:
-        seen = np.ones((len(LABELS),) * 2)  # of which one is assumed
-        for r in rows:
-            for a, b in getattr(r, name):
-                seen[r.base[a], r.base[b]] += 1
-        seen += seen.T
-        return np.log(seen / seen.sum()) - np.log(np.outer(seen.sum(0), seen.sum(1)) / seen.sum() ** 2)
-
-    return Field(weights, pair("beside"), pair("linked"))
+        slope = inputs.T @ ((chance - wanted) * share) + decay * (both - centre)
+        moments = [0.9 * moments[0] + 0.1 * slope, 0.99 * moments[1] + 0.01 * slope**2]
+        both -= step * (moments[0] / (1 - 0.9**turn)) / (np.sqrt(moments[1] / (1 - 0.99**turn)) + 1e-8)
+    tables = both[x.shape[1] :].reshape(len(EDGES), labels, labels)
+    return field._replace(weights=both[: x.shape[1]], edges=(tables + tables.transpose(0, 2, 1)) / 2)
 
 
 def marginals(nodes: Nodes, field: Field, rounds: int = ROUNDS) -> np.ndarray:
     """Of each token's labels, by damped loopy message passing; tokens of base spans are held to their label."""
-    own = nodes.values @ field.weights
+    own = (field.values(nodes) @ field.weights).astype(float)
     held = nodes.base > 0
     own[held] = np.where(np.eye(len(LABELS))[nodes.base[held]] > 0, 0.0, -50.0)
-    pairs = np.concatenate([nodes.beside, nodes.linked])
-    if len(pairs):
-        tables = np.concatenate([np.repeat(field.beside[None], len(nodes.beside), 0), np.repeat(field.linked[None], len(nodes.linked), 0)])
-        source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-        tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
-        n = len(pairs)
+    belief = own
+    if n := len(nodes.edges):
+        source, target, kind = _both_ways(nodes.edges)
+        tables = field.edges[kind]
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         messages = np.zeros((2 * n, len(LABELS)))
         for _ in range(rounds):
-            belief = own.copy()
-            np.add.at(belief, target, messages)
             sent = (belief[source] - messages[back])[:, :, None] + tables
             top = sent.max(1, keepdims=True)
             new = np.log(np.exp(sent - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            messages = 0.5 * messages + 0.5 * new
-        belief = own.copy()
-        np.add.at(belief, target, messages)
-    else:
-        belief = own
+            new = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+            moved, messages = np.abs(new - messages).max(), new
+            belief = own.copy()
+            np.add.at(belief, target, messages)
+            if moved < STILL:
+                break
     chance = np.exp(belief - belief.max(1, keepdims=True))
     return chance / chance.sum(1, keepdims=True)
 
 
+def _begins(kind: str, core: str) -> bool:
+    """Whether a token begins a new span after another of its kind: only phone numbers, and cards in short groups, have several."""
+    return core.startswith("+") if kind == "phone" else kind != "card" or len(_DIGIT.findall(core)) >= 13
+
+
 def spans_of(text: str, field: Field) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans, both by kind, then start."""
+    """Base spans, and all spans, both by kind, then start. Sure tokens side by side make one span if they are parts of one."""
     base = base_spans(text)
-    if not base:
-        return base, base  # labels spread from base spans only
     nodes = nodes_of(text, base)
-    near = np.zeros(len(nodes.base), bool)
-    near[nodes.base > 0] = True
-    if not len(nodes.linked) or near.all():
-        return base, base
-    for _ in range(ROUNDS):
-        reach = near.copy()
-        reach[nodes.linked[near[nodes.linked[:, 0]], 1]] = True
-        reach[nodes.linked[near[nodes.linked[:, 1]], 0]] = True
-        if (reach == near).all():
-            break
-        near = reach
-    fresh = near & (nodes.base == 0)
-    if not fresh.any():
+    if not (nodes.base == 0).any():
         return base, base
     chance = marginals(nodes, field)
-    more = [(LABELS[k], *nodes.spans[i]) for i in np.flatnonzero(fresh) if (k := int(np.argmax(chance[i]))) and chance[i, k] >= SURE]
+    best = np.where(chance.max(1) >= SURE, chance.argmax(1), 0)
+    best[nodes.base > 0] = 0
+    beside = {(a, b) for a, b, kind in nodes.edges.tolist() if kind == 0}
+    more: list[Span] = []
+    for i in np.flatnonzero(best).tolist():
+        kind, (start, end) = LABELS[best[i]], nodes.spans[i]
+        if more and (i - 1, i) in beside and best[i - 1] == best[i] and not _begins(kind, nodes.cores[i]):
+            start = more.pop()[1]
+        more.append((kind, start, end))
     return base, sorted({*base, *more}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
@@ -288,10 +369,13 @@ def _marked(column: pa.Array) -> np.ndarray:
 
 
 def learned_field(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """fit() on at most `rows` rows with personal-looking text, of about ten times as many with the smallest hashed doc_ids."""
-    some = hashed_share(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", 10 * rows)
-    some = some.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return fit([x["text"] for x in some.select("text").collect()])
+    """fit() on at most `rows` rows with personal-looking text, of about ten times as many with the smallest hashes.
+
+    Of a text, only the first `SAMPLE_CHARS` characters are learned from, so what reaches the driver is bounded.
+    """
+    some = hashed_share(docs.select("doc_id", F.col("text").cast("string").alias("text")), 10 * rows)
+    some = some.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows)
+    return fit([x["text"] for x in some.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect()])
 
 
 def found_spans(docs: DataFrame, field: Field) -> DataFrame:

@@ -35,15 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hashed_share(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """All rows, or, of a larger table, about `rows` of them: those whose hashed keys are smallest. For fitting only.
+def hashed_share(df: DataFrame, rows: int) -> DataFrame:
+    """All rows, or, of a larger table, about `rows` of them: those whose content has the smallest hashes. For fitting only.
 
-    Tasks filter by a fixed threshold, so what they hand on is bounded in total, however many they are.
+    Tasks filter by a fixed threshold, so what they hand on is bounded in total, however many they are. Where few
+    different rows make up a table, a share by hash may miss them all, or be many; then it is any `rows` rows.
     """
     count = df.count()
     if count <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / count)))
+    some = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / count)))
+    return some if rows / 2 <= some.count() <= 2 * rows else df.limit(rows)
 
 
 #: Rows of the Arrow batches between Spark and its Python workers.

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -160,6 +161,47 @@ def test_language_grams_by_hand():
     assert sorted(counts) == sorted(plain.values()) and len(keys) == len(plain)
 
 
+def brute_language(text, learned, ranks):
+    """Language and score by the definitions: learned has texts by language."""
+
+    def ordered(texts):
+        keys, counts = np.unique(np.concatenate([lid.grams(x) for x in texts]), return_counts=True)
+        return [int(k) for _, k in sorted(zip(-counts, keys, strict=True))][:ranks]
+
+    own = ordered([text])
+    best = None
+    for language in sorted(learned):
+        profile = {k: i for i, k in enumerate(ordered(learned[language]))}
+        away = sum(abs(i - profile[k]) if k in profile else ranks for i, k in enumerate(own))
+        if best is None or away < best[0]:
+            best = away, language
+    return best[1], 1 - best[0] / (ranks * len(own))
+
+
+@pytest.mark.parametrize("ranks", [5, 40, lid.RANKS])
+def test_language_distances(spark, ranks):
+    langs = ["en", "fr", "ru"] * 40
+    texts = [made_up(x, i, 5) for i, x in enumerate(langs)]
+    docs = table(spark, [*texts, "x", "th", "漢字", "thing eau", "Ab ab"], [*langs, *[None] * 5]).repartition(3)
+    # Two languages with the same texts: ties.
+    docs = docs.union(docs.where("lang = 'en' and doc_id % 2 = 0").withColumns({"doc_id": F.col("doc_id") + 1000, "lang": F.lit("aa")}))
+    given = docs.collect()
+    learned = defaultdict(list)
+    for r in given:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            learned[r.lang].append(r.text)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in lid.language_predictions(docs, ranks).collect()}
+    assert len(found) == len(given)
+    for r in given:
+        language, score = brute_language(r.text, learned, ranks)
+        assert found[r.doc_id] == (language, pytest.approx(score, abs=1e-12))
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = table(spark, ["one two", "one two", "one"], ["zz", "aa", None])
+    assert {r.lang_pred for r in lid.identified(docs, lid.learn(docs)).collect()} == {"aa"}
+
+
 def test_language_of_foreign_letters(spark):
     langs = ["en", "fr", "ru"] * 20
     profiles = lid.learn(table(spark, [made_up(x, i, 8) for i, x in enumerate(langs)], langs))
@@ -265,6 +307,12 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in found] == list(range(10))
 
 
+def test_one_id_of_most_rows(spark):
+    for rows in ([(1, [float(i), 1.0, 0.0]) for i in range(9000)], [(1, [5.0, 1.0, 0.0])] * 9000):
+        found = ann.nearest(vector_frame(spark, [*rows, (100, [5.25, 1.0, 0.0])]), F.col("vec_id") % 100 == 0).collect()
+        assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(100, 1, 1, 0.25)]
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -285,6 +333,8 @@ def test_base_patterns():
         text = "".join(own.choice("ab@@..+-1234567890 ()_%0é") for _ in range(own.randrange(50)))
         assert pii.base_spans(text) == brute_spans(text), text
     assert pii.base_spans("4539 1488 0343 6467 x") == [("card", 0, 19)]
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [("ip", 0, 10006)] and pii.base_spans(f"{zeros}256.2.3.4") == []
 
 
 def test_field_spreads_labels(spark):
@@ -300,6 +350,49 @@ def test_field_spreads_labels(spark):
     assert found[201].spans == found[202].spans == "" and found[201].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def enumerated(own, edges, tables):
+    """Marginals by all labellings."""
+    labels = own.shape[1]
+    out = np.zeros_like(own)
+    for y in itertools.product(range(labels), repeat=len(own)):
+        weight = math.exp(sum(own[i, y[i]] for i in range(len(own))) + sum(tables[k, y[a], y[b]] for a, b, k in edges))
+        for i, x in enumerate(y):
+            out[i, x] += weight
+    return out / out.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("loop", [False, True])
+def test_marginals_are_those_of_all_labellings(loop):
+    random = np.random.default_rng(8)
+    labels, plain = len(pii.LABELS), len(pii._features("0"))
+    for _ in range(10):
+        edges = [(0, 1, 0), (1, 2, 1), (1, 3, 2), (3, 4, 0)] + ([(0, 2, 1)] if loop else [])
+        tables = random.standard_normal((3, labels, labels)) * (0.3 if loop else 1.5)
+        tables = (tables + tables.transpose(0, 2, 1)) / 2
+        base = np.array([0, 0, random.integers(0, labels), 0, 0])
+        nodes = pii.Nodes([(i, i + 1) for i in range(5)], [str(10**i) for i in range(5)], [""] * 5, base, np.array(edges))
+        field = pii.Field({}, {}, random.standard_normal((plain, labels)), tables)
+        own = (field.values(nodes) @ field.weights).astype(float)
+        own[base > 0] = np.where(np.eye(labels)[base[base > 0]] > 0, 0.0, -50.0)
+        assert pii.marginals(nodes, field, 500) == pytest.approx(enumerated(own, edges, tables), abs=0.03 if loop else 1e-4)
+
+
+def test_field_finds_what_patterns_drop(spark):
+    own = random.Random(9)
+    number = lambda ok: next(str(n) for n in iter(lambda: own.randrange(10**15, 10**16), None) if pii.luhn(str(n)) == ok)
+    phone = lambda: f"+1 ({own.randrange(100, 999)}) 555-{own.randrange(1000, 9999)}"
+    plain = [f"{prose(i, 3)} {number(True)} {prose(i, 3)} {number(False)} or {phone()} {prose(i, 2)} 10.{i}.3.4 end" for i in range(200)]
+    plain = [re.sub("w([0-9]+)", lambda m: "w" + "abcdefghij"[int(m[1]) % 10] * (1 + int(m[1]) % 7), x) for x in plain]
+    lost = [f"pay {number(True)} {number(True)} now", f"call {phone()} 190.137.223.204 now", f"two {number(False)} {number(False)} here"]
+    texts = [*plain, *lost]
+    found = {r.doc_id: r for r in pii.personal_data(table(spark, texts)).collect()}
+    spans = lambda i: [(k, texts[i][int(a) : int(b)]) for k, a, b in (x.split(":") for x in found[i].spans.split(",") if x)]
+    assert [found[200 + i].n_card for i in range(3)] == [0, 0, 0] and found[201].n_phone == 0
+    assert spans(200) == [("card", x) for x in lost[0].split()[1:3]]
+    assert spans(201) == [("ip", "190.137.223.204"), ("phone", lost[1][5:22])] and spans(202) == []
+    assert all(len(spans(i)) == 3 for i in range(200))
+
+
 def test_redaction(spark):
     docs = table(spark, ["a b@c.de f", "clean 12", None]).withColumn("n_chars", F.length("text"))
     found = {r.doc_id: r for r in pii.redact(docs, pii.learned_field(docs)).collect()}
