@@ -8,9 +8,11 @@ each class under its rarest `size - need + 1` retained values (the rest are the
 Lists are never expanded into all pairs. A class whose full set has too many shingles that no other listed class has
 cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, and
 against one neighbour in lists that are range-partitioned by (value, set size, class). Links found so merge classes.
-Last, only members of one list that are still in different components meet, if their sizes, what only they hold, and
-counts of the rest by part of the hash range allow the similarity (a bound that loses no link). All candidates pass the
-union-sketch estimate, then the exact similarity of full sets decides.
+Last come the members of one list that are still in different components. Those whose size and own shingles allow no link
+to the sizes in the list leave it; a long list is split by a second retained value, as linked sets share several; what
+still meets is dealt in blocks, and must allow the similarity by sizes, what only they hold, and counts of the rest by
+part of the hash range (bounds that lose no link). All candidates pass the union-sketch estimate, then the exact similarity
+of full sets decides.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifold.llm.components import components
-from motifold.llm.shared import in_small_batches, stored
+from motifold.llm.shared import in_small_batches, spread_join, stored
 from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 
 SHINGLE_WORDS = 5
@@ -33,6 +35,9 @@ SKETCH = 64
 MISS = 1e-9
 #: Parts of the hash range in which shingles of a class are counted, as bits of words: those with one at least, those with two.
 PARTS = 512
+#: Members from which a list is split by a second value, and members of one block of those that meet.
+LONG_LIST = 256
+BLOCK = 4096
 _MASKS = [f"m{i}" for i in range(2 * PARTS // 64)]
 
 _PART_SHIFT = 64 - (PARTS - 1).bit_length()
@@ -186,9 +191,9 @@ def near_duplicate_heads(docs: DataFrame, percent: int = 75, width: int = SHINGL
 
     verified = lambda pairs: stored(_verified(pairs, nodes, full, percent, need, sketch))
     links = verified(_with_hubs(open_lists, percent).union(_with_neighbours(open_lists, percent)).select("a", "b").distinct())
-    labelled = _apart(open_lists, links).join(about.drop("n", "own"), "node")
-    left, right = (labelled.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label", "beyond", *_MASKS))) for x in "ab")
-    rest = left.join(right, "v").where((F.col("label_a") < F.col("label_b")) & _may_link(percent) & _may_link_by_parts(percent))
+    members = _split(_narrowed(_labelled(open_lists, links), percent), nodes, percent, need).join(about.drop("n", "own"), "node")
+    left, right = (members.select("v", "w", "r" if x == "a" else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "label", "beyond", *_MASKS))) for x in "ab")
+    rest = left.join(right, ["v", "w", "r"]).where((F.col("label_a") < F.col("label_b")) & _may_link(percent) & _may_link_by_parts(percent))
     links = stored(links.union(verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())))
 
     joined = stored(components(links))
@@ -233,7 +238,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 def _with_hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Each class with the member of its lists that has least of its own: among copies of a text, the text itself."""
     hub = F.min_by(F.struct("node", "n", "own"), F.struct(F.col("own") / F.col("n"), "node")).alias("hub")
-    met = lists.join(lists.groupBy("v").agg(hub), "v")
+    met = spread_join(lists, lists.groupBy("v").agg(hub, F.count("*").alias("_n")), ["v"], lists.count())
     sides = met.select(*(F.col(f"hub.{c}").alias(f"{c}_a") for c in ("node", "n", "own")), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own")))
     return _best(sides.where((F.col("node_a") != F.col("node_b")) & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
@@ -246,12 +251,47 @@ def _with_neighbours(lists: DataFrame, percent: int) -> DataFrame:
     return _best(ordered.mapInArrow(_neighbours(percent), "a long, b long"))
 
 
-def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists with members in different components, each member with its component as label."""
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists, each member with its component as label."""
     found = stored(components(links))
-    labelled = lists.join(found, "node", "left").select("v", "node", "n", "own", F.coalesce("component", "node").alias("label"))
-    apart = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("v")
-    return stored(labelled.join(apart, "v", "left_semi"))
+    return stored(lists.join(found, "node", "left").select("v", "node", "n", "own", F.coalesce("component", "node").alias("label")))
+
+
+def _narrowed(lists: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """Lists with members of different components only, and without members that can be linked to no size in their list.
+
+    Two sets can be linked only if the size of each is within the other's reach, which its own size and own shingles give.
+    """
+    reach = (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n")  # of percent * the other's size
+    for _ in range(rounds):
+        ends = [F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n"), F.max(reach).alias("most_reach")]
+        keyed = lists.groupBy("v").agg(*ends, F.count("*").alias("_n"))
+        may = (F.col("low") < F.col("high")) & (reach >= percent * F.col("least_n")) & (percent * F.col("n") <= F.col("most_reach"))
+        lists = stored(spread_join(lists, keyed, ["v"], lists.count()).where(may).select("v", "node", "n", "own", "label"))
+    return lists
+
+
+def _split(lists: DataFrame, nodes: DataFrame, percent: int, need: int) -> DataFrame:
+    """Members of lists with what they meet by: v, w, and block r of `blocks`.
+
+    Short lists stay whole (w is v). In a long one, two linked members share further retained values, so each is listed
+    under its rarest others, w, as in _lists. A set of one shingle is linked with no other set, and leaves a long list.
+    """
+    sizes = lists.groupBy("v").agg(F.count("*").alias("_n"))
+    counted = stored(spread_join(lists, sizes.withColumn("size", F.col("_n")), ["v"], lists.count()))
+    long = F.col("size") > LONG_LIST if percent > 50 else F.lit(False)  # under half, one value may be all that is shared
+    held = counted.where(long).join(nodes.select("node", "sketch"), "node")
+    least = F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))
+    own = ["v", "node", "n", "own", "label"]
+    others = held.where(least > 1).select(*own, F.size("sketch").alias("held"), F.explode("sketch").alias("w")).where("w <> v")
+    shared = others.join(others.groupBy("v", "w").agg(F.count("*").alias("lists")).where("lists > 1"), ["v", "w"])
+    by_node = Window.partitionBy("v", "node")
+    ranked = shared.withColumn("rank", F.row_number().over(by_node.orderBy("lists", "w"))).withColumn("shared", F.count("*").over(by_node))
+    ranked = ranked.where(F.col("rank") + F.col("held") - 1 - F.col("shared") <= F.col("held") - least + 1)
+    out = stored(counted.where(~long).select(*own, F.col("v").alias("w")).union(ranked.select(*own, "w")))
+    blocks = out.groupBy("v", "w").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = spread_join(out, blocks, ["v", "w"], out.count())
+    return dealt.withColumn("r", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _lists(nodes: DataFrame, percent: int, need: int) -> DataFrame:

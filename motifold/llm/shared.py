@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path under spark.checkpoint.dir. Where that is unset: a temporary folder on one machine (tests), an error on a cluster."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = getattr(spark.sparkContext, "_motifold_scratch", None)
+        base = getattr(context, "_motifold_scratch", None)
         if base is None:
-            base = spark.sparkContext._motifold_scratch = tempfile.mkdtemp(prefix="spark-motifold-")
-    return f"{base.rstrip('/')}/motifold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = context._motifold_scratch = tempfile.mkdtemp(prefix="spark-motifold-")
+    return f"{base.rstrip('/')}/motifold/{context.applicationId}/{uuid.uuid4().hex}"
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -48,6 +59,22 @@ def hashed_share(df: DataFrame, rows: int) -> DataFrame:
     return some if rows / 2 <= some.count() <= 2 * rows else df.limit(rows)
 
 
+#: Keys with more than one in so many of a table's rows are joined by broadcast; there are fewer than that many.
+HOT_KEYS = 256
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, by: list[str], total: int) -> DataFrame:
+    """rows joined with keyed on `by`, wherever rows' keys gather. keyed has a row for each key, and in `_n` how many of rows it has.
+
+    total is the number of rows. Keys with over total / HOT_KEYS of them, so fewer than HOT_KEYS keys, are broadcast and
+    their rows stay where they are; all others meet in a shuffle, no task of which gets much more than its share.
+    """
+    hot = keyed.where(F.col("_n") > total // HOT_KEYS).drop("_n")
+    cold = keyed.where(F.col("_n") <= total // HOT_KEYS).drop("_n")
+    rest = rows.join(F.broadcast(hot.select(by)), by, "left_anti")
+    return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
+
+
 #: Rows of the Arrow batches between Spark and its Python workers.
 BATCH_ROWS = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
