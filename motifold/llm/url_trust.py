@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import cut
+from motifold.llm.shared import HOT_KEYS, cut, spread_join
 
 
 class Rule(NamedTuple):
@@ -80,15 +80,22 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     Rank that reaches a host without further links ends there. No seeds of a kind give no ranks of that kind.
     """
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst").union(links.select(F.lit("distrust"), "dst", "src"))
-    share = edges.groupBy("kind", "src").agg((F.lit(damping) / F.count("*")).alias("share"))
-    edges = cut(edges.join(share, ["kind", "src"]))
+    total = 2 * links.count()
+    counts = edges.groupBy("kind", "src").agg(F.count("*").alias("_n"))
+    # A host with a large share of all links has them in several parts, each of which gets a copy of its rank.
+    parts = F.ceil(F.col("n") * HOT_KEYS / max(1, total)).cast("int")
+    edges = spread_join(edges, counts.withColumn("n", F.col("_n")), ["kind", "src"], total)
+    edges = cut(edges.select("kind", "src", "dst", (damping / F.col("n")).alias("share"), parts.alias("parts"), F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part")))
+    hot = F.broadcast(cut(edges.where("parts > 1").select("kind", F.col("src").alias("host"), "parts").distinct()))  # fewer than HOT_KEYS
     kinds = F.explode(F.array_compact(F.array(F.when(F.col("trusted"), F.lit("trust")), F.when(F.col("blocked"), F.lit("distrust")))))
     own = seeds.select("host", kinds.alias("kind"))
     start = cut(own.join(own.groupBy("kind").agg(F.count("*").alias("n")), "kind").select("kind", "host", (1 / F.col("n")).alias("rank")))
     base = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
     ranks = start
     for i in range(rounds):
-        moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        known = ranks.join(hot, ["kind", "host"], "left").select("kind", F.col("host").alias("src"), "rank", copies)
+        moved = edges.join(known, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
         ranks = base.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if (i + 1) % ROUNDS_PER_CUT == 0:
             ranks = cut(ranks)
