@@ -14,6 +14,7 @@ import hashlib
 import math
 from collections.abc import Iterable
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -169,13 +170,23 @@ def _merged(hits: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def _automata(benchmark: DataFrame, window: int, block_words: int):
-    """One automaton after another; the driver holds the items of one block."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    count = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(count / block_words))
+    """One automaton after another; the driver holds the items of one block.
+
+    Blocks are measured in item words. An item of more words than a block comes in stretches that overlap by a window less
+    a word, so every window of it lies in one; items that repeat id and text count once.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    words_of = items.select("item_id", F.regexp_extract_all(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(_ITEM_WORD), F.lit(0)).alias("words")).where("size(words) > 0")
+    first = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(block_words))
+    stretches = words_of.select("item_id", F.explode(F.transform(first, lambda i: F.slice("words", i + 1, block_words + window - 1))).alias("words"))
+    parts = stretches.select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("text")).distinct()
+    blocks = max(1, math.ceil((parts.agg(F.sum("n")).first()[0] or 0) / block_words))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        rows = parts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
         yield ItemAutomaton([(r["item_id"] or "", r["text"]) for r in rows], window)
 
 
@@ -211,8 +222,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Per row of docs: doc_id, n_words, hits (word positions: first, end, first, end, ... merged), items (sorted), longest.
 
     A window is `window` consecutive words of an item, or a whole item of fewer words; hits are the document's words
-    within any occurrence. longest is the longest stretch of words that occurs in an item, of those in runs of known words
-    of at least a window. Null and wordless texts have no words; items that are null or wordless have no windows; a null
+    within any occurrence. longest is the longest stretch of words that occurs in an item (in one of its stretches, if it
+    has more than block_words words), of those in runs of known words of at least a window. Null and wordless texts have no words; items that are null or wordless have no windows; a null
     item_id counts as an empty one. An empty benchmark hits nothing. Other columns are ignored.
     """
     out = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))

@@ -423,10 +423,11 @@ def brute_report(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [deco.BLOCK_WORDS, 40])
+@pytest.mark.parametrize("block", [deco.BLOCK_WORDS, 40, 7])
 def test_contamination(spark, block):
     own = random.Random(6)
-    items = [(i, prose(i, own.choice([1, 3, 9, 10, 11, 30]), 12)) for i in range(12)] + [(50, None), (51, " . "), (52, prose(1, 30, 12))]
+    items = [(70, prose(1, 90, 12).replace(" ", ".")), (70, prose(1, 90, 12).replace(" ", ".")), (71, "W1, w2.W3")]
+    items += [(i, prose(i, own.choice([1, 3, 9, 10, 11, 30]), 12)) for i in range(12)] + [(50, None), (51, " . "), (52, prose(1, 30, 12))]
     texts = [prose(100 + i, 60, 12) for i in range(25)] + [items[5][1].upper() + "! x", prose(1, 30, 12) + " " + prose(2, 200, 5000), None, "", "w1"]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = {r.doc_id: tuple(r)[1:6] for r in deco.contamination_report(table(spark, texts), benchmark, block_words=block).collect()}
