@@ -1,8 +1,8 @@
 """Legacy ARC files to WARC/1.0: header lines by version, declared lengths, synthesised identifiers, times and digests.
 
-Archives are written by Spark's text writer with the record end as line separator, so its committer covers lost executors
-and any store that Spark writes will do; the bytes are a plain WARC file, compressed as a whole if at all. They are read
-back as binary files, record by record from declared lengths.
+Tasks join records to archives of bounded size, a row each, and Spark's text writer makes each row a file, so its committer
+covers lost executors and any store that Spark writes will do; the bytes are a plain WARC file, compressed as a whole. They
+are read back as binary files, record by record from declared lengths.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 
-#: Bytes of records that one archive file is to hold, on average.
-ARCHIVE_BYTES = 32 << 20
+#: Bytes of records beyond which an archive file takes no more; one holds less than this and its last record.
+ARCHIVE_BYTES = 8 << 20
 
 
 class ArcRecord(NamedTuple):
@@ -169,29 +169,34 @@ def arc_file(url: Column, html: Column, date: str = "20240101000000", version: s
     return F.concat(F.lit(first), line.cast("binary"), head.cast("binary"), body, F.lit(b"\n"))
 
 
-def _convert(batches):
-    schema = pa.schema([("record", pa.binary())])
-    for batch in batches:
-        out, size = [], 0
-        for key, refers, content in zip(*(batch.column(i) for i in range(3)), strict=True):
-            key, refers, content = key.as_py(), refers.as_py(), content.as_py()
-            for i, arc in enumerate(arc_records(content or b"")):
-                out.append(warc_record(arc, f"{key}/{i}" if i else f"{key}", refers))
-                size += len(out[-1])
-            if size > 16 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
-                out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
-
-
-def write_warc(arcs: DataFrame, path: str, records_per_file: int) -> None:
+def _convert(most: int):
+    schema = pa.schema([("archive", pa.binary())])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for key, refers, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                key, refers, content = key.as_py(), refers.as_py(), content.as_py()
+                for i, arc in enumerate(arc_records(content or b"")):
+                    held.append(warc_record(arc, f"{key}/{i}" if i else f"{key}", refers))
+                    size += len(held[-1])
+                    if size >= most:
+                        yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(held)], pa.binary())], schema=schema)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(held)], pa.binary())], schema=schema)
+
+    return run
+
+
+def write_warc(arcs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Convert ARC files and write WARC archives: arcs has key, refers_to (strings; null: no revisit) and content (null: empty).
 
-    The n-th further record of one ARC file has the key `key/n`.
+    The n-th further record of one ARC file has the key `key/n`. An archive's last record end is the writer's line separator.
     """
-    records = in_small_batches(arcs).select("key", "refers_to", "content").mapInArrow(_convert, "record binary")
-    writer = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END)
-    writer.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    archives = in_small_batches(arcs).select("key", "refers_to", "content").mapInArrow(_convert(archive_bytes), "archive binary")
+    writer = archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", RECORD_END)
+    writer.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _read(batches):
@@ -231,9 +236,8 @@ def archived_pages(pages: DataFrame, version: str = "1", archive_bytes: int = AR
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     marked = source.withColumn("mark", F.sha1(F.col("html").cast("binary")))
-    groups = marked.groupBy("mark").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("size"))
-    total = marked.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size")).first()
-    if not total["n"]:
+    groups = marked.groupBy("mark").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    if source.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     repeated = groups.where("copies > 1 and first is not null").select("mark", "first")
     # Copies of one payload share a join key; AQE splits the partition of a large group.
@@ -241,6 +245,6 @@ def archived_pages(pages: DataFrame, version: str = "1", archive_bytes: int = AR
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string"))
     arcs = told.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), refers.alias("refers_to"), arc_file(F.col("url"), F.col("html"), version=version).alias("content"))
     path = shared_folder(spark)
-    write_warc(arcs, path, max(1, int(archive_bytes * total["n"] / (total["size"] + 600 * total["n"]))))
+    write_warc(arcs, path, archive_bytes)
     back = read_warc(spark, path)
     return back.select(F.expr("try_cast(key as long)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
