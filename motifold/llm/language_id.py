@@ -117,8 +117,8 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
     return Profiles([(x["lang"], x["gram"], x["rank"] - 1) for x in top.select("lang", "gram", "rank").collect()], ranks)
 
 
-def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """docs with two more columns, lang_pred and score (0 to 1), from text alone.
+def identified(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, the language and its score (0 to 1), from text alone. docs mustn't have columns of these names.
 
     `und` and 0 where text is null or has no letter, or without profiles. A text that shares no n-gram with any profile has
     the first language by name, with score 0.
@@ -129,10 +129,10 @@ def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
         known = shared.value
         for batch in batches:
             found = [known.nearest(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, lang, score])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
 
 
 def held_out():

@@ -27,8 +27,9 @@ from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes
 SPACE = "▁"
 #: Bytes of text that a task cuts into words at once.
 PIECE_BYTES = 1 << 20
-#: Distinct words, and pairs of pieces, that a worker keeps; beyond, it starts anew.
+#: Distinct words, their tokens, and pairs of pieces that a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 400_000
+KEPT_TOKENS = 4_000_000
 KEPT_PAIRS = 1_000_000
 #: Characters of new words that are indexed at once.
 INDEX_CHARS = 1 << 18
@@ -270,7 +271,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         hashes = span_hashes(data, starts, ends)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.places) > KEPT_WORDS:
+        if len(self.places) > KEPT_WORDS or len(self.tokens) > KEPT_TOKENS:
             self.forget()
         known = np.fromiter((self.places.get(x, -1) for x in keys.tolist()), np.int64, len(keys))
         new = np.flatnonzero(known < 0)

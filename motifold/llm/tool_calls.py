@@ -44,9 +44,9 @@ def linked(events: DataFrame, schemas: Schemas) -> DataFrame:
     Per row: conv_id, turn, role, kind, call_id, linked, valid, order_turn, order_phase, message.
 
     A call is linked if a result has its identifier in its conversation, a result if a call has; of calls that share an
-    identifier the earliest counts. Sorted by (order_turn, order_phase, turn), each result follows its call: its
+    identifier only the earliest turn's are linked, and results follow it. Sorted by (order_turn, order_phase, turn), each result follows its call: its
     order_turn is at least the call's. valid is null but for calls. A null identifier links nothing. message is canonical
-    JSON without the fields that are null. Repeated rows are kept and get equal answers.
+    JSON without the fields that are null; arguments that are no JSON stay as a string. Repeated rows are kept and get equal answers.
     """
     rows = events.select("conv_id", "turn", "role", "kind", "call_id", "tool", "arguments", "content")
     turn_of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("turn")))
@@ -57,7 +57,7 @@ def linked(events: DataFrame, schemas: Schemas) -> DataFrame:
     rest = rows.where(~F.coalesce(keyed, F.lit(False))).withColumns({"call_turn": F.lit(None).cast("long"), "called": F.lit(False), "answered": F.lit(False)})
     out = met.unionByName(rest)
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
-    arguments = F.when(is_call, F.try_parse_json("arguments"))
+    arguments = F.when(is_call, F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")))
     message = F.to_json(
         F.struct(
             arguments.alias("arguments"),
@@ -74,7 +74,7 @@ def linked(events: DataFrame, schemas: Schemas) -> DataFrame:
         "role",
         "kind",
         "call_id",
-        F.when(is_call, F.col("answered")).when(is_result, F.col("called")).otherwise(False).alias("linked"),
+        F.when(is_call, F.col("answered") & F.col("turn").eqNullSafe(F.col("call_turn"))).when(is_result, F.col("called")).otherwise(False).alias("linked"),
         F.when(is_call, valid_arguments(F.col("tool"), F.col("arguments"), schemas)).alias("valid"),
         F.when(is_result, F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("order_turn"),
         F.when(is_result, 1).otherwise(0).alias("order_phase"),
