@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import cut, spread_join
+from motifold.llm.shared import FEW_ROWS, cut, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("_n"))
         # Every larger neighbour moves to the smallest node around.
-        large = cut(spread_join(now, least, ["a"], seen[0]).select(F.col("m").alias("a"), "b").where("a < b"))
+        large = spread_join(now, least, ["a"], seen[0]).select(F.col("m").alias("a"), "b").where("a < b")
+        large = large if seen[0] <= FEW_ROWS else cut(large)  # it is read several times
         least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n"))
         # Every smaller neighbour moves to the smallest among them.
         joined = spread_join(large, least, ["b"], seen[0])

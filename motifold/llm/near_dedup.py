@@ -9,8 +9,8 @@ Lists are never expanded into all pairs. A class whose full set has too many shi
 cannot be linked and leaves. Each class is tried against the one member of its lists that has least of its own, and
 against one neighbour in lists that are range-partitioned by (value, set size, class). Links found so merge classes.
 Last come the members of one list that are still in different components. Those whose size and own shingles allow no link
-to the sizes in the list leave it; a long list is split by a second retained value, as linked sets share several; what
-still meets is dealt in blocks, and must allow the similarity by sizes, what only they hold, and counts of the rest by
+to the sizes in the list leave it; a very long list is split by a second retained value, as linked sets share several;
+what still meets is dealt in blocks, and must allow the similarity by sizes, what only they hold, and counts of the rest by
 part of the hash range (bounds that lose no link). All candidates pass the union-sketch estimate, then the exact similarity
 of full sets decides.
 """
@@ -36,7 +36,7 @@ MISS = 1e-9
 #: Parts of the hash range in which shingles of a class are counted, as bits of words: those with one at least, those with two.
 PARTS = 512
 #: Members from which a list is split by a second value, and members of one block of those that meet.
-LONG_LIST = 256
+LONG_LIST = 1 << 15
 BLOCK = 4096
 _MASKS = [f"m{i}" for i in range(2 * PARTS // 64)]
 
@@ -257,41 +257,43 @@ def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return stored(lists.join(found, "node", "left").select("v", "node", "n", "own", F.coalesce("component", "node").alias("label")))
 
 
-def _narrowed(lists: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _narrowed(lists: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """Lists with members of different components only, and without members that can be linked to no size in their list.
 
     Two sets can be linked only if the size of each is within the other's reach, which its own size and own shingles give.
+    A column size has a list's members, before the last round.
     """
     reach = (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n")  # of percent * the other's size
     for _ in range(rounds):
         ends = [F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n"), F.max(reach).alias("most_reach")]
-        keyed = lists.groupBy("v").agg(*ends, F.count("*").alias("_n"))
+        keyed = lists.groupBy("v").agg(*ends, F.count("*").alias("_n")).withColumn("size", F.col("_n"))
         may = (F.col("low") < F.col("high")) & (reach >= percent * F.col("least_n")) & (percent * F.col("n") <= F.col("most_reach"))
-        lists = stored(spread_join(lists, keyed, ["v"], lists.count()).where(may).select("v", "node", "n", "own", "label"))
+        met = spread_join(lists.select("v", "node", "n", "own", "label"), keyed, ["v"], lists.count())
+        lists = stored(met.where(may).select("v", "node", "n", "own", "label", "size"))
     return lists
 
 
 def _split(lists: DataFrame, nodes: DataFrame, percent: int, need: int) -> DataFrame:
     """Members of lists with what they meet by: v, w, and block r of `blocks`.
 
-    Short lists stay whole (w is v). In a long one, two linked members share further retained values, so each is listed
-    under its rarest others, w, as in _lists. A set of one shingle is linked with no other set, and leaves a long list.
+    Lists of up to LONG_LIST members stay whole (w is v). In a longer one, two linked members share further retained values,
+    so each is listed under its rarest others, w, as in _lists; that lists a member up to `sketch` times, which is less work
+    than meeting all. A set of one shingle is linked with no other set, and leaves a long list.
     """
-    sizes = lists.groupBy("v").agg(F.count("*").alias("_n"))
-    counted = stored(spread_join(lists, sizes.withColumn("size", F.col("_n")), ["v"], lists.count()))
-    long = F.col("size") > LONG_LIST if percent > 50 else F.lit(False)  # under half, one value may be all that is shared
-    held = counted.where(long).join(nodes.select("node", "sketch"), "node")
-    least = F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))
     own = ["v", "node", "n", "own", "label"]
-    others = held.where(least > 1).select(*own, F.size("sketch").alias("held"), F.explode("sketch").alias("w")).where("w <> v")
-    shared = others.join(others.groupBy("v", "w").agg(F.count("*").alias("lists")).where("lists > 1"), ["v", "w"])
-    by_node = Window.partitionBy("v", "node")
-    ranked = shared.withColumn("rank", F.row_number().over(by_node.orderBy("lists", "w"))).withColumn("shared", F.count("*").over(by_node))
-    ranked = ranked.where(F.col("rank") + F.col("held") - 1 - F.col("shared") <= F.col("held") - least + 1)
-    out = stored(counted.where(~long).select(*own, F.col("v").alias("w")).union(ranked.select(*own, "w")))
-    blocks = out.groupBy("v", "w").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = spread_join(out, blocks, ["v", "w"], out.count())
-    return dealt.withColumn("r", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    long = F.col("size") > LONG_LIST if percent > 50 else F.lit(False)  # under half, one value may be all that is shared
+    whole = lists.where(~long).select(*own, F.col("v").alias("w"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    if not lists.where(long).isEmpty():
+        least = F.least(F.lit(need), F.ceil(F.col("n") * percent / 100))
+        held = lists.where(long).where(least > 1).join(nodes.select("node", "sketch"), "node")
+        others = stored(held.select(*own, F.size("sketch").alias("held"), F.explode("sketch").alias("w")).where("w <> v"))
+        counts = others.groupBy("v", "w").agg(F.count("*").alias("_n")).withColumn("lists", F.col("_n")).where("lists > 1")
+        by_node = Window.partitionBy("v", "node")
+        ranked = spread_join(others, counts, ["v", "w"], others.count())
+        ranked = ranked.withColumn("rank", F.row_number().over(by_node.orderBy("lists", "w"))).withColumn("shared", F.count("*").over(by_node))
+        ranked = ranked.where(F.col("rank") + F.col("held") - 1 - F.col("shared") <= F.col("held") - least + 1)
+        whole = whole.union(ranked.select(*own, "w", F.ceil(F.col("lists") / BLOCK).cast("int").alias("blocks")))
+    return whole.withColumn("r", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _lists(nodes: DataFrame, percent: int, need: int) -> DataFrame:

@@ -61,14 +61,19 @@ def hashed_share(df: DataFrame, rows: int) -> DataFrame:
 
 #: Keys with more than one in so many of a table's rows are joined by broadcast; there are fewer than that many.
 HOT_KEYS = 256
+#: Rows of a table up to which all its keys are (some 10 MB).
+FEW_ROWS = 200_000
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, by: list[str], total: int) -> DataFrame:
     """rows joined with keyed on `by`, wherever rows' keys gather. keyed has a row for each key, and in `_n` how many of rows it has.
 
-    total is the number of rows. Keys with over total / HOT_KEYS of them, so fewer than HOT_KEYS keys, are broadcast and
-    their rows stay where they are; all others meet in a shuffle, no task of which gets much more than its share.
+    total is the number of rows. Of up to FEW_ROWS rows, all keys are broadcast, as they aren't more. Else keys with over
+    total / HOT_KEYS of them, so fewer than HOT_KEYS keys, are broadcast and their rows stay where they are; all others meet
+    in a shuffle, no task of which gets much more than its share.
     """
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(keyed.drop("_n")), by)
     hot = keyed.where(F.col("_n") > total // HOT_KEYS).drop("_n")
     cold = keyed.where(F.col("_n") <= total // HOT_KEYS).drop("_n")
     rest = rows.join(F.broadcast(hot.select(by)), by, "left_anti")

@@ -22,7 +22,7 @@ from motifold.llm import lm_scoring as lm
 from motifold.llm import near_dedup as near
 from motifold.llm import pii_crf as pii
 from motifold.llm import sentencepiece_lattice as sp
-from motifold.llm import textbatch, tool_calls, url_trust, warc
+from motifold.llm import shared, textbatch, tool_calls, url_trust, warc
 from motifold.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, n long, v long, label string, word string"
@@ -492,6 +492,16 @@ def test_archived_pages(spark, version):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    pages = [(str(i), None, b"http://h/%d 0.0.0.0 2001 text/html %d\n" % (i, n) + b"x" * n) for i, n in enumerate([10, 5000, 20, 30, 9000, 40, 50, 60])]
+    arcs = spark.createDataFrame(pages, "key string, refers_to string, content binary").coalesce(1)
+    warc.write_warc(arcs, str(tmp_path / "w"), 2000)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")]
+    assert sorted(len(list(warc.warc_records(f))) for f in files) == [1, 2, 2, 3] and all(f.endswith(b"\r\n\r\n") for f in files)
+    back = {r.key: r.payload_bytes for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {k: len(c) - c.index(b"\n") - 1 for k, _, c in pages}
+
+
 def test_arc_versions():
     one = b"filedesc://a.arc 0.0.0.0 2001 text/plain 9\n1 0 Org\nx\nhttp://h/a b 1.2.3.4 20010203 text/html 5\nhello\nhttp://h/2 1.2.3.4 20010203040506 text/plain 0\n\n"
     found = list(warc.arc_records(one))
@@ -570,6 +580,31 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert told == Counter([(5, 5, True), (5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False), *[(None, None, True)] * 5, *[(7, 7, True)] * 2, (9, 9, True), (8, 8, True)])
 
 
+def test_long_lists_of_unlinked_classes(spark, monkeypatch):
+    """Long lists are split and dealt; links within them stay."""
+    monkeypatch.setattr(shared, "FEW_ROWS", 100)
+    monkeypatch.setattr(near, "LONG_LIST", 8)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    own = random.Random(12)
+    slots = [[f"s{i}x{k}" for k in range(3)] for i in range(40)]
+    texts = [" ".join(own.choice(x) if own.random() < 0.5 else x[0] for x in slots) for _ in range(120)]  # alike, most of them unlinked
+    passage = prose(78, 50, 10_000)
+    texts += [f"{passage} {prose(3000 + i // 2, 12 + i % 2, 10_000)}" for i in range(80)]  # a passage of all, pairs nearly equal
+    texts += [texts[0], texts[130] + " end"]
+    found = sorted(tuple(r) for r in near.near_duplicates(table(spark, texts).repartition(3)).collect())
+    assert found == brute_components(texts)
+
+
+@pytest.mark.parametrize("few", [shared.FEW_ROWS, 10])
+def test_components_of_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_ROWS", few)
+    monkeypatch.setattr("motifold.llm.components.FEW_ROWS", few)
+    # A hub with the largest number, one with the smallest, and a chain between them.
+    edges = [(i, 10_000) for i in range(2000, 4000)] + [(0, i) for i in range(5000, 7000)] + [(2500, 5500), (8000, 8001), (8001, 8001)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert found == {**dict.fromkeys([*range(2000, 4000), *range(5000, 7000), 10_000, 0], 0), 8000: 8000, 8001: 8000}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -637,12 +672,13 @@ def test_tool_calls(spark):
         (1, 0, "assistant", "call", "c1", "add", '{"b": 2.5, "a": 1}', None), (1, 1, "tool", "result", "c1", None, None, "3"), (1, 2, "tool", "result", "c2", None, None, "early"),
         (1, 3, "assistant", "call", "c2", "add", '{"a": "x"}', None), (1, 4, "assistant", "call", "c3", "add", '{"a": 1, "z": 0}', None), (1, 5, "assistant", "call", "c4", "add", "{bad", None),
         (1, 6, "assistant", "call", "c5", "other", "{}", None), (2, 0, "tool", "result", "c1", None, None, "other conversation"), (1, 7, "user", "message", None, None, None, None), (1, 8, "tool", "result", None, None, None, "x"),
-        (1, 9, "assistant", "call", "c6", "add", '{"a": null}', None), (1, 10, "assistant", "call", "c7", "add", None, None),
+        (1, 9, "assistant", "call", "c6", "add", '{"a": null}', None), (1, 10, "assistant", "call", "c7", "add", None, None), (1, 11, "assistant", "call", "c1", "add", '{"a": 2}', None),
     ]
     events = spark.createDataFrame(rows, "conv_id long, turn long, role string, kind string, call_id string, tool string, arguments string, content string")
     found = {(r.conv_id, r.turn): r for r in tool_calls.linked(events, schemas).collect()}
     assert len(found) == len(rows)
-    assert [found[1, t].linked for t in (0, 1, 2, 3, 4, 8)] == [True, True, True, True, False, False] and not found[2, 0].linked
+    assert [found[1, t].linked for t in (0, 1, 2, 3, 4, 8, 11)] == [True, True, True, True, False, False, False] and not found[2, 0].linked
+    assert json.loads(found[1, 5].message)["arguments"] == "{bad" and "arguments" not in json.loads(found[1, 10].message)
     assert [found[1, t].valid for t in (0, 3, 4, 5, 6, 9, 10)] == [True, False, False, False, False, False, False] and found[1, 1].valid is None
     order = sorted(found.values(), key=lambda r: (r.conv_id, r.order_turn, r.order_phase, r.turn))
     places = {(r.conv_id, r.turn): i for i, r in enumerate(order)}
