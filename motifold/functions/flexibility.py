@@ -77,22 +77,25 @@ def features() -> tuple[Feature, ...]:
     return tuple(Feature(i, name, width, table) for i, (name, width, table) in enumerate([*((n, 2, t) for n, t in di.items()), *((n, 3, t) for n, t in tri.items())]))
 
 
-def features_from(lookup: dict[str, dict[str, dict[str, float]]], order: dict[str, list[str]] | None = None) -> tuple[Feature, ...]:
-    """Features of a parsed lookup file ({dinucleotide: {name: {word: value}}, trinucleotide: ...}), in a config's order.
+def features_from(lookup: dict[str, dict[str, dict[str, float]]], order: dict[str, list[str]] | None = None, in_file_order: bool = False) -> tuple[Feature, ...]:
+    """Features of a parsed lookup file ({dinucleotide: {name: {word: value}}, trinucleotide: ...}).
 
+    Pairs come first, in a config's order if there is one; with in_file_order, groups and features come as in the file.
     ValueError if a group or a named feature is missing, or a word doesn't fit its group.
     """
-    out = []
-    for width, group in ((2, "dinucleotide"), (3, "trinucleotide")):
+    widths = {"dinucleotide": 2, "trinucleotide": 3}
+    for group in widths:
         if group not in lookup:
             raise ValueError(f"the lookup has no {group}")
+    out = []
+    for group in (g for g in lookup if g in widths) if in_file_order else widths:
         for name in order[group] if order else lookup[group]:
             if name not in lookup[group]:
                 raise ValueError(f"the lookup has no {group} feature {name}")
             table = {str(w).upper(): float(v) for w, v in lookup[group][name].items()}
-            if any(len(w) != width for w in table):
-                raise ValueError(f"{name} has words that are not {width} letters")
-            out.append(Feature(len(out), name, width, table))
+            if any(len(w) != widths[group] for w in table):
+                raise ValueError(f"{name} has words that are not {widths[group]} letters")
+            out.append(Feature(len(out), name, widths[group], table))
     return tuple(out)
 
 

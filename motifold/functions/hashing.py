@@ -18,18 +18,17 @@ def unit(seed: int | str, *keys: str | Column) -> Column:
     return draw(seed, *keys) / float(1 << 32)
 
 
-def ranked(df: DataFrame, seed: int, key: str, within: str | None = None, name: str = "rank") -> DataFrame:
-    """A random order from 1, of all rows or within each group.
+def ranked(df: DataFrame, seed: int | str, key: str, within: str | None = None, name: str = "rank") -> DataFrame:
+    """A random order from 1, of all rows or within each group (null being one).
 
-    Ranks over all rows are made without a single task: rows are counted by ranges of their draws, and each range is
+    No task sorts all rows, or a whole group: rows are counted by ranges of their draws, and each range of each group is
     ranked by itself, after the ranges before it.
     """
-    drawn = df.withColumn("_draw", draw(seed, key))
-    if within:
-        return drawn.withColumn(name, F.row_number().over(Window.partitionBy(within).orderBy("_draw", key))).drop("_draw")
+    drawn = df.withColumns({"_draw": draw(seed, key), "_group": F.struct(within) if within else F.lit(0)})
     drawn = drawn.withColumn("_range", F.shiftright("_draw", 22).cast("int"))  # 1024 ranges of equal width
-    counts = drawn.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-    own = Window.partitionBy("_range").orderBy("_draw", key)
-    out = drawn.withColumn("_own", F.row_number().over(own)).join(F.broadcast(before), "_range")
-    return out.withColumn(name, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_draw", "_range", "_own", "_n", "_before")
+    counts = drawn.groupBy("_group", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_group", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_group", "_range").orderBy("_draw", key))
+    out = drawn.withColumn("_own", own).join(before if within else F.broadcast(before), ["_group", "_range"])
+    return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_group", "_draw", "_range", "_own", "_before")

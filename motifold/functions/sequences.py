@@ -30,12 +30,12 @@ def kmers(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
     """A row for each overlapping k-mer of seq, in columns pos (from 0) and kmer; seq goes. Shorter sequences give none.
 
     A sequence is cut into chunks that overlap by k - 1, and a chunk's positions are listed: work is in proportion to its
-    length, whatever that is.
+    length, whatever that is. seq is looked at once, so what makes it isn't worked out again.
     """
     keep = [c for c in df.columns if c != seq]
     parts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     chunk = F.transform("_parts", lambda x, i: F.struct((i * CHUNK).alias("start"), F.concat(x, F.left(F.coalesce(F.get("_parts", i + 1), F.lit("")), F.lit(k - 1))).alias("letters")))
-    chunks = df.where(F.length(seq) >= k).withColumn("_parts", parts).select(*keep, F.explode(chunk).alias("_chunk")).where(F.length("_chunk.letters") >= k)
+    chunks = df.withColumn("_parts", parts).select(*keep, F.explode(chunk).alias("_chunk")).where(F.length("_chunk.letters") >= k)
     listed = chunks.select(*keep, "_chunk", F.explode(F.sequence(F.lit(1), F.length("_chunk.letters") - k + 1)).alias("_at"))
     return listed.select(*keep, (F.col("_chunk.start") + F.col("_at") - 1).cast("int").alias("pos"), F.substring(F.col("_chunk.letters"), F.col("_at"), F.lit(k)).alias("kmer"))
 
@@ -64,6 +64,11 @@ def positional_words(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     return listed.withColumn("place", F.col("pos") * 4**n + code).where("place is not null").drop("kmer")
 
 
+def kmer_gc(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
+    """A row for each k-mer: pos, kmer and its share of C and G."""
+    return kmers(df, k, seq).withColumn("gc", gc_share(F.col("kmer")))
+
+
 def gc_share(seq: Column) -> Column:
     return (F.length(seq) - F.length(F.translate(seq, "GC", ""))) / F.nullif(F.length(seq), F.lit(0))
 
@@ -83,6 +88,19 @@ def file_factor(name: Column) -> Column:
     return F.coalesce(F.get(F.split(stem, "_"), F.lit(1)), stem)
 
 
+def sorted_families(names: DataFrame, column: str = "file") -> DataFrame:
+    """(family): each once, in alphabetical order."""
+    return names.select(file_family(F.col(column)).alias("family")).distinct().orderBy("family")
+
+
+def longest_tokens(seqs: DataFrame, k: int = 6, seq: str = "seq") -> int:
+    """k-mers of the longest sequence. ValueError if none has one."""
+    found = (seqs.agg(F.max(F.length(seq)).alias("n")).first()["n"] or 0) - k + 1
+    if found <= 0:
+        raise ValueError(f"no sequence of {k} letters or more")
+    return found
+
+
 def told_number(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), "NA").otherwise(F.printf(F.lit("%.4f"), x))
 

@@ -1,11 +1,13 @@
 """A small post-norm transformer over one-hot k-mers, forward only, and regression heads on its features.
 
 Weights are a table (name, shape, data); a forward pass runs in tasks, on Arrow batches that are padded by themselves.
-Training heads is a task for each group. Training the encoder itself, by back-propagation through attention, isn't here.
+Heads are trained from sums that tasks make of all rows, small groups also in a task each. Training the encoder itself, by
+back-propagation through attention, isn't here.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifold.functions.flexibility import BASES
+from motifold.operators import ridge
+from motifold.operators.normalization import train_moments
+from motifold.operators.splits import split_by_share
 
 
 class Shape(NamedTuple):
@@ -74,14 +79,13 @@ def one_hot_batch(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     table = np.zeros((256, 4))
     for i, b in enumerate(BASES):
         table[ord(b), i] = 1
-    counts = [max(0, len(s) - k + 1) for s in seqs]
-    x, mask = np.zeros((len(seqs), max(counts, default=0), 4 * k)), np.zeros((len(seqs), max(counts, default=0)), bool)
-    for row, (s, n) in enumerate(zip(seqs, counts, strict=True)):
-        if n:
-            hot = table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
-            x[row, :n] = np.lib.stride_tricks.sliding_window_view(hot, k, 0).transpose(0, 2, 1).reshape(n, -1)
-            mask[row, :n] = True
-    return x, mask
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    longest = int(max(lengths.max(initial=0), k - 1))
+    raw = "".join(s.ljust(longest, "\0") for s in seqs).encode("latin-1", "replace")
+    hot = table[np.frombuffer(raw, np.uint8).reshape(len(seqs), longest)]
+    mask = np.arange(longest - k + 1) < (lengths - k + 1)[:, None]
+    x = np.lib.stride_tricks.sliding_window_view(hot, k, 1).transpose(0, 1, 3, 2).reshape(len(seqs), longest - k + 1, 4 * k)
+    return x * mask[..., None], mask
 
 
 def _normed(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -114,39 +118,49 @@ def forward(weights: Weights, x: np.ndarray, mask: np.ndarray, shape: Shape = Sh
     return h * mask[..., None], targets * mask[..., None]
 
 
-def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str = "hidden", pool: str | None = "mean", batch: int = 64) -> DataFrame:
+def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str = "hidden", pool: str | None = "mean", tokens: int = 1 << 14, precision: type = np.float32) -> DataFrame:
     """seqs with an array column features: of hidden states, or hidden states and targets (kind hidden_flex).
 
     pool is mean, max or None: None flattens positions, so sequences of one length are needed. A sequence without a k-mer
-    has null features.
+    has null features. A forward pass takes about so many tokens at once, in float32 unless asked otherwise.
     """
-    shared = seqs.sparkSession.sparkContext.broadcast(weights)
+    shared = seqs.sparkSession.sparkContext.broadcast({name: x.astype(precision) for name, x in weights.items()})
     place = seqs.columns.index("seq")
 
-    def rows(texts: list[str]) -> list[np.ndarray | None]:
+    def values_of(texts: list[str]) -> np.ndarray:
         x, mask = one_hot_batch(texts, shape.k)
-        if not mask.any():
-            return [None] * len(texts)
-        hidden, targets = forward(shared.value, x, mask, shape)
+        hidden, targets = forward(shared.value, x.astype(precision), mask, shape)
         values = hidden if kind == "hidden" else np.concatenate([hidden, targets], 2)
         if pool == "mean":
-            out = values.sum(1) / np.maximum(mask.sum(1), 1)[:, None]
-        elif pool == "max":
-            out = np.where(mask[..., None], values, -1e9).max(1)
-        else:
-            out = values.reshape(len(values), -1)
-        return [o if m else None for o, m in zip(out, mask.any(1), strict=True)]
+            return values.sum(1) / mask.sum(1)[:, None]
+        if pool == "max":
+            return np.where(mask[..., None], values, -1e9).max(1)
+        return values.reshape(len(values), -1)
 
     def run(batches):
         for own in batches:
             texts = [x or "" for x in own.column(place).to_pylist()]
-            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # like lengths together: little padding
-            found: list = [None] * len(texts)
-            for a in range(0, len(order), batch):
-                some = order[a : a + batch]
-                for i, values in zip(some, rows([texts[i] for i in some]), strict=True):
-                    found[i] = values
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.float64()))], names=[*own.schema.names, "features"])
+            lengths = np.array([len(x) for x in texts], np.int64)
+            order = np.argsort(lengths, kind="stable")  # like lengths together: little padding
+            order = order[lengths[order] >= shape.k]
+            parts, a = [], 0
+            while a < len(order):
+                # As many as fit at the length of the last of them.
+                room = np.flatnonzero(np.arange(1, len(order) - a + 1) * lengths[order[a:]] <= tokens)
+                b = a + (int(room[-1]) + 1 if len(room) else 1)
+                parts.append(values_of([texts[i] for i in order[a:b].tolist()]))
+                a = b
+            widths = np.zeros(len(texts), np.int64)
+            widths[order] = [x.shape[1] for x in parts for _ in range(len(x))]
+            flat = np.empty(int(widths.sum()))
+            ends = np.cumsum(widths)
+            at = 0
+            for x in parts:
+                rows = order[at : at + len(x)]
+                flat[(ends[rows] - widths[rows])[:, None] + np.arange(x.shape[1])] = x
+                at += len(x)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([lengths < shape.k, [False]]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*own.schema.names, "features"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema.fields)
     return seqs.mapInArrow(run, f"{kinds}, features array<double>")
@@ -202,17 +216,169 @@ def train_head(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarra
     return found, float(best)
 
 
+def _scaled(gram: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Gram sums of [1, x, y] as those of [1, (x - mean) / std, y]."""
+    step = np.diag(np.concatenate([[1.0], 1 / std, [1.0]]))
+    step[1:-1, 0] = -mean / std
+    return step @ gram @ step.T
+
+
+def linear_head(cells: dict[str, np.ndarray], rate: float = 1e-2, epochs: int = 2000, patience: int = 50, margin: float = 1e-6, decay: float = 0.0) -> dict[str, float]:
+    """A linear head by Adam on squared error, from Gram sums of train, val and test (see ridge.gram_sums).
+
+    A step takes the gradient of all training rows, which the sums give, so rows are read once whatever the epochs are.
+    Features are scaled by what train has; the epoch with the best R2 on val is kept.
+    """
+    n = cells["train"][0, 0]
+    mean = cells["train"][0, 1:-1] / n
+    std = np.sqrt(np.maximum(np.diag(cells["train"])[1:-1] / n - mean**2, 0))
+    scaled = {k: _scaled(g, mean, np.where(std < 1e-8, 1.0, std)) for k, g in cells.items()}
+    g = scaled["train"]
+    weights = np.concatenate([[g[0, -1] / n], np.zeros(len(mean))])
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    best, found, waited = -np.inf, weights, 0
+    for step in range(1, epochs + 1):
+        slope = 2 * (g[:-1, :-1] @ weights - g[:-1, -1]) / n + decay * np.concatenate([[0.0], weights[1:]])
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        weights = weights - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        score = ridge.scores(scaled["val"], ridge.Fit(weights[1:], float(weights[0])))["r2"]
+        if score > best + margin:
+            best, found, waited = score, weights, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    test = ridge.scores(scaled["test"], ridge.Fit(found[1:], float(found[0])))
+    return {"n": int(sum(c[0, 0] for c in cells.values())), "val_r2": float(best), "test_r2": float(test["r2"]), "test_rmse": test["rmse"]}
+
+
+def gradients(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the sum of squared errors over rows, by layer."""
+    values = [x]
+    for i, (w, b) in enumerate(layers):
+        z = values[-1] @ w + b
+        values.append(np.maximum(z, 0) if i < len(layers) - 1 else z)
+    grad, out = 2 * (values[-1] - y[:, None]), []
+    for i in range(len(layers) - 1, -1, -1):
+        out.append((values[i].T @ grad, grad.sum(0)))
+        grad = grad @ layers[i][0].T * (values[i] > 0) if i else grad
+    return out[::-1]
+
+
+def spread_head(rows: DataFrame, hidden: tuple[int, ...], rate: float = 1e-2, epochs: int = 100, patience: int = 20, margin: float = 1e-6, seed: int = 0) -> dict[str, float]:
+    """A head with hidden layers over rows (split, features, y) of any number: tasks sum gradients of the rows they hold,
+    a job for each epoch; only sums of the parameters' size reach the driver."""
+    held = ridge.usable(rows.select("split", "features", "y"), ["split"], "features", "y").persist()
+    moments = {r["place"]: r for r in train_moments(held, "x", F.col("split") == "train").collect()}
+    mean, std = (np.array([moments[i][k] for i in range(len(moments))]) for k in ("mean", "std"))
+    std = np.where(std < 1e-8, 1.0, std)
+    known = {r["split"]: r for r in held.groupBy("split").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("squares")).collect()}
+    random = np.random.default_rng(seed)
+    widths = (len(mean), *hidden, 1)
+    layers = [(random.uniform(-1, 1, (a, b)) / np.sqrt(a), np.zeros(b)) for a, b in zip(widths, widths[1:], strict=False)]
+    layers[-1] = layers[-1][0], layers[-1][1] + known["train"]["mean"]
+    sizes = [p.size for pair in layers for p in pair]
+    total = sum(sizes)
+
+    def summed(layers) -> np.ndarray:
+        """Gradients of train, flat, then the squares left of train, val and test."""
+        shared = rows.sparkSession.sparkContext.broadcast((layers, mean, std))
+
+        def run(batches):
+            layers, mean, std = shared.value
+            out = np.zeros(total + 3)
+            for batch in batches:
+                x = (batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean) / std
+                y, split = batch.column(2).to_numpy(), np.array(batch.column(0).to_pylist())
+                left = (Head(layers).predict(x) - y) ** 2
+                out[total:] += [left[split == s].sum() for s in ("train", "val", "test")]
+                own = split == "train"
+                out[:total] += np.concatenate([p.ravel() for pair in gradients(layers, x[own], y[own]) for p in pair])
+            yield pa.RecordBatch.from_pydict({"place": np.arange(total + 3, dtype=np.int32), "value": out})
+
+        parts = held.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
+        shared.destroy()
+        return np.array([r["value"] for r in parts])
+
+    flat = np.concatenate([p.ravel() for pair in layers for p in pair])
+
+    def shaped(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        return [(w.reshape(a, b), c) for a, b, w, c in zip(widths[:-1], widths[1:], parts[::2], parts[1::2], strict=True)]
+
+    first, second = np.zeros(total), np.zeros(total)
+    r2 = lambda left, split: 1 - left / max(known[split]["squares"], 1e-12)
+    best, found, waited = -np.inf, np.zeros(3), 0
+    for step in range(1, epochs + 2):
+        sums = summed(shaped(flat))
+        score = r2(sums[-2], "val")
+        if score > best + margin:
+            best, found, waited = score, sums[-3:], 0
+        else:
+            waited += 1
+        if waited >= patience:
+            break
+        slope = sums[:total] / known["train"]["n"]
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        flat = flat - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    held.unpersist()
+    return {"n": sum(r["n"] for r in known.values()), "val_r2": float(best), "test_r2": float(r2(found[2], "test")), "test_rmse": float(np.sqrt(found[2] / known["test"]["n"]))}
+
+
+_SCORES = "n long, val_r2 double, test_r2 double, test_rmse double"
+
+
 def head_scores(rows: DataFrame, by: list[str], hidden: tuple[int, ...] = (), **options) -> DataFrame:
-    """(by, n, val_r2, test_r2, test_rmse): a head for each group of rows (by, split, features, y); a group fits one task."""
+    """(by, n, val_r2, test_r2, test_rmse, status): a head for each group of rows (by, split, features, y). Null features are left out.
+
+    A linear head is trained on Gram sums. One with hidden layers is trained in a task, by mini-batches, if its group has at
+    most ridge.MOST_VALUES values; a larger group, by all tasks together, one group after another. A group that fails has its error in status.
+    """
+    if not hidden:
+        return ridge.solved(ridge.gram_sums(rows, [*by, "split"]), by, ["split"], lambda cells: linear_head(cells, **options), _SCORES)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+    some = ridge.usable(rows, [*by, "split"], "features", "y")
+    sizes = some.groupBy(*by).agg((F.sum(F.size("x")) > ridge.MOST_VALUES).alias("_large")).persist()
+    large = [r.asDict() for r in sizes.where("_large").select(*by).collect()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {s: (np.stack(g["features"].to_numpy()).astype(float), g["y"].to_numpy(float)) for s, g in pdf.sort_values("id").groupby("split")}
-        mean, std = parts["train"][0].mean(0), parts["train"][0].std(0)
-        parts = {s: ((x - mean) / np.where(std < 1e-8, 1, std), y) for s, (x, y) in parts.items()}
-        head, val = train_head(*parts["train"], *parts["val"], hidden=hidden, **options)
-        left = head.predict(parts["test"][0]) - parts["test"][1]
-        total = ((parts["test"][1] - parts["test"][1].mean()) ** 2).sum()
-        return pd.DataFrame([pdf[by].iloc[0].to_dict() | {"n": len(pdf), "val_r2": val, "test_r2": 1 - (left**2).sum() / max(total, 1e-12), "test_rmse": float(np.sqrt((left**2).mean()))}])
-
-    return rows.where(F.col("features").isNotNull()).groupBy(*by).applyInPandas(run, f"{kinds}, n long, val_r2 double, test_r2 double, test_rmse double")
+        own = pdf[by].iloc[0].to_dict()
+        try:
+            pdf = pdf.iloc[np.lexsort((pdf["x"].map(tuple).map(hash).to_numpy(), pdf["y"].to_numpy()))]  # an order that partitions don't change
+            parts = {s: (np.stack(g["x"].to_numpy()).astype(float), g["y"].to_numpy(float)) for s, g in pdf.groupby("split")}
+            mean, std = parts["train"][0].mean(0), parts["train"][0].std(0)
+            parts = {s: ((x - mean) / np.where(std < 1e-8, 1, std), y) for s, (x, y) in parts.items()}
+            head, val = train_head(*parts["train"], *parts["val"], hidden=hidden, **options)
+            left = head.predict(parts["test"][0]) - parts["test"][1]
+            total = ((parts["test"][1] - parts["test"][1].mean()) ** 2).sum()
+            found = {"n": len(pdf), "val_r2": val, "test_r2": 1 - (left**2).sum() / max(total, 1e-12), "test_rmse": float(np.sqrt((left**2).mean())), "status": "ok"}
+        except Exception as error:  # noqa: BLE001  one group's data don't end the others' job
+            found = dict.fromkeys(x.split()[0] for x in _SCORES.split(", ")) | {"status": f"{type(error).__name__}: {error}"}
+        return pd.DataFrame([own | found])
+
+    few = some.join(sizes.where("not _large"), by, "left_semi")
+    out = few.groupBy(*by).applyInPandas(run, f"{kinds}, {_SCORES}, status string")
+    for own in large:
+        is_own = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in own.items()))
+        told = spread_head(rows.where(is_own), hidden, **{k: v for k, v in options.items() if k in ("rate", "epochs", "patience", "margin", "seed")})
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by]
+        out = out.unionByName(rows.sparkSession.createDataFrame([(*own.values(), *told.values(), "ok")], f"{', '.join(fields)}, {_SCORES}, status string"))
+    return out
+
+
+def compared(seqs: DataFrame, checkpoints: dict[str, Weights], shape: Shape = Shape(), seed: int = 42, kind: str = "hidden_flex", pool: str | None = None) -> DataFrame:
+    """A row for each checkpoint: model, seed, n_total, n_train, n_val, n_test, val_r2, test_r2, test_pearson, test_rmse.
+
+    seqs: id, seq (of one length, without pooling) and y. All use the same split by id; a linear head is fitted on each
+    frozen encoder's features, with the penalty that val prefers and without a refit.
+    """
+    rows = split_by_share(seqs.select("id", "seq", "y"), "id", seed).persist()
+    sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for name, weights in checkpoints.items():
+        sums = ridge.gram_sums(encoded(rows, weights, shape, kind, pool).withColumn("model", F.lit(name)), ["model", "split"])
+        fit = lambda cells: ridge.validated(cells, refit=False, scale=True)
+        out.append(ridge.solved(sums, ["model"], ["split"], fit, ridge.VALIDATED))
+    counts = [F.lit(sizes.get(s, 0)).alias(f"n_{s}") for s in ("train", "val", "test")]
+    told = reduce(DataFrame.unionByName, out)
+    return told.select("model", F.lit(seed).alias("seed"), F.lit(sum(sizes.values())).alias("n_total"), *counts, "alpha", "val_r2", "test_r2", "test_pearson", "test_rmse", "status")

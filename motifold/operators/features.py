@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.functions.flexibility import BASES, SPECIALS, Feature, features, kmer_frame, token_flexibility, words
-from motifold.functions.sequences import kmers, one_hot, positional_words
+from motifold.functions.flexibility import BASES, SPECIALS, Feature, feature_names, features, kmer_frame, token_flexibility, words
+from motifold.functions.sequences import kmers, one_hot
 
 
 def token_targets(seqs: DataFrame, k: int = 6, strict: bool = True) -> DataFrame:
@@ -71,6 +71,34 @@ def track(seqs: DataFrame, used: tuple[Feature, ...] | None = None) -> DataFrame
     return out
 
 
+def track_profile(seqs: DataFrame, used: tuple[Feature, ...] | None = None) -> DataFrame:
+    """What track() gives, summed over sequences: feature, pos, place, n, mean.
+
+    Words are counted by length and position first, so for sequences of a few lengths a few thousand rows leave a task;
+    values meet those counts, not the words.
+    """
+    spark = seqs.sparkSession
+    order = sorted(used or features(), key=lambda f: (-f.width, f.index))
+    out = None
+    for width in sorted({f.width for f in order}, reverse=True):
+        own = [f for f in order if f.width == width]
+        counts = kmers(seqs.select("seq", F.length("seq").alias("_length")), width).groupBy("_length", "pos", "kmer").agg(F.count("*").alias("times"))
+        before = sum((F.col("_length") - f.width + 1 for f in order if f.width > width), F.lit(0))
+        names = spark.createDataFrame([(i, f.index, f.name) for i, f in enumerate(own)], "turn int, feature_index int, feature string")
+        values = spark.createDataFrame([(f.index, w, v) for f in own for w, v in f.values.items()], "feature_index int, kmer string, value double")
+        rows = counts.crossJoin(F.broadcast(names)).join(F.broadcast(values), ["feature_index", "kmer"], "left")
+        place = before + F.col("turn") * (F.col("_length") - width + 1) + F.col("pos")
+        rows = rows.select("feature", "pos", place.alias("place"), "times", (F.coalesce("value", F.lit(0.0)) * F.col("times")).alias("sum"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("feature", "pos", "place").agg(F.sum("times").alias("n"), (F.sum("sum") / F.sum("times")).alias("mean"))
+
+
+def per_feature(aggregates: DataFrame, by: str, parts: list[str]) -> DataFrame:
+    """(by, feature, parts): from one row for each key with columns part_i (i: a feature's number), a row for each feature."""
+    cells = [F.struct(F.lit(n).alias("feature"), *(F.col(f"{p}_{i}").alias(p) for p in parts)) for i, n in enumerate(feature_names())]
+    return aggregates.select(by, F.inline(F.array(*cells)))
+
+
 def _codes(seqs: list[str], length: int) -> np.ndarray:
     """Sequences x length: 0 to 3 by base, 4 for another letter or none."""
     table = np.full(256, 4, np.uint8)
@@ -99,11 +127,21 @@ def _flat_track(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, 1)
 
 
+def _flexible_parts(codes: np.ndarray, names: tuple[str, ...] = ("DNaseI", "NPP", "twistDisp", "stifness")) -> np.ndarray:
+    """Some features' values at each position: of triples first, then of pairs, each in the order of names."""
+    own = {f.name: f for f in features()}
+    parts = []
+    for f in sorted((own[n] for n in names), key=lambda f: -f.width):
+        parts.append(np.array([*(f.values.get(w, 0.0) for w in words(f.width)), 0.0])[_word_codes(codes, f.width)])
+    return np.concatenate(parts, 1)
+
+
 #: Feature rows by kind, from codes of sequences of one length.
 FEATURE_BUILDERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "1mer": lambda codes: _positional(codes, 1),
     "2mer": lambda codes: _positional(codes, 2),
     "3mer": lambda codes: _positional(codes, 3),
+    "1mer_flex": lambda codes: np.concatenate([_positional(codes, 1), _flexible_parts(codes)], 1),
     "1mer12flex": lambda codes: np.concatenate([_positional(codes, 1), _flat_track(codes)], 1),
 }
 
@@ -134,10 +172,6 @@ def token_one_hot(seqs: DataFrame, k: int = 6) -> DataFrame:
     return kmers(seqs, k).withColumn("onehot", one_hot(F.col("kmer")))
 
 
-def positional(seqs: DataFrame, n: int) -> DataFrame:
-    return positional_words(seqs, n)
-
-
 def pooled(rows: DataFrame, values: str, mask: str, by: list[str]) -> DataFrame:
     """(by, place, mean, max) over rows whose mask is not 0; without any, mean 0 and max -1e9."""
     listed = rows.select(*by, mask, F.posexplode(values).alias("place", "value"))

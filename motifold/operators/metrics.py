@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifold.functions.sequences import resolve_column
+
 #: What R2 is where the observed values don't vary: by a least sum of squares, by a small addend, null, or as common libraries do.
 R2_POLICIES = ("clamp", "add", "null", "exact")
 
@@ -52,6 +56,23 @@ def calibration(y: str, p: str, identity: bool = False) -> tuple[Column, Column]
     return slope, F.avg(y) - slope * F.avg(p)
 
 
+def calibrated(rows: DataFrame, by: list[str], y: str, p: str, fitted: Column, identity: bool = True) -> DataFrame:
+    """rows with a column calibrated: p after the line that fits y on the rows for which `fitted` holds, in each group.
+
+    Fitted on validation rows, it is applied to all, so to test rows as well. A group without such rows has nulls.
+    """
+    some = rows.where(fitted).select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
+    slope, intercept = calibration("_y", "_p", identity)
+    lines = some.groupBy(*by).agg(slope.alias("_slope"), intercept.alias("_intercept"))
+    out = rows.join(lines, by, "left") if by else rows.crossJoin(F.broadcast(lines))
+    return out.withColumn("calibrated", F.col("_slope") * F.col(p) + F.col("_intercept")).drop("_slope", "_intercept")
+
+
+def weighted_total(parts: dict[str, tuple[float, Column]]) -> Column:
+    """Sum of losses times weights. A loss of weight 0 is inactive: it may be null or NaN."""
+    return reduce(lambda a, b: a + b, (w * loss for w, loss in parts.values() if w), F.lit(0.0))
+
+
 def huber(left: Column, delta: float = 1.0) -> Column:
     return F.when(F.abs(left) <= delta, 0.5 * left**2).otherwise(delta * (F.abs(left) - 0.5 * delta))
 
@@ -68,12 +89,23 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return F.when(label.isNotNull(), F.ln(total) + top - F.get(logits, label))
 
 
-def summary(rows: DataFrame, by: list[str], value: str, sample: bool = True, fill: float | None = None) -> DataFrame:
-    """count, mean, median, std, min and max of each group; std of a sample or of a population, a missing one as fill."""
+def summary(rows: DataFrame, by: list[str], value: str, sample: bool = True, fill: float | None = None, accuracy: int | None = None) -> DataFrame:
+    """count, mean, median, std, min and max of each group; std of a sample or of a population, a missing one as fill.
+
+    An exact median keeps a group's distinct values in one task; with accuracy, it is one of the values, of a rank that is
+    off by at most n / accuracy, from summaries that tasks combine.
+    """
     deviation = (F.stddev_samp if sample else F.stddev_pop)(value)
     if fill is not None:
         deviation = F.coalesce(deviation, F.lit(fill))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), deviation.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.percentile_approx(value, 0.5, accuracy) if accuracy else F.median(value)).alias("median"), deviation.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def mean_over(rows: DataFrame, by: list[str], value: str, mean: str) -> DataFrame:
+    """(by, mean): the mean of value over all that `by` leaves out; rows that come with their mean already are passed through."""
+    if value in rows.columns:
+        return rows.groupBy(*by).agg(F.avg(value).alias(mean))
+    return rows.select(*by, resolve_column(rows, [mean, f"mean_{value}", f"{value}_mean"])).toDF(*by, mean)
 
 
 def in_order(summed: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -99,6 +131,40 @@ def unfinished(keys: DataFrame, results: DataFrame, key: str, value: str) -> Dat
     return keys.join(done, key, "left_anti")
 
 
+def with_metric(rows: DataFrame, metric: DataFrame, key: str) -> DataFrame:
+    """rows with the further columns of metric (one row a key); rows without one have nulls."""
+    return rows.join(metric, key, "left")
+
+
+def resumed(keys: DataFrame, results: DataFrame | None, key: str, value: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results for all keys: those that are complete stay, `work` makes the others', and incomplete ones are replaced."""
+    if results is None:
+        return work(keys)
+    left = unfinished(keys, results, key, value)
+    return results.join(left, key, "left_anti").unionByName(work(left))
+
+
+def save_resumed(spark: SparkSession, keys: DataFrame, path: str, key: str, value: str, work: Callable[[DataFrame], DataFrame]) -> None:
+    """resumed() over the parts of a result table at path, `run=0` and so on: each run adds a part with what was unfinished.
+
+    Earlier parts are never rewritten, so a run that dies leaves them whole; read_resumed() takes each key's last part.
+    """
+    before = read_resumed(spark, path, key)
+    left = keys if before is None else unfinished(keys, before, key, value)
+    number = 0 if before is None else spark.read.parquet(path).agg(F.max("run")).first()[0] + 1
+    work(left).write.mode("overwrite").parquet(f"{path}/run={number}")
+
+
+def read_resumed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Each key's row of the last run that has it; None before the first run."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    rest = [c for c in rows.columns if c not in (key, "run")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "run").alias("_last")).select(key, "_last.*")
+
+
 def grid(*axes: DataFrame) -> DataFrame:
     """Every combination of a few small tables of choices."""
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)

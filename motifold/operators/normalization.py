@@ -21,6 +21,11 @@ def weighted_moments(rows: DataFrame, value: Column, weight: str, by: str) -> Da
     return away.select(by, "n", "mean", F.sqrt(F.col("squares") / F.col("n")).alias("std"))
 
 
+def first_lines(lines: DataFrame, most: int | None, order: str = "line") -> DataFrame:
+    """The first lines by a column, blank ones counted; all without a bound."""
+    return lines if most is None else lines.orderBy(order).limit(most)
+
+
 def flexibility_stats(seqs: DataFrame, k: int = 6) -> DataFrame:
     """(feature, n_tokens, mean, std) of all valid k-mers, from the counts of distinct ones; a deviation of 0 becomes 1."""
     spark = seqs.sparkSession

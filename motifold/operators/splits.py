@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,48 +26,111 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 42, within: str | None =
     return ranked(df, seed, key, within, "_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
+#: Up to so many rows a group, tasks keep only those of the smallest draws before anything is shuffled.
+FEW = 1000
+
+
 def capped(df: DataFrame, key: str, most: int, within: str, seed: int = 42) -> DataFrame:
     """At most so many rows of each group, a random choice without replacement."""
-    return ranked(df, seed, key, within, "_rank").where(F.col("_rank") <= most).drop("_rank")
+    if most > FEW:
+        return ranked(df, seed, key, within, "_rank").where(F.col("_rank") <= most).drop("_rank")
+    order = Window.partitionBy(within).orderBy("_draw", key)
+    return df.withColumn("_draw", draw(seed, key)).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_draw", "_rank")
+
+
+def subset(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """`size` rows of df at random, all of them if size isn't between 0 and their number. Other sizes are other draws, not more of one."""
+    if not 0 < size < df.count():
+        return df
+    return ranked(df, f"{seed}n{size}", key, name="_rank").where(F.col("_rank") <= size).drop("_rank")
 
 
-def nested_subsets(df: DataFrame, key: str, percents: list[int], seed: int = 42, least: int = 16) -> DataFrame:
+def nested_subsets(df: DataFrame, key: str, percents: list[int] | list[float], seed: int = 42, least: int = 16) -> DataFrame:
     """(percent, all columns of df): subsets of one order, each a prefix of the next; of ceil(n percent / 100) rows, `least` at least."""
     total = df.count()
-    sizes = [(p, min(total, max(least, -(-total * p // 100)))) for p in percents]
+    sizes = [(p, min(total, max(least, int(-(-total * p // 100))))) for p in percents]
     at = F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), F.lit(n).alias("size")) for p, n in sizes)))
     rows = ranked(df, seed, key, name="_rank").withColumn("_at", at).where("_rank <= _at.size")
     return rows.select(F.col("_at.percent").alias("percent"), *df.columns)
 
 
-def masked_positions(tokens: DataFrame, by: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """tokens (by, pos, ...) with a column masked: each by itself with the given chance, and one of each sequence if none is.
+def subset_bands(df: DataFrame, key: str, percents: list[int] | list[float], seed: int = 42, least: int = 16) -> DataFrame:
+    """df with a column band: the place in `percents` (ascending) of the smallest of nested_subsets that a row is in; null if none."""
+    total = df.count()
+    sizes = [min(total, max(least, int(-(-total * p // 100)))) for p in percents]
+    band = reduce(lambda rest, x: F.when(F.col("_rank") <= x[1], x[0]).otherwise(rest), reversed(list(enumerate(sizes))), F.lit(None).cast("int"))
+    return ranked(df, seed, key, name="_rank").withColumn("band", band).drop("_rank")
+
+
+def inner_folds(df: DataFrame, key: str, outer: int, inner: int, seed: int = 42, within: str | None = None) -> DataFrame:
+    """df with columns outer, a row's fold, and inner, an array with its inner fold in each outer fold.
+
+    Inner folds are drawn anew for each outer fold (seed + 1 + fold) among the rows that it doesn't hold out, in equal sizes;
+    it is -1 where the row is held out. within: folds are of each group by itself.
+    """
+    rows = folds(df, key, outer, seed, within).withColumnRenamed("fold", "outer")
+    at = F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("_at")
+    group = F.struct(*(F.col(c) for c in ([within] if within else [])), F.col("_at"))
+    training = rows.select(key, *([within] if within else []), "outer", at).where("_at <> outer").withColumn("_cell", group)
+    # One ranking for all outer folds: by a draw that is salted by the fold.
+    salted = training.withColumn("_salted", F.concat_ws("|", (F.col("_at") + seed + 1).cast("string"), F.col(key).cast("string")))
+    placed = ranked(salted, seed, "_salted", "_cell", "_rank").select(key, "_at", ((F.col("_rank") - 1) % inner).cast("int").alias("_inner"))
+    listed = placed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_inner"))).alias("_map"))
+    inner_at = F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: F.coalesce(F.try_element_at("_map", o), F.lit(-1)))
+    return rows.join(listed, key).withColumn("inner", inner_at).drop("_map")
+
+
+def least_draw(by: str, count: Column, seed: int = 42) -> Column:
+    """(draw, pos): of positions 0 to count - 1 of a row with key `by` the one with the smallest draw; null without any."""
+    at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    return F.array_min(F.transform(at, lambda i: F.struct(draw(seed, F.col(by), i).alias("draw"), i.alias("pos"))))
+
+
+def masked(by: str, least: str, pos: str = "pos", share: float = 0.15, seed: int = 42) -> Column:
+    """Whether a position is masked: each by itself with the given chance, and that of the smallest draw if none of its row is.
 
-    The one is that with the smallest draw, so tasks need a minimum of each sequence, not its tokens in order.
+    least: a column with least_draw of the row, made before positions become rows; so nothing is shuffled or joined.
     """
-    drawn = tokens.withColumn("_draw", draw(seed, by, "pos"))
-    least = drawn.groupBy(by).agg(F.min(F.struct("_draw", "pos")).alias("_least"))
-    hit = unit(seed, by, "pos") < share
-    forced = (F.col("_least._draw") / float(1 << 32) >= share) & (F.col("pos") == F.col("_least.pos"))
-    return drawn.join(least, by).withColumn("masked", hit | forced).drop("_draw", "_least")
+    forced = (F.col(f"{least}.draw") / float(1 << 32) >= share) & (F.col(pos) == F.col(f"{least}.pos"))
+    return (unit(seed, by, pos) < share) | forced
+
+
+def fixed_position(count: Column, at: int = 2) -> Column:
+    """The one position that is masked where masks mustn't vary: `at`, or the last of fewer; null without any."""
+    return F.when(count > 0, F.least(F.lit(at), count - 1))
+
+
+#: Tries for each window that is wanted, at most.
+TRIES = 500
 
 
-def sampled_windows(chunks: DataFrame, count: int, width: int, seed: int = 42, oversample: int = 4) -> DataFrame:
-    """(draw, chrom, start, seq): `count` windows of four-base letters only, or as many as `oversample` * count tries give.
+def sampled_windows(chunks: DataFrame, count: int, width: int, seed: int = 42, tries: int = TRIES) -> DataFrame:
+    """(draw, chrom, start, seq): the first `count` windows of four-base letters only, or as many as `tries` * count tries give.
 
-    chunks: chrom, start, seq, without gaps; a window lies within one. Each try picks a chromosome, then a place in it, both
-    evenly; duplicates may come. Tries are rows of a range, so any number of tasks makes them.
+    chunks: chrom, start, seq, without gaps; they may overlap, and a window must lie within one. Each try picks a chromosome, then a place in it, both
+    evenly; duplicates may come. Tries are rows of a range, as many as turn out to be needed; chromosomes are numbered by a
+    hashed order, so that neither is in one task.
     """
     spark = chunks.sparkSession
     sizes = chunks.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq")).alias("size"))
-    names = sizes.orderBy("chrom").agg(F.collect_list(F.struct("chrom", "size")).alias("all"))
-    tries = spark.range(oversample * count).crossJoin(F.broadcast(names))
-    picked = tries.withColumn("at", F.get("all", (unit(f"{seed}c", "id") * F.size("all")).cast("int")))
-    start = (unit(f"{seed}s", "id") * (F.col("at.size") - width + 1)).cast("long")
-    picked = picked.where(F.col("at.size") >= width).select("id", F.col("at.chrom").alias("chrom"), start.alias("at"))
-    met = picked.join(chunks, "chrom").where(F.col("at").between(F.col("start"), F.col("start") + F.length("seq") - width))
-    windows = met.select("id", "chrom", F.col("at").alias("start"), F.substring(F.col("seq"), (F.col("at") - F.col("start") + 1).cast("int"), F.lit(width)).alias("seq"))
-    return windows.where(F.col("seq").rlike("^[ACGT]*$")).orderBy("id").limit(count).withColumnRenamed("id", "draw")
+    names = ranked(sizes, seed, "chrom", name="_at").withColumn("_at", F.col("_at") - 1).persist()
+    total = names.count()
+
+    def accepted(first: int, last: int) -> DataFrame:
+        drawn = spark.range(first, last).withColumn("_at", (unit(f"{seed}c", "id") * total).cast("long"))
+        picked = drawn.join(names, "_at").where(F.col("size") >= width)
+        picked = picked.select("id", "chrom", (unit(f"{seed}s", "id") * (F.col("size") - width + 1)).cast("long").alias("at"))
+        met = picked.join(chunks, "chrom").where(F.col("at").between(F.col("start"), F.col("start") + F.length("seq") - width))
+        windows = met.select(F.col("id").alias("draw"), "chrom", F.col("at").alias("start"), F.substring(F.col("seq"), (F.col("at") - F.col("start") + 1).cast("int"), F.lit(width)).alias("seq"))
+        return windows.where(F.col("seq").rlike("^[ACGT]*$")).dropDuplicates(["draw"])
+
+    made, found = 0, 0
+    while found < count and made < tries * count:
+        more = min(tries * count - made, max(4 * count, int(1.2 * made * (count - found) / found) if found else 4 * made))
+        found += accepted(made, made + more).count()
+        made += more
+    names.unpersist()
+    return accepted(0, made).orderBy("draw").limit(count)
 
 
 def dominant_length(rows: DataFrame, by: str, seq: str, order: str) -> DataFrame:

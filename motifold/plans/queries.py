@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.functions.flexibility import feature_names, lookup_frame, vocabulary_frame
+from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
-from motifold.functions.sequences import file_factor, file_family, gc_share, kmers, only_bases, positional_words, told_number, token_id
+from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_words, sorted_families, told_number, token_id
 from motifold.operators import encoder, metrics, normalization, ridge, splits
-from motifold.operators.features import feature_matrix, pooled, token_one_hot, token_targets, track
+from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs
 from motifold.streaming.running_stats import batch_moments, windowed_stats
 
@@ -28,18 +31,21 @@ def sequences(spark: SparkSession, sf_dir: str, letters: str = "ACGT") -> DataFr
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive whole windows of each sequence: doc_id, j, seq."""
-    parts = F.regexp_extract_all("seq", F.lit(f".{{{WINDOW}}}"), F.lit(0))
-    return sequences(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("j", "seq"))
+    """Consecutive whole windows of each sequence: doc_id, source, j, seq."""
+    parts = F.regexp_extract_all(only_bases(F.col("text")), F.lit(f".{{{WINDOW}}}"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(parts).alias("j", "seq"))
 
 
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of sequence and score, some of them faulty, in files named by source: made from documents."""
-    docs = table(spark, sf_dir, "documents").withColumn("seq", only_bases(F.col("text")))
-    turn = F.col("doc_id") % 5
-    fine = F.concat(F.left("seq", (8 + F.col("doc_id") % 7).cast("int")), F.lit("\t"), (F.col("n_chars") / 4).cast("decimal(12,2)").cast("string"), F.lit(" "), F.col("doc_id").cast("string"))
-    value = F.when(turn == 0, "  ").when(turn == 1, F.left("seq", F.lit(10))).when(turn == 2, F.concat(F.left("seq", F.lit(10)), F.lit(" x1"))).otherwise(fine)
-    return docs.select(F.col("source").alias("file"), value.alias("value"), "doc_id")
+    """Lines of sequence and score, some of them faulty, in files named by source, with a number (line): all letters of a
+    document, 8 to 14 of them a line by its id."""
+    pattern = F.concat(F.lit(".{1,"), (8 + F.col("doc_id") % 7).cast("string"), F.lit("}"))
+    pieces = F.posexplode(F.regexp_extract_all(only_bases(F.col("text")), pattern, F.lit(0))).alias("j", "seq")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", pieces)
+    turn = (F.col("doc_id") + F.col("j")) % 5
+    fine = F.concat("seq", F.lit("\t"), (F.col("n_chars") / 4 + F.col("j")).cast("decimal(12,2)").cast("string"), F.lit(" "), F.col("doc_id").cast("string"))
+    value = F.when(turn == 0, "  ").when(turn == 1, F.col("seq")).when(turn == 2, F.concat("seq", F.lit(" x1"))).otherwise(fine)
+    return docs.select(F.col("source").alias("file"), value.alias("value"), (F.col("doc_id") * 100_000 + F.col("j")).alias("line"))
 
 
 def rounded(*columns: str, digits: int = 6) -> list[Column]:
@@ -89,29 +95,41 @@ def flex_token_targets_lenient(spark, sf_dir):
 
 
 def flex_track_profile(spark, sf_dir):
-    return track(windows(spark, sf_dir)).groupBy("feature", "pos", "place").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return track_profile(windows(spark, sf_dir)).select("feature", "pos", "place", "n", *rounded("mean"))
 
 
 def flex_norm_stats(spark, sf_dir):
     return normalization.flexibility_stats(sequences(spark, sf_dir)).select("feature", "n_tokens", *rounded("mean", "std"))
 
 
-def _token_values(spark, sf_dir):
-    names = F.array(*map(F.lit, feature_names()))
-    listed = token_targets(sequences(spark, sf_dir)).select("doc_id", F.posexplode("flex").alias("i", "value"))
-    return listed.select("doc_id", F.get(names, F.col("i")).alias("feature"), "value")
+def _per_document(spark, sf_dir, **parts):
+    """A row for each document, with what each of parts makes of every feature's token values, as columns part_i."""
+    made = [make(F.get("flex", F.lit(i))).alias(f"{name}_{i}") for i in range(len(feature_names())) for name, make in parts.items()]
+    return token_targets(sequences(spark, sf_dir)).groupBy("doc_id").agg(*made)
 
 
 def flex_normalized_global(spark, sf_dir):
     stats = normalization.flexibility_stats(sequences(spark, sf_dir)).select("feature", "mean", "std")
-    rows = _token_values(spark, sf_dir).groupBy("doc_id", "feature").agg(F.avg("value").alias("own"))
+    rows = per_feature(_per_document(spark, sf_dir, own=F.avg), "doc_id", ["own"])
     return rows.join(F.broadcast(stats), "feature").select("doc_id", "feature", (F.round((F.col("own") - F.col("mean")) / F.col("std"), 6) + 0.0).alias("z"))
 
 
+def flex_normalized_tokens(spark, sf_dir):
+    """Every token's values, scaled by the statistics of all; of each document the sums, plain and by position."""
+    stats = {r["feature"]: r for r in normalization.flexibility_stats(sequences(spark, sf_dir)).collect()}  # twelve rows
+    scaled = normalization.normalized(F.col("flex"), *([stats[n][k] for n in feature_names()] for k in ("mean", "std")))
+    rows = token_targets(sequences(spark, sf_dir)).withColumn("z", scaled)
+    parts = [(F.round(F.avg(F.get("z", F.lit(i)) * w) + NUDGE, 4) + 0.0).alias(f"{n}_{i}") for i in range(len(feature_names())) for n, w in (("z", F.lit(1)), ("z_by_place", F.col("pos") % 7))]
+    return per_feature(rows.groupBy("doc_id").agg(*parts), "doc_id", ["z", "z_by_place"])
+
+
 def flex_zscore_per_seq(spark, sf_dir):
-    own = _token_values(spark, sf_dir).groupBy("doc_id", "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"), F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.col("pos") + 1
+    parts = {"mean": F.avg, "s": F.stddev_pop, "low": F.min, "high": F.max, "first": lambda v: F.min_by(v, "pos"), "by_place": lambda v: F.sum(v * place) / F.sum(place)}
+    own = per_feature(_per_document(spark, sf_dir, **parts), "doc_id", list(parts))
     std = F.when(F.round("s", 9) == 0, 1.0).otherwise(F.col("s"))
-    return own.select("doc_id", "feature", (F.round((F.col("low") - F.col("mean")) / std, 5) + 0.0).alias("z_low"), (F.round((F.col("high") - F.col("mean")) / std, 5) + 0.0).alias("z_high"))
+    z = [(F.round((F.col(c) - F.col("mean")) / std, 5) + 0.0).alias(f"z_{c}") for c in ("low", "high", "first")]
+    return own.select("doc_id", "feature", *z, (F.round((F.col("by_place") - F.col("mean")) / std + NUDGE, 4) + 0.0).alias("z_by_place"))
 
 
 def onehot_profile(spark, sf_dir):
@@ -132,21 +150,25 @@ def valid_acgt_words(spark, sf_dir):
 
 
 def scan_rejects(spark, sf_dir):
-    told = judged_pairs(scored_lines(spark, sf_dir).drop("doc_id"))
+    told = judged_pairs(scored_lines(spark, sf_dir).drop("line"))
     return told.groupBy("file", F.coalesce("reason", F.lit("row")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def dominant_length(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir).where("doc_id % 5 > 2").select("file", "doc_id", F.split("value", "\t")[0].alias("seq"))
-    return splits.dominant_length(rows, "file", "seq", "doc_id")
+    return splits.dominant_length(lenient_pairs(scored_lines(spark, sf_dir)), "file", "seq", "line")
+
+
+def dominant_rows(spark, sf_dir):
+    rows = splits.of_dominant_length(lenient_pairs(scored_lines(spark, sf_dir)), "file", "seq", "line")
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("length"), F.sum("line").alias("lines"), F.round(F.avg("score"), 4).alias("score"))
 
 
 def file_summaries(spark, sf_dir):
-    return file_profile(scored_lines(spark, sf_dir).drop("doc_id"))
+    return file_profile(scored_lines(spark, sf_dir).drop("line"))
 
 
 def min_rows_files(spark, sf_dir):
-    return splits.large_groups(lenient_pairs(scored_lines(spark, sf_dir).drop("doc_id")), "file", 10, 2, 20)
+    return splits.large_groups(lenient_pairs(scored_lines(spark, sf_dir).drop("line")), "file", 10, 2, 20)
 
 
 def genome_windows_sampled(spark, sf_dir):
@@ -178,10 +200,28 @@ def row_cap(spark, sf_dir):
     return splits.capped(table(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", 10, "source")
 
 
+def independent_subsets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return metrics.labelled_union({str(n): splits.subset(docs, "doc_id", n, 1042) for n in (50, 100, 10**9)}, "size")
+
+
+def _masks(spark, sf_dir, seed):
+    seqs = sequences(spark, sf_dir).withColumn("least", splits.least_draw("doc_id", F.length("seq") - 5, seed))
+    masked = splits.masked("doc_id", "least", seed=seed)
+    return kmers(seqs).select("doc_id", "pos", masked.alias("masked"), F.when(masked, token_id(F.col("kmer"))).alias("label"))
+
+
 def mlm_mask(spark, sf_dir):
-    tokens = kmers(sequences(spark, sf_dir)).select("doc_id", "pos", token_id(F.col("kmer")).alias("token_id"))
-    masked = splits.masked_positions(tokens, "doc_id")
-    return masked.select("doc_id", "pos", "masked", F.when(F.col("masked"), F.col("token_id")).alias("label"))
+    return _masks(spark, sf_dir, 42)
+
+
+def eval_mask(spark, sf_dir):
+    """Masks of an evaluation, which are the same each time."""
+    return _masks(spark, sf_dir, 12345).groupBy("doc_id").agg(F.count_if("masked").alias("n"), F.sum("label").alias("labels"), F.sum(F.when(F.col("masked"), F.col("pos"))).alias("places"))
+
+
+def fixed_mask(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", splits.fixed_position(F.length("seq") - 5).alias("pos"))
 
 
 def masked_pool(spark, sf_dir):
@@ -204,8 +244,8 @@ def _predicted(spark, sf_dir):
 
 
 def metrics_by_group(spark, sf_dir):
-    out = _predicted(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), metrics.r2("y", "p").alias("r2"), metrics.pearson("y", "p").alias("pearson"), metrics.pearson_added("y", "p").alias("pearson_added"), metrics.rmse("y", "p").alias("rmse"))
-    return out.select("l_returnflag", "n", *rounded("r2", "pearson", "pearson_added"), F.round("rmse", 3).alias("rmse"))
+    out = _predicted(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), metrics.r2("y", "p").alias("r2"), metrics.pearson("y", "p").alias("pearson"), metrics.pearson_added("y", "p").alias("pearson_added"), metrics.rmse("y", "p").alias("rmse"), metrics.r2("y", "p", "add").alias("r2_add"))
+    return out.select("l_returnflag", "n", *rounded("r2", "r2_add", "pearson", "pearson_added"), F.round("rmse", 3).alias("rmse"))
 
 
 def metrics_zero_variance(spark, sf_dir):
@@ -221,18 +261,27 @@ def affine_calibration(spark, sf_dir):
     return out.select("l_linestatus", *rounded("slope", "flat_slope"), *rounded("intercept", "flat_intercept", digits=3))
 
 
+def calibrated_test(spark, sf_dir):
+    """A line fitted on validation rows of each status, applied to test rows."""
+    rows = _split_rows(spark, sf_dir).select("l_returnflag", "split", F.get("features", F.lit(0)).alias("p"), "y")
+    told = metrics.calibrated(rows, ["l_returnflag"], "y", "p", F.col("split") == "val").where("split = 'test'")
+    out = told.groupBy("l_returnflag").agg(F.count("*").alias("n"), metrics.r2("y", "calibrated").alias("r2"), metrics.rmse("y", "calibrated").alias("rmse"))
+    return out.select("l_returnflag", "n", F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"))
+
+
 def scatter_fit_line(spark, sf_dir):
     return _predicted(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.regr_slope("p", "y"), 6).alias("slope"), F.round(F.regr_intercept("p", "y"), 3).alias("intercept"))
 
 
-def _ridge_cells(spark, sf_dir):
-    rows = splits.folds(table(spark, sf_dir, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.array("l_quantity").alias("features"), F.col("l_extendedprice").alias("y")), "id", 10, 42)
+def _split_rows(spark, sf_dir, scale=1.0):
+    id_ = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id")
+    rows = splits.folds(table(spark, sf_dir, "lineitem").select("l_returnflag", id_, F.array(F.col("l_quantity") * scale).alias("features"), F.col("l_extendedprice").alias("y")), "id", 10, 42)
     split = F.when(F.col("fold") < 8, "train").when(F.col("fold") == 8, "val").otherwise("test")
     return rows.withColumn("split", split)
 
 
 def ridge_1d_alpha_sweep(spark, sf_dir):
-    sums = ridge.gram_sums(_ridge_cells(spark, sf_dir), ["l_returnflag", "split"])
+    sums = ridge.gram_sums(_split_rows(spark, sf_dir), ["l_returnflag", "split"])
     alphas = (0.1, 100.0, 10000.0, 1000000.0)
 
     def fit(cells):
@@ -245,54 +294,86 @@ def ridge_1d_alpha_sweep(spark, sf_dir):
 
 
 def ridge_val_select(spark, sf_dir):
-    sums = ridge.gram_sums(_ridge_cells(spark, sf_dir), ["l_returnflag", "split"])
-    return ridge.solved(sums, ["l_returnflag"], ["split"], ridge.validated, "alpha double, val_r2 double, test_r2 double, test_pearson double, test_rmse double")
+    sums = ridge.gram_sums(_split_rows(spark, sf_dir, 0.001), ["l_returnflag", "split"])
+    out = ridge.solved(sums, ["l_returnflag"], ["split"], ridge.validated, ridge.VALIDATED)
+    return out.select("l_returnflag", "alpha", *rounded("val_r2", "test_r2", "test_pearson"), F.round("test_rmse", 3).alias("test_rmse"), "status")
+
 
+def _vectors(spark, sf_dir, size=None):
+    """Embeddings as features of their label; of the first so many numbers, if size is given."""
+    x = F.col("embedding") if size is None else F.slice("embedding", 1, size)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit("label").alias("target"), x.cast("array<double>").alias("features"), F.col("label").cast("double").alias("y"))
 
-def _outer_inner(rows: DataFrame, key: str, outer: int, inner: int) -> DataFrame:
-    """Each row in a cell of each outer fold: its inner fold there, or -1 where it is held out."""
-    rows = splits.folds(rows, key, outer, 42).withColumnRenamed("fold", "_own")
-    at = F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: F.struct(o.alias("outer"), F.when(o == F.col("_own"), -1).otherwise((unit(43, F.col(key), o) * inner).cast("int")).alias("inner")))
-    return rows.withColumn("_at", F.explode(at)).select("*", "_at.outer", "_at.inner").drop("_own", "_at")
+
+def _nested(spark, sf_dir, size, width):
+    rows = splits.inner_folds(_vectors(spark, sf_dir, size), "vec_id", 10, 5)
+    out = ridge.nested_folds(rows, ["target"], "outer", "inner", width)
+    return out.select("target", "n", "alpha", *rounded("r2", "pearson", "rmse"), "status")
 
 
 def nested_cv_ridge(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("label").alias("target"), F.col("embedding").alias("features"), F.col("label").alias("y"))
-    sums = ridge.gram_sums(_outer_inner(rows, "vec_id", 10, 5), ["target", "outer", "inner"])
-    return ridge.solved(sums, ["target"], ["outer", "inner"], ridge.nested, "n long, alpha double, r2 double, pearson double, rmse double")
+    return _nested(spark, sf_dir, None, 64)
 
 
-def ridge_loo(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("features"), F.col("label").cast("double").alias("y"))
+def nested_cv_ridge_1d(spark, sf_dir):
+    return _nested(spark, sf_dir, 1, 1)
+
+
+def _left_out(spark, sf_dir, size):
+    rows = _vectors(spark, sf_dir, size)
     gram = ridge.matrix(ridge.gram_sums(rows, []).toPandas())
-    return ridge.leave_one_out(rows, gram)
+    return ridge.leave_one_out(rows, gram).select("alpha", *rounded("mean_square"))
+
+
+def ridge_loo(spark, sf_dir):
+    return _left_out(spark, sf_dir, None)
+
+
+def ridge_loo_1d(spark, sf_dir):
+    return _left_out(spark, sf_dir, 1)
+
+
+def _scored_windows(spark, sf_dir):
+    return windows(spark, sf_dir).select("source", F.concat_ws("-", "doc_id", "j").alias("id"), "seq", (gc_share(F.col("seq")) + unit(5, "doc_id", "j") * 0.05).alias("y"))
+
+
+_SMALL = encoder.Shape(width=32, hidden=64, layers=1)
+
+
+def _kinds(rows):
+    """Feature tables of rows by kind, with their widths: words by position, tracks, and an untrained encoder's states."""
+    out = {kind: (feature_matrix(rows, kind, WINDOW), width) for kind, width in (("1mer", 144), ("2mer", 560), ("3mer", 2176), ("1mer_flex", 282), ("1mer12flex", 560))}
+    weights = encoder.random_weights(10042, _SMALL)
+    return out | {kind: (encoder.encoded(rows, weights, _SMALL, kind), size) for kind, size in (("hidden", _SMALL.width), ("hidden_flex", _SMALL.width + _SMALL.targets))}
 
 
 def benchmark_by_file(spark, sf_dir):
-    """Each source a file: one-, two- and three-letter features of windows against their share of C and G, nested."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"))
-    rows = windows(spark, sf_dir).join(docs, "doc_id").withColumns({"id": F.concat_ws("-", "doc_id", "j"), "y": gc_share(F.col("seq")) + unit(5, "doc_id", "j") * 0.05})
+    """Each source a file: nested folds of windows against their share of C and G, for each kind of features over all letters."""
+    rows = splits.inner_folds(_scored_windows(spark, sf_dir).withColumnRenamed("source", "file"), "id", 5, 3, 42, "file")
     out = []
-    for kind, length in (("1mer", WINDOW), ("2mer", 12)):
-        cells = _outer_inner(feature_matrix(rows, kind, length).select("file", "id", "features", "y"), "id", 5, 3)
-        sums = ridge.gram_sums(cells, ["file", "outer", "inner"])
-        out.append(ridge.solved(sums, ["file"], ["outer", "inner"], ridge.nested, "n long, alpha double, r2 double, pearson double, rmse double").withColumn("kind", F.lit(kind)))
-    return out[0].unionByName(out[1])
+    for kind, (table_, width) in _kinds(rows).items():
+        found = ridge.nested_folds(table_, ["file"], "outer", "inner", width, scale=kind.startswith("hidden"))
+        out.append(found.withColumns({"kind": F.lit(kind), "family": file_family(F.col("file")), "factor": file_factor(F.col("file")), "seq_len": F.lit(WINDOW)}))
+    return reduce(DataFrame.unionByName, out)
 
 
 def sample_efficiency(spark, sf_dir):
     """Nested shares of training rows by feature kind: penalty by validation, no refit, scores on test."""
-    rows = windows(spark, sf_dir).select(F.concat_ws("-", "doc_id", "j").alias("id"), "seq", (gc_share(F.col("seq")) + unit(5, "doc_id", "j") * 0.05).alias("y"))
-    marked = splits.split_by_share(rows, "id").persist()
-    subsets = splits.nested_subsets(marked.where("split = 'train'"), "id", [5, 30, 100])
-    rest = marked.where("split <> 'train'").withColumn("percent", F.explode(F.array(*map(F.lit, (5, 30, 100)))))
-    every = subsets.unionByName(rest)
+    percents = [0.3, 1, 3, 10, 30, 100]
+    marked = splits.split_by_share(_scored_windows(spark, sf_dir), "id")
+    train = splits.subset_bands(marked.where("split = 'train'"), "id", percents)
+    every = train.unionByName(marked.where("split <> 'train'").withColumn("band", F.lit(-1)))
     out = []
-    for kind in ("1mer", "1mer12flex"):
-        sums = ridge.gram_sums(feature_matrix(every, kind, WINDOW), ["percent", "split"])
-        fit = lambda cells: ridge.validated(cells, refit=False, scale=True)
-        out.append(ridge.solved(sums, ["percent"], ["split"], fit, "alpha double, val_r2 double, test_r2 double, test_pearson double, test_rmse double").withColumn("model", F.lit(kind)))
-    return out[0].unionByName(out[1])
+    for kind, (table_, width) in _kinds(every).items():
+        rows = table_.withColumn("model", F.lit(kind))
+        out.append(ridge.fitted(rows, ["model"], ["split", "band"], lambda cells: ridge.subset_scores(cells, percents), f"percent double, n_train long, {ridge.VALIDATED}", width))
+    return reduce(DataFrame.unionByName, out)
+
+
+def checkpoint_scores(spark, sf_dir):
+    """Two untrained encoders as checkpoints, each compared by a head on its states at all positions."""
+    shape = encoder.Shape(width=8, heads=2, hidden=16, layers=1)
+    return encoder.compared(_scored_windows(spark, sf_dir), {f"random_{n}": encoder.random_weights(n, shape) for n in (1, 2)}, shape)
 
 
 def _results(spark, sf_dir):
@@ -328,10 +409,17 @@ def resume_antijoin(spark, sf_dir):
     return metrics.unfinished(docs.select("doc_id"), done, "doc_id", "r2")
 
 
+def resumed_results(spark, sf_dir):
+    """Results of which a third is there, half of that incomplete: the rest is worked out, what is complete stays."""
+    docs = table(spark, sf_dir, "documents")
+    done = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "NaN").otherwise("kept").alias("r2"))
+    return metrics.resumed(docs.select("doc_id"), done, "doc_id", "r2", lambda left: left.withColumn("r2", F.lit("made")))
+
+
 def append_metric_leftjoin(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    new = table(spark, sf_dir, "documents").where("lang = 'fr'").groupBy("source").agg(F.max("n_chars").alias("metric"))
-    return counts.join(new, "source", "left")
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
+    return metrics.with_metric(counts, docs.where("lang = 'fr'").groupBy("source").agg(F.max("n_chars").alias("metric")), "source")
 
 
 def grid_crossjoin(spark, sf_dir):
@@ -344,11 +432,33 @@ def parse_names(spark, sf_dir):
     return names.groupBy("file").agg(F.count("*").alias("n")).select("file", file_family(F.col("file")).alias("family"), file_factor(F.col("file")).alias("factor"), "n")
 
 
+def families(spark, sf_dir):
+    return sorted_families(table(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit("_")).alias("file")))
+
+
 def told_numbers(spark, sf_dir):
     x = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 != 0, F.col("value"))
     return table(spark, sf_dir, "events").select("event_id", told_number(x).alias("told"))
 
 
+def kmer_gc_profile(spark, sf_dir):
+    rows = kmer_gc(sequences(spark, sf_dir)).groupBy("doc_id")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("gc"), 6).alias("mean"), F.round(F.sum(F.col("gc") * F.col("pos")), 4).alias("by_place"))
+
+
+def most_tokens(spark, sf_dir):
+    return spark.createDataFrame([(longest_tokens(sequences(spark, sf_dir)),)], "n int")
+
+
+def lookup_file_order(spark, sf_dir):
+    """The tables as a parsed file has them, triples first, and in a config's order."""
+    groups = {f"{n}nucleotide": {f.name: f.values for f in features() if f.width == w} for n, w in (("tri", 3), ("di", 2))}
+    config = {"dinucleotide": ["twistDisp", "wedge"], "trinucleotide": ["NPP"]}
+    rows = {"file": features_from(groups, in_file_order=True), "config": features_from(groups, config), "plain": features_from(groups)}
+    listed = metrics.labelled_union({name: lookup_frame(spark, used) for name, used in rows.items()}, "order")
+    return listed.groupBy("order", "feature_index", "feature", "width").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 def gc_by_document(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", F.round(gc_share(F.col("seq")), 6).alias("gc"))
 
@@ -360,22 +470,59 @@ def losses(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.round(metrics.masked_loss(metrics.huber(left), mask), 6).alias("huber"), F.round(metrics.masked_loss(left**2, mask), 6).alias("mse"), F.round(metrics.masked_loss(left**2, F.lit(0)), 6).alias("none"))
 
 
+def weighted_losses(spark, sf_dir):
+    """Two objectives by their weights, and one of weight 0 that has no value."""
+    left, mask = F.col("value") - 1.5, F.col("event_id") % 4
+    parts = {"flex": (0.7, metrics.masked_loss(metrics.huber(left), mask)), "bend": (0.2, F.avg(left**2)), "mlm": (0.0, F.lit(float("nan")))}
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(metrics.weighted_total(parts), 6).alias("total"))
+
+
+def mean_results(spark, sf_dir):
+    """Means over seeds, of raw results and of ones that come with their means."""
+    raw = _results(spark, sf_dir)
+    means = metrics.mean_over(raw, ["model", "pct"], "test_r2", "mean_r2")
+    both = {"raw": means, "aggregated": metrics.mean_over(means.withColumnRenamed("mean_r2", "test_r2_mean"), ["model", "pct"], "test_r2", "mean_r2")}
+    return metrics.labelled_union(both, "given").select("given", "model", "pct", *rounded("mean_r2"))
+
+
 def token_cross_entropy(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("vec_id") % 6 == 0, F.col("label")).alias("told"))
     return rows.groupBy("label").agg(F.round(F.avg(metrics.cross_entropy(F.col("x"), F.col("told"))), 6).alias("loss"))
 
 
 def encode_hidden_flex(spark, sf_dir):
-    rows = encoder.encoded(windows(spark, sf_dir), encoder.random_weights(10042, _SMALL), _SMALL, "hidden_flex")
-    return rows.select("doc_id", "j", F.size("features").alias("width"), F.round(F.get("features", F.lit(0)), 6).alias("first"))
+    rows = encoder.encoded(windows(spark, sf_dir).drop("source"), encoder.random_weights(10042, _SMALL), _SMALL, "hidden_flex")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    by_place = total(F.transform("features", lambda x, i: x * (i + 1)))
+    return rows.select("doc_id", "j", F.size("features").alias("width"), F.round(F.get("features", F.lit(0)), 4).alias("first"), F.round(total("features"), 3).alias("total"), F.round(by_place, 2).alias("by_place"))
 
 
-_SMALL = encoder.Shape(width=32, hidden=64, layers=1)
+#: An encoder of two states, whose weights are told by a rule, so that SQL can follow it.
+TINY = encoder.Shape(width=2, heads=1, layers=1, hidden=2, positions=64, tokens=4, targets=2)
+
+
+def ruled_weights() -> encoder.Weights:
+    """Tenths from -0.5 to 0.5 by the number of the weight and the place in it; norms have weight 1 and bias 0."""
+    out = {}
+    for k, (name, size) in enumerate(encoder.expected(TINY).items()):
+        rule = ((np.arange(np.prod(size)) * 7 + k * 3) % 11 - 5) / 10
+        out[name] = np.full(size, float(name.endswith("weight"))) if ".norm" in name else rule.reshape(size)
+    return out
+
+
+def encode_attention(spark, sf_dir):
+    rows = encoder.encoded(windows(spark, sf_dir).drop("source"), ruled_weights(), TINY, "hidden_flex", precision=np.float64)
+    return rows.select("doc_id", "j", *((F.round(F.get("features", F.lit(i)) + NUDGE, 5) + 0.0).alias(f"f{i}") for i in range(4)))
 
 
 def linear_head_eval(spark, sf_dir):
-    rows = splits.split_by_share(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("label").alias("target"), F.col("embedding").alias("features"), F.col("label").cast("double").alias("y")), "id")
-    return encoder.head_scores(rows, ["target"])
+    rows = splits.split_by_share(_vectors(spark, sf_dir), "vec_id")
+    return encoder.head_scores(rows, ["target"]).select("target", "n", *rounded("val_r2", "test_r2", "test_rmse"), "status")
+
+
+def hidden_head_eval(spark, sf_dir):
+    rows = splits.split_by_share(_vectors(spark, sf_dir), "vec_id")
+    return encoder.head_scores(rows, ["target"], (64,), rate=1e-2)
 
 
 def running_stats_windows(spark, sf_dir):
@@ -390,11 +537,13 @@ def merged_batches(spark, sf_dir):
 
 
 NAMED = [
-    kmer_tokens, kmer_token_ids, kmer_token_ids_cls, kmer_vocab, kmer_counts_topk, flex_lookup_profile, flex_token_targets, flex_token_targets_lenient, flex_track_profile, flex_norm_stats,
-    flex_normalized_global, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, file_summaries, min_rows_files, genome_windows_sampled, split_train_val_test,
-    split_bankers, kfold_assign, kfold_within, nested_subsets, row_cap, mlm_mask, masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, scatter_fit_line, ridge_1d_alpha_sweep,
-    ridge_val_select, nested_cv_ridge, ridge_loo, benchmark_by_file, sample_efficiency, summary_by_model, summary_population, summary_ordered, best_alpha_first, union_labelled, resume_antijoin,
-    append_metric_leftjoin, grid_crossjoin, parse_names, told_numbers, gc_by_document, losses, token_cross_entropy, encode_hidden_flex, linear_head_eval, running_stats_windows, merged_batches,
+    kmer_tokens, kmer_token_ids, kmer_token_ids_cls, kmer_vocab, kmer_counts_topk, flex_lookup_profile, lookup_file_order, flex_token_targets, flex_token_targets_lenient, flex_track_profile,
+    flex_norm_stats, flex_normalized_global, flex_normalized_tokens, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, dominant_rows, file_summaries,
+    min_rows_files, genome_windows_sampled, split_train_val_test, split_bankers, kfold_assign, kfold_within, nested_subsets, independent_subsets, row_cap, mlm_mask, eval_mask, fixed_mask,
+    masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, nested_cv_ridge, nested_cv_ridge_1d,
+    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_ordered, mean_results, best_alpha_first, union_labelled,
+    resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
+    token_cross_entropy, encode_hidden_flex, encode_attention, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMED}
 QUERIES |= {f"positional_nmer_{n}": _positional(n) for n in (1, 2, 3)}

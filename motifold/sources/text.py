@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from pathlib import PurePosixPath
 from typing import NamedTuple
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from motifold.functions.flexibility import feature_names
 from motifold.functions.sequences import stripped
 
 #: Names of the pre-split files, the second one's spelling included.
@@ -20,8 +22,10 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("file"), "value")
 
 
-def one_per_line(raw: DataFrame) -> DataFrame:
-    """(file, seq): stripped and upper-cased; blank lines are no rows."""
+def one_per_line(raw: DataFrame, most: int | None = None) -> DataFrame:
+    """(file, seq): stripped and upper-cased; blank lines are no rows, but count as lines if only the first `most` are read."""
+    if most is not None:
+        raw = raw.limit(most)
     return raw.select("file", F.upper(stripped(F.col("value"))).alias("seq")).where("seq <> ''")
 
 
@@ -34,8 +38,10 @@ def strict_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _fields(raw: DataFrame) -> DataFrame:
-    parts = F.split(stripped(F.col("value")), r"\s+")
-    return raw.select("*", F.upper(F.get(parts, F.lit(0))).alias("seq"), F.get(parts, F.lit(1)).alias("told"), F.get(parts, F.lit(2)).alias("third"), F.size(parts).alias("fields"))
+    """raw with seq, told, third and fields. A line is split once: what a generator gives isn't worked out again by its users."""
+    split = F.explode(F.array(F.split(stripped(F.col("value")), r"\s+"))).alias("_parts")
+    part = lambda i: F.get("_parts", F.lit(i))
+    return raw.select("*", split).select(*raw.columns, F.upper(part(0)).alias("seq"), part(1).alias("told"), part(2).alias("third"), F.when(part(0) == "", 0).otherwise(F.size("_parts")).alias("fields"))
 
 
 def number(text: Column) -> Column:
@@ -52,11 +58,12 @@ def half_strict_pairs(raw: DataFrame) -> DataFrame:
 def judged_pairs(raw: DataFrame, k: int = 6) -> DataFrame:
     """Each line with what a lenient reader makes of it: file, seq, score, count, grp and reason (null: a row).
 
-    Reasons, the first that holds: blank, fields (fewer than two), score (no finite number), short (fewer than k letters).
+    Further columns of raw come after these. Reasons, the first that holds: blank, fields (fewer than two), score (no finite number), short (fewer than k letters).
     """
-    found = _fields(raw).withColumns({"score": number(F.col("told")), "count": number(F.col("third"))})
-    reason = F.when(stripped(F.col("value")) == "", "blank").when(F.col("fields") < 2, "fields").when(F.col("score").isNull(), "score").when(F.length("seq") < k, "short")
-    return found.select("file", "seq", "score", "count", F.col("third").alias("grp"), reason.alias("reason"))
+    more = [c for c in raw.columns if c not in ("file", "value")]
+    found = _fields(raw).select("file", "seq", "fields", "third", *more, F.inline(F.array(F.struct(number(F.col("told")).alias("score"), number(F.col("third")).alias("count")))))
+    reason = F.when(F.col("fields") == 0, "blank").when(F.col("fields") < 2, "fields").when(F.col("score").isNull(), "score").when(F.length("seq") < k, "short")
+    return found.select("file", "seq", "score", "count", F.col("third").alias("grp"), reason.alias("reason"), *more)
 
 
 def lenient_pairs(raw: DataFrame, k: int = 6) -> DataFrame:
@@ -64,6 +71,14 @@ def lenient_pairs(raw: DataFrame, k: int = 6) -> DataFrame:
     return judged_pairs(raw, k).where("reason is null").drop("reason")
 
 
+def whole_pairs(raw: DataFrame, k: int = 6) -> DataFrame:
+    """lenient_pairs, for a source that mustn't be empty: ValueError at once if no line is a row."""
+    out = lenient_pairs(raw, k)
+    if out.isEmpty():
+        raise ValueError("no line is a row")
+    return out
+
+
 def split_directory(spark: SparkSession, folder: str) -> DataFrame:
     """(split, seq, score, grp) from the three pre-split files; no length is asked for here."""
     parts = [lenient_pairs(lines(spark, f"{folder}/{name}"), 0).select(F.lit(split).alias("split"), "seq", "score", "grp") for split, name in SPLIT_FILES.items()]
@@ -97,20 +112,31 @@ def fasta(spark: SparkSession, path: str, chromosomes: list[str] | None = None)
 
 
 def file_profile(raw: DataFrame) -> DataFrame:
-    """A row for each file: usable and bad rows, the commonest length, the length histogram, ranges of score and third column."""
+    """A row for each file: usable and bad rows, the commonest length, the length histogram, ranges of score and third column.
+
+    One pass and one aggregation by file and length; the rest is about those few rows.
+    """
     rows = judged_pairs(raw, 1).where("reason is null or reason <> 'blank'")
-    fine = rows.where("reason is null")
-    by_length = fine.groupBy("file", F.length("seq").alias("length")).agg(F.count("*").alias("n"))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("length", "n"))), lambda x: F.concat(x["length"].cast("string"), F.lit(":"), x["n"].cast("string"))), ",")
-    lengths = by_length.groupBy("file").agg(F.max_by("length", F.struct("n", -F.col("length"))).alias("top_length"), told.alias("length_counts"))
-    sums = rows.groupBy("file").agg(
-        F.count_if(F.col("reason").isNull()).alias("usable_rows"),
-        F.count_if(F.col("reason").isNotNull()).alias("bad_rows"),
-        *(f(F.when(F.col("reason").isNull(), F.col("score"))).alias(f"score_{n}") for n, f in (("min", F.min), ("max", F.max))),
-        F.count(F.when(F.col("reason").isNull(), F.col("count"))).alias("third_col_present_rows"),
-        *(f(F.when(F.col("reason").isNull(), F.col("count"))).alias(f"third_col_{n}") for n, f in (("min", F.min), ("max", F.max))),
+    length = F.when(F.col("reason").isNull(), F.length("seq"))
+    of_usable = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    ranges = [f(of_usable(c)).alias(f"{name}_{end}") for c, name in (("score", "score"), ("count", "third_col")) for end, f in (("min", F.min), ("max", F.max))]
+    parts = rows.groupBy("file", length.alias("length")).agg(F.count("*").alias("n"), F.count(of_usable("count")).alias("present"), *ranges)
+    usable = F.when(F.col("length").isNotNull(), F.struct("length", "n"))
+    listed = F.array_sort(F.array_compact(F.collect_list(usable)))
+    told = F.array_join(F.transform(listed, lambda x: F.concat(x["length"].cast("string"), F.lit(":"), x["n"].cast("string"))), ",")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = parts.groupBy("file").agg(
+        count(F.col("length").isNotNull()).alias("usable_rows"),
+        count(F.col("length").isNull()).alias("bad_rows"),
+        F.min("score_min").alias("score_min"),
+        F.max("score_max").alias("score_max"),
+        F.sum("present").alias("third_col_present_rows"),
+        F.min("third_col_min").alias("third_col_min"),
+        F.max("third_col_max").alias("third_col_max"),
+        F.max_by("length", F.when(F.col("length").isNotNull(), F.struct("n", -F.col("length")))).alias("top_length"),
+        told.alias("length_counts"),
     )
-    return sums.join(lengths, "file", "left")
+    return out.withColumn("length_counts", F.when(F.col("usable_rows") > 0, F.col("length_counts")))
 
 
 def first_files(spark: SparkSession, folder: str, pattern: str = "*.txt", most: int | None = None) -> list[str]:
@@ -143,6 +169,30 @@ def parsed_stats(content: dict, names: list[str] | None = None, least: float = 1
     return None
 
 
+def told_stats(stats: DataFrame, most_windows: int | None = None) -> dict:
+    """Statistics (feature, n_tokens, mean, std; of twelve features a few rows) in the flat layout that parsed_stats reads."""
+    rows = {x["feature"]: x for x in stats.collect()}
+    names = [n for n in feature_names() if n in rows] + sorted(rows.keys() - set(feature_names()))
+    return {"feature_names": names, "mean": [rows[n]["mean"] for n in names], "std": [rows[n]["std"] for n in names], "n_tokens": rows[names[0]]["n_tokens"] if names else 0, "max_windows_used": most_windows}
+
+
+def write_stats(stats: DataFrame, path: str, most_windows: int | None = None) -> None:
+    """told_stats as a YAML text file, through Spark's own writer."""
+    import yaml
+
+    spark = stats.sparkSession
+    text = yaml.safe_dump(told_stats(stats, most_windows), sort_keys=False)
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_stats(spark: SparkSession, path: str, names: list[str] | None = None) -> NormStats | None:
+    """Statistics of a file in any of the layouts; of another content a warning, and None."""
+    found = parsed_stats(read_yaml(spark, path), names)
+    if found is None:
+        warnings.warn(f"{path} has no statistics; they are not used", stacklevel=2)
+    return found
+
+
 def read_yaml(spark: SparkSession, path: str) -> dict:
     """A small YAML file, through Spark's own reader."""
     import yaml

@@ -42,6 +42,6 @@ def test_against_sql(spark, sql, name):
     assert rows(df.columns, df.collect()) == rows([x[0] for x in told.description], told.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys() - {"benchmark_by_file"}))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
