@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.functions.flexibility import BASES
-from motifold.operators import ridge
+from motifold.functions.flexibility import BASES, SPECIALS, words
+from motifold.functions.hashing import unit
+from motifold.operators import ridge, splits
 from motifold.operators.normalization import train_moments
-from motifold.operators.splits import split_by_share
 
 
 class Shape(NamedTuple):
@@ -166,6 +166,51 @@ def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str
     return seqs.mapInArrow(run, f"{kinds}, features array<double>")
 
 
+def token_losses(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), share: float = 0.15, seed: int = 12345, tokens: int = 1 << 12) -> DataFrame:
+    """seqs (with a key id) and n_masked, loss: the token head's mean cross-entropy at masked positions, whose k-mers the encoder
+    doesn't see (zeros stand for them).
+
+    Masks are splits.masked with the seed, so each evaluation has the same. A k-mer with another letter counts as [UNK].
+    Sequences without a k-mer have null.
+    """
+    shared = seqs.sparkSession.sparkContext.broadcast(weights)
+    count = F.length("seq") - (shape.k - 1)
+    least = splits.least_draw("id", count, seed)
+    chosen = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (unit(seed, F.col("id"), i) < share) | ((F.col("_least.draw") / float(1 << 32) >= share) & (i == F.col("_least.pos"))))
+    rows = seqs.withColumn("_least", least).withColumn("_places", F.when(count > 0, chosen)).drop("_least")
+    place, at = rows.columns.index("seq"), rows.columns.index("_places")
+    known = {w: i + len(SPECIALS) for i, w in enumerate(words(shape.k))}
+
+    def losses(texts: list[str], places: list[list[int]]) -> list[float]:
+        x, mask = one_hot_batch(texts, shape.k)
+        row = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        pos = np.concatenate([np.array(p, np.int64) for p in places])
+        x[row, pos] = 0
+        hidden, _ = forward(shared.value, x, mask, shape)
+        logits = hidden[row, pos] @ shared.value["token_head.weight"].T + shared.value["token_head.bias"]
+        top = logits.max(1)
+        wanted = np.array([known.get(texts[r][p : p + shape.k], SPECIALS["[UNK]"]) for r, p in zip(row.tolist(), pos.tolist(), strict=True)])
+        own = np.log(np.exp(logits - top[:, None]).sum(1)) + top - logits[np.arange(len(row)), wanted]
+        return (np.bincount(row, own, len(texts)) / np.bincount(row, minlength=len(texts))).tolist()
+
+    def run(batches):
+        for batch in batches:
+            texts, places = batch.column(place).to_pylist(), batch.column(at).to_pylist()
+            fine = [i for i, p in enumerate(places) if p]
+            found: list[float | None] = [None] * len(texts)
+            step = max(1, tokens // max([len(texts[i]) for i in fine], default=1))
+            for a in range(0, len(fine), step):
+                some = fine[a : a + step]
+                for i, loss in zip(some, losses([texts[i] for i in some], [places[i] for i in some]), strict=True):
+                    found[i] = loss
+            counts = [len(p) if p else None for p in places]
+            kept = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int32()), pa.array(found, pa.float64())], names=[*(n for n in batch.schema.names if n != "_places"), "n_masked", "loss"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, n_masked int, loss double")
+
+
 class Head(NamedTuple):
     layers: list[tuple[np.ndarray, np.ndarray]]
 
@@ -177,8 +222,9 @@ class Head(NamedTuple):
         return x[:, 0]
 
 
-def train_head(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarray, hidden: tuple[int, ...] = (), rate: float = 1e-3, epochs: int = 30, patience: int = 5, size: int = 128, margin: float = 1e-6, decay: float = 0.0, seed: int = 0) -> tuple[Head, float]:
-    """A linear head (or with hidden layers) by Adam on squared error, its intercept from the mean; the epoch with the best R2 on val is kept."""
+def train_head(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarray, hidden: tuple[int, ...] = (), rate: float = 1e-3, epochs: int = 30, patience: int = 5, size: int = 128, margin: float = 1e-6, decay: float = 0.0, seed: int = 0, dropout: float = 0.0) -> tuple[Head, float]:
+    """A linear head (or with hidden layers) by Adam on squared error, its intercept from the mean; the epoch with the best R2 on
+    val is kept. dropout: share of hidden states left out in training, the others being raised to make up for them."""
     random = np.random.default_rng(seed)
     widths = (x.shape[1], *hidden, 1)
     layers = [(random.uniform(-1, 1, (a, b)) / np.sqrt(a), np.zeros(b)) for a, b in zip(widths, widths[1:], strict=False)]
@@ -189,16 +235,17 @@ def train_head(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarra
         order = random.permutation(len(x))
         for a in range(0, len(x), size):
             own = order[a : a + size]
-            values = [x[own]]
+            values, kept = [x[own]], [1.0]
             for i, (w, b) in enumerate(layers):
                 z = values[-1] @ w + b
-                values.append(np.maximum(z, 0) if i < len(layers) - 1 else z)
+                kept.append((random.random(z.shape) >= dropout) / (1 - dropout) if dropout and i < len(layers) - 1 else 1.0)
+                values.append(np.maximum(z, 0) * kept[-1] if i < len(layers) - 1 else z)
             grad = 2 * (values[-1] - y[own, None]) / len(own)
             step += 1
             for i in range(len(layers) - 1, -1, -1):
                 w, b = layers[i]
                 grads = (values[i].T @ grad + decay * w, grad.sum(0))
-                grad = grad @ w.T * (values[i] > 0) if i else grad
+                grad = grad @ w.T * (values[i] > 0) * kept[i] if i else grad
                 new = []
                 for j, (p, g) in enumerate(zip((w, b), grads, strict=True)):
                     moments[i][j] = 0.9 * moments[i][j] + 0.1 * g
@@ -338,7 +385,7 @@ def head_scores(rows: DataFrame, by: list[str], hidden: tuple[int, ...] = (), **
         return ridge.solved(ridge.gram_sums(rows, [*by, "split"]), by, ["split"], lambda cells: linear_head(cells, **options), _SCORES)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
     some = ridge.usable(rows, [*by, "split"], "features", "y")
-    sizes = some.groupBy(*by).agg((F.sum(F.size("x")) > ridge.MOST_VALUES).alias("_large")).persist()
+    sizes = some.groupBy(*by).agg((F.sum(F.size("x")) > ridge.MOST_VALUES).alias("_large"))
     large = [r.asDict() for r in sizes.where("_large").select(*by).collect()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -356,7 +403,10 @@ def head_scores(rows: DataFrame, by: list[str], hidden: tuple[int, ...] = (), **
             found = dict.fromkeys(x.split()[0] for x in _SCORES.split(", ")) | {"status": f"{type(error).__name__}: {error}"}
         return pd.DataFrame([own | found])
 
-    few = some.join(sizes.where("not _large"), by, "left_semi")
+    few = some
+    if large:
+        keyed = F.struct(*by).alias("_group")
+        few = some.withColumn("_group", keyed).join(F.broadcast(sizes.where("_large").select(keyed)), "_group", "left_anti").drop("_group")
     out = few.groupBy(*by).applyInPandas(run, f"{kinds}, {_SCORES}, status string")
     for own in large:
         is_own = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in own.items()))
@@ -372,7 +422,7 @@ def compared(seqs: DataFrame, checkpoints: dict[str, Weights], shape: Shape = Sh
     seqs: id, seq (of one length, without pooling) and y. All use the same split by id; a linear head is fitted on each
     frozen encoder's features, with the penalty that val prefers and without a refit.
     """
-    rows = split_by_share(seqs.select("id", "seq", "y"), "id", seed).persist()
+    rows = splits.split_by_share(seqs.select("id", "seq", "y"), "id", seed)
     sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
     out = []
     for name, weights in checkpoints.items():

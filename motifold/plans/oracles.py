@@ -188,27 +188,40 @@ O["running_stats_windows"] = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS starts,
 O["merged_batches"] = "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1"
 
 
-def _attention() -> str:
-    """The tiny ruled encoder, by hand: one-hot letters, one head of attention, two norms, a layer of two, means over positions."""
-    from motifold.plans.queries import TINY, ruled_weights
-
-    w = ruled_weights()
-    base = lambda i, c: "CASE substr(kmer, %d, 1) %s END" % (i + 1, " ".join(f"WHEN '{b}' THEN {w['input.weight'][c, 4 * i + k]!r}::DOUBLE" for k, b in enumerate("ACGT")))  # noqa: E731, UP031
-    place = lambda c: "CASE pos " + " ".join(f"WHEN {p} THEN {w['position'][p, c]!r}::DOUBLE" for p in range(31)) + " END"
-    start = ", ".join(f"{' + '.join(base(i, c) for i in range(6))} + {w['input.bias'][c]!r} + {place(c)} AS h{c}" for c in (0, 1))
+def _attention(masked: bool = False) -> str:
+    """The tiny ruled encoder, by hand: one-hot letters, one head of attention, two norms, a layer of two; then means over
+    positions, or with masks the cross-entropy of masked tokens, whose letters are zeros."""
+    from motifold.plans.queries import PAIRS, TINY, ruled_weights
+
+    shape = PAIRS if masked else TINY
+    w = ruled_weights(shape)
+    last = 37 - shape.k
+    hidden = "masked OR " if masked else ""
+    base = lambda i, c: f"CASE WHEN {hidden}false THEN 0 ELSE CASE substr(kmer, {i + 1}, 1) " + " ".join(f"WHEN '{b}' THEN {w['input.weight'][c, 4 * i + k]!r}::DOUBLE" for k, b in enumerate("ACGT")) + " END END"
+    place = lambda c: "CASE pos " + " ".join(f"WHEN {p} THEN {w['position'][p, c]!r}::DOUBLE" for p in range(last)) + " END"
+    start = ", ".join(f"{' + '.join(base(i, c) for i in range(shape.k))} + {w['input.bias'][c]!r} + {place(c)} AS h{c}" for c in (0, 1))
     line = lambda name, row, a, b: f"({w[name + '.weight'][row, 0]!r}::DOUBLE * {a} + {w[name + '.weight'][row, 1]!r}::DOUBLE * {b} + {w[name + '.bias'][row]!r}::DOUBLE)"
-    qkv = ", ".join(f"{line('layer0.qkv', r, 'h0', 'h1')} AS {n}{c}" for k, n in enumerate("qkv") for c in (0, 1) for r in (2 * k + c,))
+    qkv = ", ".join(f"{line('layer0.qkv', 2 * k + c, 'h0', 'h1')} AS {n}{c}" for k, n in enumerate("qkv") for c in (0, 1))
     norm = lambda a, b, c: f"({c} - ({a} + {b}) / 2) / sqrt(pow(({a} - {b}) / 2, 2) + 1e-5)"
     up = lambda r: f"greatest({line('layer0.up', r, 'n0', 'n1')}, 0)"
-    return f"""WITH {_SEQ}, {_WIN}, tk AS (SELECT doc_id, j, pos, substr(seq, pos + 1, {TINY.k}) AS kmer FROM (SELECT doc_id, j, seq, unnest(range(0, {37 - TINY.k})) AS pos FROM win)),
-h AS (SELECT doc_id, j, pos, {start} FROM tk), q AS (SELECT *, {qkv} FROM h),
-att AS (SELECT a.doc_id, a.j, a.pos, any_value(a.h0) AS h0, any_value(a.h1) AS h1, sum(exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2)) * b.v0) / sum(exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2))) AS m0,
-  sum(exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2)) * b.v1) / sum(exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2))) AS m1 FROM q a JOIN q b ON b.doc_id = a.doc_id AND b.j = a.j GROUP BY 1, 2, 3),
-r AS (SELECT doc_id, j, h0 + {line("layer0.mix", 0, "m0", "m1")} AS r0, h1 + {line("layer0.mix", 1, "m0", "m1")} AS r1 FROM att),
-n AS (SELECT doc_id, j, {norm("r0", "r1", "r0")} AS n0, {norm("r0", "r1", "r1")} AS n1 FROM r), u AS (SELECT *, {up(0)} AS u0, {up(1)} AS u1 FROM n),
-d AS (SELECT doc_id, j, n0 + {line("layer0.down", 0, "u0", "u1")} AS d0, n1 + {line("layer0.down", 1, "u0", "u1")} AS d1 FROM u),
-f AS (SELECT doc_id, j, {norm("d0", "d1", "d0")} AS f0, {norm("d0", "d1", "d1")} AS f1 FROM d)
-SELECT doc_id, CAST(j AS INTEGER) AS j, round(avg(f0) + 1.3e-7, 5) + 0.0 AS f0, round(avg(f1) + 1.3e-7, 5) + 0.0 AS f1, round(avg({line("target_head", 0, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f2, round(avg({line("target_head", 1, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f3 FROM f GROUP BY 1, 2"""
+    near = "exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2))"
+    draw = _draw(12345, "concat_ws('-', doc_id, j)", "pos")
+    marks = f"SELECT *, u / 4294967296.0::DOUBLE < 0.15 OR row_number() OVER (PARTITION BY doc_id, j ORDER BY u, pos) = 1 AS masked FROM (SELECT *, {draw} AS u FROM tk0)" if masked else "SELECT *, false AS masked FROM tk0"
+    told = f"""SELECT doc_id, CAST(j AS INTEGER) AS j, round(avg(f0) + 1.3e-7, 5) + 0.0 AS f0, round(avg(f1) + 1.3e-7, 5) + 0.0 AS f1, round(avg({line("target_head", 0, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f2, round(avg({line("target_head", 1, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f3 FROM f GROUP BY 1, 2"""
+    if masked:
+        every = ", ".join(line("token_head", r, "f0", "f1") for r in range(shape.tokens))
+        code = "4 * (strpos('ACGT', substr(kmer, 1, 1)) - 1) + strpos('ACGT', substr(kmer, 2, 1)) - 1"
+        told = f"""SELECT concat_ws('-', doc_id, j) AS id, CAST(count(*) AS INTEGER) AS n_masked, round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[5 + {code}]) + 1.3e-7, 5) AS loss FROM (SELECT *, [{every}] AS l FROM f WHERE masked) GROUP BY doc_id, j"""
+    return f"""WITH {_SEQ}, {_WIN}, tk0 AS (SELECT doc_id, j, pos, substr(seq, pos + 1, {shape.k}) AS kmer FROM (SELECT doc_id, j, seq, unnest(range(0, {last})) AS pos FROM win)), tk AS ({marks}),
+h AS (SELECT doc_id, j, pos, kmer, masked, {start} FROM tk), q AS (SELECT *, {qkv} FROM h),
+att AS (SELECT a.doc_id, a.j, a.pos, any_value(a.kmer) AS kmer, any_value(a.masked) AS masked, any_value(a.h0) AS h0, any_value(a.h1) AS h1, sum({near} * b.v0) / sum({near}) AS m0,
+  sum({near} * b.v1) / sum({near}) AS m1 FROM q a JOIN q b ON b.doc_id = a.doc_id AND b.j = a.j GROUP BY 1, 2, 3),
+r AS (SELECT *, h0 + {line("layer0.mix", 0, "m0", "m1")} AS r0, h1 + {line("layer0.mix", 1, "m0", "m1")} AS r1 FROM att),
+n AS (SELECT *, {norm("r0", "r1", "r0")} AS n0, {norm("r0", "r1", "r1")} AS n1 FROM r), u AS (SELECT *, {up(0)} AS u0, {up(1)} AS u1 FROM n),
+d AS (SELECT *, n0 + {line("layer0.down", 0, "u0", "u1")} AS d0, n1 + {line("layer0.down", 1, "u0", "u1")} AS d1 FROM u),
+f AS (SELECT doc_id, j, pos, kmer, masked, {norm("d0", "d1", "d0")} AS f0, {norm("d0", "d1", "d1")} AS f1 FROM d)
+{told}"""
 
 
 O["encode_attention"] = _attention().replace("np.float64(", "(")
+O["masked_token_loss"] = _attention(True).replace("np.float64(", "(")

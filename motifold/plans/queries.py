@@ -501,10 +501,10 @@ def encode_hidden_flex(spark, sf_dir):
 TINY = encoder.Shape(width=2, heads=1, layers=1, hidden=2, positions=64, tokens=4, targets=2)
 
 
-def ruled_weights() -> encoder.Weights:
+def ruled_weights(shape: encoder.Shape = TINY) -> encoder.Weights:
     """Tenths from -0.5 to 0.5 by the number of the weight and the place in it; norms have weight 1 and bias 0."""
     out = {}
-    for k, (name, size) in enumerate(encoder.expected(TINY).items()):
+    for k, (name, size) in enumerate(encoder.expected(shape).items()):
         rule = ((np.arange(np.prod(size)) * 7 + k * 3) % 11 - 5) / 10
         out[name] = np.full(size, float(name.endswith("weight"))) if ".norm" in name else rule.reshape(size)
     return out
@@ -515,6 +515,22 @@ def encode_attention(spark, sf_dir):
     return rows.select("doc_id", "j", *((F.round(F.get("features", F.lit(i)) + NUDGE, 5) + 0.0).alias(f"f{i}") for i in range(4)))
 
 
+#: The tiny encoder over pairs of letters, whose vocabulary is of 20 tokens.
+PAIRS = TINY._replace(k=2, tokens=20)
+
+
+def masked_token_loss(spark, sf_dir):
+    """Cross-entropy of the tokens that a tiny ruled encoder doesn't see, by window."""
+    rows = windows(spark, sf_dir).select(F.concat_ws("-", "doc_id", "j").alias("id"), "seq")
+    return encoder.token_losses(rows, ruled_weights(PAIRS), PAIRS).select("id", "n_masked", F.round(F.col("loss") + NUDGE, 5).alias("loss"))
+
+
+def max_pool_head_eval(spark, sf_dir):
+    """A head with two hidden layers and dropout on the greatest state of each unit over a window."""
+    rows = encoder.encoded(_scored_windows(spark, sf_dir), encoder.random_weights(10042, _SMALL), _SMALL, "hidden", "max")
+    return encoder.head_scores(splits.split_by_share(rows, "id").withColumn("target", F.lit("gc")), ["target"], (128, 64), dropout=0.2)
+
+
 def linear_head_eval(spark, sf_dir):
     rows = splits.split_by_share(_vectors(spark, sf_dir), "vec_id")
     return encoder.head_scores(rows, ["target"]).select("target", "n", *rounded("val_r2", "test_r2", "test_rmse"), "status")
@@ -543,7 +559,7 @@ NAMED = [
     masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, nested_cv_ridge, nested_cv_ridge_1d,
     ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
-    token_cross_entropy, encode_hidden_flex, encode_attention, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
+    token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, max_pool_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMED}
 QUERIES |= {f"positional_nmer_{n}": _positional(n) for n in (1, 2, 3)}

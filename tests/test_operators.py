@@ -426,6 +426,49 @@ def test_heads_from_sums(spark, monkeypatch):
     assert all(r.status == "ok" and r.val_r2 > 0.9 and r.test_r2 > 0.9 for r in [*few.values(), *many.values()]), (few, many)
 
 
+def test_compared_checkpoints(spark):
+    shape = encoder.Shape(width=4, heads=2, hidden=8, layers=1)
+    random = np.random.default_rng(11)
+    seqs = ["".join(random.choice(list("ACGT"), 12)) for _ in range(120)]
+    rows = spark.createDataFrame([(i, s, s.count("G") + 0.1 * float(random.standard_normal())) for i, s in enumerate(seqs)], "id int, seq string, y double")
+    sets = {f"w{n}": encoder.random_weights(n, shape) for n in (1, 2)}
+    found = {r.model: r for r in encoder.compared(rows, sets, shape).collect()}
+    split = {r.id: r.split for r in splits.split_by_share(rows, "id").collect()}
+    y = np.array([r.y for r in rows.sort("id").collect()])
+    for name, weights in sets.items():
+        hidden, targets = encoder.forward(weights, *encoder.one_hot_batch(seqs, 6), shape)
+        x = np.concatenate([hidden, targets], 2).reshape(120, -1)
+        at = {s: np.array([split[i] == s for i in range(120)]) for s in ("train", "val", "test")}
+        std = x[at["train"]].std(0)
+        x = x / np.where(std < 1e-8, 1, std)
+        score = lambda own, w, b: 1 - ((y[own] - x[own] @ w - b) ** 2).sum() / ((y[own] - y[own].mean()) ** 2).sum()  # noqa: B023, E731
+        fits = [direct_ridge(x[at["train"]], y[at["train"]], a) for a in ridge.ALPHAS]
+        best = int(np.argmax([score(at["val"], *f) for f in fits]))
+        r = found[name]
+        assert (r.n_total, r.n_train, r.n_val, r.n_test, r.alpha, r.status) == (120, 96, 12, 12, ridge.ALPHAS[best], "ok")
+        assert (r.val_r2, r.test_r2) == pytest.approx((score(at["val"], *fits[best]), score(at["test"], *fits[best])), abs=1e-4)
+
+
+def test_token_losses(spark):
+    shape = encoder.Shape(k=3, width=8, heads=2, hidden=8, layers=1, tokens=68)
+    weights = encoder.random_weights(4, shape)
+    seqs = ["ACGTACGTAAC", "GGNGG", "AC", None, "TTTTTTTT"]
+    for tokens in (1, 1 << 12):
+        found = {r.id: r for r in encoder.token_losses(frame(spark, seqs), weights, shape, 0.4, tokens=tokens).collect()}
+        rows = frame(spark, seqs).withColumn("least", splits.least_draw("id", F.length("seq") - 2, 12345))
+        masks = {r.id: [] for r in rows.collect()}
+        for r in kmers(rows, 3).withColumn("m", splits.masked("id", "least", share=0.4, seed=12345)).where("m").collect():
+            masks[r.id].append(r.pos)
+        assert found[2].loss is None and found[3].loss is None
+        for i in (0, 1, 4):
+            x, mask = encoder.one_hot_batch([seqs[i]], 3)
+            x[0, masks[i]] = 0
+            logits = encoder.forward(weights, x, mask, shape)[0][0] @ weights["token_head.weight"].T
+            ids = [r.x for r in kmers(frame(spark, [seqs[i]]), 3).orderBy("pos").select(token_id(F.col("kmer"), 3).alias("x")).collect()]
+            own = [math.log(np.exp(logits[p]).sum()) - logits[p][ids[p]] for p in masks[i]]
+            assert found[i].n_masked == len(own) and found[i].loss == pytest.approx(np.mean(own))
+
+
 def test_gradients_are_slopes():
     random = np.random.default_rng(9)
     layers = [(random.standard_normal((3, 4)), random.standard_normal(4)), (random.standard_normal((4, 1)), random.standard_normal(1))]
@@ -502,9 +545,9 @@ def test_heads_learn():
     random = np.random.default_rng(5)
     x = random.standard_normal((600, 4))
     y = x @ np.array([1.0, -2.0, 0.5, 0.0]) + 3
-    for hidden in ((), (32,)):
-        _, score = encoder.train_head(x[:400], y[:400], x[400:], y[400:], hidden, rate=1e-2, epochs=60, patience=60)
-        assert score > 0.95
+    for hidden, dropout in (((), 0.0), ((32,), 0.0), ((64,), 0.1)):
+        _, score = encoder.train_head(x[:400], y[:400], x[400:], y[400:], hidden, rate=1e-2, epochs=60, patience=60, dropout=dropout)
+        assert score > (0.9 if dropout else 0.95)
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
