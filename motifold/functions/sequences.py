@@ -64,6 +64,12 @@ def positional_words(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     return listed.withColumn("place", F.col("pos") * 4**n + code).where("place is not null").drop("kmer")
 
 
+def positional_counts(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """(place, hits): how often each place of positional_words is taken. Words are counted by position before they are coded."""
+    counts = kmers(df.select(seq), n, seq).groupBy("pos", "kmer").agg(F.count("*").alias("hits"))
+    return counts.select((F.col("pos") * 4**n + word_code(F.col("kmer"), n)).alias("place"), "hits").where("place is not null")
+
+
 def kmer_gc(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
     """A row for each k-mer: pos, kmer and its share of C and G."""
     return kmers(df, k, seq).withColumn("gc", gc_share(F.col("kmer")))

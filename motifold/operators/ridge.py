@@ -243,10 +243,10 @@ MOST_VALUES = 1 << 25
 MOST_PRODUCTS = 2048
 
 
-def fitted(rows: DataFrame, by: list[str], cell: list[str], fit: Callable[[dict], dict | list[dict]], schema: str, width: int, features: str = "features", y: str = "y") -> DataFrame:
+def fitted(rows: DataFrame, by: list[str], cell: list[str], fit: Callable[[dict], dict | list[dict]], schema: str, width: int, features: str = "features", y: str = "y", counted: DataFrame | None = None) -> DataFrame:
     """solved() of rows: groups of at most MOST_VALUES values make their cells' sums in the task that solves them, larger ones
-    by gram_sums, in all tasks. width: features of a row."""
-    small, large = _by_size(rows, by, width)
+    by gram_sums, in all tasks. width: features of a row. counted: a table with the rows' groups that is cheaper to count."""
+    small, large = _by_size(rows, by, width, counted)
     some = usable(small, [*by, *cell], features, y)
     fields = [x.split()[0] for x in schema.split(",")]
 
@@ -265,9 +265,9 @@ def fitted(rows: DataFrame, by: list[str], cell: list[str], fit: Callable[[dict]
     return few if large is None else few.unionByName(solved(gram_sums(large, [*by, *cell], features, y), by, cell, fit, schema))
 
 
-def _by_size(rows: DataFrame, by: list[str], width: int) -> tuple[DataFrame, DataFrame | None]:
+def _by_size(rows: DataFrame, by: list[str], width: int, counted: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """rows of groups of at most MOST_VALUES values, and the others (None: there are none)."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    sizes = (rows if counted is None else counted).groupBy(*by).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") * width > MOST_VALUES).drop("_n")
     if large.isEmpty():
         return rows, None
@@ -334,12 +334,13 @@ def nested_of_rows(x: np.ndarray, y: np.ndarray, outer: np.ndarray, inner: np.nd
 NESTED = "n long, alpha double, r2 double, pearson double, rmse double"
 
 
-def nested_folds(rows: DataFrame, by: list[str], outer: str, inner: str, width: int, features: str = "features", y: str = "y", scale: bool = False) -> DataFrame:
+def nested_folds(rows: DataFrame, by: list[str], outer: str, inner: str, width: int, features: str = "features", y: str = "y", scale: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """(by, n, alpha, r2, pearson, rmse, status): nested() of each group. outer, inner: as splits.inner_folds makes them.
 
     Groups of at most MOST_VALUES values are solved from their rows, in a task each; larger ones from Gram sums of their cells.
+    width, counted: see fitted.
     """
-    small, large = _by_size(rows, by, width)
+    small, large = _by_size(rows, by, width, counted)
 
     def solve_rows(pdf: pd.DataFrame) -> dict[str, float]:
         widths = {len(x) for x in pdf["x"]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
-from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_words, sorted_families, told_number, token_id
+from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, sorted_families, told_number, token_id
 from motifold.operators import encoder, metrics, normalization, ridge, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs
@@ -139,7 +139,7 @@ def onehot_profile(spark, sf_dir):
 
 def _positional(n):
     def run(spark, sf_dir):
-        return positional_words(windows(spark, sf_dir), n).groupBy("place").agg(F.count("*").alias("hits"))
+        return positional_counts(windows(spark, sf_dir), n)
 
     return run
 
@@ -349,10 +349,11 @@ def _kinds(rows):
 
 def benchmark_by_file(spark, sf_dir):
     """Each source a file: nested folds of windows against their share of C and G, for each kind of features over all letters."""
-    rows = splits.inner_folds(_scored_windows(spark, sf_dir).withColumnRenamed("source", "file"), "id", 5, 3, 42, "file")
+    plain = _scored_windows(spark, sf_dir).withColumnRenamed("source", "file")
+    rows = splits.inner_folds(plain, "id", 5, 3, 42, "file")
     out = []
     for kind, (table_, width) in _kinds(rows).items():
-        found = ridge.nested_folds(table_, ["file"], "outer", "inner", width, scale=kind.startswith("hidden"))
+        found = ridge.nested_folds(table_, ["file"], "outer", "inner", width, scale=kind.startswith("hidden"), counted=plain)
         out.append(found.withColumns({"kind": F.lit(kind), "family": file_family(F.col("file")), "factor": file_factor(F.col("file")), "seq_len": F.lit(WINDOW)}))
     return reduce(DataFrame.unionByName, out)
 
@@ -361,12 +362,13 @@ def sample_efficiency(spark, sf_dir):
     """Nested shares of training rows by feature kind: penalty by validation, no refit, scores on test."""
     percents = [0.3, 1, 3, 10, 30, 100]
     marked = splits.split_by_share(_scored_windows(spark, sf_dir), "id")
+    plain = _scored_windows(spark, sf_dir)
     train = splits.subset_bands(marked.where("split = 'train'"), "id", percents)
     every = train.unionByName(marked.where("split <> 'train'").withColumn("band", F.lit(-1)))
     out = []
     for kind, (table_, width) in _kinds(every).items():
         rows = table_.withColumn("model", F.lit(kind))
-        out.append(ridge.fitted(rows, ["model"], ["split", "band"], lambda cells: ridge.subset_scores(cells, percents), f"percent double, n_train long, {ridge.VALIDATED}", width))
+        out.append(ridge.fitted(rows, ["model"], ["split", "band"], lambda cells: ridge.subset_scores(cells, percents), f"percent double, n_train long, {ridge.VALIDATED}", width, counted=plain.withColumn("model", F.lit(kind))))
     return reduce(DataFrame.unionByName, out)
 
 

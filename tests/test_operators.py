@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motifold.functions import flexibility as X
 from motifold.functions.hashing import ranked
-from motifold.functions.sequences import kmers, longest_tokens, one_hot, padded, resolve_column, token_id
+from motifold.functions.sequences import kmers, longest_tokens, one_hot, padded, positional_counts, positional_words, resolve_column, token_id
 from motifold.operators import encoder, metrics, normalization, ridge, splits
 from motifold.operators.features import FEATURE_BUILDERS, feature_matrix, pooled, token_targets, track, track_profile
 from motifold.sources import text
@@ -79,6 +79,18 @@ def test_flat_track_matches_features(spark):
         feature_matrix(frame(spark, [seq]), "4mer", 14)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_positional_words(spark, n):
+    seqs = ["ACGTNACGA", "ACG", "A", "", None, "TTTTACGT"]
+    wanted = Counter()
+    for s in seqs:
+        for i in range(len(s or "") - n + 1):
+            if "N" not in (word := s[i : i + n]):
+                wanted[i * 4**n + sum("ACGT".index(c) * 4 ** (n - 1 - k) for k, c in enumerate(word))] += 1
+    assert Counter(r.place for r in positional_words(frame(spark, seqs), n).collect()) == wanted
+    assert {r.place: r.hits for r in positional_counts(frame(spark, seqs), n).collect()} == wanted
+
+
 def test_feature_kinds(spark):
     widths = {"1mer": 144, "2mer": 560, "3mer": 2176, "1mer_flex": 282, "1mer12flex": 560}
     assert widths.keys() == FEATURE_BUILDERS.keys()
