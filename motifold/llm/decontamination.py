@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifold.llm.shared import in_small_batches, stored
+from motifold.llm.shared import in_small_batches, stored, tidied
 from motifold.llm.textbatch import WORDY, Piece, Words, pieces, ragged, text_buffer, words
 
 WINDOW = 10
@@ -230,7 +230,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     kind = out.schema["doc_id"].dataType.simpleString()
     for automaton in _automata(benchmark, window, block_words):
         names = ["doc_id", "text", "hits", "items", "n_words", "longest"]
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(automaton), names), f"doc_id {kind}, text string, {_FOUND}")
+        out = out.mapInArrow(tidied(_scan(docs.sparkSession.sparkContext.broadcast(automaton), names)), f"doc_id {kind}, text string, {_FOUND}")
     return out.drop("text")
 
 
@@ -323,8 +323,8 @@ def _cut_by_all(docs: DataFrame, automata: list) -> DataFrame:
     while not done or left.take(1):
         found = left
         for shared in automata:
-            found = found.mapInArrow(_scan(shared, names), scanned)
-        step = stored(found.mapInArrow(_cut(not done), T.StructType([row, text, T.StructField("changed", T.BooleanType())])))
+            found = found.mapInArrow(tidied(_scan(shared, names)), scanned)
+        step = stored(found.mapInArrow(tidied(_cut(not done)), T.StructType([row, text, T.StructField("changed", T.BooleanType())])))
         done.append(step.where("not changed"))
         left = step.where("changed").select("row", "text")
     out = reduce(DataFrame.union, done)
@@ -340,7 +340,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     out = in_small_batches(docs)
     automata = [docs.sparkSession.sparkContext.broadcast(x) for x in _automata(benchmark, window, block_words)]
-    out = out.mapInArrow(_clean(automata[0]), docs.schema) if len(automata) == 1 else _cut_by_all(out, automata)
+    out = out.mapInArrow(tidied(_clean(automata[0])), docs.schema) if len(automata) == 1 else _cut_by_all(out, automata)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(docs.columns)

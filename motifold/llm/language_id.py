@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifold.llm.shared import in_small_batches
+from motifold.llm.shared import in_small_batches, tidied
 
 #: Ranks in a profile, of a language or of a document.
 RANKS = 400
@@ -111,7 +111,7 @@ def _count(batches):
 def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
     """Profiles from all rows of docs (text, lang); rows with a null in either teach nothing."""
     rows = in_small_batches(docs).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
     return Profiles([(x["lang"], x["gram"], x["rank"] - 1) for x in top.select("lang", "gram", "rank").collect()], ranks)
@@ -132,7 +132,7 @@ def identified(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", sco
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, lang, score])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
+    return docs.mapInArrow(tidied(run), f"{fields}, `{lang}` string, `{score}` double")
 
 
 def held_out():

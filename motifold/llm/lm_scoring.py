@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import in_small_batches, stored
+from motifold.llm.shared import in_small_batches, stored, tidied
 from motifold.llm.textbatch import Piece, pieces, text_buffer
 
 ORDER = 5
@@ -61,7 +61,7 @@ def _number_blocks(most: int):
 def in_blocks(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """rows (doc_id, text, ...) stored with a number for each run of them that holds about `most` bytes of text."""
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return stored(rows.mapInArrow(_number_blocks(most), f"{fields}, block long"))
+    return stored(rows.mapInArrow(tidied(_number_blocks(most)), f"{fields}, block long"))
 
 
 def _count(order: int):
@@ -110,7 +110,7 @@ def gram_counts(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     A block that is read in parts has several rows for an n-gram, which are to be added.
     """
     rows = blocks.select("text", "target", "block")
-    return rows.mapInArrow(_count(order), "block long, gram long, background long, target long")
+    return rows.mapInArrow(tidied(_count(order)), "block long, gram long, background long, target long")
 
 
 def gram_losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:

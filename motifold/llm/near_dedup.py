@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifold.llm.components import components
-from motifold.llm.shared import in_small_batches, spread_join, stored
+from motifold.llm.shared import in_small_batches, spread_join, stored, tidied
 from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 
 SHINGLE_WORDS = 5
@@ -178,14 +178,14 @@ def near_duplicate_heads(docs: DataFrame, percent: int = 75, width: int = SHINGL
     component by doc_id, nulls last, then by key."""
     need = least_shared(sketch, percent, miss)
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
-    sets = stored(texts.mapInArrow(_sketches(width, sketch), "doc_id long, key binary, n long, s1 long, s2 long, sketch array<long>"))
+    sets = stored(texts.mapInArrow(tidied(_sketches(width, sketch)), "doc_id long, key binary, n long, s1 long, s2 long, sketch array<long>"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(own).alias("lead")).withColumn("node", F.monotonically_increasing_id()))
     keys = classes.select("node", F.col("lead.key").alias("key"))
     nodes = stored(sets.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).join(keys, "key").select("node", "n", "sketch"))
     listed = stored(_lists(nodes, percent, need))
     full = texts.select("key", "text").dropDuplicates(["key"]).join(keys.join(listed.select("node").distinct(), "node"), "key").select("node", "text")
-    full = stored(full.mapInArrow(_full_sets(width), "node long, shingles array<long>"))
+    full = stored(full.mapInArrow(tidied(_full_sets(width)), "node long, shingles array<long>"))
     about = stored(_own_shares(nodes, full, percent))
     open_lists = stored(listed.join(about.select("node", "n", "own"), "node").select("v", "node", "n", "own"))
 
@@ -227,7 +227,7 @@ def _own_shares(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     counted = nodes.select("node", "n").join(full, "node").join(alone, "node", "left").withColumn("own", F.coalesce(F.size("alone"), F.lit(0)).cast("long"))
     counted = counted.withColumn("own", F.greatest("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     masks = ", ".join(f"{m} long" for m in _MASKS)
-    return counted.select("node", "n", "own", "shingles", "alone").mapInArrow(_masks, f"node long, n long, own long, {masks}, beyond long")
+    return counted.select("node", "n", "own", "shingles", "alone").mapInArrow(tidied(_masks), f"node long, n long, own long, {masks}, beyond long")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def _with_neighbours(lists: DataFrame, percent: int) -> DataFrame:
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["v", "n", "node"]
     ordered = lists.select(columns).repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-    return _best(ordered.mapInArrow(_neighbours(percent), "a long, b long"))
+    return _best(ordered.mapInArrow(tidied(_neighbours(percent)), "a long, b long"))
 
 
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import hashed_share, in_small_batches
+from motifold.llm.shared import hashed_share, in_small_batches, tidied
 from motifold.llm.textbatch import byte_set, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -400,7 +400,7 @@ def found_spans(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(sums, pa.string()), pa.array(told, pa.string())], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{x} long' for x in KINDS)}, base_sha256 string, spans string")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, {', '.join(f'n_{x} long' for x in KINDS)}, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
@@ -420,7 +420,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 texts = pa.array([changed.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], texts, *batch.columns[place + 1 :]], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(docs.columns)

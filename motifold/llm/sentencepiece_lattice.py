@@ -5,7 +5,9 @@ encodes each distinct word once. New words of a batch make one text, which is in
 occurrences are a range of it, found by binary search for all pieces at once; the ranges give the edges of a lattice,
 which are sorted by the position where they end and relaxed in that order, all words side by side.
 
-The model merges pairs (byte-pair encoding), so a shortest path by scores would be wrong. Instead an edge is relaxed if the
+With a unigram model, an edge is relaxed if it gives its end a higher sum of scores; of equal ones the longest piece counts.
+Sums start anew at each word, so where two ways are equal but for rounding, a library that adds up a whole text may differ.
+With a model that merges pairs (byte-pair encoding), a best path by scores would be wrong. There an edge is relaxed if the
 piece before it and its own piece stay apart when merging their joined text; a text's encoding is the one path of such
 pairs, so one edge per position succeeds. Which pairs do is worked out once per pair.
 """
@@ -21,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import in_small_batches
+from motifold.llm.shared import in_small_batches, tidied
 from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes
 
 SPACE = "▁"
@@ -51,13 +53,15 @@ class PieceModel(NamedTuple):
     high: np.ndarray  #: likewise, then ones
     raw: np.ndarray  #: bytes that ids decode to
     raw_starts: np.ndarray
+    scores: np.ndarray | None  #: of a unigram model, by id, then that of a character that is no piece; else None
+    single: np.ndarray  #: by symbol: whether the character is a piece
 
 
 _UNKNOWN = 0xFFFE
 
 
 def load_model(path: str) -> PieceModel:
-    """Read a model file on the driver. ValueError if it isn't a byte-pair model with byte fallback and no normalisation."""
+    """Read a model file on the driver. ValueError if it isn't a byte-pair or unigram model with byte fallback and no normalisation."""
     from sentencepiece import SentencePieceProcessor
     from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -66,8 +70,9 @@ def load_model(path: str) -> PieceModel:
     proto, own = ModelProto(), SentencePieceProcessor(model_proto=content)
     proto.ParseFromString(content)
     norm = proto.normalizer_spec
-    if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
-        raise ValueError("only byte-pair models with byte fallback, a dummy prefix and unchanged text are read")
+    unigram = proto.trainer_spec.model_type == 1
+    if proto.trainer_spec.model_type not in (1, 2) or any(p.type == 4 for p in proto.pieces) or not proto.trainer_spec.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
+        raise ValueError("only byte-pair and unigram models with byte fallback, a dummy prefix, unchanged text and no pieces of a user are read")
     n = own.get_piece_size()
     plain = [i for i in range(n) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))]
     texts = [""] * n
@@ -81,13 +86,15 @@ def load_model(path: str) -> PieceModel:
     byte_ids = np.array([own.piece_to_id(f"<0x{i:02X}>") for i in range(256)], np.int32)
     chars = sorted(set("".join(texts)))
     symbols = np.full(0x110000, _UNKNOWN, np.uint16)
+    single = np.zeros(1 << 16, bool)
     for k, x in enumerate(chars):
-        if x in ids:
+        single[k + 1] = x in ids
+        if unigram or x in ids:
             symbols[ord(x)] = k + 1
     symbols[32] = symbols[ord(SPACE)]
     absent = np.zeros(256, bool)
     absent[:128] = symbols[:128] == _UNKNOWN
-    usable = np.array([i for i in plain if merged(texts[i], ranks) == [texts[i]] and all(x in ids for x in texts[i])], np.int64)
+    usable = np.array([i for i in plain if unigram or merged(texts[i], ranks) == [texts[i]] and all(x in ids for x in texts[i])], np.int64)
     low, high = np.zeros((len(usable), WIDEST), np.uint16), np.full((len(usable), WIDEST), 0xFFFF, np.uint16)
     for row, i in enumerate(usable):
         low[row, : len(texts[i])] = high[row, : len(texts[i])] = [symbols[ord(x)] for x in texts[i]]
@@ -95,7 +102,9 @@ def load_model(path: str) -> PieceModel:
     raw = [value.get(i, texts[i].replace(SPACE, " ").encode()) for i in range(n)]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     lengths = np.array([len(texts[i]) for i in usable], np.int64)
-    return PieceModel(texts, ranks, ids, byte_ids, symbols, absent, usable, lengths, _packed(low), _packed(high), np.frombuffer(b"".join(raw), np.uint8), starts)
+    scores = np.array([own.get_score(i) for i in range(n)], np.float32)
+    scores = np.append(scores, scores[plain].min() - np.float32(10)) if unigram else None  # 10: a fixed value of the format
+    return PieceModel(texts, ranks, ids, byte_ids, symbols, absent, usable, lengths, _packed(low), _packed(high), np.frombuffer(b"".join(raw), np.uint8), starts, scores, single)
 
 
 def merged(text: str, ranks: dict[str, int]) -> list[str]:
@@ -185,7 +194,7 @@ class Encoder:
         found = last - first
         start = suffixes[spread(first, found)]
         piece, length = np.repeat(model.usable, found), np.repeat(model.lengths, found)
-        lone = places[symbols[places] == _UNKNOWN]
+        lone = places[~model.single[symbols[places]]]
         start, piece, length = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), self.size - 1)]), np.concatenate([length, np.ones(len(lone), np.int64)])
         end = start + length
         # Edges by the position in their word where they end, there the longest first.
@@ -201,7 +210,15 @@ class Encoder:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
         token, back = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
         token[base] = -2
+        best = np.full(n + 1, -np.inf, np.float32)
+        best[base] = 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if model.scores is not None:
+                score = best[start[a:b]] + model.scores[piece[a:b]]
+                own = np.arange(a, b)[score > best[end[a:b]]]
+                best[end[own]] = score[own - a]
+                token[end[own]], back[end[own]] = piece[own], start[own]
+                continue
             own = np.arange(a, b)[token[end[a:b]] == -1]
             before = token[start[own]]
             own = own[(before == -2) | ((before >= 0) & self.stay_apart(np.maximum(before, 0), piece[own]))] if len(own) else own
@@ -299,15 +316,17 @@ class Encoder:
         return model.raw[spread(model.raw_starts[tokens], widths)], widths
 
 
-_workers: dict[int, Encoder] = {}
+class Shared:
+    """A model and, on a worker, its encoder: later tasks know the words of earlier ones, until Spark drops the broadcast."""
 
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        self.encoder: Encoder | None = None
 
-def _encoder(shared) -> Encoder:
-    """One per worker and broadcast model, so that later tasks know the words of earlier ones."""
-    if id(shared.value) not in _workers:
-        _workers.clear()
-        _workers[id(shared.value)] = Encoder(shared.value)
-    return _workers[id(shared.value)]
+    def own(self) -> Encoder:
+        if self.encoder is None:
+            self.encoder = Encoder(self.model)
+        return self.encoder
 
 
 def _spaced(column: pa.Array) -> pa.Array:
@@ -327,11 +346,11 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
     A character U+2581 in a text counts as a space, as in the model. A column ids of docs is replaced.
     """
     rows = in_small_batches(docs).drop("ids")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
     place = rows.columns.index("text")
 
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = shared.value.own()
         for batch in batches:
             for part, tokens, counts, _ in _rows(batch, place, encoder):
                 ids = ragged(tokens, counts, pa.int32())
@@ -340,7 +359,7 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, ids array<int>")
+    return rows.mapInArrow(tidied(run), f"{fields}, ids array<int>")
 
 
 def decoded(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -349,11 +368,11 @@ def decoded(docs: DataFrame, model: PieceModel) -> DataFrame:
     Bytes that are no UTF-8 become U+FFFD; a column text of docs is replaced.
     """
     rows = docs.drop("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
     place = rows.columns.index("ids")
 
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = shared.value.own()
         for batch in batches:
             lists = batch.column(place)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -364,7 +383,7 @@ def decoded(docs: DataFrame, model: PieceModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, text string")
+    return rows.mapInArrow(tidied(run), f"{fields}, text string")
 
 
 def encoding_report(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -374,10 +393,10 @@ def encoding_report(docs: DataFrame, model: PieceModel) -> DataFrame:
     get equal answers; other columns are ignored.
     """
     rows = in_small_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
 
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = shared.value.own()
         for batch in batches:
             for part, tokens, counts, same in _rows(batch, 1, encoder):
                 ends = np.cumsum(counts)
@@ -386,4 +405,4 @@ def encoding_report(docs: DataFrame, model: PieceModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(sums, pa.string()), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, ids_sha256 string, round_trip boolean")

@@ -242,6 +242,27 @@ def test_encoding_is_the_library_s(spark, model):
         assert told[i].ids_sha256 == hashlib.sha256(np.array(ids[i], "<i4").tobytes()).hexdigest()
 
 
+def test_encoding_by_a_unigram_model(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    own, proto = random.Random(14), ModelProto()
+    for i, name in enumerate(["<unk>", "<s>", "</s>"]):
+        proto.pieces.add(piece=name, score=0, type=2 if i == 0 else 3)
+    for i in range(256):
+        proto.pieces.add(piece=f"<0x{i:02X}>", score=0, type=6)
+    words = ["▁", "a", "b", "d", "ab", "ba", "▁a", "▁ab", "abc", "abab", "bab", "▁ba", "cd", "dé"]  # c and é are no pieces alone
+    for i, x in enumerate(words):
+        proto.pieces.add(piece=x, score=-1.0 - own.random() * len(x) - i * 0.01)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, True
+    proto.normalizer_spec.name, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = "identity", False, True
+    (tmp_path / "toy.model").write_bytes(proto.SerializeToString())
+    library, toy = SentencePieceProcessor(model_file=str(tmp_path / "toy.model")), sp.load_model(str(tmp_path / "toy.model"))
+    texts = ["", " ", "abcab", "ccc", "dé dé", *("".join(own.choice("aabbcd  é日") for _ in range(own.randrange(40))) for _ in range(400))]
+    ids = {r.doc_id: r.ids for r in sp.encoded(table(spark, texts), toy).collect()}
+    assert all(ids[i] == library.encode(t) for i, t in enumerate(texts))
+
+
 def test_encoding_odd(spark, model):
     rows = sp.encoded(odd_table(spark), model).collect()
     assert [r.ids for r in rows if r.text is None] == [None] and [r.ids for r in rows if r.text == ""] == [[]]
@@ -497,7 +518,7 @@ def test_archives_are_bounded(spark, tmp_path):
     arcs = spark.createDataFrame(pages, "key string, refers_to string, content binary").coalesce(1)
     warc.write_warc(arcs, str(tmp_path / "w"), 2000)
     files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")]
-    assert sorted(len(list(warc.warc_records(f))) for f in files) == [1, 2, 2, 3] and all(f.endswith(b"\r\n\r\n") for f in files)
+    assert sorted(len(list(warc.warc_records(f))) for f in files) == [2, 3, 3] and all(f.endswith(b"\r\n\r\n") for f in files)
     back = {r.key: r.payload_bytes for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert back == {k: len(c) - c.index(b"\n") - 1 for k, _, c in pages}
 
