@@ -2,9 +2,9 @@
 
 Each curve projects vectors onto a few random directions, shifts them, and orders them by their Hilbert key. A curve is
 range-partitioned into cells of equal row counts at quantiles of its keys; a query looks at the cells in a window around
-its own key, on every curve, and the best of all windows are kept by true distance. The share of a curve that a window
-covers is the smallest that reaches `TARGET` recall among a bounded sample, so near-isotropic vectors get wide windows
-and clustered ones narrow windows. Cells are cut into blocks of bounded size by a hash, whatever their keys, so many
+its own key, on every curve, and the best of all windows are kept by true distance. The number of curves, and the share of a curve
+that a window covers, are those of least work that reach `TARGET` recall among a bounded sample, so near-isotropic vectors
+get wide windows and clustered ones narrow windows. Cells are cut into blocks of bounded size by a hash, whatever their keys, so many
 equal vectors never meet in one task, and queries come in bounded blocks too.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifold.llm.shared import hashed_share, stored
+from motifold.llm.shared import hashed_share, stored, tidied
 
+#: Curves at most, and at least.
 CURVES = 4
+LEAST_CURVES = 2
 DIRECTIONS = 8
 BITS = 7
 #: Rows that scales and windows are fitted on: those of the smallest hashes. Fewer if they'd exceed SAMPLE_VALUES.
@@ -74,7 +76,8 @@ class Curves(NamedTuple):
 
 
 def fit_curves(sample: np.ndarray, curves: int = CURVES, target: float = TARGET, k: int = 10) -> Curves:
-    """Random directions and shifts, scales from the sample, and the window that finds `target` of the sample's neighbours."""
+    """Random directions and shifts, scales from the sample; of LEAST_CURVES to `curves` curves, so many, with the window that
+    finds `target` of the sample's neighbours, that windows cover least in all."""
     random = np.random.default_rng(7)
     n, d = sample.shape
     directions = random.standard_normal((curves, d, DIRECTIONS))
@@ -92,9 +95,10 @@ def fit_curves(sample: np.ndarray, curves: int = CURVES, target: float = TARGET,
     places = np.empty((n, curves))
     for c in range(curves):
         places[np.argsort(keys[:, c], kind="stable"), c] = (np.arange(n) + 0.5) / n
-    gaps = np.abs(places[:asked, None] - places[nearest]).min(2)
-    share = next((2 * x for x in (np.arange(1, 65) / 128) if (gaps <= x).mean() >= target), 1.0)
-    return out._replace(share=min(1.0, share))
+    gaps = np.abs(places[:asked, None] - places[nearest])
+    share_of = lambda c: next((2 * x for x in (np.arange(1, 65) / 128) if (gaps[:, :, :c].min(2) <= x).mean() >= target), 1.0)
+    best = min(range(min(LEAST_CURVES, curves), curves + 1), key=lambda c: (c * share_of(c), c))
+    return Curves(*(x[:best] for x in out[:4]), min(1.0, share_of(best)))
 
 
 def valid_vector(vector: Column, size: Column | int) -> Column:
@@ -155,6 +159,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURV
     if not some:
         return none
     model = fit_curves(np.array([x["vector"] for x in some]), curves, target, k)
+    curves = len(model.shift)
     shared = spark.sparkContext.broadcast(model)
 
     def key(batches):
@@ -163,7 +168,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURV
             listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * curves), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=["vec_id", "vector", "asks", "keys"])
 
-    keyed = stored(rows.mapInArrow(key, "vec_id long, vector array<double>, asks boolean, keys array<long>"))
+    keyed = stored(rows.mapInArrow(tidied(key), "vec_id long, vector array<double>, asks boolean, keys array<long>"))
     total = keyed.count()
     share = max(model.share, min(1.0, 4 * k / total))
     cells = max(16, min(MOST_CELLS, math.ceil(total / BLOCK_ROWS)))

@@ -28,43 +28,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by how much better a model of documents of quality 1 tells it than one of all documents. Odd rows: see the operator."""
     targets = _table(spark, sf_dir, "labels").where("quality = 1")
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), targets)
 
 
 def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by profiles of the documents that are not held out. Odd rows: see the operator."""
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
 def op3_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """Every document encoded by the model, as a count and a digest of its ids, and whether they decode to it. Odd rows: see the operator."""
     return encoding_report(_table(spark, sf_dir, "documents"), load_model(model_path))
 
 
 def op4_shifted_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth. Odd rows: see the operator."""
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op5_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of base spans, and all spans. Odd rows: see the operator."""
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in windows of benchmark items. Odd rows: see the operator."""
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record, and what is read back. Odd rows: see the operator."""
     return archived_pages(_table(spark, sf_dir, "pages"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document. Odd rows: see the operator."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url, by rule or by links. Odd rows: see the operator."""
     return judged_urls(_table(spark, sf_dir, "pages"))
 
 
 def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a linked, validated and serialised event. Odd rows: see the operator."""
     return formatted_conversations(_table(spark, sf_dir, "conversations"))
 
 
