@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifold.llm.shared import in_small_batches, stored, tidied
+from motifold.llm.shared import stored, tidied
 from motifold.llm.textbatch import WORDY, Piece, Words, pieces, ragged, text_buffer, words
 
 WINDOW = 10
@@ -226,7 +226,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     has more than block_words words), of those in runs of known words of at least a window. Null and wordless texts have no words; items that are null or wordless have no windows; a null
     item_id counts as an empty one. An empty benchmark hits nothing. Other columns are ignored.
     """
-    out = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
     for automaton in _automata(benchmark, window, block_words):
         names = ["doc_id", "text", "hits", "items", "n_words", "longest"]
@@ -338,7 +338,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     are unchanged. A cut can bring words together that make a window; cutting repeats until none is left. All items count
     together, in one automaton or several, which are scanned in turn and whose rounds are stored.
     """
-    out = in_small_batches(docs)
+    out = docs
     automata = [docs.sparkSession.sparkContext.broadcast(x) for x in _automata(benchmark, window, block_words)]
     out = out.mapInArrow(tidied(_clean(automata[0])), docs.schema) if len(automata) == 1 else _cut_by_all(out, automata)
     if "n_chars" in docs.columns:

@@ -23,14 +23,14 @@ from motifold.llm.shared import hashed_share, stored, tidied
 
 #: Curves at most, and at least.
 CURVES = 4
-LEAST_CURVES = 2
+LEAST_CURVES = 3
 DIRECTIONS = 8
 BITS = 7
 #: Rows that scales and windows are fitted on: those of the smallest hashes. Fewer if they'd exceed SAMPLE_VALUES.
 SAMPLE_ROWS = 4000
 SAMPLE_VALUES = 1 << 24
 SAMPLE_QUERIES = 200
-TARGET = 0.97
+TARGET = 0.95
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 MOST_CELLS = 1024

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifold.llm.shared import in_small_batches, tidied
+from motifold.llm.shared import tidied
 
 #: Ranks in a profile, of a language or of a document.
 RANKS = 400
@@ -110,7 +110,7 @@ def _count(batches):
 
 def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
     """Profiles from all rows of docs (text, lang); rows with a null in either teach nothing."""
-    rows = in_small_batches(docs).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(tidied(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
@@ -123,7 +123,7 @@ def identified(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", sco
     `und` and 0 where text is null or has no letter, or without profiles. A text that shares no n-gram with any profile has
     the first language by name, with score 0.
     """
-    shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(profiles)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         known = shared.value

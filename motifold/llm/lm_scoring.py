@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import in_small_batches, stored, tidied
+from motifold.llm.shared import stored, tidied
 from motifold.llm.textbatch import Piece, pieces, text_buffer
 
 ORDER = 5
@@ -193,7 +193,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, order: int = O
     targets, the target's model is uniform. Rows with a null or repeated doc_id keep a row each, with the losses of their
     own text, whatever the blocks. Other columns are ignored; an empty table gives no rows.
     """
-    texts = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     chosen = F.broadcast(chosen) if chosen.count() <= SENT_TARGETS else chosen
     blocks = in_blocks(texts.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), block_bytes)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifold.llm.components import components
-from motifold.llm.shared import in_small_batches, spread_join, stored, tidied
+from motifold.llm.shared import spread_join, stored, tidied
 from motifold.llm.textbatch import SPACED, mixed, pieces, ragged, words
 
 SHINGLE_WORDS = 5
@@ -177,7 +177,7 @@ def near_duplicate_heads(docs: DataFrame, percent: int = 75, width: int = SHINGL
     """Per row of docs: doc_id, key (row_key), n_shingles, head; head (unnamed, doc_id, key) is the first row of the
     component by doc_id, nulls last, then by key."""
     need = least_shared(sketch, percent, miss)
-    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
     sets = stored(texts.mapInArrow(tidied(_sketches(width, sketch)), "doc_id long, key binary, n long, s1 long, s2 long, sketch array<long>"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     classes = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(own).alias("lead")).withColumn("node", F.monotonically_increasing_id()))

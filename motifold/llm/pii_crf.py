@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import hashed_share, in_small_batches, tidied
+from motifold.llm.shared import hashed_share, tidied
 from motifold.llm.textbatch import byte_set, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -384,7 +384,7 @@ def found_spans(docs: DataFrame, field: Field) -> DataFrame:
     A null or empty text has no spans. Repeated rows get equal answers; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = ["doc_id", *(f"n_{x}" for x in KINDS), "base_sha256", "spans"]
     none = hashlib.sha256(b"").hexdigest()
 
@@ -405,7 +405,7 @@ def found_spans(docs: DataFrame, field: Field) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """docs with every span in text replaced by its kind; all columns stay, n_chars (if any) is counted anew."""
-    shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         for batch in batches:

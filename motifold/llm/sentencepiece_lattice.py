@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import in_small_batches, tidied
+from motifold.llm.shared import tidied
 from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes
 
 SPACE = "▁"
@@ -345,7 +345,7 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     A character U+2581 in a text counts as a space, as in the model. A column ids of docs is replaced.
     """
-    rows = in_small_batches(docs).drop("ids")
+    rows = docs.drop("ids")
     shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
     place = rows.columns.index("text")
 
@@ -392,7 +392,7 @@ def encoding_report(docs: DataFrame, model: PieceModel) -> DataFrame:
     round_trip says that the ids decode to the text (a U+2581 in it: a space). A null text counts as empty. Repeated rows
     get equal answers; other columns are ignored.
     """
-    rows = in_small_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
 
     def run(batches):

@@ -84,24 +84,23 @@ def spread_join(rows: DataFrame, keyed: DataFrame, by: list[str], total: int) ->
     return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
 
 
-#: Rows of the Arrow batches between Spark and its Python workers.
+#: Rows of a batch that a task works on at once.
 BATCH_ROWS = 1000
-_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches cut to a size that texts don't burst; a value that a user lowered further stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
-        conf.set(_BATCH_KEY, str(BATCH_ROWS))
-    return df
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, on batches of BATCH_ROWS rows at most, whatever the session's size is: texts may be long.
 
+    What a task has freed goes back to the system at its end: workers live on, and would keep it.
+    """
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow. What a task has freed goes back to the system at its end: workers live on, and would keep it."""
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, max(1, batch.num_rows), BATCH_ROWS):
+                yield batch.slice(first, BATCH_ROWS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(small(batches))
         gc.collect()
         pa.default_memory_pool().release_unused()
         if hasattr(system := ctypes.CDLL(None), "malloc_trim"):

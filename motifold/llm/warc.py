@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import in_small_batches, shared_folder, tidied
+from motifold.llm.shared import shared_folder, tidied
 
 #: Fixed values of the two formats.
 ARC_FIELDS = {
@@ -194,7 +194,7 @@ def write_warc(arcs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
 
     The n-th further record of one ARC file has the key `key/n`. An archive's last record end is the writer's line separator.
     """
-    archives = in_small_batches(arcs).select("key", "refers_to", "content").mapInArrow(tidied(_convert(archive_bytes)), "archive binary")
+    archives = arcs.select("key", "refers_to", "content").mapInArrow(tidied(_convert(archive_bytes)), "archive binary")
     writer = archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", RECORD_END)
     writer.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
