@@ -175,9 +175,9 @@ def token_losses(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), shar
     """
     shared = seqs.sparkSession.sparkContext.broadcast(weights)
     count = F.length("seq") - (shape.k - 1)
-    least = splits.least_draw("id", count, seed)
-    chosen = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (unit(seed, F.col("id"), i) < share) | ((F.col("_least.draw") / float(1 << 32) >= share) & (i == F.col("_least.pos"))))
-    rows = seqs.withColumn("_least", least).withColumn("_places", F.when(count > 0, chosen)).drop("_least")
+    chosen = F.filter(F.sequence(F.lit(0), count - 1), lambda i: unit(seed, F.col("id"), i) < share)
+    forced = splits.forced_position("id", count, share, seed)
+    rows = seqs.withColumn("_places", F.when(count > 0, F.when(F.size(chosen) > 0, chosen).otherwise(F.array(forced))))
     place, at = rows.columns.index("seq"), rows.columns.index("_places")
     known = {w: i + len(SPECIALS) for i, w in enumerate(words(shape.k))}
 

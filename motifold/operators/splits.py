@@ -80,19 +80,21 @@ def inner_folds(df: DataFrame, key: str, outer: int, inner: int, seed: int = 42,
     return rows.join(listed, key).withColumn("inner", inner_at).drop("_map")
 
 
-def least_draw(by: str, count: Column, seed: int = 42) -> Column:
-    """(draw, pos): of positions 0 to count - 1 of a row with key `by` the one with the smallest draw; null without any."""
+def forced_position(by: str, count: Column, share: float = 0.15, seed: int = 42) -> Column:
+    """Of positions 0 to count - 1 of a row with key `by`, the one that is masked although its draw doesn't say so: that with
+    the smallest draw, if no draw does; else null. Looking ends at the first position that is masked by its draw."""
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    return F.array_min(F.transform(at, lambda i: F.struct(draw(seed, F.col(by), i).alias("draw"), i.alias("pos"))))
+    drawn = F.exists(at, lambda i: unit(seed, F.col(by), i) < share)
+    least = F.array_min(F.transform(at, lambda i: F.struct(draw(seed, F.col(by), i).alias("draw"), i.alias("pos"))))
+    return F.when(~drawn, least["pos"])
 
 
-def masked(by: str, least: str, pos: str = "pos", share: float = 0.15, seed: int = 42) -> Column:
-    """Whether a position is masked: each by itself with the given chance, and that of the smallest draw if none of its row is.
+def masked(by: str, forced: str, pos: str = "pos", share: float = 0.15, seed: int = 42) -> Column:
+    """Whether a position is masked: each by itself with the given chance, and one of its row if none is.
 
-    least: a column with least_draw of the row, made before positions become rows; so nothing is shuffled or joined.
+    forced: a column with forced_position of the row, made before positions become rows; so nothing is shuffled or joined.
     """
-    forced = (F.col(f"{least}.draw") / float(1 << 32) >= share) & (F.col(pos) == F.col(f"{least}.pos"))
-    return (unit(seed, by, pos) < share) | forced
+    return (unit(seed, by, pos) < share) | F.coalesce(F.col(pos) == F.col(forced), F.lit(False))
 
 
 def fixed_position(count: Column, at: int = 2) -> Column:

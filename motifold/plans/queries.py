@@ -13,6 +13,7 @@ from motifold.functions.hashing import unit
 from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, sorted_families, told_number, token_id
 from motifold.operators import encoder, metrics, normalization, ridge, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
+from motifold.session import dealt
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs
 from motifold.streaming.running_stats import batch_moments, windowed_stats
 
@@ -26,14 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents for work on each text."""
+    return dealt(table(spark, sf_dir, "documents").select(*columns))
+
+
 def sequences(spark: SparkSession, sf_dir: str, letters: str = "ACGT") -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", only_bases(F.col("text"), letters).alias("seq"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", only_bases(F.col("text"), letters).alias("seq"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive whole windows of each sequence: doc_id, source, j, seq."""
     parts = F.regexp_extract_all(only_bases(F.col("text")), F.lit(f".{{{WINDOW}}}"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(parts).alias("j", "seq"))
+    return documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", F.posexplode(parts).alias("j", "seq"))
 
 
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     document, 8 to 14 of them a line by its id."""
     pattern = F.concat(F.lit(".{1,"), (8 + F.col("doc_id") % 7).cast("string"), F.lit("}"))
     pieces = F.posexplode(F.regexp_extract_all(only_bases(F.col("text")), pattern, F.lit(0))).alias("j", "seq")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", pieces)
+    docs = documents(spark, sf_dir, "doc_id", "source", "n_chars", "text").select("doc_id", "source", "n_chars", pieces)
     turn = (F.col("doc_id") + F.col("j")) % 5
     fine = F.concat("seq", F.lit("\t"), (F.col("n_chars") / 4 + F.col("j")).cast("decimal(12,2)").cast("string"), F.lit(" "), F.col("doc_id").cast("string"))
     value = F.when(turn == 0, "  ").when(turn == 1, F.col("seq")).when(turn == 2, F.concat("seq", F.lit(" x1"))).otherwise(fine)
@@ -206,8 +212,8 @@ def independent_subsets(spark, sf_dir):
 
 
 def _masks(spark, sf_dir, seed):
-    seqs = sequences(spark, sf_dir).withColumn("least", splits.least_draw("doc_id", F.length("seq") - 5, seed))
-    masked = splits.masked("doc_id", "least", seed=seed)
+    seqs = sequences(spark, sf_dir).withColumn("forced", splits.forced_position("doc_id", F.length("seq") - 5, seed=seed))
+    masked = splits.masked("doc_id", "forced", seed=seed)
     return kmers(seqs).select("doc_id", "pos", masked.alias("masked"), F.when(masked, token_id(F.col("kmer"))).alias("label"))
 
 

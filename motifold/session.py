@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -31,3 +31,15 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         context._motifold_shipped = True
     return spark
+
+
+#: Bytes a task slot of files up to which their rows are dealt anew.
+SMALL_BYTES = 8 << 20
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """A table as read from files, or, if it is small, its rows dealt over all task slots: a small file is one task else,
+    however much work its rows are. Larger tables have tasks enough, and are never moved."""
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(slots) if size <= slots * SMALL_BYTES else files

@@ -293,11 +293,11 @@ def test_dominant_length_takes_the_first_of_ties(spark):
 
 
 def test_masks_have_one_at_least(spark):
-    rows = spark.range(300).withColumn("least", splits.least_draw("id", F.lit(4)))
-    tokens = rows.select("id", "least", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
-    found = tokens.withColumn("masked", splits.masked("id", "least", share=0.05)).groupBy("id").agg(F.count_if("masked").alias("n")).collect()
+    rows = spark.range(300).withColumn("forced", splits.forced_position("id", F.lit(4), 0.05))
+    tokens = rows.select("id", "forced", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    found = tokens.withColumn("masked", splits.masked("id", "forced", share=0.05)).groupBy("id").agg(F.count_if("masked").alias("n")).collect()
     assert len(found) == 300 and min(r.n for r in found) == 1
-    assert spark.range(1).select(splits.least_draw("id", F.lit(0)).alias("x")).first().x is None
+    assert spark.range(1).select(splits.forced_position("id", F.lit(0)).alias("x")).first().x is None
     assert [r.x for r in spark.range(5).select(splits.fixed_position(F.col("id").cast("int")).alias("x")).orderBy("id").collect()] == [None, 0, 1, 2, 2]
 
 
@@ -467,9 +467,9 @@ def test_token_losses(spark):
     seqs = ["ACGTACGTAAC", "GGNGG", "AC", None, "TTTTTTTT"]
     for tokens in (1, 1 << 12):
         found = {r.id: r for r in encoder.token_losses(frame(spark, seqs), weights, shape, 0.4, tokens=tokens).collect()}
-        rows = frame(spark, seqs).withColumn("least", splits.least_draw("id", F.length("seq") - 2, 12345))
+        rows = frame(spark, seqs).withColumn("forced", splits.forced_position("id", F.length("seq") - 2, 0.4, 12345))
         masks = {r.id: [] for r in rows.collect()}
-        for r in kmers(rows, 3).withColumn("m", splits.masked("id", "least", share=0.4, seed=12345)).where("m").collect():
+        for r in kmers(rows, 3).withColumn("m", splits.masked("id", "forced", share=0.4, seed=12345)).where("m").collect():
             masks[r.id].append(r.pos)
         assert found[2].loss is None and found[3].loss is None
         for i in (0, 1, 4):
@@ -514,6 +514,17 @@ def test_standardising_a_tail_of_columns(spark):
     assert {len(x) for x in dropped.values()} == {2}
 
 
+def test_small_files_are_dealt(spark, tmp_path, monkeypatch):
+    from motifold import session
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    sizes = session.dealt(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and sum(r["count"] for r in sizes) == 1000
+    monkeypatch.setattr(session, "SMALL_BYTES", 10)
+    assert session.dealt(rows) is rows
+
+
 def test_merged_moments_match(spark):
     values = np.random.default_rng(0).standard_normal(1000) + 1e6
     rows = spark.createDataFrame([(i, "g", float(v)) for i, v in enumerate(values)], "i int, g string, v double")
