@@ -17,6 +17,7 @@ from motifold.llm.sentencepiece_lattice import encoding_report, load_model
 from motifold.llm.tool_calls import formatted_conversations
 from motifold.llm.url_trust import judged_urls
 from motifold.llm.warc import archived_pages
+from motifold.session import dealt
 
 
 #: The model whose ids op3 and the pipeline give.
@@ -27,20 +28,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(_table(spark, sf_dir, "documents"))
+
+
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by how much better a model of documents of quality 1 tells it than one of all documents. Odd rows: see the operator."""
     targets = _table(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(_table(spark, sf_dir, "documents"), targets)
+    return cross_entropy_difference(_documents(spark, sf_dir), targets)
 
 
 def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by profiles of the documents that are not held out. Odd rows: see the operator."""
-    return language_predictions(_table(spark, sf_dir, "documents"))
+    return language_predictions(_documents(spark, sf_dir))
 
 
 def op3_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     """Every document encoded by the model, as a count and a digest of its ids, and whether they decode to it. Odd rows: see the operator."""
-    return encoding_report(_table(spark, sf_dir, "documents"), load_model(model_path))
+    return encoding_report(_documents(spark, sf_dir), load_model(model_path))
 
 
 def op4_shifted_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +55,12 @@ def op4_shifted_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and a digest of base spans, and all spans. Odd rows: see the operator."""
-    return personal_data(_table(spark, sf_dir, "documents"))
+    return personal_data(_documents(spark, sf_dir))
 
 
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in windows of benchmark items. Odd rows: see the operator."""
-    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
+    return contamination_report(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document. Odd rows: see the operator."""
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_documents(spark, sf_dir))
 
 
 def op9_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
