@@ -124,3 +124,61 @@ SELECT t.conv_id, t.turn, t.role, t.kind, t.call_id,
          CASE WHEN t.kind = 'call' THEN '"tool":"reply"' END], lambda x: x IS NOT NULL), ',') || '}' AS message
 FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND c.call_id = t.call_id
 """
+
+
+def _assigned(rows: str, books: str) -> str:
+    """Of each part its nearest entry (ties: the lowest index), as distance * 64 + index."""
+    away = " + ".join(f"(s.q[{j}] - b.q[{j}]) * (s.q[{j}] - b.q[{j}])" for j in range(1, 5))
+    return f"SELECT s.vec_id, s.p, s.q, min(({away}) * 64 + b.i) AS k FROM {rows} s JOIN {books} b ON b.p = s.p GROUP BY ALL"
+
+
+def _moved(found: str, books: str) -> str:
+    means = ", ".join(f"CAST(floor(sum(q[{j}]) / count(*)) AS BIGINT)" for j in range(1, 5))
+    return f"SELECT b.p, b.i, coalesce(m.q, b.q) AS q FROM {books} b LEFT JOIN (SELECT p, k % 64 AS i, [{means}] AS q FROM {found} GROUP BY ALL) m ON m.p = b.p AND m.i = b.i"
+
+
+ORACLES["op11_annular_vector_codes"] = f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT vec_id, p, v[4 * p + 1:4 * p + 4] AS q FROM e, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, q FROM s WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 64)),
+a0 AS MATERIALIZED ({_assigned("s", "b0")}),
+b1 AS MATERIALIZED ({_moved("a0", "b0")}),
+a1 AS MATERIALIZED ({_assigned("s", "b1")}),
+b2 AS MATERIALIZED ({_moved("a1", "b1")}),
+a2 AS MATERIALIZED ({_assigned("s", "b2")}),
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', CAST(k % 64 AS INT)), '' ORDER BY p) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(q[j] AS VARCHAR), ',' ORDER BY p, i, j)) AS codebooks_sha256 FROM b2, range(1, 5) t(j))
+SELECT e.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY e.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM e JOIN c ON c.vec_id = e.vec_id, h
+"""
+
+
+def _nearest(centroids: str) -> str:
+    """Of each vector its nearest centroid (ties: the smaller number), as distance * 16 + number."""
+    away = "list_sum(list_transform(list_zip(e.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    return f"SELECT e.vec_id, e.v, min(CAST({away} AS BIGINT) * 16 + c.i) AS k FROM e JOIN {centroids} c ON true GROUP BY ALL"
+
+
+def _means(found: str, centroids: str) -> str:
+    sums = f"SELECT i, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS x FROM (SELECT k % 16 AS i, v FROM {found}), range(1, 65) t(j) GROUP BY ALL"
+    return f"SELECT c.i, coalesce(m.v, c.v) AS v FROM {centroids} c LEFT JOIN (SELECT i, list(x ORDER BY j) AS v FROM ({sums}) GROUP BY i) m ON m.i = c.i"
+
+
+ORACLES["op13_gemm_centroid_clusters"] = f"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS i, v FROM e QUALIFY i < 16),
+a0 AS MATERIALIZED ({_nearest("c0")}),
+c1 AS MATERIALIZED ({_means("a0", "c0")}),
+a1 AS MATERIALIZED ({_nearest("c1")}),
+c2 AS MATERIALIZED ({_means("a1", "c1")}),
+a2 AS MATERIALIZED ({_nearest("c2")}),
+c3 AS MATERIALIZED ({_means("a2", "c2")}),
+a3 AS MATERIALIZED ({_nearest("c3")})
+SELECT a.vec_id, CAST(a.k % 16 AS INT) AS cluster, a.k // 16 AS distance, CAST(sum(a.k // 16) OVER (PARTITION BY a.k % 16) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.k // 16) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.i = a.k % 16
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifold.llm.centroid_clusters import clustered
 from motifold.llm.decontamination import contamination_report
 from motifold.llm.hilbert_ann import nearest
 from motifold.llm.language_id import language_predictions
@@ -16,6 +17,7 @@ from motifold.llm.pii_crf import personal_data
 from motifold.llm.sentencepiece_lattice import encoding_report, load_model
 from motifold.llm.tool_calls import formatted_conversations
 from motifold.llm.url_trust import judged_urls
+from motifold.llm.vector_codes import coded
 from motifold.llm.warc import archived_pages
 from motifold.session import dealt
 
@@ -83,6 +85,16 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code by codebooks of parts, and its error. Odd rows: see the operator."""
+    return coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_gemm_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster, and how far it and all are from their centroids. Odd rows: see the operator."""
+    return clustered(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
