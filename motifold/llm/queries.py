@@ -14,6 +14,7 @@ from motifold.llm.language_id import language_predictions
 from motifold.llm.lm_scoring import cross_entropy_difference
 from motifold.llm.near_dedup import near_duplicates
 from motifold.llm.pii_crf import personal_data
+from motifold.llm.quality_discriminant import quality_scores
 from motifold.llm.sentencepiece_lattice import encoding_report, load_model
 from motifold.llm.tool_calls import formatted_conversations
 from motifold.llm.url_trust import judged_urls
@@ -90,6 +91,11 @@ def op11_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labelled documents that are not held out. Odd rows: see the operator."""
+    return quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op13_gemm_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster, and how far it and all are from their centroids. Odd rows: see the operator."""
     return clustered(_table(spark, sf_dir, "embeddings"))
