@@ -2,7 +2,7 @@
 
 Entries of a codebook are sorted by norm. By the triangle inequality an entry that is as near as the best so far has a norm
 within that distance of the part's own, so binary search gives an annulus of entries, and only those are measured, exactly,
-both edges included. Norms are rounded, so the annulus is widened by more than their error.
+both edges included, from the part's own norm outwards; the annulus narrows as nearer ones are found. Norms are rounded, so the annulus is widened by more than their error.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PARTS = 16
 ENTRIES = 64
 FACTOR = 256
 ROUNDS = 2
-#: Entries next to a part's norm that give its first best distance.
+#: Entries, half of them on either side, that are measured before the annulus is narrowed.
 STRIP = 8
 #: Share by which an annulus is wider than its distances tell.
 SLACK = 1e-9
@@ -77,26 +77,27 @@ class Codebook:
         fine = int((~self.large).sum())  # large ones come last
         index, gaps = np.zeros(len(parts), np.int64), np.zeros(len(parts), object)
         norm = np.sqrt((parts.astype(float) ** 2).sum(1))
-        best = np.full(len(parts), np.inf)
-        if fine:
-            first = np.clip(np.searchsorted(self.norms[:fine], norm) - STRIP // 2, 0, max(0, fine - STRIP))
-            strip = np.minimum(first[:, None] + np.arange(STRIP), fine - 1)
-            best = np.sqrt(self._away(parts[:, None], strip).min(1).astype(float))
-        slack = SLACK * (norm + best) + SLACK
-        low = np.searchsorted(self.norms[:fine], norm - best - slack, "left")
-        high = np.searchsorted(self.norms[:fine], norm + best + slack, "right")
-        # A large entry has a component over the limit, so it may be as near only within that of the part.
-        alone = (norm + best + slack >= self.limit) if fine < len(self.norms) else np.zeros(len(parts), bool)
-        for i in np.flatnonzero(alone).tolist():
-            index[i], gaps[i] = self._one(parts[i].tolist())
-        rest = np.flatnonzero(~alone)
-        if len(rest):
-            counts = high[rest] - low[rest]
-            begins = np.cumsum(counts) - counts
-            at = np.arange(counts.sum()) + np.repeat(low[rest] - begins, counts)
-            keys = self._away(parts[np.repeat(rest, counts)], at) * len(self.order) + self.order[at]
-            found = np.minimum.reduceat(keys, begins)
-            index[rest], gaps[rest] = found % len(self.order), found // len(self.order)
+        key = np.full(len(parts), (1 << 63) - 1)  # distance * entries + index of the best so far
+        left = np.searchsorted(self.norms[:fine], norm)  # entries from left to right are measured
+        right, active = left.copy(), np.arange(len(parts))
+        while len(active) and fine:
+            best = np.where(key[active] < (1 << 63) - 1, np.sqrt((key[active] // len(self.order)).astype(float)), np.inf)
+            slack = SLACK * (norm[active] + best) + SLACK
+            low = np.searchsorted(self.norms[:fine], norm[active] - best - slack, "left")
+            high = np.searchsorted(self.norms[:fine], norm[active] + best + slack, "right")
+            some = np.arange(STRIP // 2)
+            at = np.concatenate([left[active, None] - 1 - some, right[active, None] + some], 1)
+            inside = (at >= low[:, None]) & (at < high[:, None])
+            keys = np.full(at.shape, (1 << 63) - 1)
+            keys[inside] = self._away(parts[np.repeat(active, inside.sum(1))], at[inside]) * len(self.order) + self.order[at[inside]]
+            key[active] = np.minimum(key[active], keys.min(1))
+            left[active], right[active] = np.maximum(left[active] - STRIP // 2, 0), np.minimum(right[active] + STRIP // 2, fine)
+            active = active[inside.any(1)]
+        index[:], gaps[:] = key % len(self.order), key // len(self.order)
+        if fine < len(self.norms):  # a large entry is over the limit in a component, so it may be as near only to some
+            reach = np.where(key < (1 << 63) - 1, norm + np.sqrt((key // len(self.order)).astype(float)), np.inf)
+            for i in np.flatnonzero(reach * (1 + SLACK) + SLACK >= self.limit).tolist():
+                index[i], gaps[i] = self._one(parts[i].tolist())
         return index, gaps
 
 
