@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterable
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifold.llm.shared import stored, tidied
-from motifold.llm.textbatch import WORDY, Piece, Words, pieces, ragged, text_buffer, words
+from motifold.llm.textbatch import LOWER, WORDY, Piece, Words, pieces, spread, words
 
 WINDOW = 10
 #: Words of items in one automaton, which takes a few hundred bytes for each.
@@ -32,6 +33,9 @@ BLOCK_WORDS = 100_000
 MOST_COVERAGE = 0.5
 
 
+_ITEM_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 class ItemAutomaton:
     """All factors of the items' word sequences. Built on the driver from one bounded block, then broadcast."""
 
@@ -42,13 +46,21 @@ class ItemAutomaton:
         self.items: list[set[str]] = [set()]
         #: By state: lengths of whole short items that end there, with their ids.
         self.whole: dict[int, dict[int, set[str]]] = {}
-        found, ids = [], []
-        for name, text in items:
-            hashes = text_words(text)
-            if len(hashes):
-                found.append(hashes)
-                ids.append(name)
-        self.vocabulary = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        items = [(name, raw) for name, text in items if (raw := (text or "").encode())]
+        different = len({word for _, raw in items for word in _item_words(raw)})
+        self.seed = -1
+        self.vocabulary = np.zeros(0, np.uint64)
+        while self.seed < 0 or len(self.vocabulary) < different:  # until no two words of items have one hash
+            self.seed += 1
+            sequences = [words(Piece(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), WORDY, seed=self.seed) for _, raw in items]
+            self.vocabulary, first = np.unique(np.concatenate([x.hashes for x in sequences] or [self.vocabulary]), return_index=True)
+        #: The words' bytes, by place in the vocabulary.
+        every = [word for _, raw in items for word in _item_words(raw)]
+        self.bytes = np.frombuffer(b"".join(every[i] for i in first.tolist()), np.uint8)
+        self.sizes = np.array([len(every[i]) for i in first.tolist()], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        some = [i for i, x in enumerate(sequences) if len(x.hashes)]
+        found, ids = [sequences[i].hashes for i in some], [items[i][0] for i in some]
         coded = [np.searchsorted(self.vocabulary, x).tolist() for x in found]
         self.shortest = min([window, *map(len, coded)])
         for name, sequence in zip(ids, coded, strict=True):
@@ -128,14 +140,23 @@ class ItemAutomaton:
         return longest
 
 
-def text_words(text: str) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return words(Piece(0, data, np.array([0, len(data)])), WORDY).hashes
+def _item_words(raw: bytes) -> list[bytes]:
+    return _ITEM_BYTES.findall(raw.lower())
+
+
+def _confirmed(piece: Piece, found: Words, automaton: ItemAutomaton, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the piece's words (their places) are, letter by letter, the automaton's (theirs in the vocabulary)."""
+    sizes = found.ends[at] - found.starts[at]
+    fine = sizes == automaton.sizes[ids]
+    own = LOWER[piece.data[spread(found.starts[at[fine]], sizes[fine])]] != automaton.bytes[spread(automaton.starts[ids[fine]], sizes[fine])]
+    edges = np.cumsum(sizes[fine]) - sizes[fine]
+    fine[fine] = np.add.reduceat(own, edges) == 0 if len(edges) else True
+    return fine
 
 
 def matches(piece: Piece, automaton: ItemAutomaton):
     """Words of the piece, and for each row with an occurrence: row -> (hits, items, longest match)."""
-    found = words(piece, WORDY)
+    found = words(piece, WORDY, seed=automaton.seed)
     vocabulary, h = automaton.vocabulary, found.hashes
     out: dict[int, tuple[list[tuple[int, int]], set[str], int]] = {}
     if not len(vocabulary) or not len(h):
@@ -143,6 +164,7 @@ def matches(piece: Piece, automaton: ItemAutomaton):
     ids = np.searchsorted(vocabulary, h)
     ids[ids == len(vocabulary)] = 0
     known = vocabulary[ids] == h
+    known[known] = _confirmed(piece, found, automaton, np.flatnonzero(known), ids[known])
     begins, ends = known.copy(), known.copy()
     begins[1:] &= ~known[:-1]
     ends[:-1] &= ~known[1:]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.shared import tidied
-from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes
+from motifold.llm.textbatch import Piece, pieces, ragged, span_hashes, spread
 
 SPACE = "▁"
 #: Bytes of text that a task cuts into words at once.
@@ -139,12 +139,6 @@ def _bound(index: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
     return low
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each length, one after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """The state of one worker: words and pairs that it has met."""
 
@@ -307,8 +301,26 @@ class Encoder:
             for k, row in enumerate(full.tolist()):
                 end = begins[k] + sizes[row] + 1
                 same[row] = np.array_equal(decoded[own[row] : own[row] + sizes[row] + 1], data[begins[k] : end])
+            if not same.all():
+                tokens = self._confirmed(tokens, rows, same, data, starts, ends, np.append(np.searchsorted(starts, begins), len(starts)), full)
         return tokens, rows, same
 
+    def _confirmed(self, tokens: np.ndarray, rows: np.ndarray, same: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, edges: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """tokens, those of rows that don't decode to their text being made anew, word by word and by content: another word
+        may have had the hash of one of theirs. rows and same are brought up to date."""
+        lists, known = np.split(tokens, np.cumsum(rows)[:-1]), {}
+        for k, row in enumerate(full.tolist()):
+            if same[row]:
+                continue
+            texts = [data[a:b].tobytes() for a, b in zip(starts[edges[k] : edges[k + 1]].tolist(), ends[edges[k] : edges[k + 1]].tolist(), strict=True)]
+            for raw in {*texts} - known.keys():
+                codes = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+                known[raw] = self.index(codes, np.array([len(codes)]))[0]
+            lists[row] = np.concatenate([known[raw] for raw in texts])
+            rows[row] = len(lists[row])
+            same[row] = self.decode(lists[row])[0].tobytes() == b"".join(texts)
+        return np.concatenate(lists)
+
     def decode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all tokens, and how many each has."""
         model = self.model

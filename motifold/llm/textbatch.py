@@ -26,9 +26,8 @@ WORDY = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_ODD = 0x9E3779B97F4A7C15
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Of a block of 8 bytes, those that belong to a span with so many bytes left.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Piece(NamedTuple):
@@ -64,17 +63,6 @@ def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[Piece]:
         row = last
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (splitmix64's finish)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -82,24 +70,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, ASCII lower-cased first if asked for. Spans are in order and don't overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, ASCII lower-cased first if asked for. Spans are in order and not empty.
+
+    Blocks of 8 bytes are mixed with their place in the span before they are added, so no exchange of blocks or letters
+    keeps the sum; of spans of up to 8 bytes different ones differ.
+    """
     hashes = np.empty(len(starts), np.uint64)
     w = 0
     while w < len(starts):  # a very long text is hashed in stretches of whole words
         last = max(w + 1, int(np.searchsorted(ends, starts[w] + 4 * PIECE_BYTES, "right")))
-        at = starts[w]
-        part = data[at : ends[last - 1]]
-        up, down = powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[LOWER[part] if lower else part] * up[:-1], out=total[1:])
-        a, b = starts[w:last] - at, ends[w:last] - at
-        hashes[w:last] = mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        part = data[starts[w] : ends[last - 1]]
+        part = np.concatenate([LOWER[part] if lower else part, np.zeros(8, np.uint8)])
+        lengths = ends[w:last] - starts[w:last]
+        blocks = (lengths + 7) >> 3
+        firsts = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(firsts, blocks)
+        bits = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))[np.repeat(starts[w:last] - starts[w], blocks) + 8 * place]
+        bits &= _LEFT[np.minimum(np.repeat(lengths, blocks) - 8 * place, 8)]
+        keys = mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        hashes[w:last] = mixed(np.add.reduceat(mixed(bits ^ keys), firsts) + lengths.astype(np.uint64))
         w = last
     return hashes
 
 
-def words(piece: Piece, kind: np.ndarray, lower: bool = True) -> Words:
+def words(piece: Piece, kind: np.ndarray, lower: bool = True, seed: int = 0) -> Words:
     """Maximal runs of bytes of a kind within each row, with a 64-bit hash of each, ASCII lower-cased first."""
     data, bounds = piece.data, piece.bounds
     inside = kind[data]
@@ -111,7 +106,13 @@ def words(piece: Piece, kind: np.ndarray, lower: bool = True) -> Words:
     finishes[inner - 1] = inside[inner - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     rows = np.searchsorted(starts, bounds)
-    return Words(starts, ends, rows, span_hashes(data, starts, ends, lower))
+    return Words(starts, ends, rows, span_hashes(data, starts, ends, lower, seed))
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each stretch, one stretch after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:

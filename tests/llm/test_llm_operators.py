@@ -718,3 +718,55 @@ def test_conversations_odd(spark):
     assert tool_calls.formatted_conversations(docs.limit(0)).count() == 0
     plan = tool_calls.formatted_conversations(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# -- words that are alike ----------------------------------------------------------------------------------------------
+
+
+def twin_words(size):
+    """Two words of two letters, the Thue-Morse word and its complement, which sums of letters times powers don't tell apart."""
+    turns = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[t] for t in turns), "".join("ba"[t] for t in turns)
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_twin_words_stay_apart(spark, size):
+    x, y = twin_words(size)
+    hashes = textbatch.words(next(textbatch.pieces(pa.array([f"{x} {y}"]))), textbatch.SPACED).hashes
+    assert hashes[0] != hashes[1]
+    texts = [x, y, f"one two three four five {x}", f"one two three four five {y}"]
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, texts)).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3}
+    items = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in deco.contamination_report(table(spark, texts), items).collect()} == {0: True, 1: False, 2: True, 3: False}
+    model = sp.load_model(MODEL)
+    back = {r.doc_id: r.text for r in sp.decoded(sp.encoded(table(spark, texts).coalesce(1), model).drop("text"), model).collect()}
+    assert back == dict(enumerate(texts))
+
+
+def test_words_of_one_hash(spark, monkeypatch):
+    """Encoding and decontamination compare letters: with nearly all words of one hash, results stay right."""
+    plain = textbatch.span_hashes
+    few = lambda *a, **k: plain(*a, **k) & np.uint64(3)
+    texts = [prose(i, 12, 40) for i in range(20)] + ["", "Ab ab é"]
+    model = sp.load_model(MODEL)
+    piece = next(textbatch.pieces(pa.array(texts)))
+    want = sp.Encoder(model).encode(piece)
+    monkeypatch.setattr(sp, "span_hashes", few)
+    got = sp.Encoder(model).encode(piece)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and got[2].all()
+    items = [("1", texts[3]), ("2", "Ab"), ("3", " ".join(texts[5].split()[:4]))]
+    monkeypatch.undo()
+    automaton = deco.ItemAutomaton(items)
+    want = deco.matches(piece, automaton)[1]
+    # Of one hash are documents' words and items' words, which stay apart among themselves.
+    monkeypatch.setattr(textbatch, "span_hashes", lambda data, starts, ends, lower=False, seed=0: np.array([automaton.vocabulary[hash(data[a:b].tobytes()) % len(automaton.vocabulary)] if not len(w := np.flatnonzero(automaton.vocabulary == h)) else h for h, a, b in zip(plain(data, starts, ends, lower, seed), starts, ends, strict=True)], np.uint64))
+    assert deco.matches(piece, automaton)[1] == want and len(want) >= 2
+
+
+def test_items_of_one_hash(monkeypatch):
+    """Another seed is taken where two words of items have one hash."""
+    plain = textbatch.span_hashes
+    monkeypatch.setattr(textbatch, "span_hashes", lambda data, starts, ends, lower=False, seed=0: plain(data, starts, ends, lower, seed) & np.uint64(1 if seed < 3 else (1 << 64) - 1))
+    automaton = deco.ItemAutomaton([("1", "one two three"), ("2", "two four")])
+    assert automaton.seed == 3 and len(automaton.vocabulary) == 4
