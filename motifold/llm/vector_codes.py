@@ -24,7 +24,7 @@ ENTRIES = 64
 FACTOR = 256
 ROUNDS = 2
 #: Entries, half of them on either side, that are measured before the annulus is narrowed.
-STRIP = 8
+STRIP = 24
 #: Share by which an annulus is wider than its distances tell.
 SLACK = 1e-9
 #: Parts measured at once.
