@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread evenly (splitmix64's finish), for draws within tasks."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def draw(seed: int | str, *keys: str | Column) -> Column:
     """A whole number from 0 to 2**32 - 1."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k for k in keys))

@@ -64,6 +64,12 @@ def positional_words(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     return listed.withColumn("place", F.col("pos") * 4**n + code).where("place is not null").drop("kmer")
 
 
+def positional_places(seq: Column, n: int) -> Column:
+    """positional_words of a short sequence as one ascending array of places."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(seq) - n, F.lit(0))), lambda i: i + n <= F.length(seq))
+    return F.array_compact(F.transform(starts, lambda i: (i * 4**n + word_code(F.substring(seq, i + 1, F.lit(n)), n)).cast("int")))
+
+
 def positional_counts(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     """(place, hits): how often each place of positional_words is taken. Words are counted by position before they are coded."""
     counts = kmers(df.select(seq), n, seq).groupBy("pos", "kmer").agg(F.count("*").alias("hits"))

@@ -1,25 +1,24 @@
-"""A small post-norm transformer over one-hot k-mers, forward only, and regression heads on its features.
+"""A small post-norm transformer over one-hot k-mers, forward, and regression heads on its features.
 
 Weights are a table (name, shape, data); a forward pass runs in tasks, on Arrow batches that are padded by themselves.
-Heads are trained from sums that tasks make of all rows, small groups also in a task each. Training the encoder itself, by
-back-propagation through attention, isn't here.
+Heads are trained from sums that tasks make of all rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.storagelevel import StorageLevel
 
 from motifold.functions.flexibility import BASES, SPECIALS, words
 from motifold.functions.hashing import unit
-from motifold.operators import ridge, splits
-from motifold.operators.normalization import train_moments
+from motifold.operators import krylov, ridge, splits, training
+from motifold.sources.checkpoints import array_rows, arrays_of
 
 
 class Shape(NamedTuple):
@@ -60,13 +59,12 @@ def random_weights(seed: int, shape: Shape = Shape()) -> Weights:
 
 
 def save_weights(spark: SparkSession, weights: Weights, path: str) -> None:
-    rows = [(name, list(x.shape), x.ravel().tolist()) for name, x in weights.items()]
-    spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
+    array_rows(spark, weights).write.mode("overwrite").parquet(path)
 
 
 def load_weights(spark: SparkSession, path: str, shape: Shape = Shape(), strict: bool = True) -> Weights:
     """ValueError if a weight is missing, unknown or of other dimensions; without strict, missing ones are zero."""
-    own = {x["name"]: np.array(x["data"]).reshape(x["shape"]) for x in spark.read.parquet(path).collect()}
+    own = arrays_of(spark.read.parquet(path))
     wanted = expected(shape)
     wrong = [n for n in wanted if n in own and own[n].shape != wanted[n]]
     if wrong or strict and own.keys() != wanted.keys():
@@ -118,11 +116,11 @@ def forward(weights: Weights, x: np.ndarray, mask: np.ndarray, shape: Shape = Sh
     return h * mask[..., None], targets * mask[..., None]
 
 
-def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str = "hidden", pool: str | None = "mean", tokens: int = 1 << 14, precision: type = np.float32) -> DataFrame:
-    """seqs with an array column features: of hidden states, or hidden states and targets (kind hidden_flex).
+def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str = "hidden", pool: str | None = "mean", tokens: int = 1 << 14, precision: type = np.float32, length: int | None = None) -> DataFrame:
+    """seqs with an array column features: of hidden states (kind hidden), targets (kind flex), or both (kind hidden_flex).
 
-    pool is mean, max or None: None flattens positions, so sequences of one length are needed. A sequence without a k-mer
-    has null features. A forward pass takes about so many tokens at once, in float32 unless asked otherwise.
+    pool is mean, max or None: None flattens positions; with length, shorter sequences have zeros for the positions that they
+    lack, without it sequences of one length are needed. A sequence without a k-mer has null features. A forward pass takes about so many tokens at once, in float32 unless asked otherwise.
     """
     shared = seqs.sparkSession.sparkContext.broadcast({name: x.astype(precision) for name, x in weights.items()})
     place = seqs.columns.index("seq")
@@ -130,11 +128,14 @@ def encoded(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), kind: str
     def values_of(texts: list[str]) -> np.ndarray:
         x, mask = one_hot_batch(texts, shape.k)
         hidden, targets = forward(shared.value, x.astype(precision), mask, shape)
-        values = hidden if kind == "hidden" else np.concatenate([hidden, targets], 2)
+        values = {"hidden": [hidden], "flex": [targets], "hidden_flex": [hidden, targets]}[kind]
+        values = np.concatenate(values, 2)
         if pool == "mean":
             return values.sum(1) / mask.sum(1)[:, None]
         if pool == "max":
             return np.where(mask[..., None], values, -1e9).max(1)
+        if length is not None:
+            values = np.pad(values, ((0, 0), (0, length - shape.k + 1 - values.shape[1]), (0, 0)))
         return values.reshape(len(values), -1)
 
     def run(batches):
@@ -211,58 +212,6 @@ def token_losses(seqs: DataFrame, weights: Weights, shape: Shape = Shape(), shar
     return rows.mapInArrow(run, f"{kinds}, n_masked int, loss double")
 
 
-class Head(NamedTuple):
-    layers: list[tuple[np.ndarray, np.ndarray]]
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        for i, (w, b) in enumerate(self.layers):
-            x = x @ w + b
-            if i < len(self.layers) - 1:
-                x = np.maximum(x, 0)
-        return x[:, 0]
-
-
-def train_head(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarray, hidden: tuple[int, ...] = (), rate: float = 1e-3, epochs: int = 30, patience: int = 5, size: int = 128, margin: float = 1e-6, decay: float = 0.0, seed: int = 0, dropout: float = 0.0) -> tuple[Head, float]:
-    """A linear head (or with hidden layers) by Adam on squared error, its intercept from the mean; the epoch with the best R2 on
-    val is kept. dropout: share of hidden states left out in training, the others being raised to make up for them."""
-    random = np.random.default_rng(seed)
-    widths = (x.shape[1], *hidden, 1)
-    layers = [(random.uniform(-1, 1, (a, b)) / np.sqrt(a), np.zeros(b)) for a, b in zip(widths, widths[1:], strict=False)]
-    layers[-1] = layers[-1][0], layers[-1][1] + y.mean()
-    moments = [[np.zeros_like(p) for p in pair] + [np.zeros_like(p) for p in pair] for pair in layers]
-    best, found, waited, step = -np.inf, Head(layers), 0, 0
-    for _ in range(epochs):
-        order = random.permutation(len(x))
-        for a in range(0, len(x), size):
-            own = order[a : a + size]
-            values, kept = [x[own]], [1.0]
-            for i, (w, b) in enumerate(layers):
-                z = values[-1] @ w + b
-                kept.append((random.random(z.shape) >= dropout) / (1 - dropout) if dropout and i < len(layers) - 1 else 1.0)
-                values.append(np.maximum(z, 0) * kept[-1] if i < len(layers) - 1 else z)
-            grad = 2 * (values[-1] - y[own, None]) / len(own)
-            step += 1
-            for i in range(len(layers) - 1, -1, -1):
-                w, b = layers[i]
-                grads = (values[i].T @ grad + decay * w, grad.sum(0))
-                grad = grad @ w.T * (values[i] > 0) * kept[i] if i else grad
-                new = []
-                for j, (p, g) in enumerate(zip((w, b), grads, strict=True)):
-                    moments[i][j] = 0.9 * moments[i][j] + 0.1 * g
-                    moments[i][j + 2] = 0.999 * moments[i][j + 2] + 0.001 * g**2
-                    new.append(p - rate * (moments[i][j] / (1 - 0.9**step)) / (np.sqrt(moments[i][j + 2] / (1 - 0.999**step)) + 1e-8))
-                layers[i] = tuple(new)
-        left = ((Head(layers).predict(x_val) - y_val) ** 2).sum()
-        score = 1 - left / max(((y_val - y_val.mean()) ** 2).sum(), 1e-12)
-        if score > best + margin:
-            best, found, waited = score, Head([(w.copy(), b.copy()) for w, b in layers]), 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return found, float(best)
-
-
 def _scaled(gram: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
     """Gram sums of [1, x, y] as those of [1, (x - mean) / std, y]."""
     step = np.diag(np.concatenate([[1.0], 1 / std, [1.0]]))
@@ -299,136 +248,63 @@ def linear_head(cells: dict[str, np.ndarray], rate: float = 1e-2, epochs: int =
     return {"n": int(sum(c[0, 0] for c in cells.values())), "val_r2": float(best), "test_r2": float(test["r2"]), "test_rmse": test["rmse"]}
 
 
-def gradients(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of the sum of squared errors over rows, by layer."""
-    values = [x]
-    for i, (w, b) in enumerate(layers):
-        z = values[-1] @ w + b
-        values.append(np.maximum(z, 0) if i < len(layers) - 1 else z)
-    grad, out = 2 * (values[-1] - y[:, None]), []
-    for i in range(len(layers) - 1, -1, -1):
-        out.append((values[i].T @ grad, grad.sum(0)))
-        grad = grad @ layers[i][0].T * (values[i] > 0) if i else grad
-    return out[::-1]
-
-
-def spread_head(rows: DataFrame, hidden: tuple[int, ...], rate: float = 1e-2, epochs: int = 100, patience: int = 20, margin: float = 1e-6, seed: int = 0) -> dict[str, float]:
-    """A head with hidden layers over rows (split, features, y) of any number: tasks sum gradients of the rows they hold,
-    a job for each epoch; only sums of the parameters' size reach the driver."""
-    held = ridge.usable(rows.select("split", "features", "y"), ["split"], "features", "y").persist()
-    moments = {r["place"]: r for r in train_moments(held, "x", F.col("split") == "train").collect()}
-    mean, std = (np.array([moments[i][k] for i in range(len(moments))]) for k in ("mean", "std"))
-    std = np.where(std < 1e-8, 1.0, std)
-    known = {r["split"]: r for r in held.groupBy("split").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("squares")).collect()}
-    random = np.random.default_rng(seed)
-    widths = (len(mean), *hidden, 1)
-    layers = [(random.uniform(-1, 1, (a, b)) / np.sqrt(a), np.zeros(b)) for a, b in zip(widths, widths[1:], strict=False)]
-    layers[-1] = layers[-1][0], layers[-1][1] + known["train"]["mean"]
-    sizes = [p.size for pair in layers for p in pair]
-    total = sum(sizes)
-
-    def summed(layers) -> np.ndarray:
-        """Gradients of train, flat, then the squares left of train, val and test."""
-        shared = rows.sparkSession.sparkContext.broadcast((layers, mean, std))
-
-        def run(batches):
-            layers, mean, std = shared.value
-            out = np.zeros(total + 3)
-            for batch in batches:
-                x = (batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean) / std
-                y, split = batch.column(2).to_numpy(), np.array(batch.column(0).to_pylist())
-                left = (Head(layers).predict(x) - y) ** 2
-                out[total:] += [left[split == s].sum() for s in ("train", "val", "test")]
-                own = split == "train"
-                out[:total] += np.concatenate([p.ravel() for pair in gradients(layers, x[own], y[own]) for p in pair])
-            yield pa.RecordBatch.from_pydict({"place": np.arange(total + 3, dtype=np.int32), "value": out})
-
-        parts = held.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
-        shared.destroy()
-        return np.array([r["value"] for r in parts])
-
-    flat = np.concatenate([p.ravel() for pair in layers for p in pair])
-
-    def shaped(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
-        return [(w.reshape(a, b), c) for a, b, w, c in zip(widths[:-1], widths[1:], parts[::2], parts[1::2], strict=True)]
-
-    first, second = np.zeros(total), np.zeros(total)
-    r2 = lambda left, split: 1 - left / max(known[split]["squares"], 1e-12)
-    best, found, waited = -np.inf, np.zeros(3), 0
-    for step in range(1, epochs + 2):
-        sums = summed(shaped(flat))
-        score = r2(sums[-2], "val")
-        if score > best + margin:
-            best, found, waited = score, sums[-3:], 0
-        else:
-            waited += 1
-        if waited >= patience:
-            break
-        slope = sums[:total] / known["train"]["n"]
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        flat = flat - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    held.unpersist()
-    return {"n": sum(r["n"] for r in known.values()), "val_r2": float(best), "test_r2": float(r2(found[2], "test")), "test_rmse": float(np.sqrt(found[2] / known["test"]["n"]))}
-
-
-_SCORES = "n long, val_r2 double, test_r2 double, test_rmse double"
-
-
 def head_scores(rows: DataFrame, by: list[str], hidden: tuple[int, ...] = (), **options) -> DataFrame:
     """(by, n, val_r2, test_r2, test_rmse, status): a head for each group of rows (by, split, features, y). Null features are left out.
 
-    A linear head is trained on Gram sums. One with hidden layers is trained in a task, by mini-batches, if its group has at
-    most ridge.MOST_VALUES values; a larger group, by all tasks together, one group after another. A group that fails has its error in status.
+    A linear head is trained on Gram sums. One with hidden layers by training.trained_heads, in all tasks, all groups of one
+    width together; that also gives test_pearson and epochs. A group that fails has its error in status.
     """
     if not hidden:
-        return ridge.solved(ridge.gram_sums(rows, [*by, "split"]), by, ["split"], lambda cells: linear_head(cells, **options), _SCORES)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    some = ridge.usable(rows, [*by, "split"], "features", "y")
-    sizes = some.groupBy(*by).agg((F.sum(F.size("x")) > ridge.MOST_VALUES).alias("_large"))
-    large = [r.asDict() for r in sizes.where("_large").select(*by).collect()]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[by].iloc[0].to_dict()
-        try:
-            pdf = pdf.iloc[np.lexsort((pdf["x"].map(tuple).map(hash).to_numpy(), pdf["y"].to_numpy()))]  # an order that partitions don't change
-            parts = {s: (np.stack(g["x"].to_numpy()).astype(float), g["y"].to_numpy(float)) for s, g in pdf.groupby("split")}
-            mean, std = parts["train"][0].mean(0), parts["train"][0].std(0)
-            parts = {s: ((x - mean) / np.where(std < 1e-8, 1, std), y) for s, (x, y) in parts.items()}
-            head, val = train_head(*parts["train"], *parts["val"], hidden=hidden, **options)
-            left = head.predict(parts["test"][0]) - parts["test"][1]
-            total = ((parts["test"][1] - parts["test"][1].mean()) ** 2).sum()
-            found = {"n": len(pdf), "val_r2": val, "test_r2": 1 - (left**2).sum() / max(total, 1e-12), "test_rmse": float(np.sqrt((left**2).mean())), "status": "ok"}
-        except Exception as error:  # noqa: BLE001  one group's data don't end the others' job
-            found = dict.fromkeys(x.split()[0] for x in _SCORES.split(", ")) | {"status": f"{type(error).__name__}: {error}"}
-        return pd.DataFrame([own | found])
-
-    few = some
-    if large:
-        keyed = F.struct(*by).alias("_group")
-        few = some.withColumn("_group", keyed).join(F.broadcast(sizes.where("_large").select(keyed)), "_group", "left_anti").drop("_group")
-    out = few.groupBy(*by).applyInPandas(run, f"{kinds}, {_SCORES}, status string")
-    for own in large:
-        is_own = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in own.items()))
-        told = spread_head(rows.where(is_own), hidden, **{k: v for k, v in options.items() if k in ("rate", "epochs", "patience", "margin", "seed")})
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by]
-        out = out.unionByName(rows.sparkSession.createDataFrame([(*own.values(), *told.values(), "ok")], f"{', '.join(fields)}, {_SCORES}, status string"))
-    return out
+        return ridge.solved(ridge.gram_sums(rows, [*by, "split"]), by, ["split"], lambda cells: linear_head(cells, **options), "n long, val_r2 double, test_r2 double, test_rmse double")
+    spark = rows.sparkSession
+    held = ridge.usable(rows, [*by, "split"], "features", "y").persist(StorageLevel.DISK_ONLY)
+    has = lambda s: F.count_if(F.col("split") == s).alias(s)
+    sizes = held.groupBy(*by).agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("width"), has("train"), has("val"), has("test"))
+    kinds = [f for f in rows.schema.fields if f.name in by]
+    names = [x.split()[0] for x in training.SCORES.split(", ")]
+    out, widths = [], {}
+    for r in sizes.collect():  # a row for each group, whose parameters the driver holds anyway
+        wrong = f"ValueError: rows of {r['least']} to {r['width']} features" if r["least"] < r["width"] else next((f"ValueError: no rows of {s}" for s in ("train", "val", "test") if not r[s]), None)
+        if wrong:
+            out.append((*(r[k] for k in by), *[None] * len(names), wrong))
+        else:
+            widths.setdefault(r["width"], []).append(tuple(r[k] for k in by))
+    for width, every in sorted(widths.items()):
+        numbers = 4 * sum((a + 1) * b for a, b in zip((width, *hidden), (*hidden, 1), strict=True))
+        most = max(1, training.MOST_NUMBERS // numbers)
+        for a in range(0, len(every), most):
+            own = every[a : a + most]
+            numbered = spark.createDataFrame([(*g, i) for i, g in enumerate(own)], StructType([*kinds, StructField("group", IntegerType())]))
+            key = lambda df: F.struct(*(df[k] for k in by))  # noqa: E731  nulls are equal within
+            mine = held.withColumn("_key", key(held)).join(F.broadcast(numbered.select(key(numbered).alias("_key"), "group")), "_key")
+            told = training.trained_heads(mine.withColumn("key", training.row_keys("x", "y")), len(own), hidden, **options)
+            out += [(*g, *(x[k] for k in names), "ok") for g, x in zip(own, told.scores, strict=True)]
+    held.unpersist()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    return spark.createDataFrame(out, f"{fields}, {training.SCORES}, status string")
 
 
-def compared(seqs: DataFrame, checkpoints: dict[str, Weights], shape: Shape = Shape(), seed: int = 42, kind: str = "hidden_flex", pool: str | None = None) -> DataFrame:
-    """A row for each checkpoint: model, seed, n_total, n_train, n_val, n_test, val_r2, test_r2, test_pearson, test_rmse.
+def compared(seqs: DataFrame, checkpoints: dict[str, Weights], shape: Shape = Shape(), seed: int = 42, kind: str = "hidden_flex", pool: str | None = None, length: int | None = None, **limits) -> DataFrame:
+    """A row for each checkpoint: model, seed, n_total, n_train, n_val, n_test, alpha, val_r2, test_r2, test_pearson, test_rmse, status.
 
-    seqs: id, seq (of one length, without pooling) and y. All use the same split by id; a linear head is fitted on each
-    frozen encoder's features, with the penalty that val prefers and without a refit.
+    seqs: id, seq and y; pool and length: see encoded. All use the same split by id; a linear head is fitted on each frozen
+    encoder's features, with the penalty that val prefers and without a refit, matrix-free (krylov.validated), as flattened
+    states are wide. Features are kept on disk between its rounds. A checkpoint that fails has its error in status.
     """
+    spark = seqs.sparkSession
     rows = splits.split_by_share(seqs.select("id", "seq", "y"), "id", seed)
     sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    positions = 1 if pool else (length or int(rows.agg(F.max(F.length("seq"))).first()[0] or 0)) - shape.k + 1
+    width = positions * {"hidden": shape.width, "flex": shape.targets, "hidden_flex": shape.width + shape.targets}[kind]
+    names = ["alpha", "val_r2", "test_r2", "test_pearson", "test_rmse"]
     out = []
     for name, weights in checkpoints.items():
-        sums = ridge.gram_sums(encoded(rows, weights, shape, kind, pool).withColumn("model", F.lit(name)), ["model", "split"])
-        fit = lambda cells: ridge.validated(cells, refit=False, scale=True)
-        out.append(ridge.solved(sums, ["model"], ["split"], fit, ridge.VALIDATED))
-    counts = [F.lit(sizes.get(s, 0)).alias(f"n_{s}") for s in ("train", "val", "test")]
-    told = reduce(DataFrame.unionByName, out)
-    return told.select("model", F.lit(seed).alias("seed"), F.lit(sum(sizes.values())).alias("n_total"), *counts, "alpha", "val_r2", "test_r2", "test_pearson", "test_rmse", "status")
+        held = encoded(rows, weights, shape, kind, pool, length=length).select("split", "features", "y").persist(StorageLevel.DISK_ONLY)
+        try:
+            told = krylov.validated(held, [], width, refit=False, scale=True, **limits).first()
+            own = [*(told[k] for k in names), told["status"]]
+        except Exception as error:  # noqa: BLE001  one checkpoint doesn't end the others' job
+            own = [*[None] * len(names), f"{type(error).__name__}: {error}"[:500]]
+        held.unpersist()
+        out.append((name, seed, sum(sizes.values()), *(sizes.get(s, 0) for s in ("train", "val", "test")), *own))
+    return spark.createDataFrame(out, "model string, seed int, n_total long, n_train long, n_val long, n_test long, alpha double, val_r2 double, test_r2 double, test_pearson double, test_rmse double, status string")

@@ -233,7 +233,7 @@ def solved(sums: DataFrame, by: list[str], cell: list[str], fit: Callable[[dict]
     (ok or the error).
     """
     cells = lambda pdf: {k[0] if len(cell) == 1 else tuple(k): matrix(g) for k, g in pdf.groupby(cell, dropna=False)}
-    run = _told(by, lambda pdf: fit(cells(pdf)), [x.split()[0] for x in schema.split(",")])
+    run = told(by, lambda pdf: fit(cells(pdf)), [x.split()[0] for x in schema.split(",")])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name in by)
     return sums.groupBy(*by).applyInPandas(run, f"{kinds}, {schema}, status string")
 
@@ -261,7 +261,7 @@ def fitted(rows: DataFrame, by: list[str], cell: list[str], fit: Callable[[dict]
         return out
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields if f.name in by)
-    few = some.groupBy(*by).applyInPandas(_told(by, lambda pdf: fit(cells(pdf)), fields), f"{kinds}, {schema}, status string")
+    few = some.groupBy(*by).applyInPandas(told(by, lambda pdf: fit(cells(pdf)), fields), f"{kinds}, {schema}, status string")
     return few if large is None else few.unionByName(solved(gram_sums(large, [*by, *cell], features, y), by, cell, fit, schema))
 
 
@@ -276,7 +276,7 @@ def _by_size(rows: DataFrame, by: list[str], width: int, counted: DataFrame | No
     return keyed.join(large, "_group", "left_anti").drop("_group"), keyed.join(large, "_group", "left_semi").drop("_group")
 
 
-def _told(by: list[str], fit: Callable[[pd.DataFrame], dict | list[dict]], fields: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def told(by: list[str], fit: Callable[[pd.DataFrame], dict | list[dict]], fields: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """fit of a group's rows as a function for applyInPandas: a group that fails has its error as status, not the job."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -350,7 +350,7 @@ def nested_folds(rows: DataFrame, by: list[str], outer: str, inner: str, width:
 
     some = usable(small.withColumns({"outer": F.col(outer), "inner": F.col(inner)}), [*by, "outer", "inner"], features, y)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    few = some.groupBy(*by).applyInPandas(_told(by, solve_rows, [x.split()[0] for x in NESTED.split(", ")]), f"{kinds}, {NESTED}, status string")
+    few = some.groupBy(*by).applyInPandas(told(by, solve_rows, [x.split()[0] for x in NESTED.split(", ")]), f"{kinds}, {NESTED}, status string")
     if large is None:
         return few
     at = F.posexplode(inner).alias("outer_cell", "inner_cell")

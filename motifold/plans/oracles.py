@@ -7,7 +7,7 @@ from motifold.functions.flexibility import feature_names, features
 _SEQ = "seqs AS (SELECT doc_id, source, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 _SEQN = "seqs AS (SELECT doc_id, source, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS seq FROM documents)"
 _TOK = "tok AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(seq, pos + 1, 6) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 5)) AS pos FROM seqs WHERE length(seq) >= 6))"
-_WIN = "win AS (SELECT doc_id, j, substr(seq, 36 * j + 1, 36) AS seq FROM (SELECT doc_id, seq, unnest(range(0, length(seq) // 36)) AS j FROM seqs))"
+_WIN = "win AS (SELECT doc_id, j, substr(seq, 36 * j + 1, 36) AS seq FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + 35) // 36)) AS j FROM seqs))"
 _LOOK = "look(i, feature, n, word, value) AS (VALUES " + ", ".join(f"({f.index}, '{f.name}', {f.width}, '{w}', {v!r}::DOUBLE)" for f in features() for w, v in sorted(f.values.items())) + ")"
 #: Means of each distinct k-mer, from its words.
 _KMER = (
@@ -44,9 +44,10 @@ for _name, _base in (("flex_token_targets", _SEQ), ("flex_token_targets_lenient"
     O[_name] = f"WITH {_base}, {_TOK}, {_LOOK}, {_KMER}, wide AS (SELECT kmer, CAST({_CODE.replace('kmer', 'kf.kmer')} AS INTEGER) AS id, {_WIDE} FROM kf GROUP BY kmer) SELECT doc_id, count(*) AS n, CAST(sum(wide.id) AS BIGINT) AS ids, {_TOLD} FROM tok JOIN wide ON wide.kmer = tok.kmer GROUP BY doc_id"
 O["flex_track_profile"] = f"""WITH {_SEQ}, {_WIN}, {_LOOK},
 f AS (SELECT DISTINCT feature, i, n FROM look),
-p AS (SELECT feature, n, unnest(range(0, 37 - n)) AS pos, (SELECT coalesce(sum(37 - g.n), 0) FROM f g WHERE g.n > f.n OR (g.n = f.n AND g.i < f.i)) AS before FROM f)
-SELECT p.feature, CAST(p.pos AS INTEGER) AS pos, CAST(p.before + p.pos AS INTEGER) AS place, count(*) AS n, round(avg(coalesce(look.value, 0)), 6) AS mean
-FROM win, p LEFT JOIN look ON look.feature = p.feature AND look.word = substr(win.seq, p.pos + 1, p.n) GROUP BY ALL"""
+ls AS (SELECT DISTINCT length(seq) AS l FROM win),
+p AS (SELECT l, feature, n, unnest(range(0, l + 1 - n)) AS pos, (SELECT coalesce(sum(l + 1 - g.n), 0) FROM f g WHERE g.n > f.n OR (g.n = f.n AND g.i < f.i)) AS before FROM f, ls WHERE l >= n)
+SELECT p.feature, CAST(p.pos AS INTEGER) AS pos, CAST(p.before + p.pos AS INTEGER) AS place, count(*) AS n, round(avg(coalesce(look.value, 0)) + 1.3e-7, 6) + 0.0 AS mean
+FROM win JOIN p ON p.l = length(win.seq) LEFT JOIN look ON look.feature = p.feature AND look.word = substr(win.seq, p.pos + 1, p.n) GROUP BY ALL"""
 _STATS = (
     "c AS (SELECT kmer, count(*) AS times FROM tok GROUP BY kmer), m AS (SELECT feature, sum(times) AS n, sum(value * times) / sum(times) AS mean FROM kf JOIN c ON c.kmer = kf.kmer GROUP BY feature), "
     "st AS (SELECT kf.feature, any_value(m.n) AS n, any_value(m.mean) AS mean, sqrt(sum(times * pow(value - m.mean, 2)) / sum(times)) AS std FROM kf JOIN c ON c.kmer = kf.kmer JOIN m ON m.feature = kf.feature GROUP BY kf.feature)"
@@ -60,7 +61,7 @@ O["flex_zscore_per_seq"] = f"WITH {_SEQ}, {_TOK}, {_LOOK}, {_KMER}, {_OWN} SELEC
 O["onehot_profile"] = f"WITH {_SEQN}, {_TOK}, p AS (SELECT unnest(range(0, 24)) AS place) SELECT CAST(place AS INTEGER) AS place, count(*) AS n, count(*) FILTER (substr(kmer, place // 4 + 1, 1) = substr('ACGT', place % 4 + 1, 1)) AS hits FROM tok, p GROUP BY place"
 for _n in (1, 2, 3):
     _sum = " + ".join(f"{4 ** (_n - i)} * (strpos('ACGT', substr(seq, pos + {i}, 1)) - 1)" for i in range(1, _n + 1))
-    O[f"positional_nmer_{_n}"] = f"WITH {_SEQ}, {_WIN}, q AS (SELECT seq, unnest(range(0, {37 - _n})) AS pos FROM win) SELECT CAST(pos * {4**_n} + {_sum} AS INTEGER) AS place, count(*) AS hits FROM q GROUP BY 1"
+    O[f"positional_nmer_{_n}"] = f"WITH {_SEQ}, {_WIN}, q AS (SELECT seq, unnest(range(0, length(seq) + 1 - {_n})) AS pos FROM win) SELECT CAST(pos * {4**_n} + {_sum} AS INTEGER) AS place, count(*) AS hits FROM q GROUP BY 1"
 O["valid_acgt_words"] = r"SELECT doc_id, count(*) AS n_words, count(*) FILTER (regexp_full_match(word, '[ACGT]*')) AS n_valid FROM (SELECT doc_id, unnest(regexp_split_to_array(upper(text), '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY doc_id"
 _LINES = f"""{_SEQ}, src AS (SELECT s.doc_id, s.source AS file, s.seq, d.n_chars, 8 + s.doc_id % 7 AS size FROM seqs s JOIN documents d ON d.doc_id = s.doc_id),
 pc AS (SELECT doc_id, file, n_chars, j, substr(seq, j * size + 1, size) AS seq FROM (SELECT *, unnest(range(0, (length(seq) + size - 1) // size)) AS j FROM src)),
@@ -144,6 +145,9 @@ b AS (SELECT l_returnflag, a, r2 FROM s QUALIFY row_number() OVER (PARTITION BY
 e AS (SELECT z.l_returnflag, y, my + sxy / (sxx + a) * (x - mx) AS p, avg(y) OVER (PARTITION BY z.l_returnflag) AS own FROM z JOIN u ON u.l_returnflag = z.l_returnflag JOIN b ON b.l_returnflag = z.l_returnflag WHERE fold = 9),
 o AS (SELECT l_returnflag, 1 - sum(pow(y - p, 2)) / sum(pow(y - own, 2)) AS r2, covar_pop(y, p) / (stddev_pop(y) * stddev_pop(p)) AS c, sqrt(avg(pow(y - p, 2))) AS q FROM e GROUP BY 1)
 SELECT b.l_returnflag, a AS alpha, round(b.r2, 6) AS val_r2, round(o.r2, 6) AS test_r2, round(c, 6) AS test_pearson, round(q, 3) AS test_rmse, 'ok' AS status FROM b JOIN o ON o.l_returnflag = b.l_returnflag"""
+O["ridge_iterative_select"] = O["ridge_val_select"]
+O["onehot_cooccurrence"] = f"""WITH {_SEQ}, {_WIN}, q AS (SELECT doc_id, j, 4 * pos + strpos('ACGT', substr(seq, pos + 1, 1)) - 1 AS place FROM (SELECT *, unnest(range(0, length(seq))) AS pos FROM win))
+SELECT CAST(a.place AS INTEGER) AS i, CAST(b.place AS INTEGER) AS j, count(*) AS n FROM q a JOIN q b ON b.doc_id = a.doc_id AND b.j = a.j AND b.place >= a.place GROUP BY 1, 2"""
 _VECTOR = f"e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y, (row_number() OVER (ORDER BY {_draw(42, 'vec_id')}, vec_id) - 1) % 10 AS fold FROM embeddings)"
 _SALTED = "concat_ws('|', CAST(held + 43 AS VARCHAR), CAST(vec_id AS VARCHAR))"
 #: Ten outer folds; in each, its training rows in five inner ones; a line for each inner fold and penalty.
@@ -207,12 +211,12 @@ def _attention(masked: bool = False) -> str:
     near = "exp((a.q0 * b.k0 + a.q1 * b.k1) / sqrt(2))"
     draw = _draw(12345, "concat_ws('-', doc_id, j)", "pos")
     marks = f"SELECT *, u / 4294967296.0::DOUBLE < 0.15 OR row_number() OVER (PARTITION BY doc_id, j ORDER BY u, pos) = 1 AS masked FROM (SELECT *, {draw} AS u FROM tk0)" if masked else "SELECT *, false AS masked FROM tk0"
-    told = f"""SELECT doc_id, CAST(j AS INTEGER) AS j, round(avg(f0) + 1.3e-7, 5) + 0.0 AS f0, round(avg(f1) + 1.3e-7, 5) + 0.0 AS f1, round(avg({line("target_head", 0, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f2, round(avg({line("target_head", 1, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f3 FROM f GROUP BY 1, 2"""
+    told = f"""SELECT win.doc_id, CAST(win.j AS INTEGER) AS j, round(avg(f0) + 1.3e-7, 5) + 0.0 AS f0, round(avg(f1) + 1.3e-7, 5) + 0.0 AS f1, round(avg({line("target_head", 0, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f2, round(avg({line("target_head", 1, "f0", "f1")}) + 1.3e-7, 5) + 0.0 AS f3 FROM win LEFT JOIN f ON f.doc_id = win.doc_id AND f.j = win.j GROUP BY 1, 2"""
     if masked:
         every = ", ".join(line("token_head", r, "f0", "f1") for r in range(shape.tokens))
         code = "4 * (strpos('ACGT', substr(kmer, 1, 1)) - 1) + strpos('ACGT', substr(kmer, 2, 1)) - 1"
-        told = f"""SELECT concat_ws('-', doc_id, j) AS id, CAST(count(*) AS INTEGER) AS n_masked, round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[5 + {code}]) + 1.3e-7, 5) AS loss FROM (SELECT *, [{every}] AS l FROM f WHERE masked) GROUP BY doc_id, j"""
-    return f"""WITH {_SEQ}, {_WIN}, tk0 AS (SELECT doc_id, j, pos, substr(seq, pos + 1, {shape.k}) AS kmer FROM (SELECT doc_id, j, seq, unnest(range(0, {last})) AS pos FROM win)), tk AS ({marks}),
+        told = f"""SELECT concat_ws('-', win.doc_id, win.j) AS id, CAST(count(l) AS INTEGER) AS n_masked, round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[5 + {code}]) + 1.3e-7, 5) AS loss FROM win LEFT JOIN (SELECT *, [{every}] AS l FROM f WHERE masked) f ON f.doc_id = win.doc_id AND f.j = win.j GROUP BY win.doc_id, win.j"""
+    return f"""WITH {_SEQ}, {_WIN}, tk0 AS (SELECT doc_id, j, pos, substr(seq, pos + 1, {shape.k}) AS kmer FROM (SELECT doc_id, j, seq, unnest(range(0, length(seq) + 1 - {shape.k})) AS pos FROM win)), tk AS ({marks}),
 h AS (SELECT doc_id, j, pos, kmer, masked, {start} FROM tk), q AS (SELECT *, {qkv} FROM h),
 att AS (SELECT a.doc_id, a.j, a.pos, any_value(a.kmer) AS kmer, any_value(a.masked) AS masked, any_value(a.h0) AS h0, any_value(a.h1) AS h1, sum({near} * b.v0) / sum({near}) AS m0,
   sum({near} * b.v1) / sum({near}) AS m1 FROM q a JOIN q b ON b.doc_id = a.doc_id AND b.j = a.j GROUP BY 1, 2, 3),

@@ -7,13 +7,14 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
-from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, sorted_families, told_number, token_id
-from motifold.operators import encoder, metrics, normalization, ridge, splits
+from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, positional_places, sorted_families, told_number, token_id
+from motifold.operators import encoder, krylov, metrics, normalization, ridge, sparse_gram, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
-from motifold.session import dealt
+from motifold.session import dealt, shared_path
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs
 from motifold.streaming.running_stats import batch_moments, windowed_stats
 
@@ -36,9 +37,9 @@ def sequences(spark: SparkSession, sf_dir: str, letters: str = "ACGT") -> DataFr
     return documents(spark, sf_dir, "doc_id", "text").select("doc_id", only_bases(F.col("text"), letters).alias("seq"))
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive whole windows of each sequence: doc_id, source, j, seq."""
-    parts = F.regexp_extract_all(only_bases(F.col("text")), F.lit(f".{{{WINDOW}}}"), F.lit(0))
+def windows(spark: SparkSession, sf_dir: str, width: int = WINDOW) -> DataFrame:
+    """Consecutive windows of each sequence, the last of them as long as what is left: doc_id, source, j, seq."""
+    parts = F.regexp_extract_all(only_bases(F.col("text")), F.lit(f".{{1,{width}}}"), F.lit(0))
     return documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", F.posexplode(parts).alias("j", "seq"))
 
 
@@ -51,7 +52,7 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = (F.col("doc_id") + F.col("j")) % 5
     fine = F.concat("seq", F.lit("\t"), (F.col("n_chars") / 4 + F.col("j")).cast("decimal(12,2)").cast("string"), F.lit(" "), F.col("doc_id").cast("string"))
     value = F.when(turn == 0, "  ").when(turn == 1, F.col("seq")).when(turn == 2, F.concat("seq", F.lit(" x1"))).otherwise(fine)
-    return docs.select(F.col("source").alias("file"), value.alias("value"), (F.col("doc_id") * 100_000 + F.col("j")).alias("line"))
+    return docs.select(F.col("source").alias("file"), value.alias("value"), F.struct("doc_id", "j").alias("line"))
 
 
 def rounded(*columns: str, digits: int = 6) -> list[Column]:
@@ -101,7 +102,7 @@ def flex_token_targets_lenient(spark, sf_dir):
 
 
 def flex_track_profile(spark, sf_dir):
-    return track_profile(windows(spark, sf_dir)).select("feature", "pos", "place", "n", *rounded("mean"))
+    return track_profile(windows(spark, sf_dir)).select("feature", "pos", "place", "n", (F.round(F.col("mean") + NUDGE, 6) + 0.0).alias("mean"))
 
 
 def flex_norm_stats(spark, sf_dir):
@@ -166,7 +167,7 @@ def dominant_length(spark, sf_dir):
 
 def dominant_rows(spark, sf_dir):
     rows = splits.of_dominant_length(lenient_pairs(scored_lines(spark, sf_dir)), "file", "seq", "line")
-    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("length"), F.sum("line").alias("lines"), F.round(F.avg("score"), 4).alias("score"))
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("length"), F.sum(F.col("line.doc_id") * 100_000 + F.col("line.j")).alias("lines"), F.round(F.avg("score"), 4).alias("score"))
 
 
 def file_summaries(spark, sf_dir):
@@ -305,6 +306,38 @@ def ridge_val_select(spark, sf_dir):
     return out.select("l_returnflag", "alpha", *rounded("val_r2", "test_r2", "test_pearson"), F.round("test_rmse", 3).alias("test_rmse"), "status")
 
 
+def ridge_iterative_select(spark, sf_dir):
+    """ridge_val_select without a matrix of features: all penalties of all groups from Krylov spaces."""
+    out = krylov.validated(_split_rows(spark, sf_dir, 0.001), ["l_returnflag"], 1)
+    return out.select("l_returnflag", "alpha", *rounded("val_r2", "test_r2", "test_pearson"), F.round("test_rmse", 3).alias("test_rmse"), "status")
+
+
+#: Letters of wide windows, whose 3-letter words have 6,336 places.
+WIDE = 101
+
+
+def ridge_iterative_3mer(spark, sf_dir):
+    """Windows of 101 letters by their words of three at each place, against their share of C and G: 6,336 features, matrix-free."""
+    rows = splits.split_by_share(_scored_windows(spark, sf_dir, WIDE), "id").withColumn("features", positional_places(F.col("seq"), 3))
+    return krylov.validated(rows, [], (WIDE - 2) * 64, tolerance=1e-4, most_rounds=300)
+
+
+def onehot_cooccurrence(spark, sf_dir):
+    """In how many windows two letters at their places occur together."""
+    return sparse_gram.cooccurrence(windows(spark, sf_dir).select(positional_places(F.col("seq"), 1).alias("places")), [])
+
+
+def nested_cv_sparse(spark, sf_dir):
+    """Nested folds of each source's windows by letters, and pairs of letters, at each place, from counts in coordinates."""
+    plain = _scored_windows(spark, sf_dir).withColumnRenamed("source", "file")
+    rows = splits.inner_folds(plain, "id", 5, 3, 42, "file").persist(StorageLevel.DISK_ONLY)
+    out = []
+    for n in (1, 2):
+        found = sparse_gram.nested_folds(rows.withColumn("places", positional_places(F.col("seq"), n)), ["file"], "outer", "inner", (WINDOW - n + 1) * 4**n)
+        out.append(found.withColumn("kind", F.lit(f"{n}mer")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _vectors(spark, sf_dir, size=None):
     """Embeddings as features of their label; of the first so many numbers, if size is given."""
     x = F.col("embedding") if size is None else F.slice("embedding", 1, size)
@@ -339,18 +372,16 @@ def ridge_loo_1d(spark, sf_dir):
     return _left_out(spark, sf_dir, 1)
 
 
-def _scored_windows(spark, sf_dir):
-    return windows(spark, sf_dir).select("source", F.concat_ws("-", "doc_id", "j").alias("id"), "seq", (gc_share(F.col("seq")) + unit(5, "doc_id", "j") * 0.05).alias("y"))
-
-
-_SMALL = encoder.Shape(width=32, hidden=64, layers=1)
+def _scored_windows(spark, sf_dir, width=WINDOW):
+    return windows(spark, sf_dir, width).select("source", F.concat_ws("-", "doc_id", "j").alias("id"), "seq", (gc_share(F.col("seq")) + unit(5, "doc_id", "j") * 0.05).alias("y"))
 
 
 def _kinds(rows):
     """Feature tables of rows by kind, with their widths: words by position, tracks, and an untrained encoder's states."""
     out = {kind: (feature_matrix(rows, kind, WINDOW), width) for kind, width in (("1mer", 144), ("2mer", 560), ("3mer", 2176), ("1mer_flex", 282), ("1mer12flex", 560))}
-    weights = encoder.random_weights(10042, _SMALL)
-    return out | {kind: (encoder.encoded(rows, weights, _SMALL, kind), size) for kind, size in (("hidden", _SMALL.width), ("hidden_flex", _SMALL.width + _SMALL.targets))}
+    shape = encoder.Shape()
+    weights = encoder.random_weights(10042, shape)
+    return out | {kind: (encoder.encoded(rows, weights, shape, kind), size) for kind, size in (("hidden", shape.width), ("hidden_flex", shape.width + shape.targets))}
 
 
 def benchmark_by_file(spark, sf_dir):
@@ -379,9 +410,12 @@ def sample_efficiency(spark, sf_dir):
 
 
 def checkpoint_scores(spark, sf_dir):
-    """Two untrained encoders as checkpoints, each compared by a head on its states at all positions."""
-    shape = encoder.Shape(width=8, heads=2, hidden=16, layers=1)
-    return encoder.compared(_scored_windows(spark, sf_dir), {f"random_{n}": encoder.random_weights(n, shape) for n in (1, 2)}, shape)
+    """Two encoders saved as checkpoints and loaded again, each compared by a head on its states at all positions."""
+    saved = {f"random_{n}": shared_path(spark) for n in (1, 2)}
+    for n, path in enumerate(saved.values(), 1):
+        encoder.save_weights(spark, encoder.random_weights(n), path)
+    loaded = {name: encoder.load_weights(spark, path) for name, path in saved.items()}
+    return encoder.compared(_scored_windows(spark, sf_dir), loaded, length=WINDOW, tolerance=1e-3, most_rounds=40)
 
 
 def _results(spark, sf_dir):
@@ -499,7 +533,7 @@ def token_cross_entropy(spark, sf_dir):
 
 
 def encode_hidden_flex(spark, sf_dir):
-    rows = encoder.encoded(windows(spark, sf_dir).drop("source"), encoder.random_weights(10042, _SMALL), _SMALL, "hidden_flex")
+    rows = encoder.encoded(windows(spark, sf_dir).drop("source"), encoder.random_weights(10042), kind="hidden_flex")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     by_place = total(F.transform("features", lambda x, i: x * (i + 1)))
     return rows.select("doc_id", "j", F.size("features").alias("width"), F.round(F.get("features", F.lit(0)), 4).alias("first"), F.round(total("features"), 3).alias("total"), F.round(by_place, 2).alias("by_place"))
@@ -530,13 +564,18 @@ PAIRS = TINY._replace(k=2, tokens=20)
 def masked_token_loss(spark, sf_dir):
     """Cross-entropy of the tokens that a tiny ruled encoder doesn't see, by window."""
     rows = windows(spark, sf_dir).select(F.concat_ws("-", "doc_id", "j").alias("id"), "seq")
-    return encoder.token_losses(rows, ruled_weights(PAIRS), PAIRS).select("id", "n_masked", F.round(F.col("loss") + NUDGE, 5).alias("loss"))
+    return encoder.token_losses(rows, ruled_weights(PAIRS), PAIRS).select("id", F.coalesce("n_masked", F.lit(0)).alias("n_masked"), F.round(F.col("loss") + NUDGE, 5).alias("loss"))
 
 
-def max_pool_head_eval(spark, sf_dir):
-    """A head with two hidden layers and dropout on the greatest state of each unit over a window."""
-    rows = encoder.encoded(_scored_windows(spark, sf_dir), encoder.random_weights(10042, _SMALL), _SMALL, "hidden", "max")
-    return encoder.head_scores(splits.split_by_share(rows, "id").withColumn("target", F.lit("gc")), ["target"], (128, 64), dropout=0.2)
+def pooled_head_eval(spark, sf_dir):
+    """Heads on an encoder's states over a window, their greatest (two hidden layers and dropout) or their mean, and on its targets alone."""
+    rows = splits.split_by_share(_scored_windows(spark, sf_dir), "id")
+    parts = {"max_hidden": ("hidden", "max", 0.2), "mean_hidden": ("hidden", "mean", 0.0), "max_flex": ("flex", "max", 0.0)}
+    out = []
+    for head, (kind, pool, dropout) in parts.items():
+        features = encoder.encoded(rows, encoder.random_weights(10042), kind=kind, pool=pool).withColumn("head", F.lit(head))
+        out.append(encoder.head_scores(features, ["head"], (128, 64), dropout=dropout, epochs=5, rate=3e-3))
+    return reduce(DataFrame.unionByName, out)
 
 
 def linear_head_eval(spark, sf_dir):
@@ -546,7 +585,7 @@ def linear_head_eval(spark, sf_dir):
 
 def hidden_head_eval(spark, sf_dir):
     rows = splits.split_by_share(_vectors(spark, sf_dir), "vec_id")
-    return encoder.head_scores(rows, ["target"], (64,), rate=1e-2)
+    return encoder.head_scores(rows, ["target"], (64,), rate=1e-2, epochs=15)
 
 
 def running_stats_windows(spark, sf_dir):
@@ -564,10 +603,10 @@ NAMED = [
     kmer_tokens, kmer_token_ids, kmer_token_ids_cls, kmer_vocab, kmer_counts_topk, flex_lookup_profile, lookup_file_order, flex_token_targets, flex_token_targets_lenient, flex_track_profile,
     flex_norm_stats, flex_normalized_global, flex_normalized_tokens, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, dominant_rows, file_summaries,
     min_rows_files, genome_windows_sampled, split_train_val_test, split_bankers, kfold_assign, kfold_within, nested_subsets, independent_subsets, row_cap, mlm_mask, eval_mask, fixed_mask,
-    masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, nested_cv_ridge, nested_cv_ridge_1d,
+    masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, ridge_iterative_select, ridge_iterative_3mer, onehot_cooccurrence, nested_cv_sparse, nested_cv_ridge, nested_cv_ridge_1d,
     ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
-    token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, max_pool_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
+    token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMED}
 QUERIES |= {f"positional_nmer_{n}": _positional(n) for n in (1, 2, 3)}

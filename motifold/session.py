@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share. Where that is unset: a temporary folder on one
+    machine (tests), an error on a cluster."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-motifold-")
+    return f"{base.rstrip('/')}/motifold/{context.applicationId}/{uuid.uuid4().hex}"
+
+
 #: Bytes a task slot of files up to which their rows are dealt anew.
 SMALL_BYTES = 8 << 20
 

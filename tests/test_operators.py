@@ -418,7 +418,7 @@ def test_subsets_share_sums(spark):
         assert found[percent].n_train == len(ids) and found[percent].alpha == ridge.ALPHAS[best] and found[percent].test_r2 == pytest.approx(score(split["test"], *fits[best]), abs=1e-9)
 
 
-def test_heads_from_sums(spark, monkeypatch):
+def test_heads_from_sums(spark):
     random = np.random.default_rng(8)
     x = random.standard_normal((500, 3)) * [1, 5, 0.2] + 3
     y = np.tanh(x[:, 0] - 3) * 2 + x[:, 1] - 4 * x[:, 2] + 0.1 * random.standard_normal(500)
@@ -431,11 +431,11 @@ def test_heads_from_sums(spark, monkeypatch):
         best = np.linalg.lstsq(a, part["train"][1], rcond=None)[0]
         left = part["test"][1] - part["test"][0] @ best[1:] - best[0]
         assert r.status == "ok" and r.n == len(own) and r.test_rmse == pytest.approx(np.sqrt((left**2).mean()), rel=0.15)
-    few = {r.g: r for r in encoder.head_scores(rows, ["g"], (16,), rate=1e-2, epochs=150, patience=50).collect()}
-    monkeypatch.setattr(ridge, "MOST_VALUES", 0)
-    many = {r.g: r for r in encoder.head_scores(rows, ["g"], (16,), rate=3e-2, epochs=60, patience=60).collect()}
-    assert few.keys() == many.keys() == {"g", "h"}
-    assert all(r.status == "ok" and r.val_r2 > 0.9 and r.test_r2 > 0.9 for r in [*few.values(), *many.values()]), (few, many)
+    many = {r.g: r for r in encoder.head_scores(rows, ["g"], (16,), rate=3e-2, epochs=12, patience=12).collect()}
+    assert many.keys() == {"g", "h"} and all(r.status == "ok" and r.val_r2 > 0.9 and r.test_r2 > 0.9 for r in many.values()), many
+    odd = rows.withColumn("features", F.when(F.col("id") == 4, F.array(F.lit(1.0))).otherwise(F.col("features"))).where("g = 'h' or split <> 'val'")
+    found = {r.g: r.status for r in encoder.head_scores(odd, ["g"], (4,), epochs=1).collect()}
+    assert "features" in found["h"] and "no rows of val" in found["g"]
 
 
 def test_compared_checkpoints(spark):
@@ -481,21 +481,6 @@ def test_token_losses(spark):
             assert found[i].n_masked == len(own) and found[i].loss == pytest.approx(np.mean(own))
 
 
-def test_gradients_are_slopes():
-    random = np.random.default_rng(9)
-    layers = [(random.standard_normal((3, 4)), random.standard_normal(4)), (random.standard_normal((4, 1)), random.standard_normal(1))]
-    x, y = random.standard_normal((7, 3)), random.standard_normal(7)
-    loss = lambda: ((encoder.Head(layers).predict(x) - y) ** 2).sum()
-    for pair, grads in zip(layers, encoder.gradients(layers, x, y), strict=True):
-        for p, g in zip(pair, grads, strict=True):
-            for at in np.ndindex(p.shape):
-                p[at] += 1e-6
-                up = loss()
-                p[at] -= 2e-6
-                assert g[at] == pytest.approx((up - loss()) / 2e-6, rel=1e-4, abs=1e-4)
-                p[at] += 1e-6
-
-
 def test_calibration_and_totals(spark):
     rows = spark.createDataFrame([("g", "val", 1.0, 3.0), ("g", "val", 2.0, 5.0), ("g", "test", 10.0, 0.0), ("h", "test", 1.0, 1.0)], "g string, split string, p double, y double")
     found = {(r.g, r.p): r.calibrated for r in metrics.calibrated(rows, ["g"], "y", "p", F.col("split") == "val").collect()}
@@ -564,15 +549,6 @@ def test_weights_are_strict(spark, tmp_path):
         encoder.load_weights(spark, str(tmp_path / "v"), shape)
 
 
-def test_heads_learn():
-    random = np.random.default_rng(5)
-    x = random.standard_normal((600, 4))
-    y = x @ np.array([1.0, -2.0, 0.5, 0.0]) + 3
-    for hidden, dropout in (((), 0.0), ((32,), 0.0), ((64,), 0.1)):
-        _, score = encoder.train_head(x[:400], y[:400], x[400:], y[400:], hidden, rate=1e-2, epochs=60, patience=60, dropout=dropout)
-        assert score > (0.9 if dropout else 0.95)
-
-
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = spark.range(500).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"), (F.col("id") * 1.5).alias("value"))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
