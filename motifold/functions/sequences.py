@@ -105,12 +105,10 @@ def sorted_families(names: DataFrame, column: str = "file") -> DataFrame:
     return names.select(file_family(F.col(column)).alias("family")).distinct().orderBy("family")
 
 
-def longest_tokens(seqs: DataFrame, k: int = 6, seq: str = "seq") -> int:
-    """k-mers of the longest sequence. ValueError if none has one."""
-    found = (seqs.agg(F.max(F.length(seq)).alias("n")).first()["n"] or 0) - k + 1
-    if found <= 0:
-        raise ValueError(f"no sequence of {k} letters or more")
-    return found
+def longest_tokens(seqs: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
+    """(n): k-mers of the longest sequence, one row. An error when read if none has one."""
+    n = F.max(F.length(seq)) - k + 1
+    return seqs.agg(F.when(F.coalesce(n, F.lit(0)) > 0, n).otherwise(F.raise_error(F.lit(f"no sequence of {k} letters or more"))).cast("int").alias("n"))
 
 
 def told_number(x: Column) -> Column:

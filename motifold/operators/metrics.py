@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifold.functions.sequences import resolve_column
+from motifold.operators import order_stats
 
 #: What R2 is where the observed values don't vary: by a least sum of squares, by a small addend, null, or as common libraries do.
 R2_POLICIES = ("clamp", "add", "null", "exact")
@@ -89,16 +90,26 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return F.when(label.isNotNull(), F.ln(total) + top - F.get(logits, label))
 
 
-def summary(rows: DataFrame, by: list[str], value: str, sample: bool = True, fill: float | None = None, accuracy: int | None = None) -> DataFrame:
+def summary(rows: DataFrame, by: list[str], value: str, sample: bool = True, fill: float | None = None, accuracy: int | None = None, most: int = order_stats.MOST_VALUES) -> DataFrame:
     """count, mean, median, std, min and max of each group; std of a sample or of a population, a missing one as fill.
 
-    An exact median keeps a group's distinct values in one task; with accuracy, it is one of the values, of a rank that is
-    off by at most n / accuracy, from summaries that tasks combine.
+    The median is exact, a large group's too (see order_stats.medians, whose `most` this is); with accuracy, it is one of
+    the values, of a rank that is off by at most n / accuracy, from summaries that tasks combine.
     """
     deviation = (F.stddev_samp if sample else F.stddev_pop)(value)
     if fill is not None:
         deviation = F.coalesce(deviation, F.lit(fill))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.percentile_approx(value, 0.5, accuracy) if accuracy else F.median(value)).alias("median"), deviation.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    parts = {"n": F.count(value), "mean": F.avg(value), "median": F.percentile_approx(value, 0.5, accuracy) if accuracy else F.median(value), "std": deviation, "min": F.min(value), "max": F.max(value)}
+    columns = [c.alias(n) for n, c in parts.items()]
+    if accuracy or not order_stats.large_groups(rows, by, value, most):
+        return rows.groupBy(*by).agg(*columns)
+    rest = rows.groupBy(*by).agg(*(c.alias(n) for n, c in parts.items() if n != "median"))
+    middle = order_stats.medians(rows, by, value, most)
+    if not by:
+        return rest.crossJoin(F.broadcast(middle)).select(*parts)  # a row each
+    key = lambda df: F.struct(*(df[c] for c in by))  # noqa: E731  nulls are equal within
+    told = rest.withColumn("_key", key(rest)).join(middle.select(key(middle).alias("_key"), "median"), "_key")
+    return told.select(*by, *parts)
 
 
 def mean_over(rows: DataFrame, by: list[str], value: str, mean: str) -> DataFrame:

@@ -22,8 +22,8 @@ def weighted_moments(rows: DataFrame, value: Column, weight: str, by: str) -> Da
 
 
 def first_lines(lines: DataFrame, most: int | None, order: str = "line") -> DataFrame:
-    """The first lines by a column, blank ones counted; all without a bound."""
-    return lines if most is None else lines.orderBy(order).limit(most)
+    """The first lines by their number from 0 (see text.numbered_lines), blank ones counted; all without a bound."""
+    return lines if most is None else lines.where(F.col(order) < most)
 
 
 def flexibility_stats(seqs: DataFrame, k: int = 6) -> DataFrame:

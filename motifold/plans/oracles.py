@@ -166,6 +166,11 @@ SELECT a AS alpha, round(avg(pow((y - my - sxy / (sxx + a) * (x - mx)) / (1 - 1.
 _RES = "res AS (SELECT l_returnflag AS model, l_linenumber AS pct, l_orderkey % 3 AS seed, round(avg(l_discount), 9) AS test_r2 FROM lineitem GROUP BY 1, 2, 3)"
 O["summary_by_model"] = f"WITH {_RES} SELECT model, pct, count(*) AS n, round(avg(test_r2), 6) AS mean, round(median(test_r2), 6) AS median, round(coalesce(stddev_samp(test_r2), 0), 6) AS std, round(min(test_r2), 6) AS min, round(max(test_r2), 6) AS max FROM res GROUP BY 1, 2"
 O["summary_population"] = f"WITH {_RES} SELECT model, count(*) AS n, round(avg(test_r2), 6) AS mean, round(stddev_pop(test_r2), 6) AS std FROM res GROUP BY 1"
+O["summary_of_one_group"] = "SELECT 'all' AS key, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(median(l_extendedprice), 2) AS median, round(stddev_samp(l_extendedprice), 2) AS std, round(min(l_extendedprice), 2) AS min, round(max(l_extendedprice), 2) AS max FROM lineitem"
+O["first_physical_lines"] = f"WITH {_SEQ}, {_WIN}, l AS (SELECT row_number() OVER (ORDER BY doc_id, j) - 1 AS line, seq FROM win) SELECT line, seq FROM l WHERE line < 5000"
+O["sql_kmers"] = f"""WITH {_SEQN}, t AS (SELECT doc_id, pos, substr(seq, pos + 1, 4) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 3)) AS pos FROM seqs WHERE length(seq) >= 4))
+SELECT doc_id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, CAST(sum(CASE WHEN kmer LIKE '%N%' THEN 3 ELSE 4 + list_sum(list_transform(range(1, 5), lambda i: CAST(pow(4, 4 - i) AS INTEGER) * (strpos('ACGT', substr(kmer, i, 1)) - 1))) END) AS BIGINT) AS ids,
+  round(avg(length(regexp_replace(kmer, '[^GC]', '', 'g')) / 4.0::DOUBLE), 6) AS gc, count(*) FILTER (kmer = reverse(translate(kmer, 'ACGT', 'TGCA'))) AS palindromes, CAST(max(pos) AS INTEGER) AS last FROM t GROUP BY doc_id"""
 O["summary_ordered"] = f"WITH {_RES}, o(turn, model) AS (VALUES (0, 'R'), (1, 'missing'), (2, 'A'), (3, 'N')) SELECT turn, o.model, CASE WHEN count(test_r2) > 0 THEN count(test_r2) END AS n, round(avg(test_r2), 6) AS mean, round(median(test_r2), 6) AS median, round(stddev_samp(test_r2), 6) AS std, round(min(test_r2), 6) AS min, round(max(test_r2), 6) AS max FROM o LEFT JOIN res ON res.model = o.model GROUP BY 1, 2"
 O["best_alpha_first"] = f"WITH {_RES} SELECT model, seed, pct, round(test_r2, 3) AS score FROM res QUALIFY row_number() OVER (PARTITION BY model, seed ORDER BY round(test_r2, 3) DESC, pct) = 1"
 O["mean_results"] = f"WITH {_RES}, m AS (SELECT model, pct, round(avg(test_r2), 6) AS mean_r2 FROM res GROUP BY 1, 2) SELECT 'raw' AS given, * FROM m UNION ALL SELECT 'aggregated', * FROM m"

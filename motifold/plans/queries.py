@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from motifold.functions import sql
 from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
 from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, positional_places, sorted_families, told_number, token_id
 from motifold.operators import encoder, krylov, metrics, normalization, ridge, sparse_gram, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.session import dealt, shared_path
-from motifold.sources.text import file_profile, judged_pairs, lenient_pairs
+from motifold.sources.text import file_profile, judged_pairs, lenient_pairs, numbered_lines, one_per_line
 from motifold.streaming.running_stats import batch_moments, windowed_stats
 
 WINDOW = 36
@@ -427,6 +428,34 @@ def summary_by_model(spark, sf_dir):
     return metrics.summary(_results(spark, sf_dir), ["model", "pct"], "test_r2", fill=0.0).select("model", "pct", "n", *rounded("mean", "median", "std", "min", "max"))
 
 
+#: Values of a group that a task sorts in summary_of_one_group, so few that ranks are narrowed at any size.
+FEW = 1000
+
+
+def summary_of_one_group(spark, sf_dir):
+    """All rows in one group, whose median no task sorts."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("all").alias("key"), "l_extendedprice")
+    return metrics.summary(rows, ["key"], "l_extendedprice", most=FEW).select("key", "n", *rounded("mean", "median", "std", "min", "max", digits=2))
+
+
+def first_physical_lines(spark, sf_dir):
+    """Windows written as lines of several files, of which the first 5,000 are read, in their order."""
+    path = shared_path(spark)
+    windows(spark, sf_dir).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "j").select("seq").write.text(path)
+    return one_per_line(numbered_lines(spark, path, 5000)).select("line", "seq")
+
+
+def sql_kmers(spark, sf_dir):
+    """Of each document its 4-letter words, by the SQL functions alone."""
+    sql.register(spark)
+    documents(spark, sf_dir, "doc_id", "text").createOrReplaceTempView("motifold_documents")
+    return spark.sql("""SELECT doc_id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, sum(motifold_token_id(kmer, 4)) AS ids, round(avg(motifold_gc_share(kmer)), 6) AS gc,
+      count_if(kmer = motifold_reverse_complement(kmer)) AS palindromes, max(pos) AS last
+      FROM (SELECT doc_id, motifold_kmers(start, letters, 4) AS words
+        FROM (SELECT doc_id, motifold_chunks(motifold_only_bases(text, 'ACGTN'), 4) AS chunks FROM motifold_documents) LATERAL VIEW inline(chunks) c)
+      LATERAL VIEW inline(words) t GROUP BY doc_id""")
+
+
 def summary_population(spark, sf_dir):
     return metrics.summary(_results(spark, sf_dir), ["model"], "test_r2", sample=False).select("model", "n", *rounded("mean", "std"))
 
@@ -489,7 +518,7 @@ def kmer_gc_profile(spark, sf_dir):
 
 
 def most_tokens(spark, sf_dir):
-    return spark.createDataFrame([(longest_tokens(sequences(spark, sf_dir)),)], "n int")
+    return longest_tokens(sequences(spark, sf_dir))
 
 
 def lookup_file_order(spark, sf_dir):
@@ -604,7 +633,7 @@ NAMED = [
     flex_norm_stats, flex_normalized_global, flex_normalized_tokens, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, dominant_rows, file_summaries,
     min_rows_files, genome_windows_sampled, split_train_val_test, split_bankers, kfold_assign, kfold_within, nested_subsets, independent_subsets, row_cap, mlm_mask, eval_mask, fixed_mask,
     masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, ridge_iterative_select, ridge_iterative_3mer, onehot_cooccurrence, nested_cv_sparse, nested_cv_ridge, nested_cv_ridge_1d,
-    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_ordered, mean_results, best_alpha_first, union_labelled,
+    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
     token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]

@@ -22,11 +22,34 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("file"), "value")
 
 
-def one_per_line(raw: DataFrame, most: int | None = None) -> DataFrame:
-    """(file, seq): stripped and upper-cased; blank lines are no rows, but count as lines if only the first `most` are read."""
+def numbered_lines(spark: SparkSession, path: str | list[str], most: int | None = None) -> DataFrame:
+    """(file, line, value): physical lines, numbered from 0 in the order of file paths and, within a file, of bytes; with most,
+    the first so many of all files together.
+
+    A task knows the order of the lines of its block alone; a count for each block, added up over the blocks before it, gives
+    the rest. So no task gets all lines, and no lines are shuffled for `most`: only few blocks have a line below it.
+    """
+    text = spark.read.text(path)
+    raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    counts = raw.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # a row for each block
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("path").agg(F.sum("_n").alias("_lines"))  # a row for each file
+    files = files.select("path", F.coalesce(F.sum("_lines").over(earlier(Window.orderBy("path"))), F.lit(0)).alias("_base"))
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("path").orderBy("block"))), F.lit(0))
+    blocks = counts.join(files, "path").withColumn("_before", before).select("path", "block", "_first", "_before")
+    if most is not None:
+        blocks = F.broadcast(blocks.where(F.col("_before") < most))  # a block has a line at least, so `most` rows at most
+    numbered = raw.join(blocks, ["path", "block"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_first"))
     if most is not None:
-        raw = raw.limit(most)
-    return raw.select("file", F.upper(stripped(F.col("value"))).alias("seq")).where("seq <> ''")
+        numbered = numbered.where(F.col("line") < most)
+    return numbered.select(F.element_at(F.split("path", "/"), -1).alias("file"), "line", "value")
+
+
+def one_per_line(raw: DataFrame) -> DataFrame:
+    """raw (file, value and more: of lines, or of numbered_lines, blank lines being counted there) with seq for value: stripped and
+    upper-cased. Blank lines are no rows."""
+    seq = F.upper(stripped(F.col("value"))).alias("seq")
+    return raw.select(*(c for c in raw.columns if c != "value"), seq).where("seq <> ''")
 
 
 def strict_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
