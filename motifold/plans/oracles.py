@@ -168,6 +168,8 @@ O["summary_by_model"] = f"WITH {_RES} SELECT model, pct, count(*) AS n, round(av
 O["summary_population"] = f"WITH {_RES} SELECT model, count(*) AS n, round(avg(test_r2), 6) AS mean, round(stddev_pop(test_r2), 6) AS std FROM res GROUP BY 1"
 O["summary_of_one_group"] = "SELECT 'all' AS key, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(median(l_extendedprice), 2) AS median, round(stddev_samp(l_extendedprice), 2) AS std, round(min(l_extendedprice), 2) AS min, round(max(l_extendedprice), 2) AS max FROM lineitem"
 O["first_physical_lines"] = f"WITH {_SEQ}, {_WIN}, l AS (SELECT row_number() OVER (ORDER BY doc_id, j) - 1 AS line, seq FROM win) SELECT line, seq FROM l WHERE line < 5000"
+O["fasta_records"] = f"WITH {_SEQN} SELECT CAST(doc_id AS VARCHAR) AS chrom, (length(seq) + 999) // 1000 AS n_rows, length(seq) AS n, length(seq) - length(translate(seq, 'GC', '')) AS gc FROM seqs WHERE length(seq) > 0"
+O["stateful_windows"] = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS starts, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2 HAVING count(value) > 0 AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 O["sql_kmers"] = f"""WITH {_SEQN}, t AS (SELECT doc_id, pos, substr(seq, pos + 1, 4) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 3)) AS pos FROM seqs WHERE length(seq) >= 4))
 SELECT doc_id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, CAST(sum(CASE WHEN kmer LIKE '%N%' THEN 3 ELSE 4 + list_sum(list_transform(range(1, 5), lambda i: CAST(pow(4, 4 - i) AS INTEGER) * (strpos('ACGT', substr(kmer, i, 1)) - 1))) END) AS BIGINT) AS ids,
   round(avg(length(regexp_replace(kmer, '[^GC]', '', 'g')) / 4.0::DOUBLE), 6) AS gc, count(*) FILTER (kmer = reverse(translate(kmer, 'ACGT', 'TGCA'))) AS palindromes, CAST(max(pos) AS INTEGER) AS last FROM t GROUP BY doc_id"""

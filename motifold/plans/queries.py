@@ -16,8 +16,9 @@ from motifold.functions.sequences import file_factor, file_family, gc_share, kme
 from motifold.operators import encoder, krylov, metrics, normalization, ridge, sparse_gram, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.session import dealt, shared_path
+from motifold.sources.fasta import fasta_index, read_fasta
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs, numbered_lines, one_per_line
-from motifold.streaming.running_stats import batch_moments, windowed_stats
+from motifold.streaming.running_stats import batch_moments, run_stateful, windowed_stats
 
 WINDOW = 36
 TOP = 20
@@ -445,6 +446,28 @@ def first_physical_lines(spark, sf_dir):
     return one_per_line(numbered_lines(spark, path, 5000)).select("line", "seq")
 
 
+def fasta_records(spark, sf_dir):
+    """Documents' letters written as FASTA records of lines of 60, indexed, and read in rows by the data source."""
+    path, index = shared_path(spark), shared_path(spark)
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n")
+    sequences(spark, sf_dir, "ACGTN").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" letters\n"), lines)).write.text(path)
+    fasta_index(spark, path, index)
+    rows = read_fasta(spark, path, index, row_letters=1000)
+    return rows.groupBy("chrom").agg(F.count("*").alias("n_rows"), F.sum(F.length("seq")).alias("n"), F.sum(F.length("seq") - F.length(F.translate("seq", "GC", ""))).alias("gc"))
+
+
+def stateful_windows(spark, sf_dir):
+    """events as a stream in two parts, the second after a restart: each window of a day once the watermark has closed it."""
+    path, out, checkpoint = (shared_path(spark) for _ in range(3))
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    middle = F.lit(rows.agg(F.percentile_approx(F.unix_millis(F.col("ts").cast("timestamp")), 0.5)).first()[0])
+    earlier = F.unix_millis(F.col("ts").cast("timestamp")) <= middle
+    for part in (rows.where(earlier | earlier.isNull()), rows.where(~earlier)):
+        part.write.mode("append").parquet(path)
+        run_stateful(spark.readStream.schema(rows.schema).parquet(path), out, checkpoint)
+    return spark.read.parquet(out).select("starts", "event_type", "n", *rounded("mean", "std"))
+
+
 def sql_kmers(spark, sf_dir):
     """Of each document its 4-letter words, by the SQL functions alone."""
     sql.register(spark)
@@ -633,7 +656,7 @@ NAMED = [
     flex_norm_stats, flex_normalized_global, flex_normalized_tokens, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, dominant_rows, file_summaries,
     min_rows_files, genome_windows_sampled, split_train_val_test, split_bankers, kfold_assign, kfold_within, nested_subsets, independent_subsets, row_cap, mlm_mask, eval_mask, fixed_mask,
     masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, ridge_iterative_select, ridge_iterative_3mer, onehot_cooccurrence, nested_cv_sparse, nested_cv_ridge, nested_cv_ridge_1d,
-    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
+    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, fasta_records, stateful_windows, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
     token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]
