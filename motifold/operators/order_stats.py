@@ -42,6 +42,7 @@ def ranked_values(rows: DataFrame, by: list[str], value: str, wanted: list[tuple
     # Of each task: the group, the rank within what is left, and the bounds of that, both included.
     left = {i: (group, rank, n, -math.inf, math.nan) for i, (group, rank, n) in enumerate(wanted)}
     found: dict[int, float] = {}
+    stalled: set[int] = set()  # brackets that left more than half of the values
 
     def met(cuts: dict[int, tuple[float, float]]) -> DataFrame:
         told = spark.createDataFrame([(*left[i][0], left[i][3], left[i][4], *cuts.get(i, (0.0, 0.0)), i) for i in left], schema)
@@ -64,7 +65,8 @@ def ranked_values(rows: DataFrame, by: list[str], value: str, wanted: list[tuple
         for r in quantiles:
             _, rank, n, _, _ = left[r["_task"]]
             at = min(int(rank / n * BRACKETS), BRACKETS - 1)
-            cuts[r["_task"]] = (r["_q"][max(0, at - 1)], r["_q"][min(BRACKETS, at + 2)])
+            wide = r["_task"] not in stalled  # else one value, which is found or goes with all on one side of it
+            cuts[r["_task"]] = (r["_q"][max(0, at - 1) if wide else at], r["_q"][min(BRACKETS, at + 2) if wide else at])
         counts = met(cuts).groupBy("_task").agg(F.count_if(F.col("_v") < F.col("_a")).alias("below"), F.count_if(F.col("_v") <= F.col("_b")).alias("upto")).collect()
         for r in counts:
             i, (group, rank, n, low, high), (a, b) = r["_task"], left[r["_task"]], cuts[r["_task"]]
@@ -76,6 +78,7 @@ def ranked_values(rows: DataFrame, by: list[str], value: str, wanted: list[tuple
                 left[i] = group, rank - r["below"], r["upto"] - r["below"], a, b
                 if a == b or math.isnan(a):
                     found[i] = a
+            stalled = stalled | {i} if 2 * left[i][2] > n else stalled - {i}
         left = {i: t for i, t in left.items() if i not in found}
     return {(group, rank): found[i] for i, (group, rank, _) in enumerate(wanted)}
 
