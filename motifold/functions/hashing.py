@@ -33,7 +33,7 @@ def ranked(df: DataFrame, seed: int | str, key: str, within: str | None = None,
     ranked by itself, after the ranges before it.
     """
     drawn = df.withColumns({"_draw": draw(seed, key), "_group": F.struct(within) if within else F.lit(0)})
-    drawn = drawn.withColumn("_range", F.shiftright("_draw", 22).cast("int"))  # 1024 ranges of equal width
+    drawn = drawn.withColumn("_range", F.shiftright("_draw", 16).cast("int"))  # 65,536 ranges of equal width
     counts = drawn.groupBy("_group", "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_group", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
