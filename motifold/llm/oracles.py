@@ -114,7 +114,7 @@ SELECT t.conv_id, t.turn, t.role, t.kind, t.call_id,
        CASE t.kind WHEN 'call' THEN coalesce(c.answered, false) WHEN 'result' THEN coalesce(c.call_turn IS NOT NULL, false) ELSE false END AS linked,
        CASE WHEN t.kind = 'call' THEN text IS NOT NULL AND t.turn IS NOT NULL END AS valid,
        CASE WHEN t.kind = 'result' THEN greatest(t.turn, c.call_turn) ELSE t.turn END AS order_turn,
-       CASE WHEN t.kind = 'result' THEN 1 ELSE 0 END AS order_phase,
+       0 AS level, CASE WHEN t.kind = 'result' THEN 1 ELSE 0 END AS order_phase,
        '{' || array_to_string(list_filter([
          CASE WHEN t.kind = 'call' THEN '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"chars":' || length(text) || ',"prompt":' || to_json(text)::VARCHAR || ',' END || '"turn":' || t.turn || '}' END,
          '"call_id":' || to_json(t.call_id)::VARCHAR,

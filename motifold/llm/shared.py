@@ -54,13 +54,19 @@ def hashed_share(df: DataFrame, rows: int) -> DataFrame:
     """All rows, or, of a larger table, about `rows` of them: those whose content has the smallest hashes. For fitting only.
 
     Tasks filter by a fixed threshold, so what they hand on is bounded in total, however many they are. Where few
-    different rows make up a table, a share by hash may miss them all, or be many; then it is any `rows` rows.
+    different rows make up a table, a share by hash may miss them all, or be many; then each different row comes as often
+    as its share of the table tells, a fraction being decided by its hash. So the choice is the same for any partitioning.
     """
     count = df.count()
     if count <= rows:
         return df
     some = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / count)))
-    return some if rows / 2 <= some.count() <= 2 * rows else df.limit(rows)
+    if rows / 2 <= some.count() <= 2 * rows:
+        return some
+    kept, mark, n = (F.struct(*df.columns).alias("row"), F.xxhash64(*df.columns).alias("mark"), F.count("*").alias("n"))
+    different = df.select(kept, mark).groupBy("mark").agg(F.first("row").alias("row"), n)
+    copies = F.floor(F.col("n") * (rows / count) + F.pmod("mark", F.lit(1 << 40)) / float(1 << 40)).cast("int")
+    return different.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
 #: Keys with more than one in so many of a table's rows are joined by broadcast; there are fewer than that many.

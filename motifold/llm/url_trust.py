@@ -117,5 +117,8 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, domains: bool
     ranks = spread(cut(host_links(parts, domains)), seeds, rounds)
     bad = ranks.where(F.col("distrust") > F.col("trust") * (1 + MARGIN)).select("host", F.lit(True).alias("bad"))
     by_host = F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))
-    told = parts.select("page_id", "host", "path", "match").join(cut(bad), "host", "left")
+    # A host with many pages is one join key: its pages stay where they are.
+    rows = parts.select("page_id", "host", "path", "match")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("_n")).join(cut(bad), "host", "left")
+    told = spread_join(rows, hosts, ["host"], rows.count())
     return told.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", by_host).alias("verdict"))

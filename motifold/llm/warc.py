@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import shared_folder, tidied
+from motifold.llm.shared import shared_folder, spread_join, tidied
 
 #: Fixed values of the two formats.
 ARC_FIELDS = {
@@ -237,11 +237,10 @@ def archived_pages(pages: DataFrame, version: str = "1", archive_bytes: int = AR
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     marked = source.withColumn("mark", F.sha1(F.col("html").cast("binary")))
     groups = marked.groupBy("mark").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    if source.isEmpty():
+    if not (total := source.count()):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    repeated = groups.where("copies > 1 and first is not null").select("mark", "first")
-    # Copies of one payload share a join key; AQE splits the partition of a large group.
-    told = marked.join(repeated, "mark", "left")
+    # A payload that many pages share is one join key, so its pages stay where they are; the others meet in a shuffle.
+    told = spread_join(marked, groups.select("mark", F.when(F.col("copies") > 1, F.col("first")).alias("first"), F.col("copies").alias("_n")), ["mark"], total)
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string"))
     arcs = told.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), refers.alias("refers_to"), arc_file(F.col("url"), F.col("html"), version=version).alias("content"))
     path = shared_folder(spark)

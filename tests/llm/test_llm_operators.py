@@ -708,6 +708,46 @@ def test_tool_calls(spark):
     assert told["arguments"] == {"a": 1, "b": 2.5} and found[1, 0].message.startswith('{"arguments":{"a":1,"b":2.5},"call_id":"c1"')
 
 
+def test_tool_call_levels(spark):
+    """A chain, a fork, a cycle, what waits for a cycle, and a parent that isn't there; nested arguments."""
+    schemas = {"f": {"x": ({"y": ("array<integer>", True), "z": ("string", False)}, True)}}
+    fine, long = '{"x": {"y": [1, 2]}}', 40
+    calls = [("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("p", "q"), ("q", "r"), ("r", "p"), ("s", "p"), ("t", "t"), ("u", "gone"), *((f"n{i}", f"n{i - 1}" if i else None) for i in range(long))]
+    rows = [(1, 100 - i, "call", name, parent, "f", fine) for i, (name, parent) in enumerate(calls)]
+    rows += [(1, 200 - i, "result", name, None, None, None) for i, (name, _) in enumerate(calls)] + [(2, 1, "call", "b", "a", "f", fine), (1, 7, "message", None, None, None, None)]
+    events = spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, parent_id string, tool string, arguments string").withColumns({"role": F.lit("x"), "content": F.lit(None).cast("string")})
+    found = tool_calls.linked(events.repartition(3), schemas).collect()
+    assert len(found) == len(rows)
+    level = {(r.conv_id, r.call_id): r.level for r in found if r.kind == "call"}
+    assert level == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 1, **{(1, x): -1 for x in "pqrst"}, (1, "u"): 0, (2, "b"): 0, **{(1, f"n{i}"): i for i in range(long)}}
+    assert all(r.valid == (r.level >= 0) for r in found if r.kind == "call") and all(r.linked for r in found if r.conv_id == 1 and r.call_id)
+    order = sorted(found, key=lambda r: (r.conv_id, r.order_turn, r.level, r.order_phase, r.turn))
+    place = {(r.conv_id, r.kind, r.call_id): i for i, r in enumerate(order)}
+    for name, parent in calls:
+        assert place[1, "call", name] < place[1, "result", name]
+        if parent and level[1, name] > 0:
+            assert place[1, "result", parent] < place[1, "call", name]
+    odd = ['{"x": {"y": [1, "2"]}}', '{"x": {"y": 1}}', '{"x": {"y": [], "z": 3}}', '{"x": {"y": [], "w": 3}}', '{"x": [1]}', '{"x": {"z": "a"}}', '[1]', '{"x": {"y": []}}', '{"x": {"y": [3], "z": null}}']
+    events = spark.createDataFrame([(1, i, "r", "call", str(i), "f", a, None) for i, a in enumerate(odd)], "conv_id long, turn long, role string, kind string, call_id string, tool string, arguments string, content string")
+    assert {r.turn: r.valid for r in tool_calls.linked(events, schemas).collect()} == {i: i >= 7 for i in range(len(odd))}
+
+
+def test_hot_payload_and_host(spark, monkeypatch):
+    """Most pages share one payload and one host; joins beyond the small size give what they give below it."""
+    rows = [(i, f"http://{'a.example.org' if i % 10 else f'h{i}.com'}/de/{i}", "same" if i % 4 else f"page {i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    wanted = [sorted(map(tuple, f(pages).collect())) for f in (warc.archived_pages, url_trust.judged_urls)]
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    assert [sorted(map(tuple, f(pages).collect())) for f in (warc.archived_pages, url_trust.judged_urls)] == wanted
+    assert sum(r[3] == "revisit" and r[4] == 1 for r in wanted[0]) == 149
+
+
+def test_share_of_few_different_rows(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 100 else 7,) for i in range(6000)], "v int")
+    found = [sorted(r.v for r in shared.hashed_share(rows.repartition(n), 300).collect()) for n in (1, 5)]
+    assert found[0] == found[1] and 295 <= len(found[0]) <= 305 and {0, 1, 2} <= set(found[0])
+
+
 def test_conversations_odd(spark):
     rows = [(1, 0, "user", 'é "x"\n', 1), (1, 1, "assistant", None, 1), (1, 1, "assistant", None, 1), (1, 5, None, "t", 1), (None, 0, "user", "", 1), (2, None, "user", None, 1)]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind long")
