@@ -63,8 +63,12 @@ def save_weights(spark: SparkSession, weights: Weights, path: str) -> None:
 
 
 def load_weights(spark: SparkSession, path: str, shape: Shape = Shape(), strict: bool = True) -> Weights:
-    """ValueError if a weight is missing, unknown or of other dimensions; without strict, missing ones are zero."""
-    own = arrays_of(spark.read.parquet(path))
+    return fitting(arrays_of(spark.read.parquet(path)), shape, strict)
+
+
+def fitting(own: Weights, shape: Shape = Shape(), strict: bool = True) -> Weights:
+    """own, if it is an encoder of the shape. ValueError if a weight is missing, unknown or of other dimensions; without strict,
+    missing ones are zero."""
     wanted = expected(shape)
     wrong = [n for n in wanted if n in own and own[n].shape != wanted[n]]
     if wrong or strict and own.keys() != wanted.keys():

@@ -96,11 +96,16 @@ class Heads(NamedTuple):
 
     def slopes(self, params: Params, g: int, values: list[np.ndarray], kept: list, y: np.ndarray) -> Params:
         """Of the sum of squared errors over rows."""
+        return self.slopes_and_input(params, g, values, kept, y)[0]
+
+    def slopes_and_input(self, params: Params, g: int, values: list[np.ndarray], kept: list, y: np.ndarray) -> tuple[Params, np.ndarray]:
+        """slopes, and the slope of each row's input."""
         grad, out = 2 * (values[-1] - y[:, None]), {}
         for i in range(len(self.widths) - 2, -1, -1):
             out |= {f"w{i}": values[i].T @ grad, f"b{i}": grad.sum(0)}
-            grad = grad @ params[f"w{i}"][g].T * (values[i] > 0) * kept[i] if i else grad
-        return out
+            grad = grad @ params[f"w{i}"][g].T
+            grad = grad * (values[i] > 0) * kept[i] if i else grad
+        return out, grad
 
 
 def row_keys(*columns: str | Column) -> Column:
@@ -111,6 +116,33 @@ def row_keys(*columns: str | Column) -> Column:
 SCORES = "n long, val_r2 double, test_r2 double, test_pearson double, test_rmse double, epochs int"
 
 
+def descended(state: State, slopes_of: Callable[[State], Params], score_of: Callable[[Params], np.ndarray], rate: float | dict[str, float], epochs: int, batches: int, patience: int, margin: float, store: Store | None = None, most_steps: int | None = None) -> tuple[State, bool]:
+    """Steps of Adam until no group goes on: the state, and whether it is the last. After every epoch of `batches` steps each
+    group's score (higher is better) decides whether its parameters are the best so far and whether it goes on; the state is
+    saved then, if there is a store. state.best holds, beside parameters, score, epoch and waited of each group."""
+    steps = 0
+    live = state.best["waited"] < patience
+    while live.any() and state.step < epochs * batches:
+        if most_steps is not None and steps >= most_steps:
+            return state, False
+        state = adam(state, slopes_of(state), rate, live)
+        steps += 1
+        if state.step % batches == 0:
+            score = score_of(state.params)
+            better = live & (score > state.best["score"] + margin)
+            best = {k: np.where(better.reshape(-1, *[1] * (x.ndim - 1)), x, state.best[k]) for k, x in state.params.items()}
+            best |= {"score": np.where(better, score, state.best["score"]), "epoch": np.where(better, state.step // batches, state.best["epoch"]), "waited": np.where(better, 0, state.best["waited"] + live)}
+            state = state._replace(best=best)
+            live = best["waited"] < patience
+            if store is not None:
+                store.save(state.step, state.arrays(), {"epoch": state.step // batches})
+    return state, True
+
+
+def first_best(params: Params, groups: int) -> Params:
+    return params | {"score": np.full(groups, -np.inf), "epoch": np.zeros(groups), "waited": np.zeros(groups)}
+
+
 class Trained(NamedTuple):
     scores: list[dict[str, float]]  #: by group
     state: State
@@ -162,7 +194,7 @@ def trained_heads(rows: DataFrame, groups: int, hidden: tuple[int, ...] = (), ra
     heads = Heads((mean.shape[1], *hidden, 1), dropout)
     context = rows.sparkSession.sparkContext
     fresh = heads.start(seed, n["train"][:, 1] / n["train"][:, 0])
-    state = begun(fresh, fresh | {"score": np.full(groups, -np.inf), "epoch": np.zeros(groups), "waited": np.zeros(groups)})
+    state = begun(fresh, first_best(fresh, groups))
     if store is not None and (saved := store.load()):
         state = State.of(saved[0], saved[1])
     dealt = F.pmod(F.xxhash64("key", F.lit("batch")), F.lit(batches))
@@ -206,22 +238,9 @@ def trained_heads(rows: DataFrame, groups: int, hidden: tuple[int, ...] = (), ra
     def r2(x: np.ndarray) -> np.ndarray:
         return 1 - x[:, 1] / np.maximum(x[:, 3] - x[:, 2] ** 2 / np.maximum(x[:, 0], 1), 1e-12)
 
-    steps = 0
-    live = state.best["waited"] < patience
-    while live.any() and state.step < epochs * batches:
-        if most_steps is not None and steps >= most_steps:
-            return Trained([], state, False)
-        state = adam(state, slopes_of(state), rate, live)
-        steps += 1
-        if state.step % batches == 0:
-            val = r2(scores_of(state.params, "val")["val"])
-            better = live & (val > state.best["score"] + margin)
-            best = {k: np.where(better.reshape(-1, *[1] * (x.ndim - 1)), x, state.best[k]) for k, x in state.params.items()}
-            best |= {"score": np.where(better, val, state.best["score"]), "epoch": np.where(better, state.step // batches, state.best["epoch"]), "waited": np.where(better, 0, state.best["waited"] + live)}
-            state = state._replace(best=best)
-            live = best["waited"] < patience
-            if store is not None:
-                store.save(state.step, state.arrays(), {"epoch": state.step // batches})
+    state, done = descended(state, slopes_of, lambda params: r2(scores_of(params, "val")["val"]), rate, epochs, batches, patience, margin, store, most_steps)
+    if not done:
+        return Trained([], state, False)
     out = []
     for g, (x, val) in enumerate(zip(scores_of(state.best, "test")["test"], state.best["score"], strict=True)):
         rows_, left, y, yy, p, pp, yp = x

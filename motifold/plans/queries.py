@@ -13,9 +13,10 @@ from motifold.functions import sql
 from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
 from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, positional_places, sorted_families, told_number, token_id
-from motifold.operators import encoder, krylov, metrics, normalization, ridge, sparse_gram, splits
+from motifold.operators import encoder, finetune, krylov, metrics, normalization, ridge, sparse_gram, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.session import dealt, shared_path
+from motifold.sources.checkpoints import Store
 from motifold.sources.fasta import fasta_index, read_fasta
 from motifold.sources.text import file_profile, judged_pairs, lenient_pairs, numbered_lines, one_per_line
 from motifold.streaming.running_stats import batch_moments, run_stateful, windowed_stats
@@ -412,12 +413,29 @@ def sample_efficiency(spark, sf_dir):
 
 
 def checkpoint_scores(spark, sf_dir):
-    """Two encoders saved as checkpoints and loaded again, each compared by a head on its states at all positions."""
-    saved = {f"random_{n}": shared_path(spark) for n in (1, 2)}
-    for n, path in enumerate(saved.values(), 1):
-        encoder.save_weights(spark, encoder.random_weights(n), path)
-    loaded = {name: encoder.load_weights(spark, path) for name, path in saved.items()}
-    return encoder.compared(_scored_windows(spark, sf_dir), loaded, length=WINDOW, tolerance=1e-3, most_rounds=40)
+    """Two checkpoints of the encoder, an untrained one and one trained on masked words of all windows, loaded from their
+    stores, and compared by a head on its mean states and targets."""
+    rows = _scored_windows(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    split = F.when(unit(3, "id") < 0.9, "train").otherwise("val")
+    start, stores = encoder.random_weights(10042), {name: Store(spark, shared_path(spark)) for name in ("random", "trained")}
+    tuned = finetune.pretrained(rows.select(F.xxhash64("id").alias("key"), "seq", split.alias("split")), start, epochs=1, batches=2)
+    for name, weights in (("random", start), ("trained", tuned.weights)):
+        stores[name].save(0, weights, tuned.scores)
+    loaded = {name: encoder.fitting(store.load()[1]) for name, store in stores.items()}
+    out = encoder.compared(rows, loaded, pool="mean", tolerance=1e-6)
+    rows.unpersist()
+    return out
+
+
+def unfrozen_layer_scores(spark, sf_dir):
+    """A head on the mean targets of an untrained encoder over windows, with the encoder frozen, and with its last layer trained too."""
+    rows = splits.split_by_share(_scored_windows(spark, sf_dir), "id").withColumn("key", F.xxhash64("id")).persist(StorageLevel.DISK_ONLY)
+    out = []
+    for name, rate in (("frozen", 0.0), ("last layer", 1e-4)):
+        scores = finetune.fine_tuned(rows, encoder.random_weights(10042), encoder_rate=rate, rate=3e-3, epochs=2, batches=2).scores
+        out.append((name, *(scores[k] for k in ("n", "val_r2", "test_r2", "epochs"))))
+    rows.unpersist()
+    return spark.createDataFrame(out, "encoder string, n long, val_r2 double, test_r2 double, epochs int")
 
 
 def _results(spark, sf_dir):
@@ -656,7 +674,7 @@ NAMED = [
     flex_norm_stats, flex_normalized_global, flex_normalized_tokens, flex_zscore_per_seq, onehot_profile, valid_acgt_words, scan_rejects, dominant_length, dominant_rows, file_summaries,
     min_rows_files, genome_windows_sampled, split_train_val_test, split_bankers, kfold_assign, kfold_within, nested_subsets, independent_subsets, row_cap, mlm_mask, eval_mask, fixed_mask,
     masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, ridge_iterative_select, ridge_iterative_3mer, onehot_cooccurrence, nested_cv_sparse, nested_cv_ridge, nested_cv_ridge_1d,
-    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, fasta_records, stateful_windows, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
+    ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, unfrozen_layer_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, fasta_records, stateful_windows, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
     token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifold.functions.sequences import positional_places
-from motifold.operators import krylov, ridge, sparse_gram, splits, training
+from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits, training
 from motifold.operators.features import feature_matrix
 from motifold.sources.checkpoints import Store
 
@@ -170,3 +170,76 @@ def test_store(spark, tmp_path):
     (tmp_path / "less").rename(tmp_path / "s/weights/version=7")
     with pytest.raises(ValueError, match="differs"):
         store.load()
+
+
+# -- encoder ---------------------------------------------------------------------------------------------------------
+
+SHAPE = encoder.Shape(k=2, width=8, heads=2, layers=2, hidden=10, positions=16, tokens=20, targets=12)
+SEQS = ["ACGTACGTAA", "TGCATG", "GGGAAACCCCN", "AT", "ATATCGCGTACGT"]
+
+
+def test_backward_is_slopes():
+    """All weights of two layers, with padding, by finite differences; the forward pass is the encoder's."""
+    random = np.random.default_rng(3)
+    weights = {n: w + random.standard_normal(w.shape) / 5 for n, w in encoder.random_weights(1, SHAPE).items()}
+    x, mask = encoder.one_hot_batch(SEQS, SHAPE.k)
+    pull = random.standard_normal((*mask.shape, SHAPE.width)) * mask[..., None]
+    h, tapes = finetune.forward(weights, x, mask, SHAPE)
+    assert h * mask[..., None] == pytest.approx(encoder.forward(weights, x, mask, SHAPE)[0])
+    slopes = finetune.backward(weights, x, tapes, pull, SHAPE)
+    assert slopes.keys() == {n for n in weights if "head" not in n}
+    last = finetune.backward(weights, x, tapes, pull, SHAPE, 1)
+    assert last.keys() == {n for n in weights if n.startswith("layer1")} and all(np.array_equal(last[n], slopes[n]) for n in last)
+    loss = lambda: (finetune.forward(weights, x, mask, SHAPE)[0] * pull).sum()
+    for name, slope in slopes.items():
+        flat = weights[name].ravel()
+        for at in random.integers(0, flat.size, 6).tolist():
+            flat[at] += 1e-5
+            up = loss()
+            flat[at] -= 2e-5
+            assert slope.ravel()[at] == pytest.approx((up - loss()) / 2e-5, rel=1e-3, abs=1e-5), name
+            flat[at] += 1e-5
+
+
+def scored(spark, n=160, parts=3):
+    random = np.random.default_rng(8)
+    seqs = ["".join(random.choice(list("ACGT"), random.integers(6, 14))) for _ in range(n)]
+    rows = [(i, s, sum(s[j : j + 2] in ("AC", "GT", "CA") for j in range(len(s) - 1)) / len(s)) for i, s in enumerate(seqs)] + [(n, "A", 1.0), (n + 1, None, 2.0)]
+    rows = splits.split_by_share(spark.createDataFrame(rows, "key long, seq string, y double"), "key", train=0.7, val=0.15)
+    return rows.repartition(parts, "key").cache()
+
+
+def test_unfrozen_layer_beats_the_frozen_one(spark, tmp_path):
+    weights = encoder.random_weights(4, SHAPE)
+    options = {"shape": SHAPE, "hidden": (), "rate": 2e-2, "kind": "hidden", "epochs": 6, "batches": 2, "patience": 9}
+    rows = scored(spark)
+    frozen = finetune.fine_tuned(rows, weights, encoder_rate=0.0, **options)
+    store = Store(spark, str(tmp_path / "s"))
+    assert not finetune.fine_tuned(rows, weights, encoder_rate=1e-2, store=store, most_steps=5, **options).done
+    tuned = finetune.fine_tuned(rows, weights, encoder_rate=1e-2, store=store, **options)
+    assert tuned.done and tuned.scores["n"] == 160 and tuned.scores["val_r2"] > frozen.scores["val_r2"] + 0.02
+    assert all(np.array_equal(frozen.weights[n], w) for n, w in weights.items())
+    moved = {n for n, w in weights.items() if not np.array_equal(tuned.weights[n], w)}
+    assert moved and all(n.startswith("layer1.") for n in moved)
+    again = finetune.fine_tuned(scored(spark, parts=7), weights, encoder_rate=1e-2, **options)
+    assert again.scores == pytest.approx(tuned.scores, rel=1e-6)
+    top = finetune.fine_tuned(rows, weights, SHAPE, kind="flex", pool="max", epochs=1, batches=1)
+    assert top.done and np.isfinite(top.scores["test_r2"])
+
+
+def test_training_lowers_the_loss(spark, tmp_path):
+    rows, weights = scored(spark).drop("y"), encoder.random_weights(5, SHAPE)
+    options = {"shape": SHAPE, "rate": 3e-2, "epochs": 4, "batches": 3}
+    whole = finetune.pretrained(rows, weights, **options)
+    assert whole.scores["val_loss"] < 0.85 * whole.scores["start_loss"] and whole.done
+    store = Store(spark, str(tmp_path / "t"))
+    assert not finetune.pretrained(rows, weights, store=store, most_steps=4, **options).done
+    assert finetune.pretrained(rows, weights, store=store, **options).scores == pytest.approx(whole.scores, rel=1e-6)
+
+
+def test_masks_are_of_key_and_step():
+    keys, counts = np.arange(300), np.full(300, 20)
+    found = finetune.masks(keys, counts, 3, 0.15)
+    assert all(len(x) for x in found) and np.mean([len(x) for x in found]) / 20 == pytest.approx(0.155, abs=0.02)
+    assert [x.tolist() for x in finetune.masks(keys[::-1].copy(), counts, 3, 0.15)][::-1] == [x.tolist() for x in found]
+    assert any(len(a) != len(b) for a, b in zip(found, finetune.masks(keys, counts, 4, 0.15), strict=True))
