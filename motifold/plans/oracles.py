@@ -31,13 +31,13 @@ O = ORACLES  # noqa: E741
 O["kmer_tokens"] = f"WITH {_SEQ}, {_TOK} SELECT doc_id, pos, kmer FROM tok"
 O["kmer_token_ids"] = f"WITH {_SEQN}, {_TOK} SELECT doc_id, pos, CAST({_CODE} AS INTEGER) AS token_id FROM tok"
 O["kmer_token_ids_cls"] = f"WITH {_SEQN}, {_TOK} SELECT doc_id, CAST(pos + 1 AS INTEGER) AS pos, CAST({_CODE} AS INTEGER) AS token_id FROM tok UNION ALL SELECT doc_id, 0, 1 FROM documents"
-O["kmer_vocab"] = (
-    "WITH b(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), k AS (SELECT a.x || b.x || c.x || d.x || e.x || f.x AS token FROM b a, b, b c, b d, b e, b f) "
-    "SELECT token, CAST(3 + row_number() OVER (ORDER BY token) AS INTEGER) AS token_id FROM k "
-    "UNION ALL VALUES ('[PAD]', 0), ('[CLS]', 1), ('[MASK]', 2), ('[UNK]', 3)"
-)
+O["kmer_vocab"] = f"""WITH {_SEQ}, {_TOK}, c AS (SELECT kmer, count(*) AS n FROM tok GROUP BY kmer), b(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), k AS (SELECT a.x || b.x || c.x || d.x || e.x || f.x AS token FROM b a, b, b c, b d, b e, b f),
+v AS (SELECT token, CAST(3 + row_number() OVER (ORDER BY token) AS INTEGER) AS token_id FROM k UNION ALL VALUES ('[PAD]', 0), ('[CLS]', 1), ('[MASK]', 2), ('[UNK]', 3))
+SELECT token, token_id, coalesce(n, 0) AS n FROM v LEFT JOIN c ON c.kmer = v.token"""
 O["kmer_counts_topk"] = f"WITH {_SEQ}, {_TOK} SELECT kmer, count(*) AS n FROM tok GROUP BY kmer ORDER BY n DESC, kmer LIMIT 20"
-O["flex_lookup_profile"] = f"WITH {_LOOK} SELECT feature, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM look GROUP BY feature"
+_SEEN = "w AS (SELECT n AS width, substr(seq, pos, n) AS word, count(*) AS seen FROM (SELECT seq, n, unnest(range(1, length(seq) + 2 - n)) AS pos FROM seqs, (VALUES (2), (3)) t(n)) GROUP BY 1, 2)"
+O["flex_lookup_profile"] = f"""WITH {_SEQ}, {_LOOK}, {_SEEN} SELECT feature, count(*) AS n, CAST(sum(coalesce(seen, 0)) AS BIGINT) AS seen, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean,
+round(sum(value * coalesce(seen, 0)) / sum(coalesce(seen, 0)), 6) AS mean_seen FROM look LEFT JOIN w ON w.word = look.word GROUP BY feature"""
 _WIDE = ", ".join(f"max(CASE WHEN kf.i = {i} THEN kf.value END) AS {n}" for i, n in enumerate(feature_names()))
 _TOLD = ", ".join(f"round(avg(wide.{n}) + 1.3e-7, 4) + 0.0 AS {n}, round(sum(wide.{n} * (pos + 1)) / sum(pos + 1) + 1.3e-7, 4) + 0.0 AS {n}_by_place" for n in feature_names())
 for _name, _base in (("flex_token_targets", _SEQ), ("flex_token_targets_lenient", _SEQN)):
@@ -190,8 +190,9 @@ O["most_tokens"] = f"WITH {_SEQ} SELECT CAST(max(length(seq)) - 5 AS INTEGER) AS
 _FILE = sorted(features(), key=lambda f: (-f.width, f.index))
 _ORDERS = {"file": _FILE, "plain": list(features()), "config": [f for n in ("twistDisp", "wedge", "NPP") for f in features() if f.name == n]}
 _LISTED = ", ".join(f"('{o}', {i}, '{f.name}')" for o, fs in _ORDERS.items() for i, f in enumerate(fs))
-O["lookup_file_order"] = f"""WITH {_LOOK}, l(o, turn, feature) AS (VALUES {_LISTED})
-SELECT o AS "order", CAST(turn AS INTEGER) AS feature_index, l.feature, CAST(any_value(n) AS INTEGER) AS width, count(*) AS n, round(sum(value), 6) AS total FROM l JOIN look ON look.feature = l.feature GROUP BY 1, 2, 3"""
+O["lookup_file_order"] = f"""WITH {_SEQ}, {_LOOK}, {_SEEN}, l(o, turn, feature) AS (VALUES {_LISTED})
+SELECT o AS "order", CAST(turn AS INTEGER) AS feature_index, l.feature, CAST(any_value(n) AS INTEGER) AS width, count(*) AS n, round(sum(value), 6) AS total, round(sum(value * seen), 3) AS total_seen
+FROM l JOIN look ON look.feature = l.feature JOIN w ON w.word = look.word GROUP BY 1, 2, 3"""
 O["weighted_losses"] = "WITH e AS (SELECT event_type, event_id % 4 AS mask, value - 1.5 AS d FROM events) SELECT event_type, round(0.7 * avg(CASE WHEN abs(d) <= 1 THEN d * d / 2 ELSE abs(d) - 0.5 END) FILTER (mask <> 0) + 0.2 * avg(d * d), 6) AS total FROM e GROUP BY 1"
 O["losses"] = "WITH e AS (SELECT event_type, event_id % 4 AS mask, value - 1.5 AS d FROM events) SELECT event_type, round(avg(CASE WHEN abs(d) <= 1 THEN d * d / 2 ELSE abs(d) - 0.5 END) FILTER (mask <> 0), 6) AS huber, round(avg(d * d) FILTER (mask <> 0), 6) AS mse, 0.0::DOUBLE AS none FROM e GROUP BY 1"
 O["token_cross_entropy"] = "WITH e AS (SELECT label, CASE WHEN vec_id % 6 = 0 THEN label END AS told, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings) SELECT label, round(avg(CASE WHEN told IS NOT NULL THEN ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[told + 1] END), 6) AS loss FROM e GROUP BY 1"

@@ -76,15 +76,27 @@ def kmer_token_ids_cls(spark, sf_dir):
 
 
 def kmer_vocab(spark, sf_dir):
-    return vocabulary_frame(spark)
+    """The vocabulary, with how often each token occurs in documents."""
+    counts = normalization.kmer_counts(sequences(spark, sf_dir)).withColumnRenamed("kmer", "token")
+    return vocabulary_frame(spark).join(counts, "token", "left").select("token", "token_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def kmer_counts_topk(spark, sf_dir):
     return normalization.kmer_counts(sequences(spark, sf_dir)).orderBy(F.desc("n"), "kmer").limit(TOP)
 
 
+def _occurring(spark, sf_dir):
+    """(width, word, seen): how often each pair and triple of bases occurs in documents; 80 rows at most."""
+    seqs = sequences(spark, sf_dir)
+    parts = [normalization.kmer_counts(seqs, k).select(F.lit(k).alias("width"), F.col("kmer").alias("word"), F.col("n").alias("seen")) for k in (2, 3)]
+    return F.broadcast(parts[0].unionByName(parts[1]))
+
+
 def flex_lookup_profile(spark, sf_dir):
-    return lookup_frame(spark).groupBy("feature").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    """Of each feature its words, their values, and the mean of its values over the words that occur in documents."""
+    rows = lookup_frame(spark).join(_occurring(spark, sf_dir), ["width", "word"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    mean = F.try_divide(F.sum(F.col("value") * F.col("seen")), F.sum("seen"))
+    return rows.groupBy("feature").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(mean, 6).alias("mean_seen"))
 
 
 def _told_targets(rows: DataFrame) -> DataFrame:
@@ -563,12 +575,13 @@ def most_tokens(spark, sf_dir):
 
 
 def lookup_file_order(spark, sf_dir):
-    """The tables as a parsed file has them, triples first, and in a config's order."""
+    """The tables as a parsed file has them, triples first, and in a config's order, over the words of documents."""
     groups = {f"{n}nucleotide": {f.name: f.values for f in features() if f.width == w} for n, w in (("tri", 3), ("di", 2))}
     config = {"dinucleotide": ["twistDisp", "wedge"], "trinucleotide": ["NPP"]}
     rows = {"file": features_from(groups, in_file_order=True), "config": features_from(groups, config), "plain": features_from(groups)}
     listed = metrics.labelled_union({name: lookup_frame(spark, used) for name, used in rows.items()}, "order")
-    return listed.groupBy("order", "feature_index", "feature", "width").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    met = listed.join(_occurring(spark, sf_dir), ["width", "word"])
+    return met.groupBy("order", "feature_index", "feature", "width").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("seen")), 3).alias("total_seen"))
 
 
 def gc_by_document(spark, sf_dir):

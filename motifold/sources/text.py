@@ -223,8 +223,12 @@ def read_yaml(spark: SparkSession, path: str) -> dict:
     return yaml.safe_load("\n".join(x["value"] for x in spark.read.option("wholetext", True).text(path).collect()))
 
 
-def write_lines(df: DataFrame, path: str, column: str = "seq") -> None:
-    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, column: str = "seq", by: str | None = None) -> None:
+    """A line for each row; with by (a split, say) in a folder for each of its values."""
+    if by is None:
+        df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+    else:
+        df.select(by, F.col(column).cast("string").alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

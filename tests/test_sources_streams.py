@@ -37,6 +37,13 @@ def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_lines_are_written_by_split(spark, tmp_path):
+    rows = spark.createDataFrame([("AC", "train"), ("GG", "val"), ("TT", "train"), (None, "val")], "seq string, split string")
+    text.write_lines(rows, str(tmp_path / "out"), by="split")
+    found = {s: sorted(r.value for r in spark.read.text(str(tmp_path / f"out/split={s}")).collect()) for s in ("train", "val")}
+    assert found == {"train": ["AC", "TT"], "val": ["", "GG"]}
+
+
 # -- FASTA -----------------------------------------------------------------------------------------------------------
 
 
