@@ -75,14 +75,14 @@ HOT_KEYS = 256
 FEW_ROWS = 200_000
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, by: list[str], total: int) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, by: list[str], total: int, few: int | None = None) -> DataFrame:
     """rows joined with keyed on `by`, wherever rows' keys gather. keyed has a row for each key, and in `_n` how many of rows it has.
 
-    total is the number of rows. Of up to FEW_ROWS rows, all keys are broadcast, as they aren't more. Else keys with over
+    total is the number of rows. Of up to few (if not given, FEW_ROWS) rows, all keys are broadcast, as they aren't more. Else keys with over
     total / HOT_KEYS of them, so fewer than HOT_KEYS keys, are broadcast and their rows stay where they are; all others meet
     in a shuffle, no task of which gets much more than its share.
     """
-    if total <= FEW_ROWS:
+    if total <= (FEW_ROWS if few is None else few):
         return rows.join(F.broadcast(keyed.drop("_n")), by)
     hot = keyed.where(F.col("_n") > total // HOT_KEYS).drop("_n")
     cold = keyed.where(F.col("_n") <= total // HOT_KEYS).drop("_n")

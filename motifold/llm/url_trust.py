@@ -120,5 +120,5 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, domains: bool
     # A host with many pages is one join key: its pages stay where they are.
     rows = parts.select("page_id", "host", "path", "match")
     hosts = rows.groupBy("host").agg(F.count("*").alias("_n")).join(cut(bad), "host", "left")
-    told = spread_join(rows, hosts, ["host"], rows.count())
+    told = spread_join(rows, hosts, ["host"], rows.count(), few=0)
     return told.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", by_host).alias("verdict"))

@@ -240,7 +240,7 @@ def archived_pages(pages: DataFrame, version: str = "1", archive_bytes: int = AR
     if not (total := source.count()):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     # A payload that many pages share is one join key, so its pages stay where they are; the others meet in a shuffle.
-    told = spread_join(marked, groups.select("mark", F.when(F.col("copies") > 1, F.col("first")).alias("first"), F.col("copies").alias("_n")), ["mark"], total)
+    told = spread_join(marked, groups.select("mark", F.when(F.col("copies") > 1, F.col("first")).alias("first"), F.col("copies").alias("_n")), ["mark"], total, few=0)
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string"))
     arcs = told.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), refers.alias("refers_to"), arc_file(F.col("url"), F.col("html"), version=version).alias("content"))
     path = shared_folder(spark)

@@ -733,11 +733,13 @@ def test_tool_call_levels(spark):
 
 
 def test_hot_payload_and_host(spark, monkeypatch):
-    """Most pages share one payload and one host; joins beyond the small size give what they give below it."""
+    """Most pages share one payload and one host; joins by hot and other keys give what a plain join gives."""
     rows = [(i, f"http://{'a.example.org' if i % 10 else f'h{i}.com'}/de/{i}", "same" if i % 4 else f"page {i}") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     wanted = [sorted(map(tuple, f(pages).collect())) for f in (warc.archived_pages, url_trust.judged_urls)]
-    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    plain = shared.spread_join
+    for module in (warc, url_trust):
+        monkeypatch.setattr(module, "spread_join", lambda rows, keyed, by, total, few=None: plain(rows, keyed, by, total, 10**9))
     assert [sorted(map(tuple, f(pages).collect())) for f in (warc.archived_pages, url_trust.judged_urls)] == wanted
     assert sum(r[3] == "revisit" and r[4] == 1 for r in wanted[0]) == 149
 
