@@ -237,3 +237,10 @@ f AS (SELECT doc_id, j, pos, kmer, masked, {norm("d0", "d1", "d0")} AS f0, {norm
 
 O["encode_attention"] = _attention().replace("np.float64(", "(")
 O["masked_token_loss"] = _attention(True).replace("np.float64(", "(")
+O["collated_batches"] = f"""WITH {_SEQN}, {_TOK}, t AS (SELECT doc_id, pos, {_CODE} AS id, {_unit(12345, "doc_id", "pos")} < 0.15 AS hidden FROM tok),
+d AS (SELECT doc_id, count(*) AS size, sum(id) AS ids, sum(CASE WHEN hidden THEN id ELSE -100 END) AS labels FROM t GROUP BY doc_id),
+p AS (SELECT *, length(bin(size)) - 1 AS e FROM d), b AS (SELECT *, e * 8 + ((size - (1 << e)) * 8) // (1 << e) AS bucket FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {_draw(42, "doc_id")}, doc_id) AS rank, CAST(ceil((1 << e) * (bucket % 8 + 9) / 8.0::DOUBLE) AS BIGINT) - 1 AS most FROM b),
+c AS (SELECT *, (rank - 1) // greatest(1, 16384 // most) AS batch FROM r)
+SELECT CAST(bucket AS INTEGER) AS bucket, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS n, CAST(max(size) AS INTEGER) AS longest, CAST(sum(size) AS BIGINT) AS tokens,
+CAST(count(*) * max(size) - sum(size) AS BIGINT) AS padding, CAST(sum(ids) AS BIGINT) AS ids, CAST(sum(labels) - 100 * (count(*) * max(size) - sum(size)) AS BIGINT) AS labels FROM c GROUP BY bucket, batch"""

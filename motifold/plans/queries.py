@@ -13,7 +13,7 @@ from motifold.functions import sql
 from motifold.functions.flexibility import feature_names, features, features_from, lookup_frame, vocabulary_frame
 from motifold.functions.hashing import unit
 from motifold.functions.sequences import file_factor, file_family, gc_share, kmer_gc, kmers, longest_tokens, only_bases, positional_counts, positional_places, sorted_families, told_number, token_id
-from motifold.operators import encoder, finetune, krylov, metrics, normalization, ridge, sparse_gram, splits
+from motifold.operators import collate, encoder, finetune, krylov, metrics, normalization, ridge, sparse_gram, splits
 from motifold.operators.features import feature_matrix, per_feature, pooled, token_one_hot, token_targets, track_profile
 from motifold.session import dealt, shared_path
 from motifold.sources.checkpoints import Store
@@ -650,6 +650,20 @@ def masked_token_loss(spark, sf_dir):
     return encoder.token_losses(rows, ruled_weights(PAIRS), PAIRS).select("id", F.coalesce("n_masked", F.lit(0)).alias("n_masked"), F.round(F.col("loss") + NUDGE, 5).alias("loss"))
 
 
+def collated_batches(spark, sf_dir):
+    """Documents' words of six letters, with labels where a draw masks them, in padded batches of like length."""
+    seqs = sequences(spark, sf_dir, "ACGTN").withColumn("size", F.length("seq") - 5).where("size > 0")
+    places = F.sequence(F.lit(1), F.col("size"))
+    ids = F.transform(places, lambda i: token_id(F.substr("seq", i, F.lit(6))))
+    hidden = F.transform(places, lambda i: unit(12345, "doc_id", i - 1) < 0.15)
+    rows = seqs.select("doc_id", "size", ids.alias("ids"), hidden.alias("hidden"))
+    rows = rows.select("doc_id", "size", "ids", F.zip_with("ids", "hidden", lambda x, h: F.when(h, x).otherwise(-100)).alias("labels"))
+    batches = collate.collated(collate.length_batches(rows, "size", "doc_id"), "size", "doc_id", {"ids": F.lit(0), "labels": F.lit(-100)})
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0).cast("long"), lambda a, b: a + b)
+    cells = F.size(F.flatten("ids"))
+    return batches.select("bucket", "batch", "n", "longest", total("mask").alias("tokens"), (cells - total("mask")).alias("padding"), total("ids").alias("ids"), total("labels").alias("labels"))
+
+
 def pooled_head_eval(spark, sf_dir):
     """Heads on an encoder's states over a window, their greatest (two hidden layers and dropout) or their mean, and on its targets alone."""
     rows = splits.split_by_share(_scored_windows(spark, sf_dir), "id")
@@ -689,7 +703,7 @@ NAMED = [
     masked_pool, metrics_by_group, metrics_zero_variance, affine_calibration, calibrated_test, scatter_fit_line, ridge_1d_alpha_sweep, ridge_val_select, ridge_iterative_select, ridge_iterative_3mer, onehot_cooccurrence, nested_cv_sparse, nested_cv_ridge, nested_cv_ridge_1d,
     ridge_loo, ridge_loo_1d, benchmark_by_file, sample_efficiency, checkpoint_scores, unfrozen_layer_scores, summary_by_model, summary_population, summary_of_one_group, first_physical_lines, fasta_records, stateful_windows, sql_kmers, summary_ordered, mean_results, best_alpha_first, union_labelled,
     resume_antijoin, resumed_results, append_metric_leftjoin, grid_crossjoin, parse_names, families, told_numbers, gc_by_document, kmer_gc_profile, most_tokens, losses, weighted_losses,
-    token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
+    token_cross_entropy, encode_hidden_flex, encode_attention, masked_token_loss, collated_batches, pooled_head_eval, linear_head_eval, hidden_head_eval, running_stats_windows, merged_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMED}
 QUERIES |= {f"positional_nmer_{n}": _positional(n) for n in (1, 2, 3)}
