@@ -6,20 +6,28 @@ back to its root, so only runs of known words of at least the shortest window ar
 is array work over whole batches. Documents never move: there is no shuffle. Items beyond `BLOCK_WORDS` words are dealt
 into several automata, each with a walk of its own, so what is broadcast stays bounded. A text is judged and cut by the
 hits of all of them together.
+
+Several automata are files in the shared folder that Spark hands to executors once each. One Python process a task scans with them: it keeps some
+texts, loads one automaton after another, and lets go of each before the next, so it holds one at a time, however many items
+there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import parquet
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +37,8 @@ from motifold.llm.textbatch import LOWER, WORDY, Piece, Words, pieces, spread, w
 WINDOW = 10
 #: Words of items in one automaton, which takes a few hundred bytes for each.
 BLOCK_WORDS = 100_000
+#: Bytes of texts that a task scans with one automaton of several before it loads the next.
+SCAN_BYTES = 32 << 20
 #: Share of hit words from which on a document goes as a whole.
 MOST_COVERAGE = 0.5
 
@@ -215,27 +225,69 @@ def _automata(benchmark: DataFrame, window: int, block_words: int):
 _FOUND = "hits array<int>, items array<string>, n_words long, longest int"
 
 
-def _scan(shared, names: list[str]):
+class Automata:
+    """One automaton, broadcast, or several, as files in the shared folder, of which a task loads one at a time."""
+
+    def __init__(self, spark: SparkSession, made: Iterable[ItemAutomaton]) -> None:
+        every = iter(made)
+        first, second = next(every), next(every, None)
+        self.shared, self.names = None, []
+        if second is None:
+            self.shared = spark.sparkContext.broadcast(first)
+            return
+        for automaton in chain([first, second], every):
+            table = stored(spark.createDataFrame([(pickle.dumps(automaton),)], "automaton binary").coalesce(1))
+            path = table.select(F.input_file_name()).first()[0]
+            spark.sparkContext.addFile(path)  # an executor fetches it once, a new one after a loss too
+            self.names.append(path.rsplit("/", 1)[1])
+
+    def __iter__(self) -> Iterator[ItemAutomaton]:
+        if self.shared is not None:
+            yield self.shared.value
+        for name in self.names:
+            yield pickle.loads(parquet.read_table(SparkFiles.get(name))["automaton"][0].as_py())
+
+
+def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, of up to SCAN_BYTES and the batch that goes beyond."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > SCAN_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scan(automata: Automata, names: list[str]):
+    """Rows with a column text to `names`, among them what occurs of the items of all automata."""
+
     def run(batches):
-        automaton = shared.value
-        for batch in batches:
-            table = dict(zip(batch.schema.names, batch.columns, strict=True))
-            n = batch.num_rows
-            hits = table["hits"].to_pylist() if "hits" in table else [[]] * n
-            items = table["items"].to_pylist() if "items" in table else [[]] * n
-            longest = table["longest"].to_pylist() if "longest" in table else [0] * n
-            sizes = []
-            for piece in pieces(table["text"]):
-                found, out = matches(piece, automaton)
-                sizes.append(np.diff(found.rows))
-                for row, (new, ids, most) in out.items():
-                    at = piece.first + row
-                    hits[at] = [x for span in _merged([*zip(hits[at][::2], hits[at][1::2], strict=True), *new]) for x in span]
-                    items[at] = sorted({*items[at], *ids})
-                    longest[at] = max(longest[at], most)
-            counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            made = {"hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(counts, pa.int64()), "longest": pa.array(longest, pa.int32())}
-            yield pa.RecordBatch.from_arrays([made.get(x, table.get(x)) for x in names], names=names)
+        for held in [[x] for x in batches] if not automata.names else _held(batches):
+            found = [{} for _ in held]
+            counts = [np.zeros(0, np.int64)] * len(held)
+            for automaton in automata:
+                for k, batch in enumerate(held):
+                    sizes = []
+                    for piece in pieces(batch.column("text")):
+                        words_, out = matches(piece, automaton)
+                        sizes.append(np.diff(words_.rows))
+                        for row, (new, ids, most) in out.items():
+                            hits, items, longest = found[k].get(piece.first + row, ([], set(), 0))
+                            found[k][piece.first + row] = _merged([*hits, *new]), items | ids, max(longest, most)
+                    counts[k] = np.concatenate(sizes) if sizes else counts[k]
+            for k, batch in enumerate(held):
+                rows = [found[k].get(i, ((), (), 0)) for i in range(batch.num_rows)]
+                made = {
+                    "hits": pa.array([[x for span in hits for x in span] for hits, _, _ in rows], pa.list_(pa.int32())),
+                    "items": pa.array([sorted(items) for _, items, _ in rows], pa.list_(pa.string())),
+                    "n_words": pa.array(counts[k], pa.int64()),
+                    "longest": pa.array([longest for _, _, longest in rows], pa.int32()),
+                }
+                own = dict(zip(batch.schema.names, batch.columns, strict=True))
+                yield pa.RecordBatch.from_arrays([made[x] if x in made else own[x] for x in names], names=names)
 
     return run
 
@@ -250,10 +302,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    for automaton in _automata(benchmark, window, block_words):
-        names = ["doc_id", "text", "hits", "items", "n_words", "longest"]
-        out = out.mapInArrow(tidied(_scan(docs.sparkSession.sparkContext.broadcast(automaton), names)), f"doc_id {kind}, text string, {_FOUND}")
-    return out.drop("text")
+    automata = Automata(docs.sparkSession, _automata(benchmark, window, block_words))
+    return out.mapInArrow(tidied(_scan(automata, ["doc_id", "hits", "items", "n_words", "longest"])), f"doc_id {kind}, {_FOUND}")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -297,9 +347,9 @@ def _without(data: np.ndarray, found: Words, spans: list[tuple[int, int]]) -> st
     return b" ".join([*kept, raw[at:]]).decode()
 
 
-def _clean(shared):
+def _clean(automata: Automata):
     def run(batches):
-        automaton = shared.value
+        (automaton,) = automata
         for batch in batches:
             texts, place = batch.column("text"), batch.schema.get_field_index("text")
             hit, changed, shares = set(), {}, {}
@@ -336,16 +386,14 @@ def _cut(first: bool):
     return run
 
 
-def _cut_by_all(docs: DataFrame, automata: list) -> DataFrame:
+def _cut_by_all(docs: DataFrame, automata: Automata) -> DataFrame:
     """docs cut by several automata: each round finds the hits of all, cuts them, and goes on with the rows it changed."""
     row, text = T.StructField("row", docs.schema), T.StructField("text", T.StringType())
     names = ["row", "text", "hits", "items", "n_words", "longest"]
     scanned = T.StructType([row, text, *T.StructType.fromDDL(_FOUND).fields])
     left, done = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), []
     while not done or left.take(1):
-        found = left
-        for shared in automata:
-            found = found.mapInArrow(tidied(_scan(shared, names)), scanned)
+        found = left.mapInArrow(tidied(_scan(automata, names)), scanned)
         step = stored(found.mapInArrow(tidied(_cut(not done)), T.StructType([row, text, T.StructField("changed", T.BooleanType())])))
         done.append(step.where("not changed"))
         left = step.where("changed").select("row", "text")
@@ -361,8 +409,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     together, in one automaton or several, which are scanned in turn and whose rounds are stored.
     """
     out = docs
-    automata = [docs.sparkSession.sparkContext.broadcast(x) for x in _automata(benchmark, window, block_words)]
-    out = out.mapInArrow(tidied(_clean(automata[0])), docs.schema) if len(automata) == 1 else _cut_by_all(out, automata)
+    automata = Automata(docs.sparkSession, _automata(benchmark, window, block_words))
+    out = _cut_by_all(out, automata) if automata.names else out.mapInArrow(tidied(_clean(automata)), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(docs.columns)

@@ -483,6 +483,20 @@ def test_cutting_by_several_automata(spark):
     assert found == whole
 
 
+def test_forty_automata(spark, monkeypatch):
+    """One Python node scans with all, of which a task holds one; so it does when texts come in several lots."""
+    items = [prose(700 + i, 12, 10_000) for i in range(40)]
+    texts = [f"{prose(800 + i, 30, 10_000)} {items[i % 40]} {items[(i + 7) % 40]}" for i in range(60)] + [None, "", "clean"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(deco, "SCAN_BYTES", 2000)
+    found = deco.contamination_report(table(spark, texts), benchmark, block_words=12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert len(deco.Automata(spark, deco._automata(benchmark, deco.WINDOW, 12)).names) == 40
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, deco.contamination_report(table(spark, texts), benchmark).collect()))
+    assert found.where("n_hit = 24 AND n_items = 2").count() == 60
+
+
 def test_contamination_odd(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert deco.contamination_report(odd_table(spark), none).where("n_hit = 0").count() == 8
