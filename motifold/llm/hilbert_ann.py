@@ -4,8 +4,9 @@ Each curve projects vectors onto a few random directions, shifts them, and order
 range-partitioned into cells of equal row counts at quantiles of its keys; a query looks at the cells in a window around
 its own key, on every curve, and the best of all windows are kept by true distance. The number of curves, and the share of a curve
 that a window covers, are those of least work that reach `TARGET` recall among a bounded sample, so near-isotropic vectors
-get wide windows and clustered ones narrow windows. Cells are cut into blocks of bounded size by a hash, whatever their keys, so many
-equal vectors never meet in one task, and queries come in bounded blocks too.
+get wide windows and clustered ones narrow windows. Cells side by side make runs, of which a query takes all that its window
+touches. Runs are cut into blocks of bounded bytes by a hash, whatever their keys, so many equal vectors never meet in one
+task, and queries come in such blocks too; both are so large that hardly a row or query is copied for another block.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ SAMPLE_ROWS = 4000
 SAMPLE_VALUES = 1 << 24
 SAMPLE_QUERIES = 200
 TARGET = 0.95
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 1024
+#: Rows of a cell, if there aren't MOST_CELLS of them.
+CELL_ROWS = 4096
 MOST_CELLS = 1024
+#: Bytes of vectors, of rows and of queries each, that a task compares at once.
+BLOCK_BYTES = 32 << 20
+#: Runs that a window has at least, if it has as many cells: it covers so much more than asked at both ends, at most.
+RUNS = 8
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -138,13 +143,14 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVES, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVES, target: float = TARGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per query row (those of vectors for which `queries` holds) its k nearest others: query_id, rank, vec_id, score.
 
     vectors: vec_id, embedding. score is the Euclidean distance in double precision, ties go to the smaller vec_id.
     Null, zero and non-finite vectors, null ids, and vectors of another than the commonest size (ties: the larger) take no
     part, as queries or candidates. Rows that repeat an id count once, by their nearest vector; a query never finds its own
-    id. Fewer than k others: all of them. An empty table, or one without queries, gives no rows.
+    id. Fewer than k others: all of them. An empty table, or one without queries, gives no rows. A target above 1 makes
+    windows whole, so that all candidates are measured.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), queries.alias("asks"))
@@ -171,30 +177,43 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURV
     keyed = stored(rows.mapInArrow(tidied(key), "vec_id long, vector array<double>, asks boolean, keys array<long>"))
     total = keyed.count()
     share = max(model.share, min(1.0, 4 * k / total))
-    cells = max(16, min(MOST_CELLS, math.ceil(total / BLOCK_ROWS)))
+    cells = max(16, min(MOST_CELLS, math.ceil(total / CELL_ROWS)))
     at = [i / cells for i in range(1, cells)]
     bounds = keyed.agg(*(F.percentile_approx(F.col("keys")[c], at, 20 * cells).alias(f"c{c}") for c in range(curves))).first()
-    edges = F.array(*(F.array(*(F.lit(int(x)) for x in bounds[c])) for c in range(curves)))
-
-    # A key's cell is the number of edges below it, found by halving.
-    one = keyed.select("vec_id", "vector", "asks", F.posexplode("keys").alias("curve", "key")).withColumn("edge", F.get(edges, F.col("curve")))
-    cell = F.size(F.filter("edge", lambda x: x < F.col("key")))
-    placed = stored(one.select("curve", cell.alias("cell"), "vec_id", "vector", F.coalesce("asks", F.lit(False)).alias("asks")))
-
+    edges = [np.array(bounds[c], np.int64) for c in range(curves)]
     reach = max(1, math.ceil(share * cells))
+    block = max(CELL_ROWS, block_bytes // (8 * size))
+    wide = max(1, min(reach // RUNS, block * cells // total))
+
+    def place(batches):
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, curves)
+            found = np.stack([np.searchsorted(edges[c], keys[:, c]) for c in range(curves)], 1).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * curves), pa.array(found.ravel()))
+            kept = [i for i, x in enumerate(batch.schema.names) if x != "keys"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), listed], names=[*(batch.schema.names[i] for i in kept), "cells"])
+
+    def placed(rows: DataFrame, *columns: str) -> DataFrame:
+        """columns, curve and cell (the number of edges below the key), for each curve."""
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+        return rows.select(*columns, "keys").mapInArrow(place, f"{kinds}, cells array<int>").select(*columns, F.posexplode("cells").alias("curve", "cell"))
+
+    run = F.floor(F.col("cell") / wide).cast("int").alias("run")
     first = F.greatest(F.lit(0), F.least(F.col("cell") - reach // 2, F.lit(cells - reach)))
-    asking = placed.where("asks").select("curve", F.explode(F.sequence(first, first + reach - 1)).alias("cell"), F.col("vec_id").alias("query_id"), "vector")
-    # Blocks of each cell: of rows, and of queries. A bounded table: a row for each cell.
-    blocks = placed.groupBy("curve", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
-    query_blocks = asking.groupBy("curve", "cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(stored(blocks.join(query_blocks, ["curve", "cell"])))
+    runs = F.explode(F.sequence(F.floor(first / wide).cast("int"), F.floor((first + (reach - 1)) / wide).cast("int"))).alias("run")
+    asks = keyed.where("asks")
+    # Blocks of each run: of rows, and of queries. A bounded table: a row for each run.
+    blocks_of = lambda df, name: df.groupBy("curve", "run").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    row_blocks = blocks_of(placed(keyed, "vec_id").select("curve", run), "row_blocks")
+    blocks = F.broadcast(stored(row_blocks.join(blocks_of(placed(asks, "vec_id").select("curve", runs), "query_blocks"), ["curve", "run"])))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hashed = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
-    left = placed.join(blocks, ["curve", "cell"]).select("curve", "cell", hashed("vec_id", "row_blocks").alias("r"), every("query_blocks").alias("q"), "vec_id", "vector")
-    right = asking.join(blocks, ["curve", "cell"]).select("curve", "cell", every("row_blocks").alias("r"), hashed("query_id", "query_blocks").alias("q"), "query_id", "vector")
-    by = ["curve", "cell", "r", "q"]
-    # Written first: both sides come from one table, whose columns would be ambiguous in a cogroup.
-    found = stored(left).groupBy(*by).cogroup(stored(right).groupBy(*by)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    left = placed(keyed, "vec_id", "vector").select("curve", run, "vec_id", "vector").join(blocks, ["curve", "run"])
+    left = left.select("curve", "run", hashed("vec_id", "row_blocks").alias("r"), every("query_blocks").alias("q"), "vec_id", "vector")
+    right = placed(asks, "vec_id", "vector").select("curve", runs, F.col("vec_id").alias("query_id"), "vector").join(blocks, ["curve", "run"])
+    right = right.select("curve", "run", every("row_blocks").alias("r"), hashed("query_id", "query_blocks").alias("q"), "query_id", "vector")
+    by = ["curve", "run", "r", "q"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

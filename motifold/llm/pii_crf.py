@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Rows that potentials are learned from: those of the smallest hashes.
 SAMPLE_ROWS = 2000
-#: Of each, the characters that reach the driver; of all, the tokens.
+#: Of each, the characters that reach the driver (a stretch of the text); of all, the tokens.
 SAMPLE_CHARS = 20_000
 SAMPLE_TOKENS = 20_000
 SURE = 0.9
@@ -371,11 +371,15 @@ def _marked(column: pa.Array) -> np.ndarray:
 def learned_field(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     """fit() on at most `rows` rows with personal-looking text, of about ten times as many with the smallest hashes.
 
-    Of a text, only the first `SAMPLE_CHARS` characters are learned from, so what reaches the driver is bounded.
+    Of a text of more than `SAMPLE_CHARS` characters, one stretch of so many is learned from, chosen by hash of those that look
+    personal, so what reaches the driver is bounded.
     """
     some = hashed_share(docs.select("doc_id", F.col("text").cast("string").alias("text")), 10 * rows)
     some = some.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows)
-    return fit([x["text"] for x in some.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect()])
+    first = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_CHARS).cast("int"))
+    stretches = F.transform(first, lambda i: F.substring("text", i * SAMPLE_CHARS + 1, SAMPLE_CHARS))
+    personal = some.select(F.filter(stretches, lambda x: x.rlike("[0-9@]")).alias("parts"), F.xxhash64("doc_id", "text").alias("mark"))
+    return fit([x["text"] for x in personal.select(F.get("parts", F.pmod("mark", F.size("parts")).cast("int")).alias("text")).collect()])
 
 
 def found_spans(docs: DataFrame, field: Field) -> DataFrame:

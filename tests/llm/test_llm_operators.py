@@ -313,6 +313,21 @@ def test_recall(spark, kind):
         assert all(s == pytest.approx(true[v], abs=1e-12) for v, s in rows)
 
 
+@pytest.mark.parametrize("bytes_", [2000, 20_000, ann.BLOCK_BYTES])
+def test_runs_of_cells(spark, monkeypatch, bytes_):
+    """Many cells, in runs and blocks of any size: whole windows find all, others most of it."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 8)
+    x = np.random.default_rng(5).standard_normal((1200, 6)).astype(np.float32)
+    vectors = {i: v.tolist() for i, v in enumerate(x)}
+    asks = F.col("vec_id") % 30 == 0
+    whole = defaultdict(list)
+    for r in ann.nearest(vector_frame(spark, vectors.items()), asks, target=2.0, block_bytes=bytes_).orderBy("query_id", "rank").collect():
+        whole[r.query_id].append(r.vec_id)
+    assert {q: [v for v, _ in brute_nearest(vectors, q)] for q in range(0, 1200, 30)} == whole
+    some = ann.nearest(vector_frame(spark, vectors.items()), asks, block_bytes=bytes_).collect()
+    assert sum(r.vec_id in whole[r.query_id] for r in some) >= 0.9 * 400
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (100, [0.0, 2.0]), (None, [1.0, 1.0])]
@@ -483,6 +498,15 @@ def test_cutting_by_several_automata(spark):
     assert found == whole
 
 
+def test_field_learns_from_any_stretch(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", seen.extend)
+    monkeypatch.setattr(pii, "SAMPLE_CHARS", 50)
+    texts = ["x" * 120 + " write to a@b.cd " + "y" * 100, "z" * 500, "short 12", None, " ".join(f"{i:04d}" for i in range(100))]
+    pii.learned_field(table(spark, texts))
+    assert len(seen) == 3 and all(len(x) <= 50 for x in seen) and "short 12" in seen and any("a@b.cd" in x for x in seen)
+
+
 def test_forty_automata(spark, monkeypatch):
     """One Python node scans with all, of which a task holds one; so it does when texts come in several lots."""
     items = [prose(700 + i, 12, 10_000) for i in range(40)]
