@@ -2,9 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from motifold.operators import encoder
+from motifold.operators import encoder, sparse_gram, splits
 
 
 def test_encoder_stays_in_its_precision():
@@ -13,3 +12,16 @@ def test_encoder_stays_in_its_precision():
         weights = {n: w.astype(kind) for n, w in encoder.random_weights(1).items()}
         hidden, targets = encoder.forward(weights, x.astype(kind), mask)
         assert hidden.dtype == targets.dtype == kind
+
+
+def test_folds_of_places_need_no_pairs_in_a_shuffle(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, "fk"[i % 2], sorted(random.choice(24, random.integers(0, 6), replace=False).tolist()), float(random.random())) for i in range(300)]
+    folded = splits.inner_folds(spark.createDataFrame(rows, "id int, file string, places array<int>, y double"), "id", 4, 3, within="file").cache()
+    found = [sparse_gram.nested_folds(folded, ["file"], "outer", "inner", 24, most=most) for most in (1 << 22, 20)]
+    plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [file" in plan and "j#" not in plan
+    few, parts = ({r.file: r for r in df.collect()} for df in found)
+    for file, r in few.items():
+        assert r.status == parts[file].status == "ok" and (r.n, r.alpha) == (parts[file].n, parts[file].alpha)
+        assert (r.r2, r.pearson, r.rmse) == pytest.approx((parts[file].r2, parts[file].pearson, parts[file].rmse), abs=1e-9)
