@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from motifold.operators import encoder, sparse_gram, splits
+from motifold.operators import encoder, ridge, sparse_gram, splits
 
 
 def test_encoder_stays_in_its_precision():
@@ -25,3 +26,24 @@ def test_folds_of_places_need_no_pairs_in_a_shuffle(spark):
     for file, r in few.items():
         assert r.status == parts[file].status == "ok" and (r.n, r.alpha) == (parts[file].n, parts[file].alpha)
         assert (r.r2, r.pearson, r.rmse) == pytest.approx((parts[file].r2, parts[file].pearson, parts[file].rmse), abs=1e-9)
+
+
+def test_samples_of_places_match_dense_rows(spark):
+    random = np.random.default_rng(6)
+    rows = [("m", ("train", "val", "test")[min(i % 5, 2)], i % 2 if i % 5 == 0 else -1, random.choice(20, 4, replace=False).tolist(), float(random.random())) for i in range(400)]
+    placed = spark.createDataFrame([(m, s, b, sorted(p), y) for m, s, b, p, y in rows], "model string, split string, band int, places array<int>, y double")
+    dense = placed.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.array_contains("places", i).cast("double")))
+    fit, schema = lambda cells: ridge.subset_scores(cells, [50, 100]), f"percent double, n_train long, {ridge.VALIDATED}"
+    wanted = ridge.fitted(dense, ["model"], ["split", "band"], fit, schema, 20).orderBy("percent").collect()
+    for most in (1 << 22, 90):
+        found = sparse_gram.solved(placed, ["model"], ["split", "band"], 20, fit, schema, most=most).orderBy("percent").collect()
+        assert len(found) == 2 and all(list(a)[1:-1] == pytest.approx(list(b)[1:-1], abs=1e-9) and a.status == "ok" for a, b in zip(found, wanted, strict=True))
+
+
+def test_encoder_pools_twice_in_one_pass(spark):
+    seqs = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "ACGTAC"), (3, "ACG")], "id int, seq string")
+    weights = encoder.random_weights(1)
+    made = {p: {r.id: r.features for r in encoder.encoded(seqs, weights, kind="hidden_flex", pool=p).collect()} for p in ("mean", "max", "mean_max")}
+    for i in (1, 2):
+        assert made["mean_max"][i] == pytest.approx(made["mean"][i] + made["max"][i], abs=1e-5)
+    assert made["mean_max"][3] is None
