@@ -47,3 +47,9 @@ def test_encoder_pools_twice_in_one_pass(spark):
     for i in (1, 2):
         assert made["mean_max"][i] == pytest.approx(made["mean"][i] + made["max"][i], abs=1e-5)
     assert made["mean_max"][3] is None
+
+
+def test_rows_of_one_key_have_an_order(spark):
+    rows = [("k" if i < 40 else f"k{i}", float(i % 40)) for i in range(80)]
+    found = [{(r.id, r.y): r.fold for r in splits.folds(spark.createDataFrame(own, "id string, y double").repartition(n), "id", 7, ties=("y",)).collect()} for own, n in ((rows, 1), (rows[::-1], 3))]
+    assert found[0] == found[1]
