@@ -53,3 +53,11 @@ def test_rows_of_one_key_have_an_order(spark):
     rows = [("k" if i < 40 else f"k{i}", float(i % 40)) for i in range(80)]
     found = [{(r.id, r.y): r.fold for r in splits.folds(spark.createDataFrame(own, "id string, y double").repartition(n), "id", 7, ties=("y",)).collect()} for own, n in ((rows, 1), (rows[::-1], 3))]
     assert found[0] == found[1]
+
+
+def test_sampled_windows_leave_chunks_where_they_are(spark):
+    chunks = spark.createDataFrame([(f"c{i}", 0, "ACGT" * 20) for i in range(9)], "chrom string, start long, seq string")
+    found = splits.sampled_windows(chunks, 20, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [chrom" in plan and "SortMergeJoin [chrom" not in plan
+    assert [len(r.seq) for r in found.collect()] == [10] * 20
