@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifold.operators import encoder, ridge, sparse_gram, splits
+from motifold.plans import queries
 
 
 def test_encoder_stays_in_its_precision():
@@ -61,3 +62,8 @@ def test_sampled_windows_leave_chunks_where_they_are(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [chrom" in plan and "SortMergeJoin [chrom" not in plan
     assert [len(r.seq) for r in found.collect()] == [10] * 20
+
+
+def test_one_hots_are_made_of_distinct_tokens(spark):
+    plan = queries.onehot_profile(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [kmer" in plan
