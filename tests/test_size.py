@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifold.operators import encoder, ridge, sparse_gram, splits
+from motifold.operators import encoder, krylov, ridge, sparse_gram, splits
 from motifold.plans import queries
 
 
@@ -67,3 +67,16 @@ def test_sampled_windows_leave_chunks_where_they_are(spark):
 def test_one_hots_are_made_of_distinct_tokens(spark):
     plan = queries.onehot_profile(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [kmer" in plan
+
+
+def test_krylov_reads_its_rows_once(spark):
+    random, seen = np.random.default_rng(7), spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(x.tolist(), float(x.sum() + random.random())) for x in random.standard_normal((50, 8))], "features array<double>, y double")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    solved = krylov.fits(rows.mapInArrow(counted, rows.schema), 8, F.array(F.lit(0)), 1)
+    assert solved[0].rounds > 3 and seen.value == 50
