@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifold.operators import encoder, krylov, ridge, sparse_gram, splits
+from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits
 from motifold.plans import queries
 
 
@@ -69,6 +69,21 @@ def test_one_hots_are_made_of_distinct_tokens(spark):
     assert "Aggregate [kmer" in plan
 
 
+def test_training_stays_in_its_precision():
+    x, mask = encoder.one_hot_batch(["ACGTACGTAC", "ACGTAC"], 6)
+    weights = {n: w.astype(np.float32) for n, w in encoder.random_weights(1).items()}
+    h, tapes = finetune.forward(weights, x.astype(np.float32), mask, encoder.Shape())
+    slopes = finetune.backward(weights, x.astype(np.float32), tapes, h, encoder.Shape(), 1)
+    assert h.dtype == np.float32 and {s.dtype for s in slopes.values()} == {np.dtype(np.float32)}
+
+
+def test_frozen_encoder_is_no_part_of_the_steps(spark):
+    rows = spark.createDataFrame([(i, "ACGT"[i % 4] * 3 + "ACGTTGCA"[i % 5 :], ("train", "val", "test")[i % 3], float(i % 7)) for i in range(30)], "key long, seq string, split string, y double")
+    shape = encoder.Shape(k=2, width=4, heads=2, layers=1, hidden=6, positions=16, tokens=20)
+    found = finetune.fine_tuned(rows, encoder.random_weights(2, shape), shape, hidden=(3,), encoder_rate=0.0, epochs=1, batches=1)
+    assert found.done and found.scores["n"] == 30 and set(found.state.params) == {"w0", "b0", "w1", "b1"}
+
+
 def test_krylov_reads_its_rows_once(spark):
     random, seen = np.random.default_rng(7), spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(x.tolist(), float(x.sum() + random.random())) for x in random.standard_normal((50, 8))], "features array<double>, y double")
