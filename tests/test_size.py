@@ -95,3 +95,8 @@ def test_krylov_reads_its_rows_once(spark):
 
     solved = krylov.fits(rows.mapInArrow(counted, rows.schema), 8, F.array(F.lit(0)), 1)
     assert solved[0].rounds > 3 and seen.value == 50
+
+
+def test_words_of_a_document_are_no_rows_of_a_shuffle(spark):
+    plan = queries.sql_kmers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[doc_id" in plan and ", kmer" not in "".join(line for line in plan.splitlines() if "keys=" in line)
