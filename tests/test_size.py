@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motifold.functions.sequences import kmer_list
 from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits
 from motifold.plans import queries
 
@@ -100,3 +101,15 @@ def test_krylov_reads_its_rows_once(spark):
 def test_words_of_a_document_are_no_rows_of_a_shuffle(spark):
     plan = queries.sql_kmers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "keys=[doc_id" in plan and ", kmer" not in "".join(line for line in plan.splitlines() if "keys=" in line)
+
+
+def test_ranks_of_batches_carry_letters(spark):
+    plan = queries.collated_batches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[: plan.index("Window [row_number")], plan[plan.index("Window [row_number") :]
+    assert "zip_with" in above and "zip_with" not in below
+
+
+def test_words_are_listed_over_the_edges_of_chunks(spark):
+    seqs = ["ACGTN" * n + "G" * m for n, m in ((0, 0), (0, 5), (0, 6), (51, 0), (51, 1), (52, 3), (120, 2))]
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq string").select("seq", kmer_list(F.col("seq"), 6, F.upper).alias("words"))
+    assert {r.seq: r.words for r in rows.collect()} == {s: [s[i : i + 6] for i in range(len(s) - 5)] for s in seqs}
