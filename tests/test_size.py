@@ -113,3 +113,37 @@ def test_words_are_listed_over_the_edges_of_chunks(spark):
     seqs = ["ACGTN" * n + "G" * m for n, m in ((0, 0), (0, 5), (0, 6), (51, 0), (51, 1), (52, 3), (120, 2))]
     rows = spark.createDataFrame([(s,) for s in seqs], "seq string").select("seq", kmer_list(F.col("seq"), 6, F.upper).alias("words"))
     assert {r.seq: r.words for r in rows.collect()} == {s: [s[i : i + 6] for i in range(len(s) - 5)] for s in seqs}
+
+
+def folded_rows(spark, n=240):
+    random = np.random.default_rng(12)
+    rows = [(f"r{i}", "f" if i % 3 else "k", random.standard_normal(5).tolist(), float(random.random())) for i in range(n)]
+    folded = splits.inner_folds(spark.createDataFrame(rows, "id string, file string, features array<double>, y double"), "id", 4, 3, within="file")
+    return spark.createDataFrame(folded.collect(), folded.schema).repartition(3)  # its plan has no folds
+
+
+def test_a_row_of_a_large_group_is_handed_on_once_for_all_folds(spark, monkeypatch):
+    rows = folded_rows(spark)
+    wanted = sorted(ridge.nested_folds(rows, ["file"], "outer", "inner", 5).collect())
+    monkeypatch.setattr(ridge, "MOST_VALUES", 10)
+    found = ridge.nested_folds(rows, ["file"], "outer", "inner", 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "place" not in plan
+    for a, b in zip(sorted(found.collect()), wanted, strict=True):
+        assert a.file == b.file and a.status == "ok" and a[1:6] == pytest.approx(b[1:6], rel=1e-9)
+
+
+def test_groups_are_dealt_by_number_not_by_bytes(spark):
+    plan = ridge.nested_folds(folded_rows(spark), ["file"], "outer", "inner", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [file" in plan
+
+
+def test_sums_of_bands_are_handed_on_as_arrays(spark, monkeypatch):
+    rows = folded_rows(spark).selectExpr("'m' model", "features", "y", "case outer when 0 then 'val' when 1 then 'test' else 'train' end split", "outer - 2 band")
+    fit, schema = lambda cells: ridge.subset_scores(cells, [50, 100]), f"percent double, n_train long, {ridge.VALIDATED}"
+    wanted = sorted(ridge.fitted(rows, ["model"], ["split", "band"], fit, schema, 5).collect())
+    monkeypatch.setattr(ridge, "MOST_VALUES", 10)
+    found = ridge.fitted(rows, ["model"], ["split", "band"], fit, schema, 5)
+    assert "place" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for a, b in zip(sorted(found.collect()), wanted, strict=True):
+        assert a.status == "ok" and a[1:-1] == pytest.approx(b[1:-1], rel=1e-9)
