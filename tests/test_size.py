@@ -147,3 +147,15 @@ def test_sums_of_bands_are_handed_on_as_arrays(spark, monkeypatch):
     assert "place" not in found._jdf.queryExecution().optimizedPlan().toString()
     for a, b in zip(sorted(found.collect()), wanted, strict=True):
         assert a.status == "ok" and a[1:-1] == pytest.approx(b[1:-1], rel=1e-9)
+
+
+def test_equal_sequences_are_encoded_together(spark):
+    seqs = ["ACGTACGTAC", "ACGTACGGG", "TTTTTTT", "AC", None, "ACGTACGTAC"] * 40
+    rows = encoder.alike(spark.createDataFrame(list(enumerate(seqs)), "id int, seq string").repartition(7))
+    for seqs_ in rows.rdd.glom().map(lambda own: [r.seq for r in own]).collect():
+        assert sum(a != b for a, b in zip(seqs_, seqs_[1:], strict=False)) == max(0, len(set(seqs_)) - 1)
+    assert len({r[0] for r in rows.select(F.spark_partition_id(), "seq").distinct().collect()}) <= 5 and rows.select(F.spark_partition_id(), "seq").distinct().count() == 5
+    weights = encoder.random_weights(3)
+    alone = {r.seq: r.features for r in encoder.encoded(spark.createDataFrame([(s,) for s in set(seqs)], "seq string"), weights).collect()}
+    for r in encoder.encoded(rows, weights).collect():
+        assert r.features == (alone[r.seq] and pytest.approx(alone[r.seq], abs=1e-5))
