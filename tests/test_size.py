@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifold.functions.sequences import kmer_list
-from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits
+from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits, training
 from motifold.plans import queries
 
 
@@ -159,3 +159,35 @@ def test_equal_sequences_are_encoded_together(spark):
     alone = {r.seq: r.features for r in encoder.encoded(spark.createDataFrame([(s,) for s in set(seqs)], "seq string"), weights).collect()}
     for r in encoder.encoded(rows, weights).collect():
         assert r.features == (alone[r.seq] and pytest.approx(alone[r.seq], abs=1e-5))
+
+
+def test_the_last_layer_is_trained_for_all_epochs(spark, monkeypatch):
+    asked, known = [], finetune.fine_tuned(spark.createDataFrame([(i, "ACGTACG", ("train", "val", "test")[i % 3], float(i)) for i in range(6)], "key long, seq string, split string, y double"), encoder.random_weights(1), epochs=1, batches=1)
+
+    def told(rows, weights, **options):
+        asked.append(options)
+        return known
+
+    monkeypatch.setattr(finetune, "fine_tuned", told)
+    queries.unfrozen_layer_scores(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 2 and all(o["epochs"] == o["patience"] == 30 and o.get("batches", 4) >= 4 for o in asked)
+
+
+def counted(rows, seen):
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def test_training_reads_its_rows_once(spark):
+    seen = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    rows = spark.createDataFrame([(i, "ACGT"[i % 4] * 3 + "ACGTTGCA"[i % 5 :], ("train", "val", "test")[i % 3], float(i % 7)) for i in range(30)], "key long, seq string, split string, y double")
+    shape = encoder.Shape(k=2, width=4, heads=2, layers=2, hidden=6, positions=16, tokens=20)
+    finetune.fine_tuned(counted(rows, seen[0]), encoder.random_weights(2, shape), shape, hidden=(3,), encoder_rate=1e-3, epochs=3, batches=2)
+    finetune.pretrained(counted(rows, seen[1]), encoder.random_weights(2, shape), shape, epochs=3, batches=2)
+    heads = rows.selectExpr("0 group", "split", "key", "array(y, double(key)) x", "y")
+    training.trained_heads(counted(heads, seen[2]), 1, (3,), epochs=3, batches=2)
+    assert [s.value for s in seen] == [30, 30, 30]
