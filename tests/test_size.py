@@ -1,11 +1,13 @@
 """What work costs as tables grow: precision, jobs, and rows that are made on the way."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from motifold.functions.sequences import kmer_list
+from motifold.functions.sequences import kmer_list, positional_places
 from motifold.operators import encoder, finetune, krylov, ridge, sparse_gram, splits, training
+from motifold.operators.features import placed
 from motifold.plans import queries
 
 
@@ -191,3 +193,24 @@ def test_training_reads_its_rows_once(spark):
     heads = rows.selectExpr("0 group", "split", "key", "array(y, double(key)) x", "y")
     training.trained_heads(counted(heads, seen[2]), 1, (3,), epochs=3, batches=2)
     assert [s.value for s in seen] == [30, 30, 30]
+
+
+def test_places_on_batches_are_places_of_columns(spark):
+    seqs = ["ACGTNACGTA", "AC", "", None, "TTTTTTTTTT", "NNNN", "ACG"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id int, seq string")
+    for n in (1, 2, 3):
+        wanted = {r.id: r.places for r in rows.select("id", positional_places(F.col("seq"), n).alias("places")).collect()}
+        assert {r.id: r.places for r in placed(rows, n, 10).collect()} == wanted
+
+
+def test_rows_of_a_block_have_like_numbers_of_places():
+    lists = [list(range(i % 7)) for i in range(100)] + [list(range(40))]
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(lists, pa.list_(pa.int32())), "y": np.arange(101.0), "sets": pa.array([[0]] * 101, pa.list_(pa.int32()))})
+    blocks = list(krylov._parts(batch, 40, 20))
+    assert sum(len(b[1]) for b in blocks) == 101 and sum(b[0].size for b in blocks) < 2 * sum(map(len, lists)) + 20 * 40
+    v, u = np.random.default_rng(1).standard_normal((40, 2)), np.random.default_rng(2).standard_normal((101, 2))
+    full = np.array([[float(j in own) for j in range(40)] for own in lists])
+    for parts in blocks:
+        b = krylov._batch(parts, 40, 1)
+        at = parts[1].astype(int)
+        assert b.times(v) == pytest.approx(full[at] @ v) and b.back(u[at], 40) == pytest.approx(full[at].T @ u[at])
